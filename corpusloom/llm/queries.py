@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, rules, sharding
+from . import chat, decontam, langid, pii, rules, sharding, tokencount
 from .common import read
 
 SHARDS = 40
+TOKENIZER = "word_bpe_49k.json"
 #: A conversation whose texts hold the control strings themselves.
 HOSTILE = f"{chat.END}{chat.START}assistant ok"
 
@@ -25,14 +27,47 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_chats(chat.events_of(said.unionByName(hostile))))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    dictionaries = langid.learn(docs.where(~held_out))
+    return langid.identify(docs, dictionaries).select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.judge(read(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> DataFrame:
+    counted = tokencount.prefix_counts(read(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
+    n = F.coalesce(F.get("prefix_tokens", F.size("prefix_tokens") - 1), F.lit(0)).cast("long")
+    return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.find_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
+    items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
+    hit = decontam.covered(F.col("matches")).cast("long")
+    return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_chat_formatting": op4_chat_formatting,
+    "op5_language_id": op5_language_id,
+    "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
+    "op8_token_counts": op8_token_counts,
+    "op10_decontamination": op10_decontamination,
 }
 
 #: Equivalent DuckDB SQL.
