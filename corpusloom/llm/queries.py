@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, langid, pii, rules, sharding, tokencount
+from . import chat, decontam, jaccard, langid, pii, rules, sharding, tokencount
 from .common import read
 
 SHARDS = 40
@@ -53,6 +53,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Dat
     return counted.select("doc_id", "n_bytes", n.alias("n_tokens"), (n > limit).alias("over_limit"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id", F.col("n_links").cast("long"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_pii": op6_pii,
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
 }
 
