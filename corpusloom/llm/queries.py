@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, pii, rules, sharding, tokencount
+from . import chat, decontam, jaccard, langid, pii, quality, rules, sharding, tokencount
 from .common import read
 
 SHARDS = 40
@@ -21,6 +21,11 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents"), sharding.topology(SHARDS), sharding.topology(SHARDS + 1))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.learn(docs)).select("doc_id", "votes", "posterior", "score", (F.col("score") >= quality.THRESHOLD).alias("kept"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(HOSTILE).alias("text")) for k, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
@@ -66,6 +71,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
