@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,19 +34,36 @@ UPPER, SYMBOL, PLAIN, LOWER = 1 << 16, 1 << 17, 1 << 18, 1 << 19
 LABELLERS = 8
 
 
-def shape(word: str) -> int:
-    """Feature of a word's shape (runs of upper case, lower case, digits and other characters), and its marks.
-
-    A plain word is letters with at most one mark around or inside them."""
+def runs(word: str) -> str:
+    """The word's runs of upper case (A), lower case (a), digits (0) and other characters (themselves)."""
+    core, tail = (word, "") if word.isalpha() else (word[:-1], word[-1])
+    if core.isalpha() and not tail.isalnum():
+        if core.islower():
+            return "a" + tail
+        if core.isupper():
+            return "A" + tail
+        if core[0].isupper() and core[1:].islower():
+            return "Aa" + tail
     kinds, last = [], ""
     for c in word[:64]:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if kind != last:
             kinds.append(kind)
             last = kind
-    feature = zlib.crc32(("".join(kinds[:12]) + f" {min(len(word), 24) // 4}").encode()) % WIDTH
-    letters = [c for c in word if c.isalpha()]
-    return feature | UPPER * (len(letters) > 1 and all(c.isupper() for c in letters)) | SYMBOL * (not SYMBOLS.isdisjoint(word)) | PLAIN * (len(word) - len(letters) <= 1 and bool(letters)) | LOWER * any(c.islower() for c in letters)
+    return "".join(kinds[:12])
+
+
+@lru_cache(1 << 16)
+def feature(shape: str, length: int) -> int:
+    return zlib.crc32(f"{shape} {length}".encode()) % WIDTH
+
+
+def shape(word: str) -> int:
+    """Feature of a word's shape and length, and its marks. A plain word is letters and one other character at most."""
+    kinds = runs(word)
+    upper, lower = "A" in kinds, "a" in kinds
+    plain = (upper or lower) and (word.isalpha() or word[:-1].isalpha() or word[1:].isalpha())
+    return feature(kinds, min(len(word), 24) // 4) | UPPER * (upper and not lower and len(word) > 1) | SYMBOL * (not SYMBOLS.isdisjoint(word)) | PLAIN * plain | LOWER * lower
 
 
 class Shapes(dict):
@@ -56,8 +74,8 @@ class Shapes(dict):
         return found
 
 
-def describe(text: str, shapes: Shapes) -> tuple[str, np.ndarray]:
-    """The labellers' votes on a text, and its features, a vector of length one (zero if the text has no words)."""
+def describe(text: str, shapes: Shapes, featured: bool = True) -> tuple[str, np.ndarray]:
+    """The labellers' votes on a text, and its features, all zero if the text has no words or they aren't asked for."""
     words = text.split()
     n = len(words)
     features = np.zeros(DIMENSIONS, np.float32)
@@ -87,6 +105,8 @@ def describe(text: str, shapes: Shapes) -> tuple[str, np.ndarray]:
         vote(lower < 0.5, lower > 0.85),
         vote(n > 5 and same > 0.15 or len(lines) > 3 and again > 0.3 or poor, n >= 3 and same < 0.05 and again < 0.2),
     )
+    if not featured:
+        return "".join(votes), features
     features[:WIDTH] = np.sqrt(np.bincount(ids, minlength=WIDTH) / n)
     if n > 1:
         features[WIDTH : 2 * WIDTH] = np.sqrt(np.bincount((ids[1:] * 31 + ids[:-1] * 17) % WIDTH, minlength=WIDTH) / (n - 1))
@@ -94,7 +114,7 @@ def describe(text: str, shapes: Shapes) -> tuple[str, np.ndarray]:
     return "".join(votes), features
 
 
-def _described(docs: DataFrame, schema: str, row) -> DataFrame:
+def _described(docs: DataFrame, schema: str, row, featured: bool = True) -> DataFrame:
     """docs' columns, then those that row makes of a text's votes and features."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
@@ -106,7 +126,7 @@ def _described(docs: DataFrame, schema: str, row) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shapes = Shapes()
         for batch in steps(batches):
-            rows = [row(*describe(t or "", shapes)) for t in batch.column("text").to_pylist()]
+            rows = [row(*describe(t or "", shapes, featured)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), types, strict=True)]], [*columns, *types.names])
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
@@ -154,7 +174,7 @@ def fit(features: np.ndarray, target: np.ndarray, steps_: int = 300, rate: float
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
     """Posteriors of the vote patterns of all docs, and the scorer's weights from at most about sample documents."""
     rows = docs.where("text is not null").select("doc_id", "text")
-    counts = {r["votes"]: r["n"] for r in _described(rows, "votes string", lambda v, _: (v,)).groupBy("votes").agg(F.count("*").alias("n")).collect()}
+    counts = {r["votes"]: r["n"] for r in _described(rows, "votes string", lambda v, _: (v,), featured=False).groupBy("votes").agg(F.count("*").alias("n")).collect()}
     good = posteriors(counts)
     share = min(1.0, sample / max(1, sum(counts.values())))
     chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
