@@ -39,6 +39,8 @@ FOLDED = re.compile("[" + "".join(LOOK_ALIKE) + "！-～]")
 INVISIBLE = re.compile("[­​-‍⁠﻿]+")
 #: Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+#: Of these a spelled number must hold two.
+RARE = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _DIGIT = "(?:" + "|".join(SPELLED) + ")"
 _AT = r"(?:\s*[\[({]\s*(?:at|@)\s*[\])}]\s*)"
 _DOT = r"(?:\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*)"
@@ -129,7 +131,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     low = text.lower()
     strange = not text.isascii() and bool(FOLDED.search(text) or INVISIBLE.search(text))
     worded = any(x in low for x in ("dot", "[.", "(.", "{.", "[at", "(at", "{at", "[ at", "( at", "{ at", "[@", "(@", "{@"))
-    spelled = sum(x in low for x in SPELLED) > 1 and bool(NUMBER.search(text))
+    spelled = sum(x in low for x in RARE) > 1 and bool(NUMBER.search(text))
     if not (strange or worded or spelled):
         return []
     new = Rewritten(text)

@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +24,8 @@ from .common import fresh, steps
 #: Words, and pairs of tokens, that a Python task remembers; beyond that it forgets all and goes on.
 REMEMBERED = 300_000
 END = "</w>"
+#: White space to Python alone.
+SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
 
 
 def byte_symbols() -> list[str]:
@@ -60,7 +62,8 @@ class PrefixCounter:
             raise ValueError("a BPE file with word ends is asked for")
         self.vocab = model["vocab"]
         self.ranks = {tuple(m): k for k, m in enumerate(model["merges"])}
-        self.longest = max(map(len, self.vocab))
+        self.begun = {t[:k]: False for t in self.vocab for k in range(1, len(t)) if not t.endswith(END) or k < len(t) - len(END)}
+        self.begun |= dict.fromkeys((t for t in self.vocab if not t.endswith(END)), True)
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -68,9 +71,11 @@ class PrefixCounter:
         self.pieces = regex.compile(split)
         self.symbols = byte_symbols()
         self.alone = Bounded(lambda t: self.merge(self.split(t)) == [t])
-        self.fits = Bounded(lambda ab: self.merge(self.split(ab[0]) + self.split(ab[1])) == [*ab])
-        self.prefixes = Bounded(lambda w: self.word(w)[0])
-        self.counts = Bounded(lambda w: self.word(w)[0][-1])
+        self.edges = Bounded(lambda t: (self.spine(t, 1), self.spine(t, 0)))
+        self.fits = Bounded(lambda ab: not self.crossed(*ab))
+        self.counts = Bounded(lambda w: self.word(w)[-1])
+        self.prefixes = Bounded(lambda w: self.word(w, every=True))
+        self.chunks = Bounded(lambda c: tuple(1 if w is None else self.counts[w] for w in self.words(c)))
 
     @staticmethod
     def split(token: str) -> list[str]:
@@ -85,27 +90,56 @@ class PrefixCounter:
             parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
         return parts
 
-    def word(self, word: str) -> tuple[list[int], list[str]]:
-        """Tokens of every prefix of the word's bytes, taken as a whole word; and the last token of each."""
-        text = "".join(self.symbols[b] for b in word.encode())
-        open_last: list[str | None] = [None]
-        open_count, counts, lasts = [0], [], []
-        for j in range(1, len(text) + 1):
-            for suffix in ("", END):
-                for i in range(max(0, j - self.longest), j):
-                    token = text[i:j] + suffix
-                    if token in self.vocab and (i == 0 or open_last[i] is not None) and self.alone[token] and (i == 0 or self.fits[open_last[i], token]):
-                        found = open_count[i] + 1, token
-                        break
-                else:
-                    found = 0, None
-                if suffix:
-                    counts.append(found[0])
-                    lasts.append(found[1])
-                else:
-                    open_count.append(found[0])
-                    open_last.append(found[1])
-        return counts, lasts
+    def spine(self, token: str, side: int) -> list[tuple[str, int]]:
+        """The parts of a token at its right (1) or left (0) edge, from the whole to one symbol, and the rank of the
+        merge that takes each into the next larger one (none for the whole token: a rank above all)."""
+        out, taken = [], len(self.ranks)
+        while True:
+            out.append((token, taken))
+            parts = self.split(token)
+            if len(parts) == 1:
+                return out
+            while len(parts) > 2:
+                _, k = min((self.ranks[a, b], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if (a, b) in self.ranks)
+                parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
+            token, taken = parts[side], self.ranks[parts[0], parts[1]]
+
+    def crossed(self, a: str, b: str) -> bool:
+        """Whether some merge over the border of two tokens comes before what takes its parts into the tokens.
+
+        Parts of a token have lower ranks than itself, so ranks order the merges of one word in time; of two equal
+        ranks the left one is first."""
+        for x, before in self.edges[a][0]:
+            for y, until in self.edges[b][1]:
+                rank = self.ranks.get((x, y))
+                if rank is not None and rank < before and rank <= until:
+                    return True
+        return False
+
+    def word(self, word: str, every: bool = False) -> list[int]:
+        """Tokens of every prefix of the word's bytes, taken as a word; without every, of the whole alone."""
+        text = "".join([self.symbols[b] for b in word.encode()])
+        n = len(text)
+        last: list[str | None] = [None] * (n + 1)
+        count = [0] * (n + 1)
+        begun, alone, fits = self.begun.get, self.alone, self.fits
+        for i in range(n):
+            before, tokens = last[i], count[i] + 1
+            for j in range(i + 1, n):
+                token = text[i:j]
+                whole = begun(token)
+                if whole is None:  # no token begins so
+                    break
+                if whole and last[j] is None and alone[token] and (not i or fits[before, token]):
+                    last[j], count[j] = token, tokens
+        counts = []
+        for j in range(1 if every else n, n + 1):
+            for i in range(j):
+                token = text[i:j] + END
+                if token in self.vocab and alone[token] and (not i or fits[last[i], token]):
+                    counts.append(count[i] + 1)
+                    break
+        return counts
 
     def words(self, text: str) -> list[str]:
         """The words of a text in order; a special token is a word of one token."""
@@ -118,11 +152,10 @@ class PrefixCounter:
         return out + self.pieces.findall(self.normalize(text[at:]))
 
     def at_words(self, text: str) -> list[int]:
-        """Tokens of the text up to the end of each word."""
-        words = self.words(text)
-        if None in words:
-            return list(accumulate(1 if w is None else self.counts[w] for w in words))
-        return list(accumulate(map(self.counts.__getitem__, words)))
+        """Tokens of the text up to the end of each word. No word crosses white space, so chunks without are remembered."""
+        if SEPARATORS.isdisjoint(text):
+            return list(accumulate(chain.from_iterable(map(self.chunks.__getitem__, text.split()))))
+        return list(accumulate(1 if w is None else self.counts[w] for w in self.words(text)))
 
 
 @cache
