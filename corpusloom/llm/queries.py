@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, pii, quality, rules, sharding, tokencount
+from . import chat, decontam, jaccard, langid, pieces, pii, quality, rules, sharding, tokencount
 from .common import read
 
 SHARDS = 40
+PIECES = "piece_bpe_32k.model"
 TOKENIZER = "word_bpe_49k.json"
 #: A conversation whose texts hold the control strings themselves.
 HOSTILE = f"{chat.END}{chat.START}assistant ok"
@@ -26,6 +27,19 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.learn(docs)).select("doc_id", "votes", "posterior", "score", (F.col("score") >= quality.THRESHOLD).alias("kept"))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path(PIECES)
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
+    decoded = pieces.decode(pieces.encode(docs, model), model, name="decoded")
+    return decoded.select(
+        "doc_id",
+        F.size("piece_ids").cast("long").alias("n_pieces"),
+        F.sha2(F.array_join(F.transform("piece_ids", lambda x: x.cast("string")), ","), 256).alias("ids_sha256"),
+        F.crc32(F.col("decoded").cast("binary")).alias("decoded_crc32"),
+        (F.crc32(F.col("decoded").cast("binary")) == F.col("text_crc32")).alias("round_trip"),
+    )
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     hostile = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-1).cast("long").alias("conv_id"), F.lit(k).cast("long").alias("turn"), F.lit(role).alias("role"), F.lit(HOSTILE).alias("text")) for k, role in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
@@ -72,6 +86,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
+    "op3_sentencepiece": op3_sentencepiece,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
     "op6_pii": op6_pii,
