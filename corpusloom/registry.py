@@ -6,6 +6,27 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "table_group_count"
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Adds a query; sql is DuckDB SQL with the same rows, in which {view} names a view of the application model."""
+    from .sources.model import with_views
+
+    def add(query: Query) -> Query:
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
+        QUERIES[name] = query
+        if sql is not None:
+            ORACLES[name] = with_views(sql)
+        return query
+
+    return add
+
+
+def load() -> None:
+    """Imports the modules that register queries."""
+    from .plans import table_queries  # noqa: F401
