@@ -18,6 +18,11 @@ VIEWS = {
         case when doc_id % 10 = 0 then 'test' else 'production' end as scope, doc_id % 20 as owner, source as team, lang, text
         from {documents}""",
     "pages": "select doc_id, 1 as page, text from {documents}",
+    "chunks": "select doc_id, 1 as page, i as chunk_index, substr(t, i * 850 + 1, 1000) as content from (select doc_id, t, unnest(range(0, 1 + greatest(0, cast(ceil((length(t) - 1000) / 850.0) as bigint)))) as i from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from {documents}) where t <> '')",
+    "sampled": "select doc_id, title, filename, lower(title || ' ' || sample) as body from (select d.doc_id, d.title, d.filename, left(string_agg(c.content, chr(10) order by c.chunk_index), 4000) as sample from {docs} d join {chunks} c on c.doc_id = d.doc_id and c.chunk_index < 3 group by 1, 2, 3)",
+    "doc_groups": "select doc_id, team as group_id from {docs}",
+    "user_groups": "select user_id, 'src' || cast(user_id % 20 as string) as group_id from {users} union select user_id, 'src' || cast((user_id + 7) % 20 as string) from {users}",
+    "accessible": "select owner as user_id, doc_id from {docs} where source_type like 'chat%' and scope = 'production' and owner in (select user_id from {users}) union select g.user_id, d.doc_id from {docs} d join {doc_groups} x on x.doc_id = d.doc_id join {user_groups} g on g.group_id = x.group_id where d.source_type not like 'chat%' and d.scope = 'production' union select u.user_id, d.doc_id from {docs} d, {users} u where u.is_admin and d.source_type not like 'chat%' and d.scope = 'production'",
     "lines": "select o.o_orderkey, r.r_name, n.n_name, c.c_name, c.c_custkey, o.o_orderstatus, o.o_orderpriority, o.o_totalprice, r.r_regionkey, cast(year(o.o_orderdate) * 100 + month(o.o_orderdate) as string) as sheet from {orders} o join {customer} c on o.o_custkey = c.c_custkey join {nation} n on c.c_nationkey = n.n_nationkey join {region} r on n.n_regionkey = r.r_regionkey",
     # schema-on-read rows: each region has spellings of its own
     "flat_rows": """select 'orders-' || r_name as document, sheet, o_orderkey as row_number,
