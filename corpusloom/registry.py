@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 Query = Callable[[SparkSession, str], DataFrame]
-FLAGSHIP = "table_group_count"
+FLAGSHIP = "e46_retrieve"
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
@@ -29,4 +29,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from .plans import document_queries, table_queries  # noqa: F401
+    from .plans import document_queries, retrieval_queries, table_queries  # noqa: F401

@@ -20,6 +20,10 @@ VIEWS = {
     "pages": "select doc_id, 1 as page, text from {documents}",
     "chunks": "select doc_id, 1 as page, i as chunk_index, substr(t, i * 850 + 1, 1000) as content from (select doc_id, t, unnest(range(0, 1 + greatest(0, cast(ceil((length(t) - 1000) / 850.0) as bigint)))) as i from (select doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) as t from {documents}) where t <> '')",
     "sampled": "select doc_id, title, filename, lower(title || ' ' || sample) as body from (select d.doc_id, d.title, d.filename, left(string_agg(c.content, chr(10) order by c.chunk_index), 4000) as sample from {docs} d join {chunks} c on c.doc_id = d.doc_id and c.chunk_index < 3 group by 1, 2, 3)",
+    "asked": "select question_id, question, list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]{5,}'))) as terms from {questions}",
+    "hits": "select question_id, len(terms) as asked, doc_id, chunk_index, case when contains(lower(content), term) then 0.12 + 0.10 * (least(length(term), 12) / 12.0) else 0.0 end as c, case when contains(lower(title), term) then 0.18 + 0.12 * (least(length(term), 12) / 12.0) else 0.0 end as t from (select *, unnest(terms) as term from {asked}) q join (select c.*, d.title from {chunks} c join {docs} d using (doc_id)) c on contains(lower(content), term) or contains(lower(title), term)",
+    "top": "select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_index) as rank from (select question_id, doc_id, chunk_index, round(cast(least(0.96, sum(c + t) + least(0.22, 0.22 * count(*) / max(asked))) as double), 6) as score, count(*) as matched from {hits} group by 1, 2, 3) qualify rank <= 10",
+    "ctx": "select t.question_id, t.doc_id, t.chunk_index, t.score, t.rank, c.content, d.title, a.terms, a.question, case doc_id % 4 when 0 then 'blocked' when 1 then 'poor' else 'good' end as grade from {top} t join {chunks} c using (doc_id, chunk_index) join {docs} d using (doc_id) join {asked} a using (question_id)",
     "doc_groups": "select doc_id, team as group_id from {docs}",
     "user_groups": "select user_id, 'src' || cast(user_id % 20 as string) as group_id from {users} union select user_id, 'src' || cast((user_id + 7) % 20 as string) from {users}",
     "accessible": "select owner as user_id, doc_id from {docs} where source_type like 'chat%' and scope = 'production' and owner in (select user_id from {users}) union select g.user_id, d.doc_id from {docs} d join {doc_groups} x on x.doc_id = d.doc_id join {user_groups} g on g.group_id = x.group_id where d.source_type not like 'chat%' and d.scope = 'production' union select u.user_id, d.doc_id from {docs} d, {users} u where u.is_admin and d.source_type not like 'chat%' and d.scope = 'production'",
