@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .documents import first_of
@@ -64,7 +65,7 @@ def phrases(text: Column, low: int = 4, high: int = 12) -> Column:
     return F.filter(F.transform(F.split(text, r"[\s,.;:!?，。；：！？]+"), F.lower), lambda p: F.length(p).between(low, high))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(texts: pd.Series) -> pd.Series:
     return texts.str.normalize("NFKC")
 
