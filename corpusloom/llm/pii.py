@@ -46,6 +46,8 @@ _AT = r"(?:\s*[\[({]\s*(?:at|@)\s*[\])}]\s*)"
 _DOT = r"(?:\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*)"
 NUMBER = re.compile(rf"\b(?:plus\s+)?{_DIGIT}(?:[\s,-]{{1,3}}(?:dot\s+)?{_DIGIT}){{3,}}\b", re.I)
 ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9_%+-]{{1,64}}){{0,8}}(?P<at>{_AT}|\sat\s|@)[A-Za-z0-9-]{{1,64}}(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9-]{{1,64}}){{1,8}}", re.I)
+#: Last parts of names that a bare `at` is believed with.
+TOP_LEVEL = frozenset("com org net edu gov info biz io co uk de fr es it nl eu us ca au in jp cn ru br ch at be se no dk fi pl pt".split())
 PARTS = re.compile(rf"(?P<at>{_AT}|\sat\s)|(?P<dot>{_DOT}|\sdot\s)", re.I)
 WORDS = re.compile(rf"plus\s+|{_DIGIT}|dot|[\s,-]+", re.I)
 
@@ -111,8 +113,8 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in ADDRESS.finditer(text):
         parts = list(PARTS.finditer(text, m.start(), m.end()))
-        # a bare word `at` counts only beside a disguised dot: "meet us at example.com" is no address
-        if parts and (m["at"].strip().lower() != "at" or any(p["dot"] for p in parts)):
+        # a bare word `at` counts only with a disguised dot and a known ending: "meet us at example.com" is no address
+        if parts and (m["at"].strip().lower() != "at" or any(p["dot"] for p in parts) and re.split(r"[\W_]+", m[0].strip("])} ").lower())[-1] in TOP_LEVEL):
             edits += [(p.start(), p.end(), "@" if p["at"] else ".") for p in parts if not p["at"] or p.start() == m.start("at")]
     return edits
 
