@@ -321,7 +321,7 @@ def _(spark, d):
     return view(spark, d, "questions").select("question_id", F.lower("question").rlike("that|with").alias("graph_check"), F.startswith(F.lower("question"), F.lit("the")).alias("graph_primary"))
 
 
-@register("e50_strip_markers", "select session_id, turn, md5(trim(left(content, 200))) as m from {messages}")
+@register("e50_strip_markers", "select session_id, turn, md5(trim(regexp_replace(trim(left(content, 200)), '\\s+$', ''))) as m from {messages}")
 def _(spark, d):
     said = view(spark, d, "messages").select("session_id", "turn", F.concat(F.trim(F.left("content", F.lit(200))), F.lit(" [S1] [S 2]【来源3】")).alias("c"))
     return said.select("session_id", "turn", F.md5(R.strip_markers(F.col("c"))).alias("m"))
