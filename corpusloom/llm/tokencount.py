@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from .common import fresh, steps
 
 #: Words, and pairs of tokens, that a Python task remembers; beyond that it forgets all and goes on.
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 END = "</w>"
 #: White space to Python alone.
 SEPARATORS = frozenset("\x1c\x1d\x1e\x1f")
@@ -75,7 +75,7 @@ class PrefixCounter:
         self.fits = Bounded(lambda ab: not self.crossed(*ab))
         self.counts = Bounded(lambda w: self.word(w)[-1])
         self.prefixes = Bounded(lambda w: self.word(w, every=True))
-        self.chunks = Bounded(lambda c: tuple(1 if w is None else self.counts[w] for w in self.words(c)))
+        self.chunks = Bounded(lambda c: tuple([self.counts[w] if w else 1 for w in self.words_of_chunk(c)]))
 
     @staticmethod
     def split(token: str) -> list[str]:
@@ -151,6 +151,15 @@ class PrefixCounter:
             at = m.end()
         return out + self.pieces.findall(self.normalize(text[at:]))
 
+    def words_of_chunk(self, chunk: str) -> list[str | None]:
+        """As words. Letters up to U+00FF are normal and have one lower case, so that the library isn't asked."""
+        if max(chunk) <= "\xff":
+            if chunk.isalpha():
+                return [chunk.lower()]
+            if chunk[-1] in ".,;:!?" and chunk[:-1].isalpha():
+                return [chunk[:-1].lower(), chunk[-1]]
+        return self.words(chunk)
+
     def at_words(self, text: str) -> list[int]:
         """Tokens of the text up to the end of each word. No word crosses white space, so chunks without are remembered."""
         if SEPARATORS.isdisjoint(text):
