@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from . import chat, decontam, jaccard, langid, pieces, pii, quality, rules, sharding, tokencount
 from .common import read
+from .oracles import ORACLES
 
 SHARDS = 40
 PIECES = "piece_bpe_32k.model"
@@ -73,7 +74,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Dat
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id", F.col("n_links").cast("long"))
+    return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,5 +97,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontamination": op10_decontamination,
 }
 
-#: Equivalent DuckDB SQL.
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
