@@ -384,3 +384,24 @@ def rank_tables(questions: DataFrame, docs: DataFrame, least: float = 0.2, n: in
     hits = pairs.groupBy("question_id", "document").agg(F.sum(F.when(F.contains("title", F.col("term")), 0.18).otherwise(0.0) + F.when(F.contains("samples", F.col("term")), 0.05).otherwise(0.0)).alias("hits"), F.first(F.arrays_overlap(questions["months"], docs["months"])).alias("dated"))
     scored = hits.select("question_id", "document", (0.04 + F.col("hits") + F.when(F.col("dated"), 0.32).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "document"))).where(F.col("rank") <= n)
+
+
+def split_cells(text: Column) -> Column:
+    """cell and value of texts like `A1: name | B1: sum A2: x`: a value ends before the next cell's name."""
+    marked = F.split(F.regexp_replace(text, r"\s*(?:\|\s*)?\b([A-Z]{1,3}[0-9]+)\s*[:：]\s*", "\n$1\t"), "\n")
+    pairs = F.transform(F.filter(marked, lambda x: F.contains(x, F.lit("\t"))), lambda x: F.struct(F.substring_index(x, "\t", 1).alias("cell"), clean(F.substring(x, F.locate("\t", x) + 1, F.length(x))).alias("value")))
+    return F.filter(pairs, lambda p: p["value"] != "")
+
+
+def records_from_cells(chunks: DataFrame, least: int = 4) -> DataFrame:
+    """doc_id, row_number and fields (name=value, in column order) of rows told as cells in overlapping chunks.
+
+    Row 1 names the columns: the shortest name that any chunk gives. Of repeated cells the last chunk's counts, and rows
+    with fewer than least fields are pieces of broken chunks and are left out."""
+    cells = chunks.select("doc_id", "chunk_index", F.posexplode(split_cells(F.col("content"))).alias("pos", "x"))
+    placed = cells.select("doc_id", "chunk_index", "pos", F.regexp_extract("x.cell", "[0-9]+", 0).cast("int").alias("row_number"), F.regexp_extract("x.cell", "[A-Z]+", 0).alias("col"), "x.value")
+    names = placed.where("row_number = 1").groupBy("doc_id", "col").agg(F.min_by("value", F.struct(F.length("value"), "value")).alias("name"))
+    values = placed.where("row_number > 1").groupBy("doc_id", "row_number", "col").agg(F.max_by("value", F.struct("chunk_index", "pos")).alias("value"))
+    named = values.join(names, ["doc_id", "col"], "left").join(names.select("doc_id").distinct(), "doc_id", "left_semi")
+    rows = named.groupBy("doc_id", "row_number").agg(F.array_sort(F.collect_list(F.struct("col", F.concat_ws("=", F.coalesce("name", "col"), "value").alias("field")))).alias("f"))
+    return rows.where(F.size("f") >= least).select("doc_id", "row_number", F.transform("f", lambda x: x["field"]).alias("fields"))

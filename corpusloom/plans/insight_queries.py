@@ -93,10 +93,10 @@ def _(spark, d):
     return I.apply_updates(f, f.where("feedback_id % 10 = 0").select("feedback_id", F.lit("resolved").alias("status")), "feedback_id", "status").groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register("k11_feedback_snapshots", f"with {PAIRED} select p.session_id * 1000 + p.turn as feedback_id, md5(q.content) as question, md5(p.content) as answer from paired p left join {{messages}} q on q.session_id = p.session_id and q.turn = p.question_turn where p.role = 'assistant' and p.session_id % 3 = 0")
+@register("k11_feedback_snapshots", f"with {PAIRED} select p.session_id * 1000 + p.turn as feedback_id, md5(q.content) as question, md5(p.content) as answer from paired p left join {{messages}} q on q.session_id = p.session_id and q.turn = p.question_turn where p.role = 'assistant'")
 def _(spark, d):
     m = view(spark, d, "messages")
-    f = m.where("role = 'assistant' and session_id % 3 = 0").selectExpr("session_id * 1000 + turn as feedback_id", "session_id", "turn")
+    f = m.where("role = 'assistant'").selectExpr("session_id * 1000 + turn as feedback_id", "session_id", "turn")
     return I.feedback_snapshots(f, m).select("feedback_id", F.md5("question").alias("question"), F.md5("answer").alias("answer"))
 
 

@@ -161,10 +161,10 @@ def _(spark, d):
     return R.section_topk(asked(spark, d), sections)
 
 
-@register("e23_section_content", "select doc_id, s as start, s as \"end\", md5(left(string_agg(content, chr(10) order by page), 1800)) as m from (select doc_id, chunk_index as s from {chunks} where chunk_index % 5 = 1) x join (select doc_id, chunk_index as page, content from {chunks}) p using (doc_id) where page between s - 1 and s + 1 group by 1, 2")
+@register("e23_section_content", "select doc_id, s as start, s as \"end\", md5(left(string_agg(content, chr(10) order by page), 1800)) as m from (select doc_id, chunk_index as s from {chunks}) x join (select doc_id, chunk_index as page, content from {chunks}) p using (doc_id) where page between s - 1 and s + 1 group by 1, 2")
 def _(spark, d):
     c = chunks(spark, d)
-    sections = c.where("chunk_index % 5 = 1").selectExpr("doc_id", "chunk_index as start", "chunk_index as end")
+    sections = c.selectExpr("doc_id", "chunk_index as start", "chunk_index as end")
     pages = c.selectExpr("doc_id", "chunk_index as page", "content as text")
     return R.section_content(sections, pages).select("doc_id", "start", "end", F.md5("content").alias("m"))
 
@@ -210,9 +210,9 @@ def _(spark, d):
     return labelled.select("session_id", "turn", F.when(F.length("content") < 60, "chat").otherwise(F.col("label")).alias("label"))
 
 
-@register("e30_check_evidence", "select question_id, count(doc_id) as contexts, count(distinct doc_id) as documents, coalesce(max(score), 0) as best, case when count(doc_id) = 0 then 'no_contexts' when max(score) < 0.8 then 'weak' else 'enough' end as verdict from {questions} left join (select * from {top} where doc_id % 2 = 0) using (question_id) group by 1")
+@register("e30_check_evidence", "select question_id, count(doc_id) as contexts, count(distinct doc_id) as documents, coalesce(max(score), 0) as best, case when count(doc_id) = 0 then 'no_contexts' when max(score) < 0.8 then 'weak' else 'enough' end as verdict from {questions} left join (select * from {top} where score >= 0.7) using (question_id) group by 1")
 def _(spark, d):
-    return R.check_evidence(top(spark, d).where("doc_id % 2 = 0"), view(spark, d, "questions"), 0.8)
+    return R.check_evidence(top(spark, d).where("score >= 0.7"), view(spark, d, "questions"), 0.8)
 
 
 @register("e31_wiki_evidence", "select question_id, case when best < 0.6 then 'score' when n < 2 then 'terms' when docs < 2 then 'documents' else 'ok' end as verdict from (select question_id, max(score) as best, max(len(list_filter(terms, lambda t: contains(lower(content), t)))) as n, count(distinct doc_id) as docs from {ctx} group by 1)")

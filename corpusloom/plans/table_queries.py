@@ -297,3 +297,13 @@ def _(spark, d):
 @register("d50_alias_list", f"with {ALIASES} select document || ':' || raw_name || ':' || semantic as suggestion, document, raw_name, semantic, status, updated_at from a0 where status = 'confirmed'")
 def _(spark, d):
     return T.alias_list(_aliases(spark, d), "confirmed")
+
+
+@register("d39_records_from_cells", "select c_custkey as doc_id, 2 as row_number, 'nation=' || cast(c_nationkey as string) || ',name=' || c_name || ',segment=' || c_mktsegment || case when c_custkey % 3 = 0 then '' else ',D=x' end as fields from customer where c_custkey % 3 <> 0")
+def _(spark, d):
+    c = view(spark, d, "customer")
+    head = F.lit("A1: nation | B1: the long name | C1: segment")
+    body = F.concat(F.lit("B1: name A2: "), "c_nationkey", F.lit(" | B2: old"))
+    rest = F.concat(F.lit("B2: "), "c_name", F.lit(" C2: "), "c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, " | D2: x | E2:").otherwise(""))
+    chunks = c.select(F.col("c_custkey").alias("doc_id"), F.posexplode(F.array(head, body, rest)).alias("chunk_index", "content"))
+    return T.records_from_cells(chunks).select("doc_id", "row_number", F.array_join("fields", ",").alias("fields"))
