@@ -9,7 +9,8 @@ n - ceil(t n) + 1 coordinates of either, since the minima of the others sum to l
 A page holds the points with one such coordinate. Then:
 
 1. Equal sets are one node, so that copies are never compared.
-2. Every point of a page is compared with the page's first point, and components are built from what links.
+2. Every point of a page is compared with the page's hub (the set whose n-grams are the most frequent, as an original
+   among its edited copies is), and components are built from what links.
 3. Pages that still hold several components are joined through an R-tree of their points, leaving out pairs of one
    component; large pages are split into blocks, and pairs of blocks are dealt out. Surviving pairs are verified on
    their sets, and components are built anew.
@@ -31,13 +32,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORDS, PERCENT = 4, 85
-#: Coarse groups of a point, and bits of the fine groups whose corpus counts order the coordinates.
-GROUPS, FINE_BITS, CHUNKS = 64, 20, 64
+#: A point has a power of two of groups, so that about MEAN n-grams share one; points of other lengths are folded.
+MEAN, LEAST_GROUPS, MOST_GROUPS = 2, 16, 1 << 16
+#: Bits of the fine groups whose corpus counts order the coordinates, and pieces in which the counts are summed.
+FINE_BITS, CHUNKS = 20, 64
 #: Points of a page that are joined in one piece, points of a box, and bits of the filter for documents to verify.
 BLOCK, LEAF, FILTER_BITS = 2048, 16, 24
 #: Bytes of text that are hashed at a time.
-STEP = 1 << 20
-FULL = np.uint16(65535)
+STEP = 1 << 18
+#: A coordinate that is too large for a byte: it stands for any number.
+FULL = 255
 #: Of the polynomials that hash words, modulo 2 ** 64.
 BASE = 0xC2B2AE3D27D4EB4F
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -119,7 +123,9 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, byte
 
 
 def fine_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
-    """Occurrences of n-grams in each fine group, over all documents: 2 ** FINE_BITS numbers, whatever the input."""
+    """Occurrences of n-grams in each fine group, over all documents: 2 ** FINE_BITS numbers, whatever the input.
+
+    A task hands on at most 65535 for a group; only the order of coordinates depends on the numbers."""
     width = (1 << FINE_BITS) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -128,12 +134,12 @@ def fine_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
             if len(h := shingles(data, words)):
                 np.add.at(total, h >> np.uint64(64 - FINE_BITS), 1)
         if total.any():
-            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([total[k * width : (k + 1) * width].astype(np.uint32).tobytes() for k in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([np.minimum(total[k * width : (k + 1) * width], 65535).astype(np.uint16).tobytes() for k in range(CHUNKS)], pa.binary())], ["chunk", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
         total = np.zeros(width, np.int64)
         for x in table.column("counts"):
-            total += np.frombuffer(x.as_buffer(), np.uint32)
+            total += np.frombuffer(x.as_buffer(), np.uint16)
         return pa.table({"chunk": table.column("chunk")[:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     parts = docs.select("doc_id", "text").mapInArrow(count, "chunk int, counts binary").groupBy("chunk").applyInArrow(add, "chunk int, counts binary")
@@ -144,9 +150,8 @@ def fine_counts(docs: DataFrame, words: int = WORDS) -> np.ndarray:
 
 
 def points(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n, node (a hash of the set), counts (the point) and pages (its leading coordinates) of each document.
-
-    Without words n is 0 and node null."""
+    """doc_id, n, node (a hash of the set), counts (the point), fame (how frequent its n-grams are) and pages (its leading
+    coordinates) of each document. Without words n is 0 and node null."""
     order = docs.sparkSession.sparkContext.broadcast(fine_counts(docs, words))
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,18 +159,18 @@ def points(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
         held: list[tuple] = []
 
         def out() -> pa.RecordBatch:
-            ids, n, node, point, pages = zip(*held, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()), pa.array(pages, pa.list_(pa.int64()))], ["doc_id", "n", "node", "counts", "pages"])
+            ids, n, node, point, fame, pages = zip(*held, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(ids, kind), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(point, pa.binary()), pa.array(fame, pa.int32()), pa.array(pages, pa.list_(pa.int64()))], ["doc_id", "n", "node", "counts", "fame", "pages"])
 
         for i, data in _texts(batches):
             h = np.unique(shingles(data, words))
             if len(h):
                 n = len(h)
-                first = np.lexsort((h, counts[h >> np.uint64(64 - FINE_BITS)]))[: n - -(-percent * n // 100) + 1]
-                point = np.minimum(np.bincount((h & np.uint64(GROUPS - 1)).astype(np.int64), minlength=GROUPS), FULL).astype(np.uint16)
-                held.append((i, n, node_of(h), point.tobytes(), h[first].view(np.int64)))
+                often = counts[h >> np.uint64(64 - FINE_BITS)]
+                first = np.lexsort((h, often))[: n - -(-percent * n // 100) + 1]
+                held.append((i, n, node_of(h), point_of(h), int(1000 * np.log1p(often).mean()), h[first].view(np.int64)))
             else:
-                held.append((i, 0, None, None, None))
+                held.append((i, 0, None, None, None, None))
             if len(held) == 500:
                 yield out()
                 held.clear()
@@ -174,7 +179,7 @@ def points(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataF
 
     kind = docs.select("doc_id").schema.fields[0].dataType
     name, kind = kind.simpleString(), _arrow(kind)
-    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {name}, n bigint, node bigint, counts binary, pages array<bigint>")
+    return docs.select("doc_id", "text").mapInArrow(make, f"doc_id {name}, n bigint, node bigint, counts binary, fame int, pages array<bigint>")
 
 
 def _arrow(kind):
@@ -183,6 +188,12 @@ def _arrow(kind):
     return to_arrow_type(kind)
 
 
+def point_of(h: np.ndarray) -> bytes:
+    """Group counts of a set, a byte each."""
+    groups = min(max(1 << (len(h) // MEAN).bit_length(), LEAST_GROUPS), MOST_GROUPS)
+    return np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8).tobytes()
+
+
 def node_of(h: np.ndarray) -> int:
     """A hash of a sorted set."""
     with np.errstate(over="ignore"):
@@ -192,20 +203,51 @@ def node_of(h: np.ndarray) -> int:
 # R-tree ----------------------------------------------------------------------------------------------------------------
 
 
+class Points:
+    """Points of some rows at every number of groups, folded as asked for."""
+
+    def __init__(self, counts: list[bytes]) -> None:
+        self.groups = np.array([len(c) for c in counts])
+        self.levels: dict[int, np.ndarray] = {}
+        self.counts = counts
+
+    def at(self, groups: int) -> np.ndarray:
+        """The points with that many groups, or more, which are folded; other rows are full."""
+        if groups not in self.levels:
+            out = np.full((len(self.counts), groups), FULL, np.uint8)
+            for g in np.unique(self.groups[self.groups >= groups]):
+                rows = np.flatnonzero(self.groups == g)
+                x = np.frombuffer(b"".join([self.counts[r] for r in rows]), np.uint8).reshape(len(rows), -1, groups)
+                out[rows] = np.where((x == FULL).any(axis=1), FULL, np.minimum(x.sum(axis=1, dtype=np.int32), FULL)).astype(np.uint8)
+            self.levels[groups] = out
+        return self.levels[groups]
+
+
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sums of coordinate minima; a full coordinate stands for any number."""
     low = np.minimum(a, b)
-    return np.where((low == FULL).any(axis=-1), np.iinfo(np.int64).max // 1000, low.sum(axis=-1, dtype=np.int64))
+    return np.where((low == FULL).any(axis=-1), 1 << 40, low.sum(axis=-1, dtype=np.int64))
 
 
-def tree_join(points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def allowed(x: np.ndarray, y: np.ndarray, one: Points, other: Points, n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs (x of one, y of other) reach the overlap that a link needs, at the finest groups that both have."""
+    groups = np.minimum(one.groups[x], other.groups[y])
+    ok = np.zeros(len(x), bool)
+    for g in np.unique(groups):
+        for at in np.array_split(rows := np.flatnonzero(groups == g), -(-len(rows) * int(g) // (1 << 20))):
+            ok[at] = (100 + percent) * overlap_bound(one.at(g)[x[at]], other.at(g)[y[at]]) >= percent * (n[x[at]] + m[y[at]])
+    return ok
+
+
+def tree_join(points: Points, sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs whose bound reaches the overlap that a link needs, found by joining the boxes of a packed R-tree.
 
     Points are sorted by size, then by their two widest coordinates, and packed into boxes; boxes are compared by the
     minima of their largest coordinates against what their smallest sets need, then the points in boxes that pass."""
-    wide = np.argsort(np.ptp(points.astype(np.int64), axis=0))[::-1][:2]
-    order = np.lexsort((points[:, wide[1]], points[:, wide[0]], sizes))
-    p, n = points[order], sizes[order]
+    coarse = points.at(int(points.groups.min()))
+    wide = np.argsort(np.ptp(coarse, axis=0))[::-1][:2]
+    order = np.lexsort((coarse[:, wide[1]], coarse[:, wide[0]], sizes))
+    p, n = coarse[order], sizes[order]
     heads = np.arange(0, len(p), LEAF)
     top, least, most = np.maximum.reduceat(p, heads), np.minimum.reduceat(n, heads), np.maximum.reduceat(n, heads)
     for k in range(len(heads)):
@@ -214,13 +256,12 @@ def tree_join(points: np.ndarray, sizes: np.ndarray, percent: int = PERCENT) ->
         near = np.arange(k, max(last, k + 1))
         near = near[(100 + percent) * overlap_bound(top[k], top[near]) >= percent * (least[k] + least[near])]
         a = np.arange(heads[k], min(heads[k] + LEAF, len(p)))
-        for j in near:
-            b = np.arange(heads[j], min(heads[j] + LEAF, len(p)))
-            x, y = np.meshgrid(a, b, indexing="ij")
-            keep = (x < y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-            x, y = x[keep], y[keep]
-            keep = (100 + percent) * overlap_bound(p[x], p[y]) >= percent * (n[x] + n[y])
-            yield order[x[keep]], order[y[keep]]
+        b = np.concatenate([np.arange(heads[j], min(heads[j] + LEAF, len(p))) for j in near] or [a[:0]])
+        x, y = (z.ravel() for z in np.meshgrid(a, b, indexing="ij"))
+        keep = (x < y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
+        x, y = order[x[keep]], order[y[keep]]
+        keep = allowed(x, y, points, points, sizes, sizes, percent)
+        yield x[keep], y[keep]
 
 
 def page_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -240,7 +281,7 @@ def page_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                 comp = cols["comp"][lo:hi]
                 if hi - lo < 2 or (comp == comp[0]).all():
                     continue
-                point = np.frombuffer(b"".join(counts[lo:hi].to_pylist()), np.uint16).reshape(-1, GROUPS)
+                point = Points(counts[lo:hi].to_pylist())
                 node, block, first = (cols[c][lo:hi] for c in ("node", "block", "first"))
                 for x, y in tree_join(point, cols["n"][lo:hi], percent):
                     ok = (comp[x] != comp[y]) & (node[x] != first[x]) & (node[y] != first[y])
@@ -251,7 +292,8 @@ def page_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
                         found_a.append(np.minimum(a, b))
                         found_b.append(np.maximum(a, b))
             if found_a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found_a)), pa.array(np.concatenate(found_b))], ["a", "b"])
+                found = np.unique(np.stack([np.concatenate(found_a), np.concatenate(found_b)], axis=1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
@@ -350,20 +392,17 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     shared = Shared(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     placed = shared.keep(points(docs, words, percent))
-    nodes = shared.keep(placed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("counts").alias("counts"), F.first("pages").alias("pages")))
-    entries = nodes.select(F.explode("pages").alias("page"), "node", "n")
-    firsts = entries.groupBy("page").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("first")).where("size > 1")
-    paged = shared.keep(entries.join(firsts, "page").select("page", "node", "n", "size", F.col("first.node").alias("first"), F.col("first.n").alias("first_n")))
+    nodes = shared.keep(placed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "counts", "fame", "pages")]))
+    paged = shared.keep(open_entries(nodes, percent))
 
-    fits = 100 * F.least("n", "first_n") >= percent * F.greatest("n", "first_n")
-    stars = paged.where(F.col("node") != F.col("first")).where(fits).select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    stars = paged.where("star").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     links = shared.keep(verified(docs, shared.keep(bounded(stars, nodes, percent)), nodes, shared, words, percent))
     comps = shared.keep(components(links, shared))
 
-    known = paged.join(comps, "node", "left").select("page", "node", "n", "size", "first", F.coalesce("comp", "node").alias("comp"))
+    known = paged.join(comps, "node", "left").select("page", "node", "n", "size", "first", "near", F.coalesce("comp", "node").alias("comp"))
     open_pages = known.groupBy("page").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("page")
     # a page of two has had its only pair compared
-    left = known.where("size > 2").join(open_pages, "page", "left_semi")
+    left = known.where("size > 2 and near").join(open_pages, "page", "left_semi")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = left.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("with", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("page", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "n", "comp", "first")
@@ -381,6 +420,21 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     return placed.select("doc_id", "n", "node").join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def open_entries(nodes: DataFrame, percent: int) -> DataFrame:
+    """page, node, n, size, first, star and near of the entries that some other entry of their page might link with.
+
+    first is the page's hub and size its number of entries; star marks entries that the hub's size allows a link with,
+    near those that the next smaller or larger entry's size does. Entries of neither kind can't link in this page."""
+    from pyspark.sql.window import Window
+
+    entries = nodes.select(F.explode("pages").alias("page"), "node", F.col("n").cast("int").alias("n"), "fame")
+    by_size, page = Window.partitionBy("page").orderBy("n"), Window.partitionBy("page")
+    fits = lambda a, b: F.coalesce(100 * F.least(a, b) >= percent * F.greatest(a, b), F.lit(False))
+    seen = entries.select("page", "node", "n", F.lag("n").over(by_size).alias("below"), F.lead("n").over(by_size).alias("above"), F.count("*").over(page).alias("size"), F.max(F.struct("fame", "node", "n")).over(page).alias("hub"))
+    marked = seen.where("size > 1").select("page", "node", "n", "size", F.col("hub.node").alias("first"), (fits(F.col("n"), F.col("hub.n")) & (F.col("node") != F.col("hub.node"))).alias("star"), (fits(F.col("n"), F.col("below")) | fits(F.col("n"), F.col("above"))).alias("near"))
+    return marked.where("star or near")
+
+
 def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose summed coordinate minima reach the overlap that a link needs."""
     of = nodes.select("node", "n", "counts")
@@ -389,8 +443,8 @@ def bounded(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint16).reshape(-1, GROUPS) for c in ("x", "y"))
-                ok = (100 + percent) * overlap_bound(x, y) >= percent * (t.column("na").to_numpy() + t.column("nb").to_numpy())
+                k = np.arange(t.num_rows)
+                ok = allowed(k, k, Points(t.column("x").to_pylist()), Points(t.column("y").to_pylist()), t.column("na").to_numpy(), t.column("nb").to_numpy(), percent)
                 yield t.select(["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(keep, "a bigint, b bigint")
