@@ -18,20 +18,25 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fresh, steps
 from .jaccard import Shared
 
 #: Chunks of the broadcast table at most.
-HOT = 1 << 18
-#: Different chunks that a task counts before it hands its counts on.
-HELD = 200_000
+HOT = 1 << 17
+#: Chunks whose edges a task groups in memory before it sorts.
+GROUPS = 60_000
+#: Counts from here on are alike to the choice of the broadcast chunks.
+RARE = 1 << 16
+#: Different chunks that a task counts before it hands counts on.
+HELD = 50_000
 BLANK = "▁"
 CHUNKS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
 
@@ -87,7 +92,7 @@ class Model:
 
 
 class _Memo(dict):
-    def __init__(self, make, most: int = 300_000) -> None:
+    def __init__(self, make, most: int = 150_000) -> None:
         super().__init__()
         self.make, self.most = make, most
 
@@ -111,16 +116,20 @@ def chunks_of(text: str | None) -> list[str]:
 def vocabulary(docs: DataFrame) -> DataFrame:
     """chunk and n: how often each different chunk occurs in all texts."""
 
+    def counted(held: Counter[str], chunks: list[str]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array([held.pop(c) for c in chunks], pa.int64())], ["chunk", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
-        for batch in steps(batches):
+        for batch in steps(batches, limit=1 << 20):
             for text in batch.column("text").to_pylist():
                 held.update(chunks_of(text))
             if len(held) > HELD:
-                yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["chunk", "n"])
-                held.clear()
+                # those seen once go first; frequent ones are handed on less often
+                once = [c for c, n in held.items() if n == 1]
+                yield counted(held, once if len(once) > HELD // 2 else list(held))
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held.keys(), pa.string()), pa.array(held.values(), pa.int64())], ["chunk", "n"])
+            yield counted(held, list(held))
 
     return docs.select("text").mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
 
@@ -141,9 +150,6 @@ def lattice(chunks: DataFrame, path: str) -> DataFrame:
     return found.select("chunk", "n", edge.alias("edge")).groupBy("chunk").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("edge")).alias("edges"))
 
 
-_EDGES = pa.list_(pa.struct([("end", pa.int32()), ("start", pa.int32()), ("id", pa.int32()), ("after", pa.list_(pa.int32()))]))
-
-
 def neighbours(edges: DataFrame, path: str) -> DataFrame:
     """The lattice with the edges that merging leaves alone, and for each the ids that it gets on with before it."""
 
@@ -155,10 +161,9 @@ def neighbours(edges: DataFrame, path: str) -> DataFrame:
             ends, starts, ids = (x.to_numpy().tolist() for x in flat.flatten().flatten())
             bounds = flat.offsets.to_numpy().tolist()
             base = bounds[0]
-            out = []
+            kept, kept_at, afters, after_at = [], [0], [], [0]
             for lo, hi in zip(bounds, bounds[1:], strict=False):
                 ending: dict[int, list[int]] = {}
-                kept = []
                 for e in range(lo - base, hi - base):
                     k, s = ids[e], starts[e]
                     if k >= 0 and not alone[pieces[k]]:
@@ -167,9 +172,15 @@ def neighbours(edges: DataFrame, path: str) -> DataFrame:
                     after = [a for a in before if a < 0 or k < 0 or fits[pieces[a], pieces[k]]]
                     if not s or after:
                         ending.setdefault(ends[e], []).append(k)
-                        kept.append({"end": ends[e], "start": s, "id": k, "after": after})
-                out.append(kept)
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), pa.array(out, _EDGES)], ["chunk", "n", "edges"])
+                        kept.append(e)
+                        afters += after
+                        after_at.append(len(afters))
+                kept_at.append(len(kept))
+            kept = np.array(kept, np.int64)
+            fields = [pa.array(np.array(x, np.int32)[kept] if len(kept) else [], pa.int32()) for x in (ends, starts, ids)]
+            before = pa.ListArray.from_arrays(pa.array(after_at, pa.int32()), pa.array(afters, pa.int32()))
+            edges_ = pa.ListArray.from_arrays(pa.array(kept_at, pa.int32()), pa.StructArray.from_arrays([*fields, before], ["end", "start", "id", "after"]))
+            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), edges_], ["chunk", "n", "edges"])
 
     return edges.mapInArrow(run, "chunk string, n bigint, edges array<struct<end:int,start:int,id:int,after:array<int>>>")
 
@@ -190,6 +201,17 @@ def best_path(edges: Column) -> Column:
     return F.element_at(F.transform(F.array(F.aggregate(edges, none, extend)), back), 1)
 
 
+@contextmanager
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def encode_chunks(docs: DataFrame, path: str) -> DataFrame:
     """chunk, n and ids of every different chunk of the texts."""
     return neighbours(lattice(vocabulary(docs), path), path).select("chunk", "n", best_path(F.col("edges")).alias("ids"))
@@ -202,11 +224,21 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     longer name where docs has one of that name. An empty table stays empty.
     """
     spark, shared = docs.sparkSession, Shared(docs.sparkSession)
-    encoded = shared.keep(encode_chunks(docs, path))
-    # a bounded number of rows comes to the driver; the join below has the others
-    top = encoded.orderBy(F.desc("n"), "chunk").limit(hot).select("chunk", "ids").collect()
-    codes = spark.sparkContext.broadcast({r["chunk"]: k for k, r in enumerate(top, 1)})
-    spelled = [np.array(model(path).spelled(r["ids"]), np.int32) for r in top]
+    # a chunk's edges follow one another, so a map of many chunks costs less than sorting all edges; beyond it they are sorted
+    # and small Arrow batches leave an executor's memory to that map
+    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
+        encoded = shared.keep(encode_chunks(docs, path))
+    # at most hot rows come to the driver; the join below has the others
+    least, total = RARE, 0
+    for r in encoded.groupBy(F.least("n", F.lit(RARE)).alias("n")).agg(F.count("*").alias("chunks")).orderBy(F.desc("n")).collect():
+        total += r["chunks"]
+        if total > hot:
+            break
+        least = r["n"]
+    top = encoded.where(F.col("n") >= least).select("chunk", "ids").limit(hot).toArrow() if total else pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    top = top.sort_by("chunk")
+    codes = spark.sparkContext.broadcast({c: k for k, c in enumerate(top.column("chunk").to_pylist(), 1)})
+    spelled = [np.array(model(path).spelled(x.as_py()), np.int32) for x in top.column("ids")]
     lengths = np.array([0, *map(len, spelled)], np.int64)
     flat = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(lengths)]), lengths, np.concatenate([np.zeros(0, np.int32), *spelled])))
     del top, spelled
@@ -217,7 +249,7 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = codes.value
-        for batch in steps(batches):
+        for batch in steps(batches, limit=1 << 20):
             lows, highs, others = [], [], []
             for text in batch.column("text").to_pylist():
                 chunks = chunks_of(text)
