@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import cache
 
@@ -189,9 +190,9 @@ def _arrow(kind):
 
 
 def point_of(h: np.ndarray) -> bytes:
-    """Group counts of a set, a byte each."""
+    """Group counts of a set, a byte each, packed: most are small, and rows with points are what grows fastest."""
     groups = min(max(1 << (len(h) // MEAN).bit_length(), LEAST_GROUPS), MOST_GROUPS)
-    return np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8).tobytes()
+    return zlib.compress(np.minimum(np.bincount((h & np.uint64(groups - 1)).astype(np.int64), minlength=groups), FULL).astype(np.uint8).tobytes(), 6)
 
 
 def node_of(h: np.ndarray) -> int:
@@ -207,9 +208,9 @@ class Points:
     """Points of some rows at every number of groups, folded as asked for."""
 
     def __init__(self, counts: list[bytes]) -> None:
-        self.groups = np.array([len(c) for c in counts])
+        self.counts = [zlib.decompress(c) for c in counts]
+        self.groups = np.array([len(c) for c in self.counts])
         self.levels: dict[int, np.ndarray] = {}
-        self.counts = counts
 
     def at(self, groups: int) -> np.ndarray:
         """The points with that many groups, or more, which are folded; other rows are full."""
