@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from copy import copy
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,17 +40,20 @@ FOLDED = re.compile("[" + "".join(LOOK_ALIKE) + "！-～]")
 INVISIBLE = re.compile("[­​-‍⁠﻿]+")
 #: Spelled digits.
 SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-#: Of these a spelled number must hold two.
-RARE = ("zero", "two", "three", "four", "five", "six", "seven", "eight", "nine")
 _DIGIT = "(?:" + "|".join(SPELLED) + ")"
 _AT = r"(?:\s*[\[({]\s*(?:at|@)\s*[\])}]\s*)"
 _DOT = r"(?:\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*)"
 NUMBER = re.compile(rf"\b(?:plus\s+)?{_DIGIT}(?:[\s,-]{{1,3}}(?:dot\s+)?{_DIGIT}){{3,}}\b", re.I)
+#: Runs that also hold numbers in digits; of these only runs with a word are rewritten.
+MIXED = re.compile(rf"\b(?:plus\s+)?(?:{_DIGIT}|[0-9]++)(?:(?:\.|[\s,-]{{1,3}}(?:dot\s+)?)(?:{_DIGIT}|[0-9]++))+\b", re.I)
+LETTER = re.compile("[a-z]", re.I)
 ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9_%+-]{{1,64}}){{0,8}}(?P<at>{_AT}|\sat\s|@)[A-Za-z0-9-]{{1,64}}(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9-]{{1,64}}){{1,8}}", re.I)
-#: Last parts of names that a bare `at` is believed with.
-TOP_LEVEL = frozenset("com org net edu gov info biz io co uk de fr es it nl eu us ca au in jp cn ru br ch at be se no dk fi pl pt".split())
+#: Words that follow `dot` in sentences and are no ending of any domain; a bare `at` is believed with other endings.
+NO_ENDING = frozenset("of on or and the an that which who where when with from for but then than into onto over under was were are has had".split())
+#: Every bracketed `at` or `dot` begins like this.
+BRACKET = re.compile(r"[\[({]\s*(?:at|@|dot|\.)", re.I)
 PARTS = re.compile(rf"(?P<at>{_AT}|\sat\s)|(?P<dot>{_DOT}|\sdot\s)", re.I)
-WORDS = re.compile(rf"plus\s+|{_DIGIT}|dot|[\s,-]+", re.I)
+WORDS = re.compile(rf"plus\s+|{_DIGIT}|dot|\.|[0-9]+|[\s,-]+", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -113,41 +117,48 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
     edits = []
     for m in ADDRESS.finditer(text):
         parts = list(PARTS.finditer(text, m.start(), m.end()))
-        # a bare word `at` counts only with a disguised dot and a known ending: "meet us at example.com" is no address
-        if parts and (m["at"].strip().lower() != "at" or any(p["dot"] for p in parts) and re.split(r"[\W_]+", m[0].strip("])} ").lower())[-1] in TOP_LEVEL):
+        # a bare word `at` counts only with a disguised dot and an ending of letters: "meet us at example.com" is no address
+        end = re.split(r"[\W_]+", m[0].lower())[-1]
+        if parts and (m["at"].strip().lower() != "at" or any(p["dot"] for p in parts) and len(end) > 1 and end.isalpha() and end not in NO_ENDING):
             edits += [(p.start(), p.end(), "@" if p["at"] else ".") for p in parts if not p["at"] or p.start() == m.start("at")]
     return edits
 
 
-def _number_edits(text: str) -> list[tuple[int, int, str]]:
+def _number_edits(text: str, pattern: re.Pattern = NUMBER) -> list[tuple[int, int, str]]:
     edits = []
-    for m in NUMBER.finditer(text):
-        new = "".join("+" if (w := x.lower())[:4] == "plus" else SPELLED.get(w, "." if w == "dot" else "") for x in WORDS.findall(m[0]))
-        if new.count(".") == 3 or sum(c.isdigit() for c in new) >= 9:
-            edits.append((m.start(), m.end(), new))
+    for m in pattern.finditer(text):
+        if LETTER.search(m[0]):
+            new = "".join("+" if (w := x.lower())[:4] == "plus" else SPELLED.get(w, "." if w in ("dot", ".") else w if w.isdigit() else "") for x in WORDS.findall(m[0]))
+            if new.count(".") == 3 or sum(c.isdigit() for c in new) >= 9:
+                edits.append((m.start(), m.end(), new))
     return edits
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
-    """Spans in the source of what only the rewritten text shows; those that overlap a known span of the kind are left."""
-    low = text.lower()
+    """Spans in the source of what only the rewritten text shows; those that overlap a known span of the kind are left.
+
+    Numbers are read twice: as runs of words alone, then with digits among them, as digits beside a run may be no part of it."""
     strange = not text.isascii() and bool(FOLDED.search(text) or INVISIBLE.search(text))
-    worded = any(x in low for x in ("dot", "[.", "(.", "{.", "[at", "(at", "{at", "[ at", "( at", "{ at", "[@", "(@", "{@"))
-    spelled = sum(x in low for x in RARE) > 1 and bool(NUMBER.search(text))
-    if not (strange or worded or spelled):
+    worded = "dot" in text.lower() or bool(BRACKET.search(text))
+    if not (strange or worded or _number_edits(text, MIXED) or _number_edits(text)):
         return []
-    new = Rewritten(text)
+    base = Rewritten(text)
     if strange:
-        new.rewrite([(m.start(), m.end(), "") for m in INVISIBLE.finditer(new.text)])
-        new.fold()
-    new.rewrite(_number_edits(new.text))
-    new.rewrite(_address_edits(new.text))
-    found = []
-    for a, b, kind in plain(new.text):
-        if any(new.changed[a:b]):
-            start, end = new.starts[a], new.ends[b - 1]
-            if not any(k == kind and s < end and start < e for s, e, k in known):
-                found.append((start, end, kind))
+        base.rewrite([(m.start(), m.end(), "") for m in INVISIBLE.finditer(base.text)])
+        base.fold()
+    words, mixed = _number_edits(base.text), _number_edits(base.text, MIXED)
+    found: list[Span] = []
+    for edits in [words] if words == mixed else [words, mixed]:
+        new = copy(base)
+        new.rewrite(edits)
+        new.rewrite(_address_edits(new.text))
+        more = []
+        for a, b, kind in plain(new.text):
+            if any(new.changed[a:b]):
+                start, end = new.starts[a], new.ends[b - 1]
+                if not any(k == kind and s < end and start < e for s, e, k in [*known, *found]):
+                    more.append((start, end, kind))
+        found += more
     return found
 
 
