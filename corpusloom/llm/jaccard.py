@@ -15,8 +15,9 @@ A page holds the points with one such coordinate. Then:
    component; large pages are split into blocks, and pairs of blocks are dealt out. Surviving pairs are verified on
    their sets, and components are built anew.
 
-Every pair of linked nodes is thus either verified or already inside one component. Tables used more than once are
-written to the shared checkpoint folder.
+Every pair of linked nodes is thus either verified or already inside one component. Where links are counted, all pairs
+inside each component are compared, as a link never leaves one. Tables used more than once are written to the shared
+checkpoint folder.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MEAN, LEAST_GROUPS, MOST_GROUPS = 2, 16, 1 << 16
 FINE_BITS, CHUNKS = 20, 64
 #: Points of a page that are joined in one piece, points of a box, and bits of the filter for documents to verify.
 BLOCK, LEAF, FILTER_BITS = 2048, 16, 24
+#: Of sets whose links are counted in one piece, the n-grams, and those that a matrix has at a time.
+GRAMS, WIDTH = 1 << 20, 4096
 #: Bytes of text that are hashed at a time.
 STEP = 1 << 18
 #: A coordinate that is too large for a byte: it stands for any number.
@@ -382,23 +385,74 @@ def components(edges: DataFrame, shared: Shared) -> DataFrame:
         before = now
 
 
-def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def overlaps(rows: np.ndarray, grams: np.ndarray, split: int, n: int) -> np.ndarray:
+    """Sizes of the intersections of sets 0 to split with sets split to n, or of all n with each other if split is n.
+
+    rows and grams: a set's number and one of its n-grams."""
+    _, column, often = np.unique(grams, return_inverse=True, return_counts=True)
+    number = np.cumsum(often > 1) - 1  # n-grams of one set alone meet no other
+    rows, column = rows[often[column] > 1], number[column[often[column] > 1]]
+    order = np.argsort(column, kind="stable")
+    rows, column = rows[order], column[order]
+    out = np.zeros((split, n - split if split < n else n), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, WIDTH):
+        a, b = np.searchsorted(column, (lo, lo + WIDTH))
+        x = np.zeros((n, WIDTH), np.float32)
+        x[rows[a:b], column[a:b] - lo] = 1
+        out += (x[:split] @ (x[split:] if split < n else x).T).astype(np.int64)
+    return out
+
+
+def link_counts(docs: DataFrame, labels: DataFrame, shared: Shared, words: int, percent: int) -> DataFrame:
+    """node and links, the number of rows whose different sets it links with, for the nodes of components of several.
+
+    labels: node, doc_id, n, copies (rows of the set) and comp. A component's sets are dealt into blocks, and each pair
+    of blocks is compared in one place, so that every pair of sets is compared once."""
+    large = labels.groupBy("comp").agg(F.count("*").alias("nodes"), F.sum("n").alias("grams")).where("nodes > 1")
+    blocks = large.select("comp", F.greatest(F.ceil(F.col("nodes") / BLOCK), F.ceil(F.col("grams") / GRAMS)).cast("int").alias("blocks"))
+    members = shared.keep(labels.join(blocks, "comp").select("node", "doc_id", "copies", "comp", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")))
+    sets = shared.keep(node_sets(docs, members.select("node", "doc_id"), words))
+    dealt = members.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("comp", F.least("block", "with").alias("i"), F.greatest("block", "with").alias("j"), "block", "node", "copies").join(sets, "node")
+
+    def count(t: pa.Table) -> pa.Table:
+        block = t.column("block").to_numpy()
+        t = t.take(pa.array(np.argsort(block, kind="stable")))
+        node, copies, grams = t.column("node").to_numpy(), t.column("copies").to_numpy(), t.column("grams").combine_chunks()
+        sizes = np.asarray(grams.value_lengths()).astype(np.int64)
+        own = t.column("i")[0].as_py() == t.column("j")[0].as_py()
+        split = len(node) if own else int((block == t.column("i")[0].as_py()).sum())
+        other = slice(0, None) if own else slice(split, None)
+        same = overlaps(np.repeat(np.arange(len(node)), sizes), grams.flatten().to_numpy(), split, len(node)) if own or 0 < split < len(node) else np.zeros((split, len(node) - split), np.int64)
+        link = 100 * same >= percent * (sizes[:split, None] + sizes[None, other] - same)
+        if own:
+            np.fill_diagonal(link, False)
+            links = link @ copies
+        else:
+            links = np.concatenate([link @ copies[other], link.T @ copies[:split]])
+        return pa.table({"node": pa.array(node, pa.int64()), "links": pa.array(links.astype(np.int64), pa.int64())})
+
+    return dealt.groupBy("comp", "i", "j").applyInArrow(count, "node bigint, links bigint").groupBy("node").agg(F.sum("links").alias("links"))
+
+
+def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT, links: bool = True) -> DataFrame:
     """doc_id, n_shingles, n_links and component_id (the least doc_id reachable by links, its own included) of each row.
 
-    Two documents link when 100 * intersection >= percent * union of their sets; n_links counts the verified links of
-    the row's set to other sets, which suffice to connect the component. Null text and text without words have no set,
-    and their component is their own doc_id. Rows of equal sets are linked. A null doc_id counts only if its whole
-    component has no other. Columns besides doc_id and text aren't read. An empty table gives no rows.
+    Two documents link when 100 * intersection >= percent * union of their sets; n_links counts the other rows that the
+    row links with, and is left out without links, as counting compares all pairs of a component. Null text and text
+    without words have no set and no links, and their component is their own doc_id. Rows of equal sets are linked. A
+    null doc_id counts only if its whole component has no other. Columns besides doc_id and text aren't read. An empty
+    table gives no rows.
     """
     shared = Shared(docs.sparkSession)
     docs = docs.select("doc_id", "text")
     placed = shared.keep(points(docs, words, percent))
-    nodes = shared.keep(placed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.first(c).alias(c) for c in ("n", "counts", "fame", "pages")]))
+    nodes = shared.keep(placed.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n", "counts", "fame", "pages")]))
     paged = shared.keep(open_entries(nodes, percent))
 
     stars = paged.where("star").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = shared.keep(verified(docs, shared.keep(bounded(stars, nodes, percent)), nodes, shared, words, percent))
-    comps = shared.keep(components(links, shared))
+    edges = shared.keep(verified(docs, shared.keep(bounded(stars, nodes, percent)), nodes, shared, words, percent))
+    comps = shared.keep(components(edges, shared))
 
     known = paged.join(comps, "node", "left").select("page", "node", "n", "size", "first", "near", F.coalesce("comp", "node").alias("comp"))
     open_pages = known.groupBy("page").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("page")
@@ -411,14 +465,17 @@ def classes(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> Data
     rows = dealt.repartition("page", "i", "j").sortWithinPartitions("page", "i", "j")
     pairs = shared.keep(page_pairs(rows, percent).distinct())
     more = shared.keep(verified(docs, pairs, nodes, shared, words, percent))
-    links = links.unionByName(more)
-    comps = components(links, shared)
+    comps = components(edges.unionByName(more), shared)
 
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
-    labels = nodes.select("node", "doc_id").join(comps, "node", "left").select("node", "doc_id", F.coalesce("comp", "node").alias("comp"))
+    labels = nodes.select("node", "doc_id", "n", "copies").join(comps, "node", "left").select("node", "doc_id", "n", "copies", F.coalesce("comp", "node").alias("comp"))
+    labels = shared.keep(labels) if links else labels
     least = labels.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
-    of_node = labels.join(least, "comp").join(degree, "node", "left").select("node", "component_id", "links")
-    return placed.select("doc_id", "n", "node").join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("links", F.lit(0)).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_node = labels.join(least, "comp").select("node", "component_id", "copies")
+    counted = []
+    if links:
+        of_node = of_node.join(link_counts(docs, labels, shared, words, percent), "node", "left")
+        counted = [F.coalesce(F.col("copies") - 1 + F.coalesce("links", F.lit(0)), F.lit(0)).alias("n_links")]
+    return placed.select("doc_id", "n", "node").join(of_node, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), *counted, F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def open_entries(nodes: DataFrame, percent: int) -> DataFrame:
@@ -457,7 +514,7 @@ def one_of_each(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) ->
     Where rows share that doc_id, one with the least text stays; rows without words, or with a null doc_id, all stay."""
     from pyspark.sql.window import Window
 
-    first = classes(docs, words, percent).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "kept")
+    first = classes(docs, words, percent, links=False).where("doc_id = component_id").select("doc_id").distinct().withColumnRenamed("doc_id", "kept")
     kept = docs.join(first, F.col("doc_id") == F.col("kept"), "left_semi")
     numbered = kept.withColumn("kept", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     return numbered.where("kept = 1").select(*docs.columns).unionByName(docs.where("doc_id is null"))

@@ -74,7 +74,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str, limit: int = 2048) -> Dat
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
+    return jaccard.classes(read(spark, sf_dir, "documents"), links=False).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

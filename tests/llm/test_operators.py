@@ -330,6 +330,20 @@ def test_large_pages_are_joined_in_blocks(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == slow_classes(texts)
 
 
+def test_links_inside_components_are_counted(spark, monkeypatch):
+    common = [f"c{k}" for k in range(300)]
+    texts = [" ".join([*common, f"u{j}"]) for j in range(30)] + [" ".join(common[: 300 - 9 * j]) for j in range(12)] + [" ".join([*common, "u3"])] * 3 + ["a b c", "A b C", "d", None, ""]
+    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (t or "").lower().split()) else set() for t in texts]
+    link = lambda x, y: bool(x) and 100 * len(x & y) >= 85 * len(x | y)
+    expected = {a: sum(link(x, y) for b, y in enumerate(sets) if a != b) for a, x in enumerate(sets)}
+    assert expected[0] > 29 and len(set(expected.values())) > 4
+    for grams, width in ((1 << 20, 4096), (1500, 50)):
+        monkeypatch.setattr(jaccard, "GRAMS", grams, raising=False)
+        monkeypatch.setattr(jaccard, "WIDTH", width, raising=False)
+        found = jaccard.classes(table(spark, texts)).collect()
+        assert {r["doc_id"]: r["n_links"] for r in found} == expected
+
+
 def test_join_on_odd_rows(spark, odd):
     found = jaccard.classes(odd).collect()
     assert len(found) == len(ODD) + 2
