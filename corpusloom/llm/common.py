@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -49,3 +51,30 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+class Shared:
+    """Tables written to a folder that all executors share, for results that are read more than once.
+
+    The folder is the session's spark.checkpoint.dir. Where that is unset a local session takes a temporary folder, and
+    a cluster is an error, as its machines share none."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+        if not root and not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        self.spark, self.root = spark, f"{root or tempfile.mkdtemp(prefix='corpusloom-')}/kept-{uuid.uuid4().hex}"
+        self.paths: dict[int, tuple[DataFrame, str]] = {}
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        path = f"{self.root}/{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        kept = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[id(kept)] = kept, path
+        return kept
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes kept tables that nothing will read again."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(id(df))[1])
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -22,17 +22,17 @@ checkpoint folder.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 import zlib
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Shared
+
 WORDS, PERCENT = 4, 85
 #: A point has a power of two of groups, so that about MEAN n-grams share one; points of other lengths are folded.
 MEAN, LEAST_GROUPS, MOST_GROUPS = 2, 16, 1 << 16
@@ -107,19 +107,6 @@ def shingles(data: bytes, words: int = WORDS) -> np.ndarray:
 # tables ----------------------------------------------------------------------------------------------------------------
 
 
-class Shared:
-    """Tables written to a folder that all executors share, for results that are read more than once."""
-
-    def __init__(self, spark: SparkSession) -> None:
-        root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="corpusloom-")
-        self.spark, self.root = spark, f"{root}/jaccard-{uuid.uuid4().hex}"
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{uuid.uuid4().hex}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, bytes]]:
     for batch in batches:
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -1,44 +1,54 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into chunks that no piece crosses (a run of blanks and what follows, or a line break). The different
-chunks of the corpus are encoded once: their substrings of bounded length are exploded and equi-joined to the piece
-table, the edges are grouped by chunk, and a Spark higher-order fold walks the lattice from left to right.
+Texts are cut into units that no piece crosses: blanks and what follows them, and within that runs of characters that
+occur beside each other in pieces (letters, or signs). The different units of the corpus are encoded once: their
+substrings of bounded length are exploded and equi-joined to the piece table, the edges are grouped by unit, and a Spark
+higher-order fold walks the lattice from left to right and keeps one edge for each position.
 
-The model at hand merges pairs by rank, and the path of the largest summed score is not what merging gives. The fold
-therefore keeps, for each position, the edge whose predecessor it gets on with: two neighbours get on when merging their
-characters gives just these two pieces. Of all paths only the merged one has no others beside it, so a position has one
-such edge, and the result equals merging.
+The model at hand merges pairs by rank, and the path of the largest summed score is not what merging gives. Edges
+therefore carry the pieces that they get on with before them: two neighbours get on when merging their characters gives
+just these two pieces. Of all paths only the merged one has no others beside it, so a position has one such edge, and
+the result equals merging.
 
-Documents are then put together from chunks: the most frequent ones (a bounded number) from a broadcast table, all
+Documents are then put together from units: the most frequent ones (a bounded number) from a broadcast table, all
 others by a join.
 """
 
 from __future__ import annotations
 
+import codecs
 import re
 from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, steps
-from .jaccard import Shared
+from .common import Shared, fresh, let, steps
 
-#: Chunks of the broadcast table at most.
-HOT = 1 << 17
-#: Chunks whose edges a task groups in memory before it sorts.
-GROUPS = 60_000
-#: Counts from here on are alike to the choice of the broadcast chunks.
+#: Units of the broadcast table at most.
+HOT = 1 << 18
+#: Counts from here on are alike, in steps of a sixteenth of a doubling, to the choice of the broadcast units.
 RARE = 1 << 16
-#: Different chunks that a task counts before it hands counts on.
-HELD = 50_000
+#: Different parts of texts that a task counts before it hands counts on, and that it remembers the codes of.
+HELD = 200_000
+#: Characters of a unit that one row of the lattice holds; longer units take several rows.
+LONG = 64
+#: Edges, and positions, that the fold takes at a time, so that its state stays small in units of any length.
+BLOCK = 128
+#: Text that a task cuts at a time.
+STEP = 1 << 20
 BLANK = "▁"
-CHUNKS = re.compile("\n|▁+[^▁\n]*|[^▁\n]+")
+#: A run of blanks and what follows, where blanks were written as such or stand beside each other.
+RUNS = re.compile("▁+[^▁]*")
+#: Every byte that is no part of UTF-8 gives a U+FFFD of its own.
+codecs.register_error("each", lambda e: ("\ufffd" * (e.end - e.start), e.end))
 
 
 class Model:
@@ -53,11 +63,26 @@ class Model:
         self.of_byte = {k: b for b, k in self.bytes.items()}
         plain = [k for k in range(len(self.pieces)) if not (model.is_byte(k) or model.is_control(k) or model.is_unknown(k))]
         self.rank = {self.pieces[k]: (-model.get_score(k), k) for k in plain}
-        if any(BLANK in p.lstrip(BLANK) or "\n" in p for p in self.rank):
-            raise ValueError("the model has pieces that cross chunks")
         self.longest = max(map(len, self.rank))
+        self.units = self.unit_pattern()
         self.alone = _Memo(lambda p: self.merge([*p]) == [p])
-        self.fits = _Memo(lambda ab: self.merge([*ab[0], *ab[1]]) == [*ab])
+        self.fits = _Memo(lambda ab: self.merge([*self.pieces[ab >> 32], *self.pieces[ab & 0xFFFFFFFF]]) == [self.pieces[ab >> 32], self.pieces[ab & 0xFFFFFFFF]])
+        self.said = self._said()
+        self.partial = np.array([k in self.of_byte and self.of_byte[k] > 127 for k in range(len(self.pieces))])
+
+    def unit_pattern(self) -> re.Pattern:
+        """Matches units: characters that are beside each other in some piece form a class, and no piece leaves a class."""
+        if any(BLANK in p.lstrip(BLANK) or "\n" in p or len(p) > 1 and not self.rank.keys() >= {*p} for p in self.rank):
+            raise ValueError("the model has pieces that cross units")
+        of: dict[str, set[str]] = {}
+        for p in self.rank:
+            if len(p) > 1 and (core := p.lstrip(BLANK)):
+                for other in [of.setdefault(c, {c}) for c in core]:
+                    if other is not (own := of[core[0]]):
+                        own |= other
+                        of.update(dict.fromkeys(other, own))
+        classes = sorted({id(s): sorted(s) for s in of.values()}.values(), key=lambda s: (-len(s), s))
+        return re.compile("|".join([*("▁*[" + "".join(map(re.escape, s)) + "]+" for s in classes), "▁+", "[\\s\\S]"]))
 
     def merge(self, parts: list[str]) -> list[str]:
         """What merging makes of the characters of one or two pieces."""
@@ -68,31 +93,36 @@ class Model:
             parts = [*parts[: best[1]], parts[best[1]] + parts[best[1] + 1], *parts[best[1] + 2 :]]
         return parts
 
-    def spelled(self, ids: list[int]) -> list[int]:
-        """Ids with characters that no piece holds (below zero) as the ids of their bytes."""
-        if min(ids) >= 0:
-            return ids
-        return [y for x in ids for y in ([x] if x >= 0 else [self.bytes[b] for b in chr(-x - 1).encode()])]
-
-    def text(self, ids: list[int]) -> str:
-        """The text that ids stand for; control ids stand for nothing, and bytes that are no UTF-8 for U+FFFD."""
-        out, run = [], bytearray()
-        for k in ids:
-            if k in self.of_byte:
-                run.append(self.of_byte[k])
-                continue
-            if run:
-                out.append(run.decode(errors="replace"))
+    def units_of(self, part: str) -> list[str]:
+        """Units of a blank and a part of a text."""
+        return self.units.findall(BLANK + part)
+
+    def single(self, unit: str) -> list[int]:
+        """Ids of one character: its piece, or the pieces of its bytes."""
+        return [self.rank[unit][1]] if unit in self.rank else [self.bytes[b] for b in unit.encode()]
+
+    def _said(self) -> list[str]:
+        """What each id stands for beside others; a byte above 127 says nothing alone, and a control id nothing at all."""
+        return [chr(self.of_byte[k]) if self.of_byte.get(k, 128) < 128 else p.replace(BLANK, " ") if p in self.rank else "" for k, p in enumerate(self.pieces)]
+
+    def text(self, ids: np.ndarray) -> str:
+        """The text that ids stand for; bytes that are no UTF-8 stand for U+FFFD."""
+        if self.partial[ids].any():
+            out, run = [], bytearray()
+            for k in ids.tolist():
+                if k in self.of_byte:
+                    run.append(self.of_byte[k])
+                    continue
+                out += (run.decode(errors="each"), self.said[k])
                 run.clear()
-            if self.pieces[k] in self.rank:
-                out.append(self.pieces[k])
-        out.append(run.decode(errors="replace"))
-        text = "".join(out).replace(BLANK, " ")
+            text = "".join([*out, run.decode(errors="each")])
+        else:
+            text = "".join(map(self.said.__getitem__, ids.tolist()))
         return text[1:] if text.startswith(" ") else text
 
 
 class _Memo(dict):
-    def __init__(self, make, most: int = 150_000) -> None:
+    def __init__(self, make, most: int = HELD) -> None:
         super().__init__()
         self.make, self.most = make, most
 
@@ -109,96 +139,131 @@ def model(path: str) -> Model:
     return Model(path)
 
 
-def chunks_of(text: str | None) -> list[str]:
-    return CHUNKS.findall(BLANK + text.replace(" ", BLANK)) if text else []
+def parts_of(text: str | None) -> list[str]:
+    """The text between blanks; where blanks follow each other, all but the first belong to what follows."""
+    if not text:
+        return []
+    if text[0] == " " or "  " in text or BLANK in text:
+        return [run[1:] for run in RUNS.findall(BLANK + text.replace(" ", BLANK))]
+    return text.split(" ")
 
 
-def vocabulary(docs: DataFrame) -> DataFrame:
-    """chunk and n: how often each different chunk occurs in all texts."""
+def vocabulary(docs: DataFrame, path: str) -> DataFrame:
+    """unit and n: how often each different unit of two characters or more occurs in all texts."""
 
-    def counted(held: Counter[str], chunks: list[str]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(chunks, pa.string()), pa.array([held.pop(c) for c in chunks], pa.int64())], ["chunk", "n"])
+    def counted(held: Counter[str]) -> pa.RecordBatch:
+        units_of, units = model(path).units_of, Counter()
+        for part, n in held.items():
+            for u in units_of(part):
+                if len(u) > 1:
+                    units[u] += n
+        return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[str] = Counter()
-        for batch in steps(batches, limit=1 << 20):
+        for batch in steps(batches, limit=STEP):
             for text in batch.column("text").to_pylist():
-                held.update(chunks_of(text))
+                held.update(parts_of(text))
             if len(held) > HELD:
-                # those seen once go first; frequent ones are handed on less often
-                once = [c for c, n in held.items() if n == 1]
-                yield counted(held, once if len(once) > HELD // 2 else list(held))
+                yield counted(held)
+                held.clear()
         if held:
-            yield counted(held, list(held))
+            yield counted(held)
 
-    return docs.select("text").mapInArrow(count, "chunk string, n bigint").groupBy("chunk").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def lattice(chunks: DataFrame, path: str) -> DataFrame:
-    """chunk, n and edges (end, start, id) sorted by end and start; a character that no piece holds has an id below zero."""
+def whole_units(units: DataFrame) -> DataFrame:
+    """key, n, base, text and starts of short units: the unit itself, with edges from each of its characters."""
+    short = units.where(F.char_length("unit") <= LONG).repartition("unit")
+    return short.select(F.col("unit").alias("key"), "n", F.lit(0).alias("base"), F.col("unit").alias("text"), F.char_length("unit").alias("starts"))
+
+
+def cut_units(units: DataFrame, longest: int) -> DataFrame:
+    """The same of long units, in rows of LONG characters and what a piece may take beyond; key is a hash of the unit."""
+    rows = units.select(F.sha2("unit", 256).alias("key"), "n", "unit", F.explode(F.sequence(F.lit(0), F.char_length("unit") - 1, F.lit(LONG))).alias("base"))
+    return rows.select("key", "n", "base", F.substring("unit", F.col("base") + 1, F.lit(LONG + longest - 1)).alias("text"), F.least(F.lit(LONG), F.char_length("unit") - F.col("base")).alias("starts"))
+
+
+def lattice(units: DataFrame, path: str) -> DataFrame:
+    """key, n and edges, sorted by end and start: numbers that hold end, length and id (see neighbours)."""
     m = model(path)
-    pieces = chunks.sparkSession.createDataFrame([(p, k) for p, (_, k) in m.rank.items()], "piece string, id int")
-    size = F.char_length("chunk")
-    spots = chunks.withColumn("start", F.explode(F.sequence(F.lit(1), size)))
-    spots = spots.withColumn("length", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), size - F.col("start") + 1))))
-    spots = spots.withColumn("piece", F.substring(F.col("chunk"), F.col("start"), F.col("length")))
-    # the piece table is as large as the model, whatever the corpus
-    found = spots.join(F.broadcast(pieces), "piece", "left").where("id is not null or length = 1")
-    # edges of unknown characters stay in the join's output, as a single code point below zero
-    key = F.coalesce("id", -F.conv(F.hex(F.encode("piece", "UTF-32")), 16, 10).cast("int") - 1)
-    edge = F.struct((F.col("start") + F.col("length") - 1).alias("end"), (F.col("start") - 1).alias("start"), key.alias("id"))
-    return found.select("chunk", "n", edge.alias("edge")).groupBy("chunk").agg(F.first("n").alias("n"), F.array_sort(F.collect_list("edge")).alias("edges"))
+    # the piece table is as large as the model, whatever the corpus; a piece that merging takes apart is never an edge
+    pieces = units.sparkSession.createDataFrame([(p, k) for p, (_, k) in m.rank.items() if m.alone[p]], "piece string, id int")
+    spots = units.select("*", F.explode(F.sequence(F.lit(1), F.col("starts"))).alias("start"))
+    spots = spots.select("*", F.explode(F.sequence(F.lit(1), F.least(F.lit(m.longest), F.char_length("text") - F.col("start") + 1))).alias("length"))
+    spots = spots.select("key", "n", (F.col("base") + F.col("start") + F.col("length") - 1).alias("end"), "length", F.substring("text", F.col("start"), F.col("length")).alias("piece"))
+    found = spots.join(F.broadcast(pieces), "piece")
+    edge = F.shiftleft(F.col("end").cast("long"), 32) + F.shiftleft(F.lit(255) - F.col("length"), 20) + F.col("id")
+    return found.select("key", "n", edge.alias("edge")).groupBy("key").agg(F.first("n").alias("n"), F.sort_array(F.collect_list("edge")).alias("edges"))
 
 
 def neighbours(edges: DataFrame, path: str) -> DataFrame:
-    """The lattice with the edges that merging leaves alone, and for each the ids that it gets on with before it."""
+    """The lattice with edges as end, start, id and after: the ids of the edges that end at start and get on with it.
+
+    A unit's edges are cut into blocks, as an array within an array costs no more to reach when there are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = model(path)
-        pieces, alone, fits = m.pieces, m.alone, m.fits
+        fits = model(path).fits
         for batch in batches:
             flat = batch.column("edges")
-            ends, starts, ids = (x.to_numpy().tolist() for x in flat.flatten().flatten())
-            bounds = flat.offsets.to_numpy().tolist()
-            base = bounds[0]
-            kept, kept_at, afters, after_at = [], [0], [], [0]
-            for lo, hi in zip(bounds, bounds[1:], strict=False):
-                ending: dict[int, list[int]] = {}
-                for e in range(lo - base, hi - base):
-                    k, s = ids[e], starts[e]
-                    if k >= 0 and not alone[pieces[k]]:
-                        continue
-                    before = ending.get(s, ())
-                    after = [a for a in before if a < 0 or k < 0 or fits[pieces[a], pieces[k]]]
-                    if not s or after:
-                        ending.setdefault(ends[e], []).append(k)
-                        kept.append(e)
-                        afters += after
-                        after_at.append(len(afters))
-                kept_at.append(len(kept))
-            kept = np.array(kept, np.int64)
-            fields = [pa.array(np.array(x, np.int32)[kept] if len(kept) else [], pa.int32()) for x in (ends, starts, ids)]
-            before = pa.ListArray.from_arrays(pa.array(after_at, pa.int32()), pa.array(afters, pa.int32()))
-            edges_ = pa.ListArray.from_arrays(pa.array(kept_at, pa.int32()), pa.StructArray.from_arrays([*fields, before], ["end", "start", "id", "after"]))
-            yield pa.RecordBatch.from_arrays([batch.column("chunk"), batch.column("n"), edges_], ["chunk", "n", "edges"])
-
-    return edges.mapInArrow(run, "chunk string, n bigint, edges array<struct<end:int,start:int,id:int,after:array<int>>>")
-
-
-def best_path(edges: Column) -> Column:
-    """Ids along the path of the lattice: a fold from left to right keeps one edge a position, another walks back."""
-    none = F.expr("cast(array() as array<struct<start:int,id:int>>)")
-
-    def extend(path: Column, e: Column) -> Column:
-        fits = (e["start"] == 0) | F.array_contains(e["after"], F.get(path, e["start"] - 1)["id"])
-        return F.when((F.size(path) < e["end"]) & fits, F.concat(path, F.array(F.struct(e["start"].alias("start"), e["id"].alias("id"))))).otherwise(path)
-
-    def back(path: Column) -> Column:
-        start = F.struct(F.size(path).alias("at"), F.expr("cast(array() as array<int>)").alias("ids"))
-        step = lambda s, k: F.when(s["at"] == k, F.struct(F.get(path, k - 1)["start"].alias("at"), F.concat(F.array(F.get(path, k - 1)["id"]), s["ids"]).alias("ids"))).otherwise(s)
-        return F.aggregate(F.sequence(F.size(path), F.lit(1)), start, step, lambda s: s["ids"])
-
-    return F.element_at(F.transform(F.array(F.aggregate(edges, none, extend)), back), 1)
+            x, bounds = flat.flatten().to_numpy(), flat.offsets.to_numpy()
+            end = x >> 32
+            start, ids = end - (255 - ((x >> 20) & 255)), x & 0xFFFFF
+            unit = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            # edges are sorted by unit and end, so those that end at a place follow each other
+            ends, starts = unit << 32 | end, unit << 32 | start
+            lo, hi = np.searchsorted(ends, starts), np.searchsorted(ends, starts, side="right")
+            n = hi - lo
+            later = np.repeat(np.arange(len(x)), n)
+            first = np.arange(len(later)) - np.repeat(np.cumsum(n) - n - lo, n)
+            pairs, which = np.unique(ids[first] << 32 | ids[later], return_inverse=True)
+            ok = np.fromiter(map(fits.__getitem__, pairs.tolist()), bool, len(pairs))[which]
+            at = np.concatenate([[0], np.cumsum(np.bincount(later[ok], minlength=len(x)))])
+            after = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[first[ok]], pa.int32()))
+            fields = [pa.array(a, pa.int32()) for a in (end, start, ids)]
+            edges_ = pa.StructArray.from_arrays([*fields, after], ["end", "start", "id", "after"])
+            many = -(-np.diff(bounds) // BLOCK)
+            block = np.concatenate([[0], np.cumsum(many)])
+            cuts = np.repeat(bounds[:-1] - bounds[0], many) + BLOCK * (np.arange(block[-1]) - np.repeat(block[:-1], many))
+            blocks = pa.ListArray.from_arrays(pa.array([*cuts, len(x)], pa.int32()), edges_)
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.ListArray.from_arrays(pa.array(block, pa.int32()), blocks)], ["key", "n", "edges"])
+
+    return edges.mapInArrow(run, "key string, n bigint, edges array<array<struct<end:int,start:int,id:int,after:array<int>>>>")
+
+
+def best_path(edges: Column, longest: int) -> Column:
+    """Ids along the path of the lattice: a fold from left to right keeps one edge a position, another walks back.
+
+    A kept edge is a number of start and id. Spark copies a fold's state at every step; both folds therefore go in
+    blocks, whose state is small, and hand on what is settled block by block."""
+    none, nones = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<array<bigint>>)")
+
+    def forward(s: Column, block: Column) -> Column:
+        def extend(kept: Column, e: Column) -> Column:
+            before = F.get(kept, e["start"] - 1 - s["base"]).bitwiseAND(0xFFFFF).cast("int")
+            fits = (e["start"] == 0) | F.array_contains(e["after"], before)
+            return F.when((s["base"] + F.size(kept) < e["end"]) & fits, F.concat(kept, F.array(F.shiftleft(e["start"].cast("long"), 20) + e["id"]))).otherwise(kept)
+
+        def settle(kept: Column) -> Column:
+            """All but the positions that a later edge may begin at are settled."""
+            old = F.greatest(F.size(kept) - longest, F.lit(0))
+            return F.struct(F.concat(s["done"], F.array(F.slice(kept, F.lit(1), old))).alias("done"), F.slice(kept, old + 1, F.lit(BLOCK + longest)).alias("kept"), (s["base"] + old).alias("base"))
+
+        return F.aggregate(block, s["kept"], extend, settle)
+
+    def back(kept: Column) -> Column:
+        def walk(s: Column, k: Column) -> Column:
+            spots = F.sequence(F.size(kept) - k * BLOCK, F.greatest(F.size(kept) - (k + 1) * BLOCK + 1, F.lit(1)))
+            step = lambda x, at: F.when(x["at"] == at, let(F.get(kept, at - 1), lambda e: F.struct(F.shiftright(e, 20).alias("at"), F.concat(x["ids"], F.array(e.bitwiseAND(0xFFFFF))).alias("ids")))).otherwise(x)
+            return F.aggregate(spots, F.struct(s["at"].alias("at"), none.alias("ids")), step, lambda x: F.struct(x["at"].alias("at"), F.concat(s["done"], F.array(x["ids"])).alias("done")))
+
+        blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(kept) / BLOCK).cast("int") - 1, F.lit(0)))
+        return F.aggregate(blocks, F.struct(F.size(kept).cast("long").alias("at"), nones.alias("done")), walk, lambda s: F.reverse(F.flatten(s["done"])))
+
+    state = F.struct(nones.alias("done"), none.alias("kept"), F.lit(0).alias("base"))
+    whole = F.aggregate(edges, state, forward, lambda s: F.concat(F.flatten(s["done"]), s["kept"]))
+    return let(whole, back).cast("array<int>")
 
 
 @contextmanager
@@ -212,82 +277,116 @@ def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
         spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
 
 
-def encode_chunks(docs: DataFrame, path: str) -> DataFrame:
-    """chunk, n and ids of every different chunk of the texts."""
-    return neighbours(lattice(vocabulary(docs), path), path).select("chunk", "n", best_path(F.col("edges")).alias("ids"))
+def encode_units(docs: DataFrame, path: str, shared: Shared) -> DataFrame:
+    """unit, n and ids of every different unit of two characters or more of the texts."""
+    m = model(path)
+    units = shared.keep(vocabulary(docs, path))
+    walked = lambda rows: neighbours(lattice(rows, path), path).select("key", "n", best_path(F.col("edges"), m.longest).alias("ids"))
+    # edges are sorted by unit, which spills, instead of held in a map of all units of a task
+    with setting(docs.sparkSession, "spark.sql.execution.useObjectHashAggregateExec", "false"), setting(docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch", "2000"):
+        long = units.where(F.char_length("unit") > LONG)
+        named = long.select("unit", F.sha2("unit", 256).alias("key"))
+        found = shared.keep(walked(whole_units(units)).withColumnRenamed("key", "unit").unionByName(walked(cut_units(long, m.longest)).join(named, "key").drop("key")))
+    shared.drop(units)
+    return found
+
+
+def frequent(encoded: DataFrame, hot: int) -> pa.Table:
+    """unit and ids of the most frequent units, hot at most."""
+    level = F.when(F.col("n") < RARE, F.col("n")).otherwise(RARE + F.floor(16 * F.log2(F.col("n") / RARE)))
+    least, total = None, 0
+    for r in encoded.groupBy(level.cast("int").alias("level")).agg(F.count("*").alias("units")).orderBy(F.desc("level")).collect():
+        if least is not None and total + r["units"] > hot:
+            break
+        least, total = r["level"], total + r["units"]
+    if least is None:
+        return pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    return encoded.where(level >= least).select("unit", "ids").limit(hot).toArrow()
+
+
+class Codes:
+    """Numbers of single characters, bytes and frequent units; 0 stands for any other unit."""
+
+    def __init__(self, m: Model, top: pa.Table) -> None:
+        own = [(p, [k]) for p, (_, k) in m.rank.items() if len(p) == 1]
+        named = [*own, *zip(top.column("unit").to_pylist(), top.column("ids").to_pylist(), strict=True)]
+        self.first = 257  # codes 1 to 256 are bytes
+        self.code = {u: k for k, (u, _) in enumerate(named, self.first)}
+        ids = [[], *([m.bytes[b]] for b in range(256)), *(x for _, x in named)]
+        self.lengths = np.array([len(x) for x in ids], np.int64)
+        self.offsets = np.cumsum(self.lengths) - self.lengths
+        self.ids = np.fromiter(chain.from_iterable(ids), np.int32, int(self.lengths.sum()))
+
+    def of_part(self, units: list[str]) -> bytes:
+        """Codes of the units of a part, three bytes each."""
+        out = []
+        for u in units:
+            k = self.code.get(u)
+            out += [b + 1 for b in u.encode()] if k is None and len(u) == 1 else [k or 0]
+        return np.array(out, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+
+    def rare(self, units: list[str]) -> tuple[str, ...]:
+        return tuple([u for u in units if len(u) > 1 and u not in self.code])
+
+    def filled(self, codes: np.ndarray, others: list[list[int]]) -> np.ndarray:
+        """Ids of a text from its codes, and of its other units in order."""
+        size = self.lengths[codes]
+        spots = np.flatnonzero(codes == 0)
+        size[spots] = [len(x) for x in others]
+        start = np.cumsum(size) - size
+        out = self.ids[np.minimum(np.repeat(self.offsets[codes] - start, size) + np.arange(int(size.sum())), len(self.ids) - 1)]
+        if len(spots):
+            inside = np.repeat(start[spots], size[spots]) + np.arange(int(size[spots].sum())) - np.repeat(np.cumsum(size[spots]) - size[spots], size[spots])
+            out[inside] = np.fromiter(chain.from_iterable(others), np.int32, len(inside))
+        return out
 
 
 def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     """docs without text, and piece_ids: the ids of each whole text, without begin or end marks.
 
     Null and empty texts have no ids. Other columns pass unchanged, and repeated rows all stay; the new column gets a
-    longer name where docs has one of that name. An empty table stays empty.
+    longer name where docs has one of that name. An empty table stays empty. doc_id and text, by two hashes, tell rows
+    apart, so a null doc_id is as good as any.
     """
     spark, shared = docs.sparkSession, Shared(docs.sparkSession)
-    # a chunk's edges follow one another, so a map of many chunks costs less than sorting all edges; beyond it they are sorted
-    # and small Arrow batches leave an executor's memory to that map
-    with setting(spark, "spark.sql.objectHashAggregate.sortBased.fallbackThreshold", str(GROUPS)), setting(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"):
-        encoded = shared.keep(encode_chunks(docs, path))
-    # at most hot rows come to the driver; the join below has the others
-    least, total = RARE, 0
-    for r in encoded.groupBy(F.least("n", F.lit(RARE)).alias("n")).agg(F.count("*").alias("chunks")).orderBy(F.desc("n")).collect():
-        total += r["chunks"]
-        if total > hot:
-            break
-        least = r["n"]
-    top = encoded.where(F.col("n") >= least).select("chunk", "ids").limit(hot).toArrow() if total else pa.table({"chunk": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    top = top.sort_by("chunk")
-    codes = spark.sparkContext.broadcast({c: k for k, c in enumerate(top.column("chunk").to_pylist(), 1)})
-    spelled = [np.array(model(path).spelled(x.as_py()), np.int32) for x in top.column("ids")]
-    lengths = np.array([0, *map(len, spelled)], np.int64)
-    flat = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(lengths)]), lengths, np.concatenate([np.zeros(0, np.int32), *spelled])))
-    del top, spelled
-    name, row, low, high, rare, found = fresh(docs, "piece_ids", "row", "low", "high", "rare", "found")
+    encoded = encode_units(docs, path, shared)
+    table = spark.sparkContext.broadcast(Codes(model(path), frequent(encoded, hot)))
+    name, one, two, packed, found = fresh(docs, "piece_ids", "row_one", "row_two", "packed", "found")
     rest = [c for c in docs.columns if c.lower() != "text"]
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema}
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in rest)
+    keys = F.xxhash64("doc_id", "text").alias(one), F.xxhash64("text", F.lit(1), "doc_id").alias(two)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = codes.value
-        for batch in steps(batches, limit=1 << 20):
-            lows, highs, others = [], [], []
-            for text in batch.column("text").to_pylist():
-                chunks = chunks_of(text)
-                got = np.array([code.get(c, 0) for c in chunks], np.uint32)
-                lows.append((got & 65535).astype(np.uint16).tobytes())
-                highs.append((got >> 16).astype(np.uint8).tobytes())
-                others.append([chunks[k] for k in np.flatnonzero(got == 0)])
-            arrays = [*[batch.column(c) for c in [*rest, row]], pa.array(lows, pa.binary()), pa.array(highs, pa.binary()), pa.array(others, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(arrays, [*rest, row, low, high, rare])
-
-    # rows of one key have equal doc_id and text, hence equal chunks
-    keyed = docs.withColumn(row, F.xxhash64("doc_id", "text"))
-    packed = keyed.mapInArrow(pack, f"{schema}, {row} bigint, {low} binary, {high} binary, {rare} array<string>")
-    others = packed.where(F.size(rare) > 0).select(F.col(row).alias("row"), F.posexplode(rare).alias("at", "chunk"))
-    filled = others.join(encoded.select("chunk", "ids"), "chunk").groupBy("row").agg(F.collect_set(F.struct("at", "ids")).alias(found)).withColumnRenamed("row", "row_of")
-    both = packed.select(*rest, row, low, high).join(filled, F.col(row) == F.col("row_of"), "left").select(*rest, low, high, found)
+        units_of, of_part, press = model(path).units_of, table.value.of_part, zstandard.ZstdCompressor(level=1)
+        codes = _Memo(lambda part: of_part(units_of(part)))
+        for batch in steps(batches, limit=STEP):
+            texts = [b"".join(map(codes.__getitem__, parts_of(t))) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*rest, one, two]], pa.array(map(press.compress, texts), pa.binary())], [*rest, one, two, packed])
+
+    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units_of, of_units = model(path).units_of, table.value.rare
+        others = _Memo(lambda part: of_units(units_of(part)))
+        for batch in steps(batches, "text", STEP):
+            held = [list(chain.from_iterable(map(others.__getitem__, parts_of(t)))) for t in batch.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in held], np.int64)
+            row = np.repeat(np.arange(len(held)), sizes)
+            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(one).take(pa.array(row)), batch.column(two).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(chain.from_iterable(held), pa.string())], ["one", "two", "at", "unit"])
+
+    others = docs.select("text", *keys).mapInArrow(rare, "one bigint, two bigint, at int, unit string")
+    filled = others.join(encoded.select("unit", "ids"), "unit").groupBy("one", "two").agg(F.collect_set(F.struct("at", "ids")).alias(found))
+    rows = docs.select("*", *keys).mapInArrow(pack, f"{schema}, {one} bigint, {two} bigint, {packed} binary")
+    both = rows.join(filled, (F.col(one) == F.col("one")) & (F.col(two) == F.col("two")), "left").select(*rest, packed, found)
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        offsets, lengths, ids = flat.value
-        spell = model(path).spelled
-        for batch in steps(batches, low, 1 << 20):
-            rows = []
-            for a, b, more in zip(batch.column(low).to_pylist(), batch.column(high).to_pylist(), batch.column(found).to_pylist(), strict=True):
-                code = np.frombuffer(a, np.uint16).astype(np.int64) | (np.frombuffer(b, np.uint8).astype(np.int64) << 16)
-                size = lengths[code]
-                filled = {}
-                spots = np.flatnonzero(code == 0)
-                for m in more or ():
-                    filled[int(spots[m["at"]])] = spell(m["ids"])
-                for k, x in filled.items():
-                    size[k] = len(x)
-                start = np.cumsum(size) - size
-                inside = np.arange(int(size.sum())) - np.repeat(start, size)
-                out = ids[np.minimum(np.repeat(offsets[code], size) + inside, max(0, len(ids) - 1))] if len(ids) else np.zeros(int(size.sum()), np.int32)
-                for k, x in filled.items():
-                    out[start[k] : start[k] + len(x)] = x
-                rows.append(out)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(rows, pa.list_(pa.int32()))], [*rest, name])
+        codes, press = table.value, zstandard.ZstdDecompressor()
+        for batch in steps(batches, packed, STEP >> 2):
+            ids = []
+            for data, more in zip(batch.column(packed).to_pylist(), batch.column(found).to_pylist(), strict=True):
+                x = np.frombuffer(press.decompress(data) if data else b"", np.uint8).reshape(-1, 3).astype(np.int64)
+                ids.append(codes.filled(x[:, 0] | x[:, 1] << 8 | x[:, 2] << 16, [m["ids"] for m in sorted(more or [], key=lambda m: m["at"])]))
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(ids, pa.list_(pa.int32()))], [*rest, name])
 
     return both.mapInArrow(unpack, f"{schema}, {name} array<int>")
 
@@ -301,7 +400,8 @@ def decode(encoded: DataFrame, path: str, column: str = "piece_ids", name: str =
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([m.text(x or []) for x in part.column(column).to_pylist()], pa.string())], [*columns, name])
+                texts = [m.text(x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64)) for x in part.column(column)]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*columns, name])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(run, f"{schema}, {name} string")

@@ -273,20 +273,39 @@ def test_token_counts_equal_the_library(odd):
 
 
 @pytest.mark.parametrize("hot", [0, 3, 1 << 10])
-def test_pieces_equal_the_library(odd, hot):
+def test_pieces_equal_the_library(spark, odd, hot):
     from sentencepiece import SentencePieceProcessor
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     library = SentencePieceProcessor(model_file=path)
-    texts = odd.where("length(text) < 4000 or text is null")
+    more = ["a" * 30000 + "b", "  two  blanks ", "▁own▁ mark", "\n\nlines\n of text \n", "no1digit2joins, (signs)!? “quotes”", "été où ça 数据 🙂🙂 \x00 \u200b" * 3, " ".join("antidis" * (1 + k % 40) for k in range(400))]
+    texts = odd.unionByName(table(spark, more).withColumn("doc_id", F.col("doc_id") + 100))
     found = pieces.decode(pieces.encode(texts, path, hot=hot), path, name="back").collect()
     assert len(found) == texts.count()
     for r in found:
-        text = ODD[4 if r["doc_id"] is None else r["doc_id"]] or ""
-        assert list(r["piece_ids"]) == library.encode(text) and r["back"] == text
+        text = more[r["doc_id"] - 100] if (r["doc_id"] or 0) >= 100 else ODD[4 if r["doc_id"] is None else r["doc_id"]] or ""
+        assert list(r["piece_ids"]) == library.encode(text) and r["back"] == text.replace("▁", " ")
     assert pieces.encode(empty(odd), path).count() == 0
 
 
+def test_units_and_ids_read_back():
+    import numpy as np
+    import random
+    from sentencepiece import SentencePieceProcessor
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    m, library, draw = pieces.model(path), SentencePieceProcessor(model_file=path), random.Random(4)
+    for _ in range(300):
+        text = "".join(draw.choice("ab the  \n,.()1é数🙂▁") for _ in range(draw.randint(0, 60)))
+        assert "".join("▁" + p for p in pieces.parts_of(text)) == ("▁" + text.replace(" ", "▁") if text else "")
+        assert all("".join(m.units_of(p)) == "▁" + p for p in pieces.parts_of(text))
+        units = [u for p in pieces.parts_of(text) for u in m.units_of(p)]
+        assert [x for u in units for x in (m.single(u) if len(u) == 1 else library.encode(u[1:]) if u[0] == "▁" else library.encode("\n" + u)[2:])] == library.encode(text)
+    for _ in range(200):
+        ids = [draw.choice([3 + 0xE2, 3 + 0x82, 3 + 0xAC, 3 + 0x0A, 1, 300, 5000]) for _ in range(draw.randint(0, 12))]
+        assert m.text(np.array(ids, np.int64)) == library.decode(ids)
+
+
 # near duplicates -------------------------------------------------------------------------------------------------------
 
 
