@@ -37,7 +37,9 @@ HOT = 1 << 18
 #: Counts from here on are alike, in steps of a sixteenth of a doubling, to the choice of the broadcast units.
 RARE = 1 << 16
 #: Different parts of texts that a task counts before it hands counts on, and that it remembers the codes of.
-HELD = 200_000
+HELD = 120_000
+#: Units that a task turns into edges.
+UNITS = 30_000
 #: Characters of a unit that one row of the lattice holds; longer units take several rows.
 LONG = 64
 #: Edges, and positions, that the fold takes at a time, so that its state stays small in units of any length.
@@ -174,8 +176,11 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
 
 
 def whole_units(units: DataFrame) -> DataFrame:
-    """key, n, base, text and starts of short units: the unit itself, with edges from each of its characters."""
-    short = units.where(F.char_length("unit") <= LONG).repartition("unit")
+    """key, n, base, text and starts of short units: the unit itself, with edges from each of its characters.
+
+    A task gets a bounded number of units, as they grow to many edges that it sorts."""
+    short = units.where(F.char_length("unit") <= LONG)
+    short = short.repartition(-(-units.count() // UNITS) or 1, "unit")
     return short.select(F.col("unit").alias("key"), "n", F.lit(0).alias("base"), F.col("unit").alias("text"), F.char_length("unit").alias("starts"))
 
 
@@ -310,8 +315,9 @@ class Codes:
     def __init__(self, m: Model, top: pa.Table) -> None:
         own = [(p, [k]) for p, (_, k) in m.rank.items() if len(p) == 1]
         named = [*own, *zip(top.column("unit").to_pylist(), top.column("ids").to_pylist(), strict=True)]
-        self.first = 257  # codes 1 to 256 are bytes
-        self.code = {u: k for k, (u, _) in enumerate(named, self.first)}
+        # codes 1 to 256 are bytes
+        self.code = {u: k.to_bytes(3, "little") for k, (u, _) in enumerate(named, 257)}
+        self.byte = [(b + 1).to_bytes(3, "little") for b in range(256)]
         ids = [[], *([m.bytes[b]] for b in range(256)), *(x for _, x in named)]
         self.lengths = np.array([len(x) for x in ids], np.int64)
         self.offsets = np.cumsum(self.lengths) - self.lengths
@@ -319,11 +325,8 @@ class Codes:
 
     def of_part(self, units: list[str]) -> bytes:
         """Codes of the units of a part, three bytes each."""
-        out = []
-        for u in units:
-            k = self.code.get(u)
-            out += [b + 1 for b in u.encode()] if k is None and len(u) == 1 else [k or 0]
-        return np.array(out, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+        code = self.code.get
+        return b"".join([code(u) or (b"\0\0\0" if len(u) > 1 else b"".join([self.byte[b] for b in u.encode()])) for u in units])
 
     def rare(self, units: list[str]) -> tuple[str, ...]:
         return tuple([u for u in units if len(u) > 1 and u not in self.code])
