@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .common import Shared, fresh, let, steps
 
 #: Units of the broadcast table at most.
-HOT = 1 << 18
+HOT = 1 << 19
 #: Counts from here on are alike, in steps of a sixteenth of a doubling, to the choice of the broadcast units.
 RARE = 1 << 16
 #: Different parts of texts that a task counts before it hands counts on, and that it remembers the codes of.
@@ -44,6 +44,8 @@ UNITS = 30_000
 LONG = 64
 #: Edges, and positions, that the fold takes at a time, so that its state stays small in units of any length.
 BLOCK = 128
+#: Frequent parts that are looked up at once.
+OFTEN = 1 << 16
 #: Text that a task cuts at a time.
 STEP = 1 << 20
 BLANK = "▁"
@@ -68,7 +70,8 @@ class Model:
         self.longest = max(map(len, self.rank))
         self.units = self.unit_pattern()
         self.alone = _Memo(lambda p: self.merge([*p]) == [p])
-        self.fits = _Memo(lambda ab: self.merge([*self.pieces[ab >> 32], *self.pieces[ab & 0xFFFFFFFF]]) == [self.pieces[ab >> 32], self.pieces[ab & 0xFFFFFFFF]])
+        self.spines = _Memo(lambda k: (self.spine(self.pieces[k], 1), self.spine(self.pieces[k], 0)), len(self.pieces))
+        self.fits = _Memo(lambda ab: not self.crossed(ab >> 32, ab & 0xFFFFFFFF))
         self.said = self._said()
         self.partial = np.array([k in self.of_byte and self.of_byte[k] > 127 for k in range(len(self.pieces))])
 
@@ -84,6 +87,7 @@ class Model:
                         own |= other
                         of.update(dict.fromkeys(other, own))
         classes = sorted({id(s): sorted(s) for s in of.values()}.values(), key=lambda s: (-len(s), s))
+        self.letters = frozenset(classes[0])
         return re.compile("|".join([*("▁*[" + "".join(map(re.escape, s)) + "]+" for s in classes), "▁+", "[\\s\\S]"]))
 
     def merge(self, parts: list[str]) -> list[str]:
@@ -95,8 +99,38 @@ class Model:
             parts = [*parts[: best[1]], parts[best[1]] + parts[best[1] + 1], *parts[best[1] + 2 :]]
         return parts
 
+    def spine(self, piece: str, side: int) -> list[tuple[str, float]]:
+        """The parts of a piece at its right (1) or left (0) edge, from the whole to one character, and the rank of the
+        merge that takes each into the next larger one (none for the whole piece: a rank above all)."""
+        out, taken = [], float("inf")
+        while True:
+            out.append((piece, taken))
+            if len(piece) == 1:
+                return out
+            parts = [*piece]
+            while len(parts) > 2:
+                _, k = min((self.rank[a + b][0], k) for k, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank)
+                parts = [*parts[:k], parts[k] + parts[k + 1], *parts[k + 2 :]]
+            taken, piece = self.rank[piece][0], parts[side]
+
+    def crossed(self, a: int, b: int) -> bool:
+        """Whether some merge over the border of two pieces comes before what takes its parts into the pieces.
+
+        Parts of a piece have lower ranks than itself, so ranks order merges in time; of two equal ones the left is first."""
+        rank, left = self.rank.get, self.spines[b][1]
+        for x, before in self.spines[a][0]:
+            for y, until in left:
+                found = rank(x + y)
+                if found is not None and found[0] < before and found[0] <= until:
+                    return True
+        return False
+
     def units_of(self, part: str) -> list[str]:
-        """Units of a blank and a part of a text."""
+        """Units of a blank and a part of a text; most parts are letters of the largest class and a sign at most."""
+        if self.letters.issuperset(part):
+            return [BLANK + part]
+        if part[-1] in ".," and len(part) > 1 and self.letters.issuperset(part[:-1]):
+            return [BLANK + part[:-1], part[-1]]
         return self.units.findall(BLANK + part)
 
     def single(self, unit: str) -> list[int]:
@@ -135,6 +169,20 @@ class _Memo(dict):
         return value
 
 
+class _Parts(dict):
+    """What parts of texts stand for: frequent ones are held, with and without a sign at the end, others are made of their
+    units each time."""
+
+    def __init__(self, often: list[str], code: dict[str, bytes], m: Model, make) -> None:
+        super().__init__((p, make([BLANK + p])) for p in often)
+        self.update([(p + sign, make([BLANK + p, sign])) for sign in ".," for p in often if p[-1:] in m.letters])
+        self.code, self.units_of, self.make = code, m.units_of, make
+
+    def __missing__(self, part: str):
+        unit = BLANK + part
+        return self.make([unit] if unit in self.code else self.units_of(part))
+
+
 @cache
 def model(path: str) -> Model:
     """One a process."""
@@ -204,9 +252,10 @@ def lattice(units: DataFrame, path: str) -> DataFrame:
 
 
 def neighbours(edges: DataFrame, path: str) -> DataFrame:
-    """The lattice with edges as end, start, id and after: the ids of the edges that end at start and get on with it.
+    """The lattice with edges as end, start, key (of start and id) and after: keys of the edges that it gets on with.
 
-    A unit's edges are cut into blocks, as an array within an array costs no more to reach when there are many."""
+    Edges that get on with nothing before them go. A unit's edges are cut into blocks, as an array within an array costs
+    no more to reach when there are many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fits = model(path).fits
@@ -224,51 +273,60 @@ def neighbours(edges: DataFrame, path: str) -> DataFrame:
             first = np.arange(len(later)) - np.repeat(np.cumsum(n) - n - lo, n)
             pairs, which = np.unique(ids[first] << 32 | ids[later], return_inverse=True)
             ok = np.fromiter(map(fits.__getitem__, pairs.tolist()), bool, len(pairs))[which]
-            at = np.concatenate([[0], np.cumsum(np.bincount(later[ok], minlength=len(x)))])
-            after = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids[first[ok]], pa.int32()))
-            fields = [pa.array(a, pa.int32()) for a in (end, start, ids)]
-            edges_ = pa.StructArray.from_arrays([*fields, after], ["end", "start", "id", "after"])
-            many = -(-np.diff(bounds) // BLOCK)
+            key = start << 20 | ids
+            often = np.bincount(later[ok], minlength=len(x))
+            kept = np.flatnonzero((start == 0) | (often > 0))
+            after = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(often[kept])]), pa.int32()), pa.array(key[first[ok]], pa.int64()))
+            edges_ = pa.StructArray.from_arrays([pa.array(end[kept], pa.int32()), pa.array(start[kept], pa.int32()), pa.array(key[kept], pa.int64()), after], ["end", "start", "key", "after"])
+            own = np.bincount(unit[kept], minlength=len(bounds) - 1)
+            many = -(-own // BLOCK)
             block = np.concatenate([[0], np.cumsum(many)])
-            cuts = np.repeat(bounds[:-1] - bounds[0], many) + BLOCK * (np.arange(block[-1]) - np.repeat(block[:-1], many))
-            blocks = pa.ListArray.from_arrays(pa.array([*cuts, len(x)], pa.int32()), edges_)
+            cuts = np.repeat(np.cumsum(own) - own, many) + BLOCK * (np.arange(block[-1]) - np.repeat(block[:-1], many))
+            blocks = pa.ListArray.from_arrays(pa.array([*cuts, len(kept)], pa.int32()), edges_)
             yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("n"), pa.ListArray.from_arrays(pa.array(block, pa.int32()), blocks)], ["key", "n", "edges"])
 
-    return edges.mapInArrow(run, "key string, n bigint, edges array<array<struct<end:int,start:int,id:int,after:array<int>>>>")
+    return edges.mapInArrow(run, "key string, n bigint, edges array<array<struct<end:int,start:int,key:bigint,after:array<bigint>>>>")
 
 
 def best_path(edges: Column, longest: int) -> Column:
     """Ids along the path of the lattice: a fold from left to right keeps one edge a position, another walks back.
 
-    A kept edge is a number of start and id. Spark copies a fold's state at every step; both folds therefore go in
-    blocks, whose state is small, and hand on what is settled block by block."""
+    Spark copies a fold's state at every step. Both folds of a unit of many edges therefore go in blocks, whose state is
+    small, and hand on what is settled block by block, so that the cost is in proportion to the unit's length."""
     none, nones = F.expr("cast(array() as array<bigint>)"), F.expr("cast(array() as array<array<bigint>>)")
 
-    def forward(s: Column, block: Column) -> Column:
-        def extend(kept: Column, e: Column) -> Column:
-            before = F.get(kept, e["start"] - 1 - s["base"]).bitwiseAND(0xFFFFF).cast("int")
-            fits = (e["start"] == 0) | F.array_contains(e["after"], before)
-            return F.when((s["base"] + F.size(kept) < e["end"]) & fits, F.concat(kept, F.array(F.shiftleft(e["start"].cast("long"), 20) + e["id"]))).otherwise(kept)
+    def extend(kept: Column, e: Column, base: Column) -> Column:
+        fits = (e["start"] == 0) | F.array_contains(e["after"], F.get(kept, e["start"] - 1 - base))
+        return F.when((F.size(kept) + base < e["end"]) & fits, F.concat(kept, F.array(e["key"]))).otherwise(kept)
 
+    def back(kept: Column, taken: Column, at: Column, spots: Column) -> Column:
+        """taken with the kept edges that end at each other's starts, from position at on, in descending spots."""
+        step = lambda x, k: F.when(F.coalesce(F.shiftright(F.element_at(F.when(F.size(x) > 0, x), -1), 20), at) == k, F.concat(x, F.array(F.get(kept, k - 1)))).otherwise(x)
+        return F.aggregate(spots, taken, step)
+
+    def forward(s: Column, block: Column) -> Column:
         def settle(kept: Column) -> Column:
             """All but the positions that a later edge may begin at are settled."""
             old = F.greatest(F.size(kept) - longest, F.lit(0))
             return F.struct(F.concat(s["done"], F.array(F.slice(kept, F.lit(1), old))).alias("done"), F.slice(kept, old + 1, F.lit(BLOCK + longest)).alias("kept"), (s["base"] + old).alias("base"))
 
-        return F.aggregate(block, s["kept"], extend, settle)
+        return F.aggregate(block, s["kept"], lambda kept, e: extend(kept, e, s["base"]), settle)
 
-    def back(kept: Column) -> Column:
-        def walk(s: Column, k: Column) -> Column:
+    def walk(kept: Column) -> Column:
+        def block(s: Column, k: Column) -> Column:
             spots = F.sequence(F.size(kept) - k * BLOCK, F.greatest(F.size(kept) - (k + 1) * BLOCK + 1, F.lit(1)))
-            step = lambda x, at: F.when(x["at"] == at, let(F.get(kept, at - 1), lambda e: F.struct(F.shiftright(e, 20).alias("at"), F.concat(x["ids"], F.array(e.bitwiseAND(0xFFFFF))).alias("ids")))).otherwise(x)
-            return F.aggregate(spots, F.struct(s["at"].alias("at"), none.alias("ids")), step, lambda x: F.struct(x["at"].alias("at"), F.concat(s["done"], F.array(x["ids"])).alias("done")))
+            end = lambda x: F.struct(F.coalesce(F.shiftright(F.element_at(F.when(F.size(x) > 0, x), -1), 20), s["at"]).alias("at"), F.concat(s["done"], F.array(x)).alias("done"))
+            return let(back(kept, none, s["at"], spots), end)
 
         blocks = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(kept) / BLOCK).cast("int") - 1, F.lit(0)))
-        return F.aggregate(blocks, F.struct(F.size(kept).cast("long").alias("at"), nones.alias("done")), walk, lambda s: F.reverse(F.flatten(s["done"])))
+        return F.aggregate(blocks, F.struct(F.size(kept).cast("long").alias("at"), nones.alias("done")), block, lambda s: F.flatten(s["done"]))
 
     state = F.struct(nones.alias("done"), none.alias("kept"), F.lit(0).alias("base"))
     whole = F.aggregate(edges, state, forward, lambda s: F.concat(F.flatten(s["done"]), s["kept"]))
-    return let(whole, back).cast("array<int>")
+    short = F.aggregate(F.get(edges, F.lit(0)), none, lambda kept, e: extend(kept, e, F.lit(0)))
+    once = lambda kept: back(kept, none, F.size(kept).cast("long"), F.sequence(F.size(kept), F.lit(1)))
+    path = F.when(F.size(edges) == 1, let(short, once)).otherwise(let(whole, walk))
+    return F.reverse(F.transform(path, lambda x: x.bitwiseAND(0xFFFFF).cast("int")))
 
 
 @contextmanager
@@ -306,25 +364,26 @@ def frequent(encoded: DataFrame, hot: int) -> pa.Table:
         least, total = r["level"], total + r["units"]
     if least is None:
         return pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    return encoded.where(level >= least).select("unit", "ids").limit(hot).toArrow()
+    return encoded.where(level >= least).select("unit", "ids", "n").limit(hot).toArrow().sort_by([("n", "descending"), ("unit", "ascending")])
 
 
 class Codes:
-    """Numbers of single characters, bytes and frequent units; 0 stands for any other unit."""
+    """Numbers of single characters, bytes and frequent units, frequent ones small; 0 stands for any other unit."""
 
     def __init__(self, m: Model, top: pa.Table) -> None:
-        own = [(p, [k]) for p, (_, k) in m.rank.items() if len(p) == 1]
-        named = [*own, *zip(top.column("unit").to_pylist(), top.column("ids").to_pylist(), strict=True)]
+        own, lists = [(p, k) for p, (_, k) in m.rank.items() if len(p) == 1], top.column("ids").combine_chunks()
+        units = top.column("unit").to_pylist()
         # codes 1 to 256 are bytes
-        self.code = {u: k.to_bytes(3, "little") for k, (u, _) in enumerate(named, 257)}
-        self.byte = [(b + 1).to_bytes(3, "little") for b in range(256)]
-        ids = [[], *([m.bytes[b]] for b in range(256)), *(x for _, x in named)]
-        self.lengths = np.array([len(x) for x in ids], np.int64)
+        number = lambda k: k.to_bytes(3, "little")
+        self.byte = [number(b + 1) for b in range(256)]
+        self.code = {u: number(k) for k, u in enumerate(chain((p for p, _ in own), units), 257)}
+        self.often = [u[1:] for u in units[:OFTEN] if u[0] == BLANK]
+        self.lengths = np.concatenate([[0], np.ones(256 + len(own), np.int64), np.asarray(lists.value_lengths(), dtype=np.int64)])
         self.offsets = np.cumsum(self.lengths) - self.lengths
-        self.ids = np.fromiter(chain.from_iterable(ids), np.int32, int(self.lengths.sum()))
+        self.ids = np.concatenate([[m.bytes[b] for b in range(256)], [k for _, k in own], lists.flatten().to_numpy()]).astype(np.int32)
 
-    def of_part(self, units: list[str]) -> bytes:
-        """Codes of the units of a part, three bytes each."""
+    def of_units(self, units: list[str]) -> bytes:
+        """Codes of units, three bytes each."""
         code = self.code.get
         return b"".join([code(u) or (b"\0\0\0" if len(u) > 1 else b"".join([self.byte[b] for b in u.encode()])) for u in units])
 
@@ -361,15 +420,15 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     keys = F.xxhash64("doc_id", "text").alias(one), F.xxhash64("text", F.lit(1), "doc_id").alias(two)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units_of, of_part, press = model(path).units_of, table.value.of_part, zstandard.ZstdCompressor(level=1)
-        codes = _Memo(lambda part: of_part(units_of(part)))
+        held, press = table.value, zstandard.ZstdCompressor(level=1)
+        codes = _Parts(held.often, held.code, model(path), held.of_units)
         for batch in steps(batches, limit=STEP):
-            texts = [b"".join(map(codes.__getitem__, parts_of(t))) for t in batch.column("text").to_pylist()]
+            texts = [np.frombuffer(b"".join(map(codes.__getitem__, parts_of(t))), np.uint8).reshape(-1, 3).T.tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*rest, one, two]], pa.array(map(press.compress, texts), pa.binary())], [*rest, one, two, packed])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units_of, of_units = model(path).units_of, table.value.rare
-        others = _Memo(lambda part: of_units(units_of(part)))
+        known = table.value
+        others = _Parts(known.often, known.code, model(path), known.rare)
         for batch in steps(batches, "text", STEP):
             held = [list(chain.from_iterable(map(others.__getitem__, parts_of(t)))) for t in batch.column("text").to_pylist()]
             sizes = np.array([len(x) for x in held], np.int64)
@@ -387,8 +446,8 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
         for batch in steps(batches, packed, STEP >> 2):
             ids = []
             for data, more in zip(batch.column(packed).to_pylist(), batch.column(found).to_pylist(), strict=True):
-                x = np.frombuffer(press.decompress(data) if data else b"", np.uint8).reshape(-1, 3).astype(np.int64)
-                ids.append(codes.filled(x[:, 0] | x[:, 1] << 8 | x[:, 2] << 16, [m["ids"] for m in sorted(more or [], key=lambda m: m["at"])]))
+                x = np.frombuffer(press.decompress(data), np.uint8).reshape(3, -1).astype(np.int64)
+                ids.append(codes.filled(x[0] | x[1] << 8 | x[2] << 16, [m["ids"] for m in sorted(more or [], key=lambda m: m["at"])]))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in rest], pa.array(ids, pa.list_(pa.int32()))], [*rest, name])
 
     return both.mapInArrow(unpack, f"{schema}, {name} array<int>")
