@@ -16,10 +16,8 @@ from pyspark.sql.window import Window
 
 from .common import steps
 
-#: Bound of the training sample: documents a language, characters of each, and bytes of a dictionary.
-SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 400, 2000, 1 << 17
-#: Most languages that are learned (those with the most training rows).
-MAX_LANGUAGES = 256
+#: Bounds of the training sample: bytes of all dictionaries together and of one at most, and characters of a passage.
+ALL_BYTES, DICTIONARY_BYTES, PASSAGE = 1 << 25, 1 << 17, 400
 LEVEL = 3
 #: A prediction is rejected when the runner-up's size is within this share of the winner's.
 MARGIN = 0.01
@@ -34,19 +32,24 @@ def prose(text: str) -> bytes:
     return b" ".join(text.lower().encode().translate(PROSE).split())
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
-    """A dictionary of each non-null lang in docs, from a bounded sample: the documents of the lowest key hashes.
+def learn(docs: DataFrame, all_bytes: int = ALL_BYTES, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """A dictionary of each non-null lang in docs, from a bounded sample: the passages of the lowest hashes.
 
-    Ties of the hash follow the text. Languages without a letter in their sample are left out.
+    Texts are cut into passages from beginning to end, so that every place of every text may be in the sample; ties of
+    the hash follow the passage. The more languages, the smaller each dictionary, so that all stay within all_bytes.
+    Languages without a letter in their sample are left out. An empty table teaches nothing.
     """
-    rows = docs.where("lang is not null and text is not null").select("lang", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("at"))
-    langs = [r[0] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()]
+    rows = docs.where("lang is not null and text is not null").select("lang", "text", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("id"))
+    langs = rows.select("lang").distinct().count()
+    size = min(dictionary_bytes, all_bytes // max(1, langs))
+    passages = rows.select("lang", "id", F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PASSAGE}}}"), F.lit(0))).alias("at", "passage"))
+    passages = passages.select("lang", "passage", F.xxhash64("id", "at").alias("hash"))
     # the limit is applied in every task before anything is shuffled
-    first = rows.where(F.col("lang").isin(langs)).withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("at", "text"))).where(F.col("k") <= sample_docs)
-    held: dict[str, list[tuple[str, str]]] = {}
-    for r in first.select("lang", "at", "text").toLocalIterator():
-        held.setdefault(r["lang"], []).append((r["at"], r["text"]))
-    made = {lang: prose("\n".join(t for _, t in sorted(texts, reverse=True)))[-dictionary_bytes:] for lang, texts in held.items()}
+    first = passages.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("hash", "passage"))).where(F.col("k") <= size // PASSAGE + 1)
+    held: dict[str, list[tuple[int, str]]] = {}
+    for r in first.select("lang", "hash", "passage").toLocalIterator():
+        held.setdefault(r["lang"], []).append((r["hash"], r["passage"]))
+    made = {lang: prose("\n".join(t for _, t in sorted(taken, reverse=True)))[-size:] for lang, taken in held.items()}
     return {lang: x for lang, x in sorted(made.items()) if LETTER.search(x.decode(errors="ignore"))}
 
 
@@ -58,9 +61,12 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = MA
     first language in order. Only doc_id and text are read, so other columns can't clash.
     """
 
+    shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
+
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
 
+        dictionaries = shared.value
         langs = sorted(dictionaries)
         packers = []
         for lang in langs:
