@@ -45,12 +45,12 @@ def runs(word: str) -> str:
         if core[0].isupper() and core[1:].islower():
             return "Aa" + tail
     kinds, last = [], ""
-    for c in word[:64]:
+    for c in word:
         kind = "A" if c.isupper() else "a" if c.isalpha() else "0" if c.isdigit() else c
         if kind != last:
             kinds.append(kind)
             last = kind
-    return "".join(kinds[:12])
+    return "".join(kinds)
 
 
 @lru_cache(1 << 16)
@@ -63,7 +63,7 @@ def shape(word: str) -> int:
     kinds = runs(word)
     upper, lower = "A" in kinds, "a" in kinds
     plain = (upper or lower) and (word.isalpha() or word[:-1].isalpha() or word[1:].isalpha())
-    return feature(kinds, min(len(word), 24) // 4) | UPPER * (upper and not lower and len(word) > 1) | SYMBOL * (not SYMBOLS.isdisjoint(word)) | PLAIN * plain | LOWER * lower
+    return feature(kinds, len(word) // 4 if len(word) < 24 else 4 + (len(word) // 12).bit_length()) | UPPER * (upper and not lower and len(word) > 1) | SYMBOL * (not SYMBOLS.isdisjoint(word)) | PLAIN * plain | LOWER * lower
 
 
 class Shapes(dict):
@@ -158,7 +158,8 @@ def posteriors(counts: dict[str, int], rounds: int = 100) -> dict[str, float]:
 
 def fit(features: np.ndarray, target: np.ndarray, steps_: int = 300, rate: float = 0.05, decay: float = 1e-4) -> np.ndarray:
     """Weights of a logistic scorer for soft targets, by full-batch Adam with both classes given equal mass."""
-    w = np.zeros(features.shape[1])
+    w = np.zeros(features.shape[1], np.float32)
+    target = target.astype(np.float32)
     good, bad = max(target.sum(), 1.0), max((1 - target).sum(), 1.0)
     weight = target / good + (1 - target) / bad
     weight *= len(target) / weight.sum() if len(target) else 1
@@ -167,17 +168,20 @@ def fit(features: np.ndarray, target: np.ndarray, steps_: int = 300, rate: float
         p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
         g = features.T @ ((p - target) * weight) / max(1, len(target)) + decay * w
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
-        w = w - rate * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
+        w = w - np.float32(rate) * (m / (1 - 0.9**k)) / (np.sqrt(v / (1 - 0.999**k)) + 1e-8)
     return w
 
 
 def learn(docs: DataFrame, sample: int = SAMPLE) -> tuple[dict[str, float], np.ndarray]:
-    """Posteriors of the vote patterns of all docs, and the scorer's weights from at most about sample documents."""
+    """Posteriors of the vote patterns of all docs, and the scorer's weights from about sample documents.
+
+    The sample's documents are those whose hash of doc_id and text is below a share of all hashes, rows equal in both
+    being one; a null doc_id is as good as any. Without documents nothing is learned, and every score is 0.5."""
     rows = docs.where("text is not null").select("doc_id", "text")
     counts = {r["votes"]: r["n"] for r in _described(rows, "votes string", lambda v, _: (v,), featured=False).groupBy("votes").agg(F.count("*").alias("n")).collect()}
     good = posteriors(counts)
     share = min(1.0, sample / max(1, sum(counts.values())))
-    chosen = rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) < int(share * (1 << 30))).limit(2 * sample)
+    chosen = rows.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30))).distinct()
     taken = _described(chosen, "votes string, features binary", lambda v, x: (v, x.astype(np.float16).tobytes())).select("votes", "features").collect()
     x = np.array([np.frombuffer(bytes(r["features"]), np.float16) for r in taken], np.float32).reshape(-1, DIMENSIONS)
     return good, fit(x, np.array([good[r["votes"]] for r in taken]))
