@@ -64,6 +64,7 @@ class PrefixCounter:
         self.ranks = {tuple(m): k for k, m in enumerate(model["merges"])}
         self.begun = {t[:k]: False for t in self.vocab for k in range(1, len(t)) if not t.endswith(END) or k < len(t) - len(END)}
         self.begun |= dict.fromkeys((t for t in self.vocab if not t.endswith(END)), True)
+        self.longest_end = max((len(t) - len(END) for t in self.vocab if t.endswith(END)), default=0)
         self.normalize = Tokenizer.from_file(path).normalizer.normalize_str
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -134,7 +135,7 @@ class PrefixCounter:
                     last[j], count[j] = token, tokens
         counts = []
         for j in range(1 if every else n, n + 1):
-            for i in range(j):
+            for i in range(max(0, j - self.longest_end), j):
                 token = text[i:j] + END
                 if token in self.vocab and alone[token] and (not i or fits[last[i], token]):
                     counts.append(count[i] + 1)
