@@ -231,28 +231,43 @@ def allowed(x: np.ndarray, y: np.ndarray, one: Points, other: Points, n: np.ndar
 
 
 def tree_join(points: Points, sizes: np.ndarray, percent: int = PERCENT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs whose bound reaches the overlap that a link needs, found by joining the boxes of a packed R-tree.
+    """Index pairs whose bound reaches the overlap that a link needs, found by joining a packed R-tree with itself.
 
-    Points are sorted by size, then by their two widest coordinates, and packed into boxes; boxes are compared by the
-    minima of their largest coordinates against what their smallest sets need, then the points in boxes that pass."""
+    Points are sorted by size, then by their two widest coordinates, and packed into boxes of LEAF, these into boxes of
+    LEAF, and so on up to one root. The join goes down level by level: a pair of boxes opens only if the minima of their
+    largest coordinates reach what their smallest sets need, and if their sizes are near enough."""
     coarse = points.at(int(points.groups.min()))
     wide = np.argsort(np.ptp(coarse, axis=0))[::-1][:2]
     order = np.lexsort((coarse[:, wide[1]], coarse[:, wide[0]], sizes))
-    p, n = coarse[order], sizes[order]
-    heads = np.arange(0, len(p), LEAF)
-    top, least, most = np.maximum.reduceat(p, heads), np.minimum.reduceat(n, heads), np.maximum.reduceat(n, heads)
-    for k in range(len(heads)):
-        # boxes are sorted by size, so those that are too large end the search
-        last = np.searchsorted(least * percent, most[k] * 100, side="right")
-        near = np.arange(k, max(last, k + 1))
-        near = near[(100 + percent) * overlap_bound(top[k], top[near]) >= percent * (least[k] + least[near])]
-        a = np.arange(heads[k], min(heads[k] + LEAF, len(p)))
-        b = np.concatenate([np.arange(heads[j], min(heads[j] + LEAF, len(p))) for j in near] or [a[:0]])
-        x, y = (z.ravel() for z in np.meshgrid(a, b, indexing="ij"))
-        keep = (x < y) & (100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y]))
-        x, y = order[x[keep]], order[y[keep]]
-        keep = allowed(x, y, points, points, sizes, sizes, percent)
-        yield x[keep], y[keep]
+    levels = [(coarse[order], sizes[order], sizes[order])]  # largest coordinates, least and most size of each box
+    while len(levels[-1][0]) > 1:
+        top, least, most = levels[-1]
+        heads = np.arange(0, len(top), LEAF)
+        levels.append((np.maximum.reduceat(top, heads), np.minimum.reduceat(least, heads), np.maximum.reduceat(most, heads)))
+
+    def open_pairs(x: np.ndarray, y: np.ndarray, depth: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """From pairs of boxes one level above depth, the pairs of points below them that pass."""
+        top, least, most = levels[depth]
+        inside = np.arange(LEAF)
+        for at in np.array_split(np.arange(len(x)), -(-len(x) * LEAF * LEAF * top.shape[1] // (1 << 23))):
+            a = np.repeat((x[at, None] * LEAF + inside)[:, :, None], LEAF, axis=2).ravel()
+            b = np.repeat((y[at, None] * LEAF + inside)[:, None, :], LEAF, axis=1).ravel()
+            keep = (a <= b if depth else a < b) & (b < len(top))
+            a, b = a[keep], b[keep]
+            # boxes are sorted by size, so the first of a pair holds the smaller sets
+            keep = percent * least[b] <= 100 * most[a]
+            a, b = a[keep], b[keep]
+            keep = (100 + percent) * overlap_bound(top[a], top[b]) >= percent * (least[a] + least[b])
+            a, b = a[keep], b[keep]
+            if depth and len(a):
+                yield from open_pairs(a, b, depth - 1)
+            elif len(a):
+                a, b = order[a], order[b]
+                keep = allowed(a, b, points, points, sizes, sizes, percent)
+                yield a[keep], b[keep]
+
+    if len(levels) > 1:
+        yield from open_pairs(np.zeros(1, np.int64), np.zeros(1, np.int64), len(levels) - 2)
 
 
 def page_pairs(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
