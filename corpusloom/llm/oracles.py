@@ -17,7 +17,7 @@ OP7 = rf"""with d as (select doc_id, coalesce(source, '') as host, coalesce(text
     own as (select doc_id, host, line, len({WORDS.format("line")}) as n, trim(regexp_replace(regexp_replace(lower(line), '[0-9]+', '0', 'g'), '[ \t\n\x0b\f\r]+', ' ', 'g')) as k from l),
     dup as (select doc_id, count(*) - count(distinct line) as n from own where n > 0 group by 1),
     freq as (select host, k, count(distinct doc_id) as docs from own where n > 0 group by 1, 2),
-    cut as (select f.host, f.k from freq f join (select host, count(*) as n from d group by 1) t on t.host = f.host where docs > 20 and docs > 0.2 * t.n),
+    cut as (select f.host, f.k from freq f join (select host, count(distinct doc_id) as n from d group by 1) t on t.host = f.host where docs > 20 and docs > 0.001 * t.n),
     gone as (select doc_id, sum(n) as n from own join cut using (host, k) group by 1),
     f as (select d.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, len(regexp_extract_all(text, '[#*$%&|<>]')) as n_symbols, coalesce(dup.n, 0) as n_dup_lines, coalesce(rep.n, 0) as n_repeat_words, coalesce(gone.n, 0) as n_removed_words
         from d left join dup on dup.doc_id = d.doc_id left join rep on rep.doc_id = d.doc_id left join gone on gone.doc_id = d.doc_id)

@@ -1,7 +1,7 @@
 """Quality rules: figures of each text, and lines that many documents of a host share.
 
-Lines are normalised and hashed; a line's count is the number of documents of its host that hold it. Lines above the
-limits are removed, and a document of which too little is left is rejected.
+Lines are normalised and hashed; a line's count is the number of different documents of its host that hold it. Lines
+above the limits are removed, and a document of which too little is left is rejected.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from .common import SPACE, fresh, let
 
 #: A line is removed when more documents of its host hold it than MIN_DOCS and than MAX_SHARE of the host's documents.
-MIN_DOCS, MAX_SHARE = 20, 0.2
+MIN_DOCS, MAX_SHARE = 20, 0.001
 #: A document is depleted when less than this share of its words is left.
 MIN_LEFT = 0.3
 #: Fixed values of the base rules.
@@ -67,33 +67,49 @@ def figures(docs: DataFrame) -> DataFrame:
     )
 
 
+def host_of(host: str) -> Column:
+    return F.coalesce(F.col(host).cast("string"), F.lit(""))
+
+
+def own_lines(text: str = "text") -> Column:
+    """The lines that hold a word, by their hash, with their words."""
+    lines = F.transform(F.split(text, "\n", -1), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n")))
+    return F.filter(lines, lambda x: x["n"] > 0)
 
 
 def frequent_lines(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE) -> DataFrame:
-    """host, line and docs of the lines above the limits; every row of docs counts once for each of its lines."""
-    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(" \t\n\x0b\f\r"))) > 0), lambda x: F.xxhash64(normal_line(x))))
-    host_ = F.coalesce(F.col(host).cast("string"), F.lit(""))
-    counts = docs.select(host_.alias("host"), F.explode(lines).alias("line")).groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
-    totals = docs.groupBy(host_.alias("host")).agg(F.count("*").alias("of"))
+    """host, line and docs of the lines above the limits; rows of one doc_id are one document, also those without."""
+    lines = docs.select(host_of(host).alias("host"), "doc_id", F.explode(F.array_distinct(F.transform(own_lines(), lambda x: x["line"]))).alias("line"))
+    # a frequent line's rows are dealt out by document first, so that no task counts all of them
+    counts = lines.distinct().groupBy("host", "line").agg(F.count("*").alias("docs")).where(F.col("docs") > min_docs)
+    totals = docs.select(host_of(host).alias("host"), "doc_id").distinct().groupBy("host").agg(F.count("*").alias("of"))
     return counts.join(totals, "host").where(F.col("docs") > max_share * F.col("of")).select("host", "line", "docs")
 
 
-def removable_words(docs: DataFrame, frequent: DataFrame, host: str = "source") -> DataFrame:
-    """doc_id and the words that go when frequent lines are removed; only documents that hold such lines."""
-    held = F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.xxhash64(normal_line(x)).alias("line"), F.size(words(x)).alias("n"))), lambda x: x["n"] > 0)
-    lines = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("")).alias("host"), F.explode(held).alias("x")).select("doc_id", "host", "x.line", "x.n")
-    return lines.join(frequent.select("host", "line"), ["host", "line"]).groupBy("doc_id").agg(F.sum("n").alias("removed"))
+def keyed(docs: DataFrame, names: list[str], host: str) -> DataFrame:
+    """docs and two hashes of what a row's lines depend on; rows of equal hashes are equal in it."""
+    one, two = names
+    return docs.withColumns({one: F.xxhash64("doc_id", host_of(host), "text"), two: F.xxhash64("text", F.lit(1), host_of(host), "doc_id")})
+
+
+def removable_words(docs: DataFrame, frequent: DataFrame, names: list[str], host: str = "source") -> DataFrame:
+    """The hashes of each row that holds frequent lines, and the words that go when these are removed from it."""
+    lines = keyed(docs, names, host).select(*names, host_of(host).alias("host"), F.posexplode(own_lines()).alias("at", "x")).select(*names, "host", "at", "x.line", "x.n")
+    # repeated rows give the same lines at the same places
+    found = lines.join(frequent.select("host", "line"), ["host", "line"]).groupBy(*names).agg(F.collect_set(F.struct("at", "n")).alias("gone"))
+    return found.select(*names, F.aggregate("gone", F.lit(0).cast("long"), lambda a, x: a + x["n"]).alias("removed"))
 
 
 def judge(docs: DataFrame, host: str = "source", min_docs: int = MIN_DOCS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row a document: the figures, n_removed_words, base_failed and kept.
 
     kept is false if base_failed, or if removing lines above the limits leaves less than min_left of the words. Null
-    text has no words and fails; a null host is a host of its own; rows of one doc_id share what is removed from them;
-    further columns of docs are left out. An empty table gives no rows.
+    text has no words and fails; a null host is a host of its own. Every row loses its own lines alone; repeated rows
+    and rows of one doc_id are one document where documents are counted, and all rows without a doc_id are another.
+    Further columns of docs are left out. An empty table gives no rows.
     """
-    base = figures(docs.select("doc_id", F.col(host).alias("host"), "text")).drop("host", "text")
-    rows = docs.select("doc_id", F.col(host).alias("host"), "text")
-    removed = removable_words(rows, frequent_lines(rows, "host", min_docs, max_share), "host").withColumnRenamed("doc_id", "id")
-    out = base.join(removed, F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id").withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long")).drop("removed")
+    rows, names = docs.select("doc_id", F.col(host).alias("host"), "text"), ["row_one", "row_two"]
+    base = figures(keyed(rows, names, "host")).drop("host", "text")
+    removed = removable_words(rows, frequent_lines(rows, "host", min_docs, max_share), names, "host")
+    out = base.join(removed, names, "left").drop(*names).withColumn("n_removed_words", F.coalesce("removed", F.lit(0)).cast("long")).drop("removed")
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_words") - F.col("n_removed_words") >= min_left * F.col("n_words")))
