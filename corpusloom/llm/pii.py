@@ -8,6 +8,7 @@ characters it stands for; what the patterns find in the rewritten text is mapped
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 from copy import copy
 
@@ -34,26 +35,35 @@ LOOK_ALIKE = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "К": "K", "М": "M", "О": "O", "Р": "P", "Т": "T", "Х": "X",
     "ο": "o", "α": "a", "ν": "v", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X",
 }
-#: And the full-width forms of the ASCII characters.
-FOLD = str.maketrans(LOOK_ALIKE | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)})
-FOLDED = re.compile("[" + "".join(LOOK_ALIKE) + "！-～]")
+#: And the full-width forms of the ASCII characters, and the decimal digits of all scripts.
+FOLD = str.maketrans(LOOK_ALIKE | {chr(c): str(unicodedata.decimal(chr(c))) for c in range(128, 0x20000) if chr(c).isdecimal()} | {chr(c + 0xFEE0): chr(c) for c in range(0x21, 0x7F)})
+FOLDED = re.compile("[" + "".join(LOOK_ALIKE) + r"！-～]|(?![0-9])\d")
 INVISIBLE = re.compile("[­​-‍⁠﻿]+")
-#: Spelled digits.
-SPELLED = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_DIGIT = "(?:" + "|".join(SPELLED) + ")"
-_AT = r"(?:\s*[\[({]\s*(?:at|@)\s*[\])}]\s*)"
-_DOT = r"(?:\s*[\[({]\s*(?:dot|\.)\s*[\])}]\s*)"
-NUMBER = re.compile(rf"\b(?:plus\s+)?{_DIGIT}(?:[\s,-]{{1,3}}(?:dot\s+)?{_DIGIT}){{3,}}\b", re.I)
+#: Spelled digits in English, German, French and Spanish.
+SPELLED = {
+    "zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9",
+    "null": "0", "eins": "1", "zwei": "2", "zwo": "2", "drei": "3", "vier": "4", "fünf": "5", "sechs": "6", "sieben": "7", "acht": "8", "neun": "9",
+    "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
+    "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
+}
+#: Words for the signs of numbers and addresses in the same languages.
+PLUS, AT, DOT = ("plus", "más"), ("at", "arroba", "arobase"), ("dot", "punkt", "point", "punto")
+_any = lambda words: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
+_DIGIT, _PLUS = _any(SPELLED), _any(PLUS)
+_AT = rf"(?:\s*[\[({{]\s*(?:{_any(AT)}|@)\s*[\])}}]\s*)"
+_DOT = rf"(?:\s*[\[({{]\s*(?:{_any(DOT)}|\.)\s*[\])}}]\s*)"
+NUMBER = re.compile(rf"\b(?:{_PLUS}\s+)?{_DIGIT}(?:[\s,-]{{1,3}}(?:{_any(DOT)}\s+)?{_DIGIT}){{3,}}\b", re.I)
 #: Runs that also hold numbers in digits; of these only runs with a word are rewritten.
-MIXED = re.compile(rf"\b(?:plus\s+)?(?:{_DIGIT}|[0-9]++)(?:(?:\.|[\s,-]{{1,3}}(?:dot\s+)?)(?:{_DIGIT}|[0-9]++))+\b", re.I)
-LETTER = re.compile("[a-z]", re.I)
-ADDRESS = re.compile(rf"[A-Za-z0-9_%+-]{{1,64}}(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9_%+-]{{1,64}}){{0,8}}(?P<at>{_AT}|\sat\s|@)[A-Za-z0-9-]{{1,64}}(?:(?:\.|{_DOT}|\sdot\s)[A-Za-z0-9-]{{1,64}}){{1,8}}", re.I)
+MIXED = re.compile(rf"\b(?:{_PLUS}\s+)?(?:{_DIGIT}|[0-9]++)(?:(?:\.|[\s,-]{{1,3}}(?:{_any(DOT)}\s+)?)(?:{_DIGIT}|[0-9]++))+\b", re.I)
+LETTER = re.compile(r"[^\W\d_]")
+#: What addresses are made of, in one pass over the text: signs in words or brackets, words, and all else.
+TOKEN = re.compile(rf"(?P<at>{_AT}|\s{_any(AT)}\s|@)|(?P<dot>{_DOT}|\s{_any(DOT)}\s|\.)|(?P<word>[A-Za-z0-9_%+-]+)|(?P<other>[^A-Za-z0-9_%+@.\s(\[{{-]+|[\s\S])", re.I)
+HOST = re.compile("[A-Za-z0-9-]+")
 #: Words that follow `dot` in sentences and are no ending of any domain; a bare `at` is believed with other endings.
 NO_ENDING = frozenset("of on or and the an that which who where when with from for but then than into onto over under was were are has had".split())
-#: Every bracketed `at` or `dot` begins like this.
-BRACKET = re.compile(r"[\[({]\s*(?:at|@|dot|\.)", re.I)
-PARTS = re.compile(rf"(?P<at>{_AT}|\sat\s)|(?P<dot>{_DOT}|\sdot\s)", re.I)
-WORDS = re.compile(rf"plus\s+|{_DIGIT}|dot|\.|[0-9]+|[\s,-]+", re.I)
+#: Words or brackets without which a text has no disguised sign.
+SIGNS = re.compile(rf"{_any(DOT)}|[\[({{]\s*(?:{_any(AT)}|@|\.)", re.I)
+WORDS = re.compile(rf"{_PLUS}\s+|{_DIGIT}|{_any(DOT)}|\.|[0-9]+|[\s,-]+", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -114,13 +124,30 @@ class Rewritten:
 
 
 def _address_edits(text: str) -> list[tuple[int, int, str]]:
-    edits = []
-    for m in ADDRESS.finditer(text):
-        parts = list(PARTS.finditer(text, m.start(), m.end()))
+    """Signs to write for the disguised ones of addresses: words and dots, an `at`, then words with a dot at least."""
+    tokens = [(m.lastgroup, m.start(), m.end()) for m in TOKEN.finditer(text)]
+    edits, last = [], 0
+    for k, (kind, start, end) in enumerate(tokens):
+        if kind != "at" or not last < k < len(tokens) - 1 or tokens[k - 1][0] != "word":
+            continue
+        first = k - 1
+        while first - 2 >= last and tokens[first - 1][0] == "dot" and tokens[first - 2][0] == "word":
+            first -= 2
+        stop, host_end = k, end  # the domain's last token, and where it ends in the text
+        while stop + 1 < len(tokens) and tokens[stop + 1][0] == "word" and (stop == k or host_end == tokens[stop][1]) and (m := HOST.match(text, tokens[stop + 1][1], tokens[stop + 1][2])):
+            stop, host_end = stop + 1, m.end()
+            if host_end == tokens[stop][2] and stop + 2 < len(tokens) and tokens[stop + 1][0] == "dot" and tokens[stop + 2][0] == "word" and HOST.match(text, tokens[stop + 2][1]):
+                stop, host_end = stop + 1, tokens[stop + 1][1]
+        dots = [t for t in tokens[first : stop + 1] if t[0] == "dot"]
+        if stop - k < 3:
+            continue
+        written = lambda t: text[t[1] : t[2]] in ("@", ".")
+        ending = text[tokens[stop][1] : host_end].lower().rsplit("-", 1)[-1]
+        bare = text[start:end].strip().lower() in AT
         # a bare word `at` counts only with a disguised dot and an ending of letters: "meet us at example.com" is no address
-        end = re.split(r"[\W_]+", m[0].lower())[-1]
-        if parts and (m["at"].strip().lower() != "at" or any(p["dot"] for p in parts) and len(end) > 1 and end.isalpha() and end not in NO_ENDING):
-            edits += [(p.start(), p.end(), "@" if p["at"] else ".") for p in parts if not p["at"] or p.start() == m.start("at")]
+        if not bare or any(not written(t) for t in dots) and len(ending) > 1 and ending.isalpha() and ending not in NO_ENDING:
+            edits += [(t[1], t[2], "@" if t[0] == "at" else ".") for t in tokens[first : stop + 1] if t[0] != "word" and not written(t)]
+            last = stop
     return edits
 
 
@@ -128,7 +155,7 @@ def _number_edits(text: str, pattern: re.Pattern = NUMBER) -> list[tuple[int, in
     edits = []
     for m in pattern.finditer(text):
         if LETTER.search(m[0]):
-            new = "".join("+" if (w := x.lower())[:4] == "plus" else SPELLED.get(w, "." if w in ("dot", ".") else w if w.isdigit() else "") for x in WORDS.findall(m[0]))
+            new = "".join("+" if (w := x.lower()).strip() in PLUS else SPELLED.get(w, "." if w == "." or w in DOT else w if w.isdigit() else "") for x in WORDS.findall(m[0]))
             if new.count(".") == 3 or sum(c.isdigit() for c in new) >= 9:
                 edits.append((m.start(), m.end(), new))
     return edits
@@ -139,7 +166,7 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
 
     Numbers are read twice: as runs of words alone, then with digits among them, as digits beside a run may be no part of it."""
     strange = not text.isascii() and bool(FOLDED.search(text) or INVISIBLE.search(text))
-    worded = "dot" in text.lower() or bool(BRACKET.search(text))
+    worded = bool(SIGNS.search(text))
     if not (strange or worded or _number_edits(text, MIXED) or _number_edits(text)):
         return []
     base = Rewritten(text)

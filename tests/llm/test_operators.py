@@ -148,6 +148,29 @@ def test_frequent_lines_deplete_documents_of_their_host(spark):
     assert all(r["kept"] for r in rules.judge(other).collect())
 
 
+def test_repeated_rows_lose_their_own_lines(spark):
+    """Against brute force: rows of one doc_id, of none, and equal rows are judged alone, and count as one document."""
+    import random
+
+    draw = random.Random(9)
+    pool = [" ".join(f"l{k}w{j}" for j in range(1 + k % 4)) for k in range(12)]
+    rows = [(k, "\n".join(draw.choice(pool) for _ in range(draw.randint(0, 6))) + f"\nown {k} of 7", draw.choice(["a", "b", None])) for k in range(60)]
+    rows = [*rows, *rows[:5], *rows[:5], *[(None, t, h) for _, t, h in rows[:9]], (3, "other text\n" + pool[0], "a"), (70, None, "a"), (71, "", "b")]
+    normal = lambda x: " ".join(re.sub("[0-9]+", "0", x.lower()).split())
+    held, hosts = defaultdict(set), defaultdict(set)
+    for i, text, host in rows:
+        hosts[host].add(i)
+        for line in (text or "").split("\n"):
+            if line.split():
+                held[host, normal(line)].add(i)
+    frequent = {k for k, ids in held.items() if len(ids) > 5 and len(ids) > 0.3 * len(hosts[k[0]])}
+    gone = lambda text, host: sum(len(x.split()) for x in (text or "").split("\n") if (host, normal(x)) in frequent)
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    found = rules.judge(df, min_docs=5, max_share=0.3).collect()
+    expected = Counter((i, len((t or "").split()), gone(t, h)) for i, t, h in rows)
+    assert frequent and Counter((r["doc_id"], r["n_words"], r["n_removed_words"]) for r in found) == expected
+
+
 # language --------------------------------------------------------------------------------------------------------------
 
 
@@ -155,7 +178,7 @@ def test_language_of_held_out_texts(spark, odd):
     words = {"en": "the house and river of green stone with many old trees".split(), "de": "das haus und der fluss aus grünem stein mit vielen bäumen".split()}
     rows = [(k, " ".join(words[lang][(k * 7 + j * j) % 11] for j in range(25)), lang) for k in range(80) for lang in words]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    learned = langid.learn(docs.where("doc_id % 3 <> 1"), sample_docs=20)
+    learned = langid.learn(docs.where("doc_id % 3 <> 1"), dictionary_bytes=4000)
     assert set(learned) == {"en", "de"}
     found = langid.identify(docs.where("doc_id % 3 = 1").withColumn("doc_id", F.when(F.col("lang") == "en", 0).otherwise(1).cast("long")), learned).collect()
     assert all(r["lang_pred"] == ("en", "de")[r["doc_id"]] for r in found)
@@ -221,6 +244,16 @@ def test_disguises_map_to_the_source(text, kind, part):
         ("reach bob at example dot test", "email", "bob at example dot test"),
         ("john dot smith at example.dev", "email", "john dot smith at example.dev"),
         ("jane [  at\t] example.app", "email", "jane [  at\t] example.app"),
+        ("jane at example dot academy", "email", "jane at example dot academy"),
+        ("x" * 90 + " at " + "y" * 80 + " dot org", "email", "x" * 90 + " at " + "y" * 80 + " dot org"),
+        ("a.b.c.d.e.f.g.h.i.j.k (at) l.m.n.o.p.q.r.s.t.u.v.com", "email", "a.b.c.d.e.f.g.h.i.j.k (at) l.m.n.o.p.q.r.s.t.u.v.com"),
+        ("juan arroba ejemplo punto es", "email", "juan arroba ejemplo punto es"),
+        ("jean (arobase) exemple point fr", "email", "jean (arobase) exemple point fr"),
+        ("ruf plus vier neun eins fünf eins zwei drei vier fünf sechs an", "phone", "plus vier neun eins fünf eins zwei drei vier fünf sechs"),
+        ("au plus trois trois un quatre deux zéro neuf huit sept six ok", "phone", "plus trois trois un quatre deux zéro neuf huit sept six"),
+        ("al más tres cuatro nueve uno dos cinco seis siete ocho cero ya", "phone", "más tres cuatro nueve uno dos cinco seis siete ocho cero"),
+        ("card ٤١١١ ١١١١ ١١١١ ١١١١ ok", "card", "٤١١١ ١١١١ ١١١١ ١١١١"),
+        ("ip १०.०.०.१ here", "ip", "१०.०.०.१"),
     ],
 )
 def test_disguises_pass_the_gates(text, kind, part):
@@ -232,6 +265,44 @@ def test_numbers_beside_words_are_no_disguise():
         assert pii.disguised(text, pii.plain(text)) == [], text
 
 
+def test_disguises_in_the_corpus_are_found():
+    """Planted disguises of every kind, in prose: nine of ten at least are found where they are, and clean texts stay clean."""
+    import random
+
+    draw, word = random.Random(8), lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randint(3, 9)))
+    spoken = {"0": "zero", "1": "one", "2": "two", "3": "three", "4": "four", "5": "five", "6": "six", "7": "seven", "8": "eight", "9": "nine"}
+    spell = lambda s: " ".join(spoken.get(c, "plus") for c in s)
+    makers = [
+        lambda: (f"{word()} (at) {word()} [dot] {word()}", "email"),
+        lambda: (f"{word()}.{word()} at {word()} dot com", "email"),
+        lambda: (f"{word()}＠{word()}．org", "email"),
+        lambda: (f"{word()}o@{word()}.net".replace("o", "о"), "email"),
+        lambda: (spell("+4915" + "".join(draw.choice("0123456789") for _ in range(7))), "phone"),
+        lambda: (" dot ".join(str(draw.randint(0, 255)) for _ in range(4)), "ip"),
+        lambda: (spell("4111111111111111"), "card"),
+        lambda: ("4111 1111 1111 1111".translate({ord("0") + k: chr(0xFF10 + k) for k in range(10)}), "card"),
+    ]
+    hits = total = 0
+    for k in range(400):
+        planted, kind = makers[k % len(makers)]()
+        before, after = (" ".join(word() for _ in range(30)) for _ in range(2))
+        text = f"{before}, {planted}; {after}"
+        at = len(before) + 2
+        hits += any(s <= at + 1 and e >= at + len(planted) - 1 and x == kind for s, e, x in pii.disguised(text, pii.plain(text)))
+        total += 1
+        assert pii.disguised(f"{before}. {after}", []) == []
+    assert hits >= 0.9 * total, (hits, total)
+
+
+def test_long_texts_are_scanned_in_one_pass():
+    import time
+
+    began = time.time()
+    for text in ("a dot " * 60000, "a." * 150000 + " (at) b", "x" * 400000 + " at y", "(at) " * 60000, "one 1 " * 60000):
+        pii.disguised(text, pii.plain(text))
+    assert time.time() - began < 30
+
+
 def test_clean_texts_have_no_spans():
     for text in ("meet us at example.com", "one day at the dot of noon", "two of three people, four times", PROSE, "polka dot dress at home"):
         assert pii.disguised(text, []) == [] and pii.plain(text) == []
@@ -341,6 +412,21 @@ def test_components_equal_brute_force(spark):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == slow_classes(texts)
 
 
+@pytest.mark.parametrize("leaf", [2, 3, 16])
+def test_tree_join_finds_every_pair_that_may_link(monkeypatch, leaf):
+    import numpy as np
+
+    monkeypatch.setattr(jaccard, "LEAF", leaf)
+    draw = np.random.default_rng(6)
+    for n in (1, 2, 5, 70):
+        base = draw.integers(0, 1 << 62, 400).astype(np.uint64)
+        sets = [np.unique(np.concatenate([base[: draw.integers(1, 400)], draw.integers(0, 1 << 62, draw.integers(0, 30)).astype(np.uint64)])) for _ in range(n)]
+        points, sizes = jaccard.Points([jaccard.point_of(h) for h in sets]), np.array([len(h) for h in sets])
+        found = {tuple(sorted(p)) for x, y in jaccard.tree_join(points, sizes) for p in zip(x.tolist(), y.tolist(), strict=True)}
+        links = {(a, b) for b in range(n) for a in range(b) if 100 * (same := len(np.intersect1d(sets[a], sets[b]))) >= 85 * (len(sets[a]) + len(sets[b]) - same)}
+        assert links <= found and (n < 70 or len(links) > 50)
+
+
 def test_large_pages_are_joined_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "BLOCK", 4)
     common = [f"c{k}" for k in range(60)]
