@@ -10,10 +10,14 @@ from pyspark.sql import functions as F
 
 
 def keep(df: DataFrame) -> DataFrame:
-    """The table written to the folder in spark.checkpoint.dir (one of this session's own where it is unset) and read again."""
+    """The table written to the folder in spark.checkpoint.dir and read again.
+
+    Where that is unset a local session takes a temporary folder, and a cluster is an error, as its machines share none."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="corpusloom-")
-    path = f"{root}/table-{uuid.uuid4().hex}"
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    path = f"{root or tempfile.mkdtemp(prefix='corpusloom-')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

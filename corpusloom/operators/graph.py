@@ -72,11 +72,17 @@ def resolve_relations(relations: DataFrame) -> DataFrame:
     return found.withColumn("status", F.when(F.col("confidence") >= AUTO, "auto").otherwise("pending"))
 
 
-def gate_graph(relations: DataFrame, per_chunk: int = 120) -> DataFrame:
-    """Relations of enough confidence, the best per_chunk of a chunk, auto or pending."""
-    order = Window.partitionBy("doc_id", "chunk_index").orderBy(F.desc("confidence"), "src", "dst", "type")
-    kept = relations.where(F.col("confidence") >= LEAST).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_chunk).drop("_k")
-    return kept.withColumn("status", F.when(F.col("confidence") >= AUTO, "auto").otherwise("pending"))
+def gate_graph(relations: DataFrame, per_chunk: int = 120, entities: int = 80) -> DataFrame:
+    """Relations of enough confidence, the best per_chunk of a chunk, auto or pending; of a chunk's entities only the first
+    (by their best relation) count, entities at most, and relations of others go."""
+    own = Window.partitionBy("doc_id", "chunk_index")
+    order = own.orderBy(F.desc("confidence"), "src", "dst", "type")
+    kept = relations.where(F.col("confidence") >= LEAST).withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_chunk)
+    # at most per_chunk relations a chunk are left, so its names fit in an array
+    names = F.transform(F.array_sort(F.collect_list(F.struct("_k", "src", "dst")).over(own)), lambda r: F.array(r["src"], r["dst"]))
+    first = F.slice(F.array_distinct(F.flatten(names)), 1, entities)
+    held = kept.withColumn("_names", first).where(F.array_contains("_names", F.col("src")) & F.array_contains("_names", F.col("dst"))).drop("_k", "_names")
+    return held.withColumn("status", F.when(F.col("confidence") >= AUTO, "auto").otherwise("pending"))
 
 
 def graph_counts(relations: DataFrame) -> DataFrame:
@@ -96,14 +102,19 @@ def list_relations(relations: DataFrame, status: str | None = None, name: str |
     return found if name is None else found.where((F.col("src") == name) | (F.col("dst") == name))
 
 
-def graph_topk(questions: DataFrame, relations: DataFrame, allowed: DataFrame, k: int) -> DataFrame:
-    """The k best relations of documents in allowed for each question (terms): 2 for each end that a term names, 0.25 for
-    each term in the evidence."""
-    asked = questions.select("question_id", F.explode("terms").alias("term"), "terms")
-    visible = relations.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    ends = visible.select(F.explode(F.array_distinct(F.array(F.lower("src"), F.lower("dst")))).alias("term"), "src", "dst", "type", "doc_id", "chunk_index", "evidence")
-    hits = asked.join(ends, "term").groupBy("question_id", "src", "dst", "type", "doc_id", "chunk_index").agg((2.0 * F.count("*") + 0.25 * F.max(F.size(F.filter("terms", lambda t: F.contains(F.lower("evidence"), t))))).alias("score"))
-    return hits.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id", "chunk_index", "src", "dst", "type"))).where(F.col("rank") <= k)
+def graph_topk(questions: DataFrame, relations: DataFrame, access: DataFrame, k: int) -> DataFrame:
+    """The k best relations of documents that the asker may see, for each question (user_id, terms, named): 2 for each end
+    that a term names, 0.25 for each term in the evidence, 0.2 of the confidence, 0.1 if it is accepted.
+
+    A question that names entities gets relations with one of them alone. access: user_id, doc_id."""
+    asked = questions.select("question_id", "user_id", F.explode("terms").alias("term"), "terms", "named")
+    ends = relations.select(F.explode(F.array_distinct(F.array(F.lower("src"), F.lower("dst")))).alias("term"), "src", "dst", "type", "doc_id", "chunk_index", "evidence", "confidence", "status")
+    hits = asked.join(ends, "term").join(access.select("user_id", "doc_id").distinct(), ["user_id", "doc_id"])
+    strict = (F.size("named") == 0) | F.array_contains("named", F.lower("src")) | F.array_contains("named", F.lower("dst"))
+    both = hits.where(strict).groupBy("question_id", "src", "dst", "type", "doc_id", "chunk_index", "evidence", "confidence", "status", "terms").agg(F.count("*").alias("ends"))
+    score = 2.0 * F.col("ends") + 0.25 * F.size(F.filter("terms", lambda t: F.contains(F.lower("evidence"), t))) + 0.2 * F.col("confidence") + F.when(F.col("status").isin("auto", "approved"), 0.1).otherwise(0.0)
+    scored = both.select("question_id", "src", "dst", "type", "doc_id", "chunk_index", F.round(score, 6).alias("score"))
+    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id", "chunk_index", "src", "dst", "type"))).where(F.col("rank") <= k)
 
 
 def graph_overview(entities: DataFrame, relations: DataFrame) -> DataFrame:
@@ -120,13 +131,26 @@ def apply_reviews(relations: DataFrame, reviews: DataFrame) -> DataFrame:
     return relations.join(reviews, ["src", "dst", "type", "doc_id"], "left").withColumn("status", F.coalesce("new_status", "status")).drop("new_status")
 
 
-def extract_graph(chunks: DataFrame, rules: list, chunks_per_doc: int = 80, least: int = 20) -> DataFrame:
-    """Gated relations from the first chunks of each document that are long enough, with how many chunks were skipped."""
-    early = chunks.where(F.col("chunk_index") < chunks_per_doc)
-    fit = early.where(F.length("content") >= least).withColumn("content", F.left("content", F.lit(3000)))
-    found = gate_graph(extract_rule_graph(fit, rules)).groupBy("doc_id").agg(F.count("*").alias("relations"))
+def extract_graph(chunks: DataFrame, rules: list, chunks_per_doc: int = 80, least: int = 20, chars: int = 3000) -> DataFrame:
+    """Relations found in, and chunks skipped of, each document (see graph_of), with whether anything was found."""
+    found = graph_of(chunks, rules, None, chunks_per_doc, least, chars).groupBy("doc_id").agg(F.count("*").alias("relations"))
     skipped = chunks.groupBy("doc_id").agg(F.count_if((F.col("chunk_index") >= chunks_per_doc) | (F.length("content") < least)).alias("skipped"))
-    return skipped.join(found, "doc_id", "left").fillna(0, ["relations"])
+    return skipped.join(found, "doc_id", "left").fillna(0, ["relations"]).withColumn("status", F.when(F.col("relations") > 0, "extracted").otherwise("empty"))
+
+
+def graph_of(chunks: DataFrame, rules: list, rows: DataFrame | None = None, chunks_per_doc: int = 80, least: int = 20, chars: int = 3000) -> DataFrame:
+    """Gated relations of documents: of their rows (as extract_row_graph takes them) where they have some, else of the first
+    chunks_per_doc chunks of least characters or more, chars of each at most. These bounds are the extraction's own."""
+    fit = chunks.where((F.col("chunk_index") < chunks_per_doc) & (F.length("content") >= least)).withColumn("content", F.left("content", F.lit(chars)))
+    if rows is None:
+        return gate_graph(extract_rule_graph(fit, rules))
+    texts = extract_rule_graph(fit.join(rows.select("doc_id").distinct(), "doc_id", "left_anti"), rules)
+    return gate_graph(extract_row_graph(rows).unionByName(texts, allowMissingColumns=True))
+
+
+def replace_graph(graph: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
+    """graph with the relations of docs (doc_id) replaced by the new ones."""
+    return graph.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
 
 
 def relation_view(relations: DataFrame, docs: DataFrame, labels: dict[str, str]) -> DataFrame:

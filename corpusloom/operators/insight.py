@@ -117,14 +117,27 @@ def message_view(messages: DataFrame) -> DataFrame:
     return messages.select("session_id", "turn", F.size(own).alias("sources"), ((F.size(own) > 0) & F.forall(own, lambda s: F.endswith(s, F.lit("0")))).alias("overview"))
 
 
-def evaluate(cases: DataFrame, contexts: DataFrame) -> DataFrame:
-    """case_id, check and passed for every expectation.
-
-    cases: case_id, check (must_include, must_not_include: a document among the first top_n; must_match: a word in a
-    context), arg and top_n; contexts: case_id, rank, document, content."""
-    both = cases.join(contexts, "case_id", "left")
+def evaluate(cases: DataFrame, contexts: DataFrame, profiles: DataFrame) -> DataFrame:
+    """case_id, check, arg and passed for every expectation.
+
+    cases: case_id, check, arg and top_n. Checks look at the first top_n contexts (case_id, rank, document, title, content,
+    signals): top_doc (the first one's document), must_include and must_not_include (a document), must_match (a word in a
+    content), title_group and content_group (one of several words, bars between them), signal; at how many contexts there
+    are (max_contexts); and at profiles (case_id, profile)."""
+    counts = contexts.groupBy("case_id").agg(F.count("*").alias("contexts"))
+    both = cases.join(contexts, "case_id", "left").join(counts, "case_id", "left").join(profiles.select("case_id", "profile"), "case_id", "left")
     near = F.coalesce(F.col("rank") <= F.col("top_n"), F.lit(False))
-    hit = first_of([(F.col("check") == "must_match", near & F.coalesce(F.contains("content", F.col("arg")), F.lit(False)))], near & F.coalesce(F.col("document") == F.col("arg"), F.lit(False)))
+    group = lambda c: F.exists(F.split("arg", r"\|"), lambda w: F.contains(F.lower(c), w))
+    kinds = {
+        "top_doc": (F.col("rank") == 1) & (F.col("document") == F.col("arg")),
+        "must_match": near & F.contains("content", F.col("arg")),
+        "title_group": near & group("title"),
+        "content_group": near & group("content"),
+        "signal": near & F.array_contains("signals", F.col("arg")),
+        "max_contexts": F.coalesce("contexts", F.lit(0)) <= F.try_to_number("arg", F.lit("999999")),
+        "profile": F.col("profile") == F.col("arg"),
+    }
+    hit = first_of([(F.col("check") == k, F.coalesce(c, F.lit(False))) for k, c in kinds.items()], near & F.coalesce(F.col("document") == F.col("arg"), F.lit(False)))
     found = both.groupBy("case_id", "check", "arg").agg(F.bool_or(hit).alias("hit"))
     return found.select("case_id", "check", "arg", F.when(F.col("check") == "must_not_include", ~F.col("hit")).otherwise(F.col("hit")).alias("passed"))
 
@@ -135,12 +148,22 @@ def suite_report(results: DataFrame) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), F.count_if("passed").alias("passed")).withColumn("rate", F.col("passed") / F.col("cases"))
 
 
+def suite_failures(results: DataFrame, contexts: DataFrame, n: int = 5) -> DataFrame:
+    """case_id, the checks that failed and the documents of the first n contexts, for each case that failed."""
+    failed = results.where("not passed").groupBy("case_id").agg(F.array_join(F.array_sort(F.collect_set(F.concat_ws(":", "check", "arg"))), ",").alias("failed"))
+    first = contexts.where(F.col("rank") <= n).groupBy("case_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "document"))), lambda x: x["document"]), ",").alias("documents"))
+    return failed.join(first, "case_id", "left").fillna("", ["documents"])
+
+
 def evaluate_answers(cases: DataFrame, answers: DataFrame) -> DataFrame:
-    """errors of each answer: required words it lacks, forbidden ones it has, too short, too long; joined by commas."""
-    both = cases.join(answers, "case_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
+    """errors of each answer, joined by commas: required words it lacks, forbidden ones it has, too short, too long, and
+    entries of the case's meta (a map) that the answer's meta hasn't."""
+    both = cases.withColumnRenamed("meta", "wanted").join(answers, "case_id", "left").withColumn("answer", F.coalesce("answer", F.lit("")))
     missing = F.filter("required", lambda w: ~F.contains("answer", w))
     extra = F.filter("forbidden", lambda w: F.contains("answer", w))
-    errors = F.array_compact(F.concat(F.transform(missing, lambda w: F.concat(F.lit("missing:"), w)), F.transform(extra, lambda w: F.concat(F.lit("forbidden:"), w)), F.array(F.when(F.length("answer") < F.col("least"), "short"), F.when(F.length("answer") > F.col("most"), "long"))))
+    unlike = F.filter(F.array_sort(F.map_keys("wanted")), lambda k: ~F.coalesce(F.try_element_at("meta", k).eqNullSafe(F.element_at("wanted", k)), F.lit(False)))
+    named = lambda words, name: F.transform(words, lambda w: F.concat(F.lit(f"{name}:"), w))
+    errors = F.array_compact(F.concat(named(missing, "missing"), named(extra, "forbidden"), F.array(F.when(F.length("answer") < F.col("least"), "short"), F.when(F.length("answer") > F.col("most"), "long")), named(unlike, "meta")))
     return both.select("case_id", F.array_join(errors, ",").alias("errors"))
 
 
@@ -151,6 +174,13 @@ def evaluate_citations(citations: DataFrame, contexts: DataFrame) -> DataFrame:
     return both.groupBy("case_id", "document", "snippet").agg((F.count("content") == 0).alias("foreign"), (~F.coalesce(F.bool_or(F.contains("content", F.col("snippet"))), F.lit(False))).alias("absent"))
 
 
+def citation_counts(cases: DataFrame, citations: DataFrame) -> DataFrame:
+    """Citations of each case (case_id, least, most), and whether they are as many as it asks for."""
+    found = citations.groupBy("case_id").agg(F.count("*").alias("citations"))
+    both = cases.join(found, "case_id", "left").withColumn("citations", F.coalesce("citations", F.lit(0)))
+    return both.select("case_id", "citations", F.col("citations").between(F.col("least"), F.col("most")).alias("passed"))
+
+
 def evaluate_groups(cases: DataFrame, answers: DataFrame) -> DataFrame:
     """Passed cases of each category: an answer must hold a word of every group of equivalent ones."""
     both = cases.join(answers, "case_id")
@@ -215,6 +245,25 @@ def validate_feedback(feedback: DataFrame, messages: DataFrame, categories: list
     return both.select("feedback_id", first_of([(~F.col("rating").isin("up", "down"), "rating"), (~F.col("category").isin(*categories), "category"), (F.length("note") > 1000, "too_long"), (F.col("asker").isNull(), "no_answer"), (F.col("asker") != F.col("user_id"), "not_own")], None).alias("reason"))
 
 
+def task_list(tasks: DataFrame, docs: DataFrame, statuses: DataFrame) -> DataFrame:
+    """Tasks with their document's title and state (doc_id, state); those of documents that are gone have neither."""
+    both = tasks.join(docs.select("doc_id", "title"), "doc_id", "left").join(statuses.select("doc_id", "state"), "doc_id", "left")
+    return both.select("task_id", "status", "title", "state")
+
+
+def kind_mix(contexts: DataFrame) -> DataFrame:
+    """How many contexts of a question are of each kind."""
+    return contexts.groupBy("question_id", "kind").agg(F.count("*").alias("n"))
+
+
+def feedback_view(feedback: DataFrame, content: int = 180, question: int = 220, answer: int = 260) -> DataFrame:
+    """Feedback with content, question and answer clipped, the note (the review's where there is no other) clipped as the
+    content is, and its first two sources."""
+    clip = lambda c, n: F.left(F.trim(F.regexp_replace(c, r"\s+", " ")), F.lit(n))
+    note = F.coalesce(F.nullif(F.trim("admin_note"), F.lit("")), "review_note")
+    return feedback.select("feedback_id", clip("content", content).alias("content"), clip("question", question).alias("question"), clip("answer", answer).alias("answer"), clip(note, content).alias("note"), F.slice(source_list(F.col("sources")), 1, 2).alias("sources"))
+
+
 def overview(parts: dict[str, DataFrame]) -> DataFrame:
     """One row of the named one-row, one-number tables, and the names of those above zero among the risks."""
     out = None

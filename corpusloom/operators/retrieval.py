@@ -110,28 +110,39 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, slots: int = 32)
     return ranked(scored, k, "vec_id")
 
 
+def words_of(text: Column) -> Column:
+    """The different parts of a text between white space, in lower case."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[^\\s]+"), F.lit(0)))
+
+
+def held_words(terms: DataFrame, words: DataFrame) -> DataFrame:
+    """term and word of every pair of terms (term) and words (word) in which the word holds the term.
+
+    A term is joined with the words that hold its rarest trigram (or bigram, or character), then compared with them."""
+    gram = lambda c, n: F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c))), lambda i: F.substring(c, i, n)), lambda g: F.length(g) == n)
+    of_word = words.select("word").distinct().select("word", F.explode(F.array_distinct(F.concat(*[gram(F.col("word"), n) for n in (1, 2, 3)]))).alias("gram"))
+    counts = of_word.groupBy("gram").agg(F.count("*").alias("n"))
+    own = gram(F.col("term"), F.least(F.length("term"), F.lit(3)))
+    grams = terms.select("term").distinct().select("term", F.explode(F.array_distinct(own)).alias("gram"))
+    rarest = grams.join(counts, "gram").groupBy("term").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"), F.count("*").alias("found"), F.first(F.size(F.array_distinct(own))).alias("asked"))
+    return rarest.where("found = asked").join(of_word, "gram").where(F.contains("word", F.col("term"))).select("term", "word")
+
+
 def keyword_topk(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The k chunks of the best keyword score for each question (question_id, terms); chunks: doc_id, chunk_index, title, content.
 
     A term inside the content gives 0.12 + 0.10 * length / 12, inside the title 0.18 + 0.12 * length / 12 (12 characters
-    at most), coverage adds up to 0.22, and 0.96 is the most. Terms find chunks by whole words first: a term is joined
-    with the chunks that hold a word with the term's rarest trigram, then compared as a text."""
+    at most), coverage adds up to 0.22, and 0.96 is the most; of equal scores the one with more matched terms is first.
+    Terms are found in words, so those with a blank in them aren't found; texts are read once, to take words from."""
     asked = questions.select("question_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
-    terms = asked.select("term").distinct()
-    body = chunks.select("doc_id", "chunk_index", F.lower("title").alias("title"), F.lower("content").alias("body"))
-    words = body.select("doc_id", "chunk_index", F.explode(F.array_distinct(F.regexp_extract_all(F.concat_ws(" ", "body", "title"), F.lit("[^\\s]+"), F.lit(0)))).alias("word"))
-    vocabulary = words.select("word").distinct()
-    gram = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - 2)), lambda i: F.substring(c, i, 3))
-    of_word = vocabulary.select("word", F.explode(F.array_distinct(gram(F.col("word")))).alias("gram"))
-    counts = of_word.groupBy("gram").agg(F.count("*").alias("n"))
-    grams = terms.select("term", F.explode(F.array_distinct(gram(F.col("term")))).alias("gram"))
-    rarest = grams.join(counts, "gram", "left").groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"))
-    held = rarest.join(of_word, "gram").where(F.contains("word", F.col("term"))).select("term", "word")
-    found = words.join(held, "word").select("term", "doc_id", "chunk_index").distinct()
+    spread = lambda c, titled: chunks.select("doc_id", "chunk_index", F.lit(titled).alias("titled"), F.explode(words_of(F.col(c))).alias("word"))
+    words = spread("content", 0).unionByName(spread("title", 1))
+    found = words.join(held_words(asked, words), "word").groupBy("term", "doc_id", "chunk_index").agg((F.min("titled") == 0).alias("inside"), (F.max("titled") == 1).alias("titled"))
     size = F.least(F.length("term"), F.lit(12)) / 12
-    hits = asked.join(found, "term").join(body, ["doc_id", "chunk_index"]).select("question_id", "asked", "doc_id", "chunk_index", F.when(F.contains("body", F.col("term")), 0.12 + 0.10 * size).otherwise(0.0).alias("c"), F.when(F.contains("title", F.col("term")), 0.18 + 0.12 * size).otherwise(0.0).alias("t"))
-    scored = hits.groupBy("question_id", "doc_id", "chunk_index").agg(F.round(F.least(F.lit(0.96), F.sum(F.col("c") + F.col("t")) + F.least(F.lit(0.22), 0.22 * F.count("*") / F.first("asked"))), 6).alias("score"), F.count("*").alias("matched"))
-    return ranked(scored, k, "doc_id", "chunk_index")
+    gain = F.when(F.col("inside"), 0.12 + 0.10 * size).otherwise(0.0) + F.when(F.col("titled"), 0.18 + 0.12 * size).otherwise(0.0)
+    scored = asked.join(found, "term").groupBy("question_id", "doc_id", "chunk_index").agg(F.round(F.least(F.lit(0.96), F.sum(gain) + F.least(F.lit(0.22), 0.22 * F.count("*") / F.first("asked"))), 6).alias("score"), F.count("*").alias("matched"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("matched"), "doc_id", "chunk_index")
+    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def merge_unique(first: DataFrame, second: DataFrame, n: int) -> DataFrame:
@@ -147,11 +158,13 @@ def dedupe_contexts(contexts: DataFrame) -> DataFrame:
 
 
 def metadata_topk(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Documents by title for each question (question_id, terms, wants): 0.18, 0.24 a term in the title, 0.2 for the
-    extension that is asked for."""
-    words = docs.select("doc_id", "filename", F.lower("title").alias("title"), F.explode(F.array_distinct(F.split(F.lower("title"), "[^a-z0-9]+"))).alias("term"))
-    hits = questions.select("question_id", "wants", F.explode("terms").alias("term")).join(words, "term").groupBy("question_id", "wants", "doc_id", "filename").agg(F.count("*").alias("hits"))
-    score = 0.18 + 0.24 * F.col("hits") + F.when(F.endswith("filename", F.col("wants")), 0.2).otherwise(0.0)
+    """Documents by title and file name for each question (question_id, terms, wants, newest): 0.18, 0.16 a term of up to
+    four characters and 0.24 a longer one, 0.2 for the extension that is asked for, 0.18 if new ones are; 1 at most."""
+    words = docs.select("doc_id", "filename", F.explode(words_of(F.concat_ws(" ", "title", "filename"))).alias("word"))
+    asked = questions.select("question_id", "wants", "newest", F.explode("terms").alias("term"))
+    found = words.join(held_words(asked, words), "word").select("doc_id", "filename", "term").distinct()
+    hits = asked.join(found, "term").groupBy("question_id", "wants", "newest", "doc_id", "filename").agg(F.sum(F.when(F.length("term") <= 4, 0.16).otherwise(0.24)).alias("hits"))
+    score = F.least(F.lit(1.0), 0.18 + F.col("hits") + F.when(F.endswith("filename", F.col("wants")), 0.2).otherwise(0.0) + F.when(F.col("newest"), 0.18).otherwise(0.0))
     return ranked(hits.select("question_id", "doc_id", F.round(score, 6).alias("score")), k, "doc_id")
 
 
@@ -163,6 +176,15 @@ def title_matches(questions: DataFrame, docs: DataFrame) -> DataFrame:
     return found.select("question_id", "doc_id", F.least(F.lit(0.99), 0.86 + 0.01 * F.greatest(F.lit(0), F.length("title") - 4)).alias("score")).distinct()
 
 
+def title_contexts(matches: DataFrame, questions: DataFrame, chunks: DataFrame, n: int = 8) -> DataFrame:
+    """The n best chunks (doc_id, chunk_index, title, content) of the documents that a question names: 0.86, 0.015 a term
+    up to 0.12, 0.02 a term in the title up to 0.08, at most 0.99. They stay ahead of what other channels find."""
+    both = matches.select("question_id", "doc_id").join(questions.select("question_id", "terms"), "question_id").join(chunks.select("doc_id", "chunk_index", "title", "content"), "doc_id")
+    held = lambda c: F.size(F.filter("terms", lambda t: F.contains(F.lower(c), t)))
+    score = F.least(F.lit(0.99), 0.86 + F.least(F.lit(0.12), 0.015 * held(F.concat_ws(" ", "title", "content"))) + F.least(F.lit(0.08), 0.02 * held(F.col("title"))))
+    return ranked(both.withColumn("score", F.round(score, 6)), n, "doc_id", "chunk_index").select("question_id", "doc_id", "chunk_index", "score", "rank")
+
+
 # features and scores ---------------------------------------------------------------------------------------------------
 
 
@@ -201,23 +223,43 @@ def label_by_markers(texts: DataFrame, column: str, labels: list[tuple[str, list
     return texts.withColumn(name, first_of([(any_of([F.contains(F.lower(column), F.lit(m)) for m in markers]), label) for label, markers in labels], otherwise))
 
 
-def evidence_quality(contexts: DataFrame) -> DataFrame:
-    """quality of each question's contexts (with rank and coverage): 0.45 of the best score, 0.25 of the mean of three,
-    0.45 of coverage up to 0.45, and 0.12 for the share of different documents among six."""
-    top = contexts.where("rank <= 6")
-    found = top.groupBy("question_id").agg(F.max("score").alias("best"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean3"), F.max("coverage").alias("coverage"), (F.countDistinct("doc_id") / F.count("*")).alias("diversity"))
-    return found.withColumn("quality", F.round(0.45 * F.col("best") + 0.25 * F.col("mean3") + 0.45 * F.least("coverage", F.lit(0.45)) + 0.12 * F.col("diversity"), 6))
+#: The least evidence quality for a kind of retrieval plan.
+ENOUGH = {"precise": 0.42, "deep": 0.52}
+
+
+def query_profile(questions: DataFrame, aspects: dict[str, list[tuple[str, list[str]]]]) -> DataFrame:
+    """A column for each aspect (domain, task, actor, topic): its first label of which a marker is in the question, or general."""
+    for name, labels in aspects.items():
+        questions = label_by_markers(questions, "question", labels, "general", name)
+    return questions
+
+
+def evidence_quality(contexts: DataFrame, plans: DataFrame, few: int = 1) -> DataFrame:
+    """quality of each question's first six contexts (rank, score, title, content, terms), and whether it is enough.
+
+    0.45 of the best score, 0.25 of the mean of the first three, 0.45 of the share of terms that the contexts hold
+    together, up to 0.45, and 0.12 of the different documents, three at most; 1 at most. plans (question_id, bucket)
+    set the threshold, 0.46 but for precise and deep ones; few is the least number of contexts."""
+    first = contexts.where("rank <= 6").groupBy("question_id").agg(F.max("score").alias("best"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean3"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("contexts"), F.first("terms").alias("terms"), F.array_join(F.collect_list(F.lower(F.concat_ws(" ", "title", "content"))), " ").alias("body"))
+    coverage = F.size(F.filter("terms", lambda t: F.contains("body", t))) / F.greatest(F.size("terms"), F.lit(1))
+    quality = 0.45 * F.col("best") + 0.25 * F.col("mean3") + 0.45 * F.least(coverage, F.lit(0.45)) + 0.12 * F.least("documents", F.lit(3)) / 3
+    found = first.join(plans.select("question_id", "bucket"), "question_id").withColumn("quality", F.round(F.least(F.lit(1.0), quality), 6))
+    found = found.withColumn("threshold", first_of([(F.col("bucket") == b, t) for b, t in ENOUGH.items()], 0.46))
+    return found.withColumn("enough", (F.col("quality") >= F.col("threshold")) & (F.col("contexts") >= few)).drop("terms", "body")
 
 
-def rerank_score(contexts: DataFrame) -> DataFrame:
-    """reranked: 0.35 of the score, 0.30 of term coverage, 0.24 for evidence words, 0.22 for terms in the title, 0.08 for
-    an early rank; coverage is the share of the question's terms in the content."""
-    terms, body = F.greatest(F.size("terms"), F.lit(1)), F.lower("content")
-    coverage = F.size(F.filter("terms", lambda t: F.contains(body, t))) / terms
-    titled = F.least(F.lit(0.22), 0.11 * F.size(F.filter("terms", lambda t: F.contains(F.lower("title"), t))))
-    evidence = F.least(F.lit(0.24), 0.08 * F.size(F.regexp_extract_all(body, F.lit("[0-9]+"), F.lit(0))))
-    early = 0.08 * F.greatest(F.lit(0.0), 1 - (F.col("rank") - 1) / 10)
-    return contexts.withColumn("coverage", coverage).withColumn("reranked", F.round(0.35 * F.col("score") + 0.30 * coverage + evidence + titled + early, 6))
+def rerank_score(contexts: DataFrame, evidence: list[str]) -> DataFrame:
+    """reranked: 0.35 of the score, 0.30 of term coverage, 0.08 an evidence word up to 0.24, 0.07 a term in the title up to
+    0.22, 0.16 for a section, and the profile, less the penalty and 0.004 a rank before it, up to 0.08.
+
+    contexts: score, rank, terms, title, content, section, profile and penalty; coverage is the share of the question's
+    terms in title and content."""
+    body = F.lower(F.concat_ws(" ", "title", "content"))
+    coverage = F.size(F.filter("terms", lambda t: F.contains(body, t))) / F.greatest(F.size("terms"), F.lit(1))
+    titled = F.least(F.lit(0.22), 0.07 * F.size(F.filter("terms", lambda t: F.contains(F.lower("title"), t))))
+    proof = F.least(F.lit(0.24), 0.08 * sum((F.when(F.contains(body, F.lit(w)), 1).otherwise(0) for w in evidence), F.lit(0)))
+    score = 0.35 * F.least(F.col("score"), F.lit(1.0)) + 0.30 * coverage + proof + titled + F.when(F.col("section"), 0.16).otherwise(0.0) + F.col("profile") - F.col("penalty") - F.least(F.lit(0.08), 0.004 * (F.col("rank") - 1))
+    return contexts.withColumn("coverage", coverage).withColumn("reranked", F.round(score, 6))
 
 
 def profile_features(contexts: DataFrame, classes: dict[str, tuple[list[str], float, float]]) -> DataFrame:
@@ -229,11 +271,20 @@ def profile_features(contexts: DataFrame, classes: dict[str, tuple[list[str], fl
     return contexts.withColumns(columns).withColumn("profile", F.round(sum((F.col(c) for c in columns), F.lit(0.0)), 6))
 
 
-def diversify(contexts: DataFrame, n: int, per_document: int = 3) -> DataFrame:
-    """n contexts of a question in order of rank: first up to per_document of each document, then the others."""
-    own = Window.partitionBy("question_id", "doc_id").orderBy("rank")
-    spread = contexts.withColumn("late", (F.row_number().over(own) > per_document).cast("int"))
-    return spread.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy("late", "rank"))).where(F.col("place") <= n)
+def diversify(contexts: DataFrame, n: int, per_document: int = 3, fill: int = 4) -> DataFrame:
+    """At most n contexts of a question in order of rank, as place.
+
+    First come those of its topic, up to per_document of each document; mismatch marks the others, which are passed over
+    if they score under 0.45 or the question is strict. If these are fewer than fill, the next best follow up to fill,
+    but no mismatches where a strict question has three already. contexts: rank, reranked, mismatch and strict."""
+    fits = ~(F.col("mismatch") & ((F.col("reranked") < 0.45) | F.col("strict")))
+    own = Window.partitionBy("question_id", "doc_id", "fits").orderBy("rank")
+    marked = contexts.withColumn("fits", fits).withColumn("early", F.col("fits") & (F.row_number().over(own) <= per_document))
+    # ranks are places of a short candidate list, so a question's rows are few
+    ahead = F.sum(F.col("early").cast("int")).over(Window.partitionBy("question_id"))
+    marked = marked.withColumn("ahead", F.least(ahead, F.lit(n))).where(F.col("early") | ~(F.col("strict") & F.col("mismatch") & (F.col("ahead") >= 3)))
+    placed = marked.withColumn("place", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("early"), "rank")))
+    return placed.where((F.col("place") <= n) & (F.col("early") | (F.col("place") <= min(fill, n)))).drop("fits", "early", "ahead")
 
 
 def expand_neighbors(contexts: DataFrame, chunks: DataFrame, width: int, budget: int) -> DataFrame:
@@ -246,12 +297,15 @@ def expand_neighbors(contexts: DataFrame, chunks: DataFrame, width: int, budget:
 
 
 def section_topk(questions: DataFrame, sections: DataFrame, k: int = 2) -> DataFrame:
-    """The k best sections (doc_id, line, title, summary) of each document for a question: 0.18, 0.08 a word of the
-    summary up to 0.56, 0.11 a word of the title up to 0.22."""
-    words = lambda c: F.array_distinct(ascii_terms(F.col(c)))
-    spread = sections.select("doc_id", "line", F.explode(F.array_union(words("summary"), words("title"))).alias("term"), "title", "summary")
-    hits = questions.select("question_id", F.explode("terms").alias("term")).join(spread, "term").groupBy("question_id", "doc_id", "line").agg(F.count_if(F.array_contains(words("summary"), F.col("term"))).alias("s"), F.count_if(F.array_contains(words("title"), F.col("term"))).alias("t"))
-    score = F.least(F.lit(0.92), 0.18 + F.least(F.lit(0.56), 0.08 * F.col("s")) + F.least(F.lit(0.22), 0.11 * F.col("t")))
+    """The k best sections (doc_id, line, title, summary, doc_title) of each document for a question: 0.18, 0.08 a word of
+    the section up to 0.56, 0.07 a word of its title up to 0.22, 0.03 a word of the document's title up to 0.12."""
+    words = lambda c: F.array_distinct(ascii_terms(c))
+    parts = {"node": F.concat_ws(" ", "title", "summary"), "head": F.col("title"), "doc": F.col("doc_title")}
+    tag = lambda name: lambda w: F.struct(w.alias("term"), F.lit(name).alias("part"))
+    tagged = F.flatten(F.array(*[F.transform(words(c), tag(name)) for name, c in parts.items()]))
+    spread = sections.select("doc_id", "line", F.explode(tagged).alias("x")).select("doc_id", "line", "x.*")
+    hits = questions.select("question_id", F.explode("terms").alias("term")).join(spread, "term").groupBy("question_id", "doc_id", "line").agg(*[F.count_if(F.col("part") == p).alias(p) for p in parts])
+    score = F.least(F.lit(0.92), 0.18 + F.least(F.lit(0.56), 0.08 * F.col("node")) + F.least(F.lit(0.22), 0.07 * F.col("head")) + F.least(F.lit(0.12), 0.03 * F.col("doc")))
     best = hits.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "doc_id").orderBy(F.desc("score"), "line")))
     return best.where(F.col("rank") <= k).select("question_id", "doc_id", "line", "score", "rank")
 
@@ -266,16 +320,58 @@ def section_content(sections: DataFrame, pages: DataFrame, chars: int = 1800) ->
 # sets of contexts ------------------------------------------------------------------------------------------------------
 
 
-def check_evidence(contexts: DataFrame, questions: DataFrame, least: float = 0.35) -> DataFrame:
-    """For every question: contexts, documents, best score, and whether that is enough, or why not."""
-    found = contexts.groupBy("question_id").agg(F.count("*").alias("contexts"), F.countDistinct("doc_id").alias("documents"), F.max("score").alias("best"))
-    both = questions.select("question_id").join(found, "question_id", "left").fillna({"contexts": 0, "documents": 0, "best": 0.0})
-    return both.withColumn("verdict", first_of([(F.col("contexts") == 0, "no_contexts"), (F.col("best") < least, "weak")], "enough"))
-
-
-def answer_gate(contexts: DataFrame, least: float = 0.3) -> DataFrame:
-    """Contexts (with grade and matched) whose document isn't blocked and that match a term or score least or more."""
-    return contexts.where((F.coalesce("grade", F.lit("good")) != "blocked") & ((F.size("matched") > 0) | (F.col("score") >= least)))
+def check_evidence(contexts: DataFrame, questions: DataFrame) -> DataFrame:
+    """For every question (question_id, route): contexts, documents, best score, whether that suffices for the route, and why.
+
+    A table question needs a row that is no header (is_header), any other a context."""
+    found = contexts.groupBy("question_id").agg(F.count("*").alias("contexts"), F.countDistinct("doc_id").alias("documents"), F.max("score").alias("best"), F.count_if(~F.col("is_header")).alias("rows"))
+    both = questions.select("question_id", "route").join(found, "question_id", "left").fillna({"contexts": 0, "documents": 0, "best": 0.0, "rows": 0})
+    r, none = F.col("route"), F.col("contexts") == 0
+    reason = first_of(
+        [
+            ((r == "table") & (F.col("rows") == 0), "table_route_no_data_rows"), (r == "table", "table_rows_found"),
+            ((r == "metadata") & none, "metadata_route_no_sources"), (r == "metadata", "metadata_sources_found"),
+            ((r == "summary") & none, "summary_route_no_accessible_documents"), (r == "summary", "summary_sources_found"),
+            (none, "text_route_no_contexts"),
+        ],
+        "text_contexts_found",
+    )
+    return both.withColumn("reason", reason).withColumn("sufficient", ~F.col("reason").rlike("_no_")).drop("rows")
+
+
+def check_wiki_evidence(contexts: DataFrame, questions: DataFrame, least: float = 0.6, strong: float = 0.6, several: tuple[str, ...] = ("compare", "several")) -> DataFrame:
+    """For every question (question_id, question) the first reason why its wiki contexts can't answer it, or that they can.
+
+    contexts: doc_id, score, matched, quotes (an array) and content. Needed are a score of least, two matched terms, a
+    quote, a score of strong for each document where there are several, two documents if the question names several,
+    and every number of the question in the evidence."""
+    by_document = contexts.groupBy("question_id", "doc_id").agg(F.max("score").alias("own")).groupBy("question_id").agg(F.count("doc_id").alias("documents"), F.min("own").alias("weakest"))
+    compact = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    found = contexts.groupBy("question_id").agg(F.count("*").alias("contexts"), F.max("score").alias("best"), F.size(F.array_distinct(F.flatten(F.collect_list("matched")))).alias("terms"), F.sum(F.size("quotes")).alias("quoted"), compact(F.array_join(F.collect_list(F.concat_ws(" ", "content", F.array_join("quotes", " "))), " ")).alias("evidence"))
+    both = questions.select("question_id", "question").join(found, "question_id", "left").join(by_document, "question_id", "left")
+    numbers = F.regexp_extract_all("question", F.lit(r"[0-9]+(?:\.[0-9]+)?%?"), F.lit(0))
+    many = any_of([F.contains(F.lower("question"), F.lit(w)) for w in several])
+    reasons = [
+        (F.col("contexts").isNull(), "wiki_no_contexts"),
+        (F.col("best") < least, "wiki_score_below_direct_threshold"),
+        (F.col("terms") < 2, "wiki_match_terms_too_weak"),
+        (F.col("quoted") == 0, "wiki_sources_missing"),
+        ((F.col("documents") > 1) & (F.col("weakest") < strong), "wiki_mixed_document_confidence"),
+        ((F.col("documents") < 2) & many, "wiki_multi_document_evidence_missing"),
+        (~F.forall(numbers, lambda x: F.contains("evidence", x)), "wiki_critical_terms_missing"),
+    ]
+    return both.select("question_id", first_of(reasons, "wiki_evidence_sufficient").alias("reason")).withColumn("sufficient", F.col("reason") == "wiki_evidence_sufficient")
+
+
+def answer_gate(contexts: DataFrame, generic: list[str], strong: float = 0.58) -> DataFrame:
+    """Contexts that may go into an answer: no blocked document, no table header, and no weak match of generic words.
+
+    contexts: grade, channel, is_header, matched, coverage and score. Rows of tables and the graph stay; others need a
+    matched term that isn't generic and a coverage of 0.12, or a score of strong."""
+    specific = F.size(F.filter(F.array_except("matched", F.array(*map(F.lit, generic))), lambda t: F.length(t) >= 2)) > 0
+    fit = (F.col("score") >= strong) | (specific & (F.col("coverage") >= 0.12) & (F.col("score") > 0))
+    structured = F.col("channel").isin("table", "graph") & ~F.col("is_header")
+    return contexts.where((F.coalesce("grade", F.lit("good")) != "blocked") & (structured | ((F.col("channel") != "table") & fit)))
 
 
 def char_budget(contexts: DataFrame, n: int, chars: int) -> DataFrame:
@@ -287,24 +383,29 @@ def char_budget(contexts: DataFrame, n: int, chars: int) -> DataFrame:
 
 
 def token_budget(contexts: DataFrame, tokens: int, most: int = 24, floor: int = 900) -> DataFrame:
-    """question_id, rank and content within a budget of tokens (four characters each) for a question.
+    """question_id, rank, content and quotes within a budget of tokens (four characters each) for a question.
 
-    The last context is shortened by steps of 0.72 down to floor characters, then dropped, then the one before it. A
-    window keeps most contexts of a question at most before they meet in one group."""
+    Quotes (an array) go first, from the last context's last one on; then contents, from the last context on, are
+    shortened by steps of 0.72 down to floor characters; then contexts are dropped from the last on. A window keeps most
+    contexts of a question at most before they meet in one group."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
-        texts = group["content"].tolist()
-        while texts and sum(map(len, texts)) > 4 * tokens:
-            shorter = int(len(texts[-1]) * 0.72)
-            if shorter >= floor:
-                texts[-1] = texts[-1][:shorter]
-            else:
-                texts.pop()
-        return group.head(len(texts)).assign(content=texts)[["question_id", "rank", "content"]]
+        texts, quotes = group["content"].tolist(), [list(q) for q in group["quotes"]]
+        over = lambda: sum(map(len, texts)) + sum(len(x) for q in quotes for x in q) - 4 * tokens
+        for q in reversed(quotes):
+            while q and over() > 0:
+                q.pop()
+        for k in range(len(texts) - 1, -1, -1):
+            while over() > 0 and int(len(texts[k]) * 0.72) >= floor:
+                texts[k] = texts[k][: int(len(texts[k]) * 0.72)]
+        while texts and over() > 0:
+            texts.pop()
+            quotes.pop()
+        return group.head(len(texts)).assign(content=texts, quotes=quotes)[["question_id", "rank", "content", "quotes"]]
 
     kind = contexts.schema["question_id"].dataType.simpleString()
-    return contexts.where(F.col("rank") <= most).select("question_id", F.col("rank").cast("long").alias("rank"), "content").groupBy("question_id").applyInPandas(fit, f"question_id {kind}, rank long, content string")
+    return contexts.where(F.col("rank") <= most).select("question_id", F.col("rank").cast("long").alias("rank"), "content", "quotes").groupBy("question_id").applyInPandas(fit, f"question_id {kind}, rank long, content string, quotes array<string>")
 
 
 def cap_sources(contexts: DataFrame, per_document: int = 4, total: int = 8) -> DataFrame:
@@ -314,12 +415,20 @@ def cap_sources(contexts: DataFrame, per_document: int = 4, total: int = 8) -> D
 
 
 def highlight(contexts: DataFrame) -> DataFrame:
-    """ranges: places (start, end) of the terms in the content, without overlaps; at one start the longest counts."""
+    """ranges: places (start, end) of the terms in the content, without overlaps; at one start the longest counts.
+
+    A term's places follow from the lengths of what lies between its occurrences, so a text is read once a term."""
     body = F.lower("content")
-    spots = F.flatten(F.transform("terms", lambda t: F.transform(F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(body) - F.length(t) + 1)), lambda i: F.substring(body, i, F.length(t)) == t), lambda i: F.struct((i - 1).alias("start"), (-(i - 1 + F.length(t))).alias("end")))))
     none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
+
+    def spots(t: Column) -> Column:
+        parts = F.split(body, F.concat(F.lit("\\Q"), t, F.lit("\\E")), -1)
+        after = lambda s, p: F.concat(s, F.array(F.coalesce(F.get(s, F.size(s) - 1) + F.length(t), F.lit(0)) + F.length(p)))
+        starts = F.aggregate(F.slice(parts, F.lit(1), F.size(parts) - 1), F.expr("cast(array() as array<int>)"), after)
+        return F.transform(starts, lambda i: F.struct(i.alias("start"), (-(i + F.length(t))).alias("end")))
+
     keep = lambda s, r: F.when((F.size(s) == 0) | (F.element_at(s, -1)["end"] <= r["start"]), F.concat(s, F.array(F.struct(r["start"].alias("start"), (-r["end"]).alias("end"))))).otherwise(s)
-    return contexts.withColumn("ranges", F.aggregate(F.array_sort(spots), none, keep))
+    return contexts.withColumn("ranges", F.aggregate(F.array_sort(F.flatten(F.transform("terms", spots))), none, keep))
 
 
 def citations(contexts: DataFrame, chars: int = 300) -> DataFrame:
@@ -327,10 +436,11 @@ def citations(contexts: DataFrame, chars: int = 300) -> DataFrame:
     return contexts.select("question_id", F.concat(F.lit("["), "rank", F.lit("]")).alias("label"), "doc_id", F.concat_ws(" / ", "title", F.concat(F.lit("chunk "), F.col("chunk_index") + 1)).alias("place"), F.left(F.trim(F.regexp_replace("content", r"\s+", " ")), F.lit(chars)).alias("snippet"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "score")).alias("score"))
 
 
-def confidence(contexts: DataFrame) -> DataFrame:
-    """The best score of a question, 0.12 more if a context matches a term, at most 1; and a reason."""
-    found = contexts.groupBy("question_id").agg(F.max("score").alias("best"), F.max(F.size("matched") > 0).alias("lexical"))
-    return found.select("question_id", F.round(F.least(F.lit(1.0), F.col("best") + F.when(F.col("lexical"), 0.12).otherwise(0.0)), 6).alias("confidence"), F.when(F.col("lexical"), "terms").otherwise("score").alias("reason"))
+def confidence(contexts: DataFrame, low: float = 0.35) -> DataFrame:
+    """The best score of a question, 0.12 more if a context matches a term, 0.08 if one is a section, at most 1; and a reason."""
+    found = contexts.groupBy("question_id").agg(F.max("score").alias("best"), F.max(F.size("matched") > 0).alias("lexical"), F.max("section").alias("sectioned"))
+    total = F.col("best") + F.when(F.col("lexical"), 0.12).otherwise(0.0) + F.when(F.col("sectioned"), 0.08).otherwise(0.0)
+    return found.select("question_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), total)), 4).alias("confidence")).withColumn("reason", F.when(F.col("confidence") < low, "weak").otherwise("grounded"))
 
 
 def quality_notice(contexts: DataFrame, n: int = 6) -> DataFrame:
@@ -352,6 +462,31 @@ def context_preview(contexts: DataFrame, each: int = 1200, total: int = 12000) -
     return kept.groupBy("question_id").agg(F.array_sort(F.collect_list(F.struct("rank", "part"))).alias("p")).select("question_id", F.array_join(F.transform("p", lambda x: x["part"]), "\n").alias("preview"))
 
 
+def route_summary(contexts: DataFrame, questions: DataFrame) -> DataFrame:
+    """For every question (question_id, route): its candidates, contexts (selected), different documents and best score."""
+    found = contexts.groupBy("question_id").agg(F.count("*").alias("candidates"), F.count_if("selected").alias("contexts"), F.countDistinct(F.when(F.col("selected"), F.col("doc_id"))).alias("documents"), F.max(F.when(F.col("selected"), F.col("score"))).alias("best"))
+    return questions.select("question_id", "route").join(found, "question_id", "left").fillna({"candidates": 0, "contexts": 0, "documents": 0, "best": 0.0})
+
+
+def graph_flags(questions: DataFrame, asks: list[str], leads: list[str]) -> DataFrame:
+    """graph_check and graph_primary of each question (question, route): whether relations are looked up, which metadata
+    and summary questions never need, and whether they come first, which never holds for tables."""
+    has = lambda words: any_of([F.contains(F.regexp_replace(F.lower("question"), r"\s+", ""), F.lit(w)) for w in words])
+    check = has(asks) & ~F.col("route").isin("metadata", "summary")
+    return questions.withColumn("graph_check", check).withColumn("graph_primary", check & has(leads) & (F.col("route") != "table"))
+
+
+def header_fields(chunks: DataFrame) -> DataFrame:
+    """doc_id and highlight: sheet label and different header cells of chunks with a header line, each once a document.
+
+    A header line begins with 表头 and holds cells after bars, a cell's name following an optional column and `=`."""
+    head = F.element_at(F.concat(F.filter(F.split("content", "\n"), lambda x: F.startswith(F.trim(x), F.lit("表头"))), F.array(F.lit(""))), 1)
+    cells = F.filter(F.transform(F.slice(F.split(head, r"\|"), 2, 1 << 20), lambda c: F.trim(F.regexp_replace(c, "^[^=]*=", ""))), lambda c: c != "")
+    sheet = F.regexp_extract("content", r"\[([^\]\r\n]{1,40})\]", 1)
+    fields = chunks.select("doc_id", sheet.alias("sheet"), F.array_distinct(cells).alias("fields")).where(F.size("fields") > 0)
+    return fields.select("doc_id", F.concat(F.when(F.col("sheet") != "", F.concat(F.lit("["), "sheet", F.lit("] "))).otherwise(""), F.array_join("fields", " | ")).alias("highlight")).distinct()
+
+
 def source_diagnostics(contexts: DataFrame, chars: int = 80) -> DataFrame:
     return contexts.select("question_id", "rank", "doc_id", "chunk_index", F.round("score", 4).alias("score"), F.when(F.col("source") == 0, "keyword").otherwise("vector").alias("channel"), F.left("content", F.lit(chars)).alias("preview"))
 

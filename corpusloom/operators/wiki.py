@@ -11,11 +11,22 @@ from pyspark.sql.window import Window
 
 from .components import connected
 from .documents import first_of
-from .retrieval import sentences
+from .retrieval import CJK, cjk_grams, held_words, sentences, words_of
 
 MARK, LINK = r"\[S([0-9]+)\]", r"\[\[([^\]|]+)(?:\|[^\]]*)?\]\]"
 #: Points that a finding of a severity takes from 100.
 COST = {"error": 6.0, "warning": 2.0, "info": 0.5}
+#: Weights of what an edge says, and how near the types of its pages are (0.5 where nothing is said).
+SIGNALS = {"direct_link": 3.0, "further_link": 0.25, "source_overlap": 4.0, "title_mention": 2.0, "common_neighbor": 1.5, "type_affinity": 1.0}
+AFFINITY = {
+    "entity": {"concept": 1.2, "entity": 0.8, "source": 1.0, "rule": 1.0, "overview": 0.8},
+    "concept": {"entity": 1.2, "concept": 0.8, "source": 1.0, "rule": 1.2, "overview": 1.0},
+    "source": {"entity": 1.0, "concept": 1.0, "source": 0.5, "rule": 1.0, "overview": 0.8},
+    "rule": {"concept": 1.2, "entity": 1.0, "source": 1.0, "rule": 0.8, "overview": 1.0},
+    "overview": {"concept": 1.0, "entity": 0.8, "source": 0.8, "rule": 1.0, "overview": 0.5},
+}
+#: Pages that stand for the structure, not for a topic.
+STRUCTURAL_SLUGS, STRUCTURAL_TYPES = ("index", "overview", "log", "schema", "purpose"), ("overview",)
 
 
 def slugify(text: Column, most: int = 120) -> Column:
@@ -147,35 +158,55 @@ def resolve_links(pages: DataFrame, links: DataFrame) -> DataFrame:
     return links.join(first, F.lower(F.trim(links["target"])) == F.col("key"), "left").drop("key")
 
 
-def wiki_findings(pages: DataFrame, sources: DataFrame) -> DataFrame:
-    """slug, rule and severity of everything that is wrong with pages."""
+def wiki_findings(pages: DataFrame, sources: DataFrame, page_links: DataFrame | None = None, statuses: DataFrame | None = None) -> DataFrame:
+    """slug, rule and severity of everything that is wrong with pages.
+
+    page_links (slug, target): links that were written with the pages; statuses (doc_id, scope, status): how documents
+    were compiled. A document that failed is found under the slug `document:` and its id."""
     coverage, links = citation_coverage(pages, sources), resolve_links(pages, extract_links(pages))
-    backlinks = links.where("leads_to is not null and leads_to <> slug").groupBy(F.col("leads_to").alias("slug")).agg(F.count("*").alias("backlinks"))
-    outlinks = links.where("leads_to is not null").groupBy("slug").agg(F.count("*").alias("outlinks"))
-    titles = pages.groupBy("title").agg(F.count("*").alias("same"))
-    facts = pages.join(coverage, "slug").join(backlinks, "slug", "left").join(outlinks, "slug", "left").join(titles, "title").fillna({"backlinks": 0, "outlinks": 0})
-    rules = [
-        ("missing-source", "error", F.col("sources") == 0),
-        ("missing-summary", "warning", F.trim("summary") == ""),
-        ("empty-page", "error", F.length(F.trim("body")) < 80),
-        ("low-confidence", "warning", F.col("confidence") < 0.45),
-        ("stale-page", "warning", F.col("stale")),
-        ("source-marker-out-of-range", "error", F.col("outside") > 0),
-        ("low-citation-coverage", "warning", (F.col("claims") > 0) & (F.col("coverage") < 0.55)),
-        ("orphan-page", "info", (F.col("backlinks") == 0) & (F.col("outlinks") == 0)),
-        ("no-backlink", "info", (F.col("backlinks") == 0) & (F.col("outlinks") > 0)),
-        ("duplicate-title", "warning", F.col("same") > 1),
-    ]
-    each = F.array_compact(F.array(*[F.when(c, F.struct(F.lit(r).alias("rule"), F.lit(s).alias("severity"))) for r, s, c in rules]))
-    broken = links.where("leads_to is null").select("slug", F.lit("broken-wikilink").alias("rule"), F.lit("error").alias("severity"))
-    return facts.select("slug", F.explode(each).alias("x")).select("slug", "x.rule", "x.severity").unionByName(broken)
-
-
-def wiki_health(pages: DataFrame, findings: DataFrame) -> DataFrame:
-    """Pages, findings by severity and the score of each scope."""
+    live = links.where("leads_to is not null and leads_to <> slug").select("slug", "leads_to")
+    broken = links.where("leads_to is null").select("slug", F.lit("broken-wikilink").alias("rule"))
+    if page_links is not None:
+        known = page_links.join(pages.select(F.col("slug").alias("target"), F.lit(True).alias("there")), "target", "left")
+        live = live.unionByName(known.where("there and target <> slug").select("slug", F.col("target").alias("leads_to")))
+        broken = broken.unionByName(known.where("there is null").select("slug", F.lit("broken-page-link").alias("rule")))
+    pairs = live.distinct()
+    backlinks = pairs.groupBy(F.col("leads_to").alias("slug")).agg(F.count("*").alias("backlinks"))
+    outlinks = pairs.groupBy("slug").agg(F.count("*").alias("outlinks"))
+    titles = pages.groupBy(F.regexp_replace(F.lower("title"), r"\s+", "").alias("name")).agg(F.count("*").alias("same"))
+    facts = pages.withColumn("name", F.regexp_replace(F.lower("title"), r"\s+", "")).join(coverage, "slug").join(backlinks, "slug", "left").join(outlinks, "slug", "left").join(titles, "name").fillna({"backlinks": 0, "outlinks": 0})
+    rules = {
+        "missing-source": F.col("sources") == 0,
+        "missing-summary": F.trim("summary") == "",
+        "empty-page": F.length(F.trim("body")) < 80,
+        "low-confidence": F.col("confidence") < 0.45,
+        "stale-page": F.col("stale"),
+        "source-marker-out-of-range": F.col("outside") > 0,
+        "low-citation-coverage": (F.col("sources") > 0) & (F.col("claims") > 0) & (F.col("coverage") < 0.55),
+        "orphan-page": (F.col("backlinks") == 0) & (F.col("outlinks") == 0),
+        "no-backlink": (F.col("backlinks") == 0) & (F.col("outlinks") > 0),
+        "duplicate-title": (F.col("name") != "") & (F.col("same") > 1),
+    }
+    each = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in rules.items()]))
+    found = facts.select("slug", F.explode(each).alias("rule")).unionByName(broken)
+    if statuses is not None:
+        found = found.unionByName(statuses.where("status = 'failed'").select(F.concat(F.lit("document:"), "doc_id").alias("slug"), F.lit("compile-failed").alias("rule")))
+    severity = first_of([(F.col("rule").isin("missing-source", "empty-page", "source-marker-out-of-range", "compile-failed"), "error"), (F.col("rule") == "no-backlink", "info")], "warning")
+    return found.withColumn("severity", severity)
+
+
+def wiki_health(pages: DataFrame, findings: DataFrame, coverage: DataFrame, statuses: DataFrame | None = None) -> DataFrame:
+    """For each scope its pages, the share of them with sources, claims and the share of them that is cited, findings by
+    severity, and the score. coverage is that of citation_coverage; statuses (doc_id, scope) place failed documents."""
     cost = first_of([(F.col("severity") == s, c) for s, c in COST.items()], 0.0)
-    found = pages.select("slug", "scope").join(findings, "slug", "left").groupBy("scope").agg(F.countDistinct("slug").alias("pages"), *[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in COST], F.greatest(F.lit(0.0), 100 - F.sum(F.when(F.col("severity").isNotNull(), cost).otherwise(0.0))).alias("score"))
-    return found
+    where = pages.select("slug", "scope")
+    if statuses is not None:
+        where = where.unionByName(statuses.select(F.concat(F.lit("document:"), "doc_id").alias("slug"), "scope").distinct())
+    found = where.join(findings, "slug").groupBy("scope").agg(*[F.count_if(F.col("severity") == s).alias(f"{s}s") for s in COST], F.sum(cost).alias("cost"))
+    held = pages.select("slug", "scope").join(coverage, "slug").groupBy("scope").agg(F.count("*").alias("pages"), F.avg((F.col("sources") > 0).cast("double")).alias("source_coverage"), F.sum("claims").alias("claims"), F.sum("cited").alias("cited"))
+    both = held.join(found, "scope", "left").fillna(0)
+    cited = F.when(F.col("claims") > 0, F.round(F.col("cited") / F.col("claims"), 4)).otherwise(1.0)
+    return both.select("scope", "pages", F.round("source_coverage", 4).alias("source_coverage"), "claims", "cited", cited.alias("citation_coverage"), *[f"{s}s" for s in COST], F.greatest(F.lit(0.0), F.round(100 - F.col("cost"), 1)).alias("score"))
 
 
 def lint_log(health: DataFrame, at: str) -> DataFrame:
@@ -195,58 +226,130 @@ def page_list(pages: DataFrame, sources: DataFrame, n: int) -> DataFrame:
 # link graph ------------------------------------------------------------------------------------------------------------
 
 
-def mention_edges(pages: DataFrame, most: int = 8) -> DataFrame:
-    """a, b and mentions: pages whose body holds the title of another, found by the title's first word."""
-    titles = pages.select(F.col("slug").alias("b"), F.lower("title").alias("title"), F.regexp_extract(F.lower("title"), "^([a-z0-9-]+)", 1).alias("word")).where(F.length("title") >= 4)
-    words = pages.select(F.col("slug").alias("a"), F.lower("body").alias("body"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("body"), F.lit("[a-z0-9-]+"), F.lit(0)))).alias("word"))
-    found = words.join(titles, "word").where((F.col("a") != F.col("b")) & F.contains("body", F.col("title")))
-    return found.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.least(F.count("*"), F.lit(most)).alias("mentions")).select(F.col("x").alias("a"), F.col("y").alias("b"), "mentions")
+def title_tokens(title: Column, stop: list[str]) -> Column:
+    """What a title is about: words and numbers of 4 to 18 characters or with digits and letters, and CJK 2- to 4-grams."""
+    words = F.filter(F.regexp_extract_all(F.lower(title), F.lit("[0-9a-z]{2,}"), F.lit(0)), lambda t: (F.length(t) <= 18) & ~((F.length(t) < 4) & (t.rlike("^[0-9]+$") | t.rlike("^[a-z]+$"))) & ~t.rlike("^(page|doc|wiki)[0-9]*$"))
+    return F.array_except(F.array_distinct(F.concat(words, cjk_grams(title, 2, 4))), F.array(*map(F.lit, stop)) if stop else F.array().cast("array<string>"))
+
+
+def mention_edges(pages: DataFrame, stop: list[str] = (), most: int = 8, titles: int = 64) -> DataFrame:
+    """a, b and mentions: pages whose title, summary or body holds another page's title or words of it, in both directions.
+
+    One direction counts with the whole title, a word of four characters or with a digit, or two others; it gives one for
+    each of these, most at most. Words that more than titles pages have in their titles name no topic."""
+    named = pages.select(F.col("slug").alias("b"), F.lower(F.trim("title")).alias("title"), F.explode(title_tokens(F.col("title"), list(stop))).alias("term"))
+    topics = named.groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") <= titles).select("term")
+    named = named.join(topics, "term")
+    text = F.lower(F.concat_ws(" ", "title", "summary", "body"))
+    words = pages.select(F.col("slug").alias("a"), F.explode(F.array_union(words_of(text), F.regexp_extract_all(text, F.lit(f"{CJK}+"), F.lit(0)))).alias("word"))
+    found = words.join(held_words(named, words), "word").select("a", "term").distinct().join(named, "term").where("a <> b")
+    strong = (F.length("term") >= 4) | F.col("term").rlike("[0-9]")
+    pairs = found.groupBy("a", "b", "title").agg(F.count("*").alias("n"), F.max(strong).alias("strong"), F.max(F.col("term") == F.col("title")).alias("same"))
+    compact = lambda c: F.regexp_replace(c, r"\s+", "")
+    both = pairs.join(pages.select(F.col("slug").alias("a"), compact(text).alias("text")), "a")
+    whole = (F.length(compact(F.col("title"))) >= 4) & F.contains("text", compact(F.col("title")))
+    counted = both.withColumn("m", F.when(whole | F.col("strong") | (F.col("n") >= 2), F.least(F.col("n") + F.when(whole & ~F.col("same"), 1).otherwise(0), F.lit(most))).otherwise(0)).where("m > 0")
+    return counted.groupBy(F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y")).agg(F.sum("m").alias("mentions")).select(F.col("x").alias("a"), F.col("y").alias("b"), "mentions")
 
 
-def wiki_edges(pages: DataFrame, sources: DataFrame) -> DataFrame:
-    """Undirected weighted edges: 3 for each direction that is linked and 0.25 for each further link, 2 for each shared
-    source, 1.5 / ln(degree, 2 at least) for each common neighbour of linked pages; strong from 8, medium from 5."""
+def wiki_edges(pages: DataFrame, sources: DataFrame, stop: list[str] = ()) -> DataFrame:
+    """Undirected edges (a, b) of pages that link or mention each other, their signals, weight and strength.
+
+    The signals: 3 for each direction that is linked and 0.25 for each further link; 4 for each shared source; 2 for each
+    mention, five at most; 1.5 / ln(degree, 2 at least) for each common neighbour; and how near the page types are.
+    Strong are weights from 8, medium from 5."""
     links = resolve_links(pages, extract_links(pages)).where("leads_to is not null and leads_to <> slug")
     each = links.groupBy("slug", "leads_to").agg(F.count("*").alias("n"))
-    linked = each.groupBy(F.least("slug", "leads_to").alias("a"), F.greatest("slug", "leads_to").alias("b")).agg((3.0 * F.count("*") + 0.25 * F.sum(F.col("n") - 1)).alias("w"))
+    linked = each.groupBy(F.least("slug", "leads_to").alias("a"), F.greatest("slug", "leads_to").alias("b")).agg(F.count("*").alias("directions"), F.sum("n").alias("links"))
+    edges = linked.join(mention_edges(pages, stop), ["a", "b"], "full").fillna(0)
+    # sources and neighbours are looked up for edges alone, so that a source or page that many share makes no pairs
     own = sources.select("slug", "doc_id").distinct()
-    shared = own.select("doc_id", F.col("slug").alias("a")).join(own.select("doc_id", F.col("slug").alias("b")), "doc_id").where("a < b").groupBy("a", "b").agg((2.0 * F.count("*")).alias("w"))
-    base = linked.unionByName(shared).groupBy("a", "b").agg(F.sum("w").alias("w"))
-    ends = linked.select("a", "b").unionByName(linked.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = ends.groupBy("a").agg(F.count("*").alias("degree"))
-    wedge = ends.join(degree, "a").select(F.col("a").alias("mid"), "degree", F.col("b").alias("end"))
-    common = wedge.select("mid", "degree", F.col("end").alias("a")).join(wedge.select("mid", F.col("end").alias("b")), "mid").where("a < b").groupBy("a", "b").agg(F.sum(1.5 / F.log(F.greatest("degree", F.lit(2)).cast("double"))).alias("aa"))
-    return base.join(common, ["a", "b"], "left").select("a", "b", (F.col("w") + F.coalesce("aa", F.lit(0.0))).alias("weight")).withColumn("strength", F.when(F.col("weight") >= 8, "strong").when(F.col("weight") >= 5, "medium").otherwise("weak"))
-
-
-def wiki_nodes(pages: DataFrame) -> DataFrame:
-    """Links from and to each page, and broken ones."""
+    shared = edges.select("a", "b").join(own.withColumnRenamed("slug", "a"), "a").join(own.withColumnRenamed("slug", "b"), ["b", "doc_id"]).groupBy("a", "b").agg(F.count("*").alias("shared"))
+    ends = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    degree = ends.groupBy(F.col("a").alias("mid")).agg(F.count("*").alias("degree"))
+    near = ends.select(F.col("a").alias("end"), F.col("b").alias("mid"))
+    common = edges.select("a", "b").join(near.withColumnRenamed("end", "a"), "a").join(near.withColumnRenamed("end", "b"), ["b", "mid"]).join(degree, "mid").groupBy("a", "b").agg(F.sum(1 / F.log(F.greatest("degree", F.lit(2)).cast("double"))).alias("near"))
+    types = lambda end: pages.select(F.col("slug").alias(end), F.lower(F.coalesce("page_type", F.lit("source"))).alias(f"t{end}"))
+    all_ = edges.join(shared, ["a", "b"], "left").join(common, ["a", "b"], "left").join(types("a"), "a").join(types("b"), "b").fillna(0)
+    affinity = first_of([((F.col("ta") == x) & (F.col("tb") == y), v) for x, row in AFFINITY.items() for y, v in row.items()], 0.5)
+    signals = {
+        "direct_link": SIGNALS["direct_link"] * F.col("directions") + SIGNALS["further_link"] * (F.col("links") - F.col("directions")),
+        "source_overlap": SIGNALS["source_overlap"] * F.col("shared"),
+        "title_mention": SIGNALS["title_mention"] * F.least("mentions", F.lit(5)),
+        "common_neighbor": F.round(SIGNALS["common_neighbor"] * F.col("near"), 4),
+        "type_affinity": SIGNALS["type_affinity"] * affinity,
+    }
+    weighed = all_.select("a", "b", "shared", *[x.cast("double").alias(k) for k, x in signals.items()]).withColumn("weight", F.round(sum((F.col(k) for k in signals), F.lit(0.0)), 4))
+    return weighed.withColumn("strength", F.when(F.col("weight") >= 8, "strong").when(F.col("weight") >= 5, "medium").otherwise("weak"))
+
+
+def wiki_nodes(pages: DataFrame, edges: DataFrame) -> DataFrame:
+    """Degree of each page, pages that it links to or is linked from, its broken links, and whether it is an orphan."""
     links = resolve_links(pages, extract_links(pages))
-    out = links.groupBy("slug").agg(F.count("leads_to").alias("out"), F.count_if(F.col("leads_to").isNull()).alias("broken"))
-    into = links.where("leads_to is not null").groupBy(F.col("leads_to").alias("slug")).agg(F.count("*").alias("into"))
-    return pages.select("slug").join(out, "slug", "left").join(into, "slug", "left").fillna(0, ["out", "broken", "into"])
+    live = links.where("leads_to is not null and leads_to <> slug")
+    out, into = live.groupBy("slug").agg(F.countDistinct("leads_to").alias("out")), live.groupBy(F.col("leads_to").alias("slug")).agg(F.countDistinct("slug").alias("into"))
+    broken = links.where("leads_to is null").groupBy("slug").agg(F.count("*").alias("broken"))
+    degree = edges.select(F.explode(F.array("a", "b")).alias("slug")).groupBy("slug").agg(F.count("*").alias("degree"))
+    both = pages.select("slug", "title", "page_type").join(out, "slug", "left").join(into, "slug", "left").join(broken, "slug", "left").join(degree, "slug", "left").fillna(0, ["out", "into", "broken", "degree"])
+    return both.withColumn("orphan", F.col("degree") == 0)
 
 
-def communities(edges: DataFrame, least: float = 3.5) -> DataFrame:
-    """node and component over edges of a weight of at least the median and least."""
+def communities(edges: DataFrame, nodes: DataFrame, least: float = 3.5) -> DataFrame:
+    """node and component of every page: components over edges of a weight of at least the median and least."""
     median = edges.agg(F.percentile("weight", 0.5).alias("m"))
-    strong = edges.join(median).where(F.col("weight") >= F.greatest(F.lit(least), "m"))
-    return connected(strong.select("a", "b"))
+    strong = edges.join(F.broadcast(median)).where(F.col("weight") >= F.greatest(F.lit(least), "m"))  # one row
+    found = connected(strong.select("a", "b"))
+    return nodes.select(F.col("slug").alias("node")).join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def community_stats(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """Size, inner edges and cohesion (their share of all possible) of each community."""
+def community_stats(found: DataFrame, edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Size, inner edges, cohesion (their share of all possible), place (larger ones first, then those of higher degree),
+    five titles of the highest degree, and pages by type of each community."""
     of = lambda end: found.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
     inner = edges.join(of("a"), "a").join(of("b"), "b").where("ca = cb").groupBy(F.col("ca").alias("component")).agg(F.count("*").alias("edges"))
-    return found.groupBy("component").agg(F.count("*").alias("size")).join(inner, "component", "left").select("component", "size", F.coalesce("edges", F.lit(0)).alias("edges"), F.when(F.col("size") > 1, F.coalesce("edges", F.lit(0)) / (F.col("size") * (F.col("size") - 1) / 2)).otherwise(1.0).alias("cohesion"))
-
-
-def graph_insights(edges: DataFrame, pages: DataFrame, n: int = 8) -> DataFrame:
-    """The n heaviest edges between pages of different types, and isolated pages (kind, a, b)."""
-    types = lambda end: pages.select(F.col("slug").alias(end), F.col("page_type").alias(f"t{end}"))
-    odd = edges.join(types("a"), "a").join(types("b"), "b").where("ta <> tb").orderBy(F.desc("weight"), "a", "b").limit(n).select(F.lit("surprising").alias("kind"), "a", "b")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("slug")).distinct()
-    return odd.unionByName(pages.join(ends, "slug", "left_anti").select(F.lit("isolated").alias("kind"), F.col("slug").alias("a"), F.lit(None).cast("string").alias("b")))
+    own = found.join(nodes.select(F.col("slug").alias("node"), "title", "page_type", "degree"), "node")
+    best = own.withColumn("k", F.row_number().over(Window.partitionBy("component").orderBy(F.desc("degree"), "title", "node"))).where("k <= 5")
+    tops = best.groupBy("component").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "title"))), lambda x: x["title"]).alias("top"))
+    kinds = own.groupBy("component", "page_type").agg(F.count("*").alias("n")).groupBy("component").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("=", "page_type", F.col("n").cast("string")))), ",").alias("types"))
+    sizes = own.groupBy("component").agg(F.count("*").alias("size"), F.sum("degree").alias("degrees"))
+    both = sizes.join(inner, "component", "left").join(tops, "component").join(kinds, "component").withColumn("edges", F.coalesce("edges", F.lit(0)))
+    cohesion = F.round(F.col("edges") / F.when(F.col("size") > 1, F.col("size") * (F.col("size") - 1) / 2).otherwise(1), 4)
+    return both.select("component", "size", "edges", cohesion.alias("cohesion"), "degrees", "top", "types")
+
+
+def community_order(stats: DataFrame, n: int = 200) -> DataFrame:
+    """The n first communities with their place: larger ones first, then those of higher degree, then by title."""
+    first = stats.orderBy(F.desc("size"), F.desc("degrees"), F.col("top")[0], "component").limit(n)
+    return first.withColumn("place", F.row_number().over(Window.orderBy(F.desc("size"), F.desc("degrees"), F.col("top")[0], "component")))  # n rows
+
+
+def graph_insights(edges: DataFrame, nodes: DataFrame, found: DataFrame, stats: DataFrame, n: int = 8) -> DataFrame:
+    """kind, a, b and score: the n most surprising edges, and gaps (pages of one edge or none, pages with broken links,
+    sparse communities, and the three pages that lead to most other communities).
+
+    An edge scores 3 between communities, 2 between types, 2 from the margin to a hub, 1 if weak, and 1 if pages of
+    different types share a source; those of 2 or more count. Structural pages are left out."""
+    plain = nodes.where(~F.lower("slug").isin(*STRUCTURAL_SLUGS) & ~F.lower(F.coalesce("page_type", F.lit(""))).isin(*STRUCTURAL_TYPES))
+    placed = nodes.join(found.withColumnRenamed("node", "slug"), "slug")
+    of = lambda end, table: table.select(F.col("slug").alias(end), F.col("title").alias(f"title_{end}"), F.col("page_type").alias(f"t{end}"), F.col("degree").alias(f"d{end}"), F.col("component").alias(f"c{end}"))
+    top = nodes.agg(F.greatest(F.max("degree"), F.lit(1)).alias("top"))
+    topical = placed.join(plain.select("slug"), "slug", "left_semi")
+    both = edges.join(of("a", topical), "a").join(of("b", topical), "b").join(F.broadcast(top))  # one row
+    one = lambda c, x: F.when(c, x).otherwise(0)
+    differ = ~F.col("ta").eqNullSafe(F.col("tb"))
+    margin = (F.least("da", "db") <= 1) & (F.greatest("da", "db") >= F.greatest(F.lit(2.0), 0.5 * F.col("top")))
+    score = one(F.col("ca") != F.col("cb"), 3) + one(differ, 2) + one(margin, 2) + one(F.col("strength") == "weak", 1) + one(differ & (F.col("shared") > 0), 1)
+    odd = both.withColumn("score", score.cast("double")).where("score >= 2").orderBy(F.desc("score"), F.desc("weight"), "title_a", "a", "b").limit(n).select(F.lit("surprising").alias("kind"), "a", "b", "score")
+    gap = lambda table, kind, a, score: table.select(F.lit(kind).alias("kind"), F.col(a).alias("a"), F.lit(None).cast("string").alias("b"), score.cast("double").alias("score"))
+    sides = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    own = found.select(F.col("node").alias("a"), F.col("component").alias("ca"))
+    other = found.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    reach = sides.join(own, "a").join(other, "b").groupBy("a").agg(F.countDistinct("cb").alias("all"), F.countDistinct(F.when(F.col("ca") != F.col("cb"), F.col("cb"))).alias("others"))
+    bridges = reach.where("others >= 2").join(plain.select(F.col("slug").alias("a"), "degree", "title"), "a").orderBy(F.desc("all"), F.desc("degree"), "title", "a").limit(3)
+    gaps = [gap(plain.where("degree <= 1"), "isolated-node", "slug", F.col("degree")), gap(nodes.where("broken > 0"), "broken-link", "slug", F.col("broken")), gap(stats.where("size >= 3 and cohesion < 0.15"), "sparse-community", "component", F.col("cohesion")), gap(bridges, "bridge-node", "a", F.col("others"))]
+    for more in gaps:
+        odd = odd.unionByName(more)
+    return odd
 
 
 def wiki_index(pages: DataFrame, findings: DataFrame) -> DataFrame:
@@ -260,22 +363,50 @@ def wiki_index(pages: DataFrame, findings: DataFrame) -> DataFrame:
 
 
 def wiki_topk(questions: DataFrame, pages: DataFrame, k: int) -> DataFrame:
-    """The k best pages of each question (terms): 0.68 of coverage, 0.1 a title term up to 0.2, 0.08 a summary term up to
-    0.16, 0.06 of confidence. Terms are whole words."""
+    """The k best pages of each question (question, terms), the slug deciding between equals.
+
+    0.68 of coverage, 0.065 a title term up to 0.2, 0.04 a summary term up to 0.16, 0.07 a phrase of the question up to
+    0.14, 0.06 of confidence and 0.04, less 0.01 for each power of ten of the length, up to 0.08; 0 to 0.99. Pages that hold
+    less than 0.16 of the terms need one in the title. Terms are whole words."""
+    from .retrieval import phrases
+
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]{2,}"), F.lit(0)))
-    spread = pages.select("slug", "confidence", words("title").alias("tw"), words("summary").alias("sw"), F.explode(words(F.concat_ws(" ", "body", "title", "summary"))).alias("term"))
-    hits = questions.select("question_id", F.size("terms").alias("asked"), F.explode("terms").alias("term")).join(spread, "term").groupBy("question_id", "slug", "confidence", "asked").agg(F.count("*").alias("n"), F.count_if(F.array_contains("tw", F.col("term"))).alias("t"), F.count_if(F.array_contains("sw", F.col("term"))).alias("s"))
-    score = 0.68 * F.col("n") / F.col("asked") + F.least(F.lit(0.2), 0.1 * F.col("t")) + F.least(F.lit(0.16), 0.08 * F.col("s")) + 0.06 * F.col("confidence")
-    ranked = hits.withColumn("score", F.round(score.cast("double"), 6)).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "slug")))
+    text = F.concat_ws(" ", "title", "summary", "body")
+    sized = pages.select("slug", "confidence", F.length(F.regexp_replace(text, r"\s+", "")).alias("chars"))
+    spread = pages.select("slug", words(F.col("title")).alias("tw"), words(F.col("summary")).alias("sw"), F.explode(words(text)).alias("term"))
+    flat = spread.select("slug", "term", F.array_contains("tw", F.col("term")).cast("int").alias("t"), F.array_contains("sw", F.col("term")).cast("int").alias("s"))
+    hits = questions.select("question_id", F.size("terms").alias("asked"), F.explode("terms").alias("term")).join(flat, "term").groupBy("question_id", "slug", "asked").agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("s").alias("s"))
+    # a phrase lies in a page that holds all its words; pages are compared where one of its words is
+    asked = questions.select("question_id", F.explode(F.array_distinct(phrases(F.col("question")))).alias("phrase"))
+    said = asked.join(flat.select("slug", F.col("term").alias("phrase")), "phrase").groupBy("question_id", "slug").agg(F.count("*").alias("p"))
+    both = hits.where((F.col("n") / F.col("asked") >= 0.16) | (F.col("t") > 0)).join(said, ["question_id", "slug"], "left").join(sized, "slug").fillna(0, ["p"])
+    penalty = F.least(F.lit(0.08), 0.01 * F.log10(F.greatest(F.lit(1000), "chars").cast("double")))
+    score = 0.68 * F.col("n") / F.col("asked") + F.least(F.lit(0.2), 0.065 * F.col("t")) + F.least(F.lit(0.16), 0.04 * F.col("s")) + F.least(F.lit(0.14), 0.07 * F.col("p")) + F.least(F.lit(0.06), 0.06 * F.greatest(F.lit(0.0), "confidence")) + 0.04 - penalty
+    ranked = both.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), score.cast("double"))), 4)).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "slug")))
     return ranked.where(F.col("rank") <= k).select("question_id", "slug", "score", "rank")
 
 
+def page_blocks(pages: DataFrame) -> DataFrame:
+    """slug, block and text: parts between empty lines, the ones under a heading with it in front; front matter is left out."""
+    parts = pages.select("slug", F.posexplode(F.split("body", r"\n\s*\n")).alias("block", "raw")).withColumn("raw", F.btrim("raw", F.lit(" \t\r\n"))).where(~F.startswith("raw", F.lit("---")) & (F.col("raw") != ""))
+    head = F.when(F.startswith("raw", F.lit("#")), F.trim(F.element_at(F.split("raw", "\n"), 1)))
+    carried = F.last(head, ignorenulls=True).over(Window.partitionBy("slug").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
+    text = F.when(head.isNotNull(), F.left("raw", F.lit(900))).otherwise(F.left(F.concat_ws("\n", carried, "raw"), F.lit(1100)))
+    return parts.select("slug", "block", text.alias("text"), head.isNotNull().alias("head"))
+
+
 def best_blocks(hits: DataFrame, pages: DataFrame, questions: DataFrame, n: int = 5) -> DataFrame:
-    """The n blocks of each hit page with most question terms, in the page's order."""
-    blocks = claim_blocks(pages.join(hits.select("slug").distinct(), "slug", "left_semi"))
-    both = hits.select("question_id", "slug").join(questions.select("question_id", "terms"), "question_id").join(blocks, "slug")
-    scored = both.withColumn("score", F.size(F.filter("terms", lambda t: F.contains(F.lower("claim"), t)))).where("score > 0")
-    return scored.withColumn("k", F.row_number().over(Window.partitionBy("question_id", "slug").orderBy(F.desc("score"), "block"))).where(F.col("k") <= n).select("question_id", "slug", "block", "score")
+    """The n blocks of each hit page with the best score, in the page's order.
+
+    A question's term that occurs in a block gives 1 and a tenth a character (8 at most), up to three times; a source
+    marker gives 0.5 and a heading 0.25. A page without such blocks gives its first."""
+    blocks = page_blocks(pages.join(hits.select("slug").distinct(), "slug", "left_semi"))
+    both = hits.select("question_id", "slug").join(questions.select("question_id", "terms"), "question_id").join(blocks, "slug").withColumn("low", F.regexp_replace(F.lower("text"), r"\s+", ""))
+    often = lambda t: (F.length("low") - F.length(F.replace("low", t, F.lit("")))) / F.length(t)
+    gain = F.aggregate(F.transform("terms", lambda t: F.least(F.lit(3.0), often(t)) * (1 + F.least(F.length(t), F.lit(8)) / 10)), F.lit(0.0), lambda a, x: a + x)
+    score = gain + F.when(F.contains("low", F.lit("[s")), 0.5).otherwise(0.0) + F.when(F.col("head"), 0.25).otherwise(0.0)
+    order = Window.partitionBy("question_id", "slug").orderBy(F.desc("score"), "block")
+    return both.withColumn("score", F.round(score, 4)).withColumn("k", F.row_number().over(order)).where((F.col("k") <= n) & ((F.col("score") > 0) | (F.col("k") == 1))).select("question_id", "slug", "block", "score", "text")
 
 
 def wiki_contexts(hits: DataFrame, pages: DataFrame, chars: int = 700) -> DataFrame:

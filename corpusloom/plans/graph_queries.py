@@ -48,7 +48,7 @@ def _(spark, d):
 
 @register("f04_normalize_entity")
 def _(spark, d):
-    return docs(spark, d).select("doc_id", G.normalize_entity(F.left("text", F.lit(300))).alias("key"))
+    return docs(spark, d).select("doc_id", G.normalize_entity(F.col("text")).alias("key"))
 
 
 ENTITIES = ROW_GRAPH + ", en as (select unnest([src, dst]) as name, unnest([src_type, dst_type]) as type, evidence as description, doc_id, chunk_index, confidence from rg), ent as (select lower(regexp_replace(name, '[\\s[:punct:]]+', '', 'g')) as key, type, arg_min(name, (doc_id, chunk_index, name)) as name, arg_min(description, (doc_id, chunk_index, name)) as description, max(confidence) as confidence, count(*) as mentions from en group by 1, 2)"
@@ -68,9 +68,9 @@ def _(spark, d):
     return relations(spark, d)
 
 
-@register("f07_gate_graph", f"with {RULE_GRAPH} select doc_id, chunk_index, src, type, case when confidence >= 0.85 then 'auto' else 'pending' end as status from ug where confidence >= 0.6 qualify row_number() over (partition by doc_id, chunk_index order by confidence desc, src, dst, type) <= 2")
+@register("f07_gate_graph", f"with {RULE_GRAPH} select doc_id, chunk_index, src, type, case when confidence >= 0.85 then 'auto' else 'pending' end as status from ug where confidence >= 0.6 qualify row_number() over (partition by doc_id, chunk_index order by confidence desc, src, dst, type) <= 120")
 def _(spark, d):
-    return G.gate_graph(rule_graph(spark, d), 2).select("doc_id", "chunk_index", "src", "type", "status")
+    return G.gate_graph(rule_graph(spark, d)).select("doc_id", "chunk_index", "src", "type", "status")
 
 
 COUNTS = RELATIONS + ", gc as (select doc_id, count(distinct name) as entities, any_value(r) as relations, any_value(p) as pending from (select doc_id, unnest([src, dst]) as name, count(*) over (partition by doc_id) as r, count(*) filter (status = 'pending') over (partition by doc_id) as p from rel) group by 1)"
@@ -96,10 +96,13 @@ def _(spark, d):
     return G.list_relations(relations(spark, d), "pending", "desk").select("doc_id", "chunk_index", "type")
 
 
-@register("f12_graph_topk", f"with {RELATIONS}, q as (select question_id, case when question_id % 2 = 0 then ['office', 'the', 'form'] else ['desk', 'ander'] end as terms from {{questions}}), h as (select question_id, src, dst, type, doc_id, chunk_index, 2.0 * count(*) + 0.25 * max(len(list_filter(terms, lambda t: contains(lower(evidence), t)))) as score from (select *, unnest(terms) as term from q) q join rel on term in (lower(src), lower(dst)) where doc_id in (select doc_id from {{accessible}} where user_id = 3) group by 1, 2, 3, 4, 5, 6) select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_index, src, dst, type) as rank from h qualify rank <= 10")
+ASKERS = "q as (select question_id, cast(question_id % 50 as bigint) as user_id, case when question_id % 2 = 0 then ['office', 'the', 'form'] else ['desk', 'ander'] end as terms, case when question_id % 4 = 1 then ['desk'] else [] end as named from {questions})"
+
+
+@register("f12_graph_topk", f"with {RELATIONS}, {ASKERS}, h as (select question_id, src, dst, type, doc_id, chunk_index, evidence, confidence, status, terms, named, list_contains(terms, lower(src))::int + case when lower(src) <> lower(dst) then list_contains(terms, lower(dst))::int else 0 end as ends from q join rel on list_contains(terms, lower(src)) or list_contains(terms, lower(dst)) join {{accessible}} using (user_id, doc_id) where len(named) = 0 or list_contains(named, lower(src)) or list_contains(named, lower(dst))), s as (select question_id, src, dst, type, doc_id, chunk_index, round(cast(2.0 * ends + 0.25 * len(list_filter(terms, lambda t: contains(lower(evidence), t))) + 0.2 * confidence + case when status in ('auto', 'approved') then 0.1 else 0 end as double), 6) as score from h) select *, row_number() over (partition by question_id order by score desc, doc_id, chunk_index, src, dst, type) as rank from s qualify rank <= 10")
 def _(spark, d):
-    q = view(spark, d, "questions").selectExpr("question_id", "case when question_id % 2 = 0 then array('office', 'the', 'form') else array('desk', 'ander') end as terms")
-    return G.graph_topk(q, relations(spark, d), acl(spark, d).where("user_id = 3"), 10)
+    q = view(spark, d, "questions").selectExpr("question_id", "question_id % 50 as user_id", "case when question_id % 2 = 0 then array('office', 'the', 'form') else array('desk', 'ander') end as terms", "case when question_id % 4 = 1 then array('desk') else cast(array() as array<string>) end as named")
+    return G.graph_topk(q, relations(spark, d), acl(spark, d), 10)
 
 
 @register("f13_graph_overview", f"with {RELATIONS}, {ENTITIES} select (select count(*) from ent) as entities, (select count(*) from rel) as relations, (select count(*) from rel where status = 'pending') as pending, (select count(distinct doc_id) from rel) as documents")
@@ -119,9 +122,9 @@ def _(spark, d):
     return G.apply_reviews(r, reviews).groupBy("status").agg(F.count("*").alias("n"))
 
 
-@register("f16_extract_graph", f"with {RULE_GRAPH} select doc_id, count(*) filter (chunk_index >= 3 or length(content) < 20) as skipped, coalesce((select count(*) from ug where ug.doc_id = c.doc_id and ug.chunk_index < 3 and exists (select 1 from {{chunks}} k where k.doc_id = ug.doc_id and k.chunk_index = ug.chunk_index and length(k.content) >= 20)), 0) as relations from {{chunks}} c group by 1")
+@register("f16_extract_graph", f"with {RULE_GRAPH} select *, case when relations > 0 then 'extracted' else 'empty' end as status from (select doc_id, count(*) filter (chunk_index >= 80 or length(content) < 20) as skipped, coalesce((select count(*) from ug where ug.doc_id = c.doc_id and ug.chunk_index < 80 and exists (select 1 from {{chunks}} k where k.doc_id = ug.doc_id and k.chunk_index = ug.chunk_index and length(k.content) >= 20)), 0) as relations from {{chunks}} c group by 1)")
 def _(spark, d):
-    return G.extract_graph(chunks(spark, d), RULES, 3)
+    return G.extract_graph(chunks(spark, d), RULES)
 
 
 @register("f17_relation_view", f"with {RELATIONS} select doc_id, title, src || case type when 'requires' then ' requires ' else ' is related to ' end || dst as sentence, status from rel join {{docs}} using (doc_id)")

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import insight as I
+from ..operators import retrieval as R
 from ..registry import register
 from ..sources.model import view
 from .document_queries import docs
-from .retrieval_queries import contexts, top
+from .retrieval_queries import ASPECTS, contexts, top
 
 SINCE = "2024-01-15 00:00:00"
 
@@ -115,20 +116,30 @@ def _(spark, d):
     return I.recent_sources(view(spark, d, "messages"))
 
 
+CHECKS = {"must_include": "cast(question_id * 7 % 200 as string)", "must_not_include": "cast(question_id as string)", "must_match": "'then'", "top_doc": "cast(question_id * 3 % 200 as string)", "title_group": "'src1|src2'", "content_group": "'zzz|onthe'", "signal": "'good'", "max_contexts": "'9'", "profile": "'policy'"}
+
+
 def cases(spark, d):
-    return view(spark, d, "questions").selectExpr("question_id as case_id", "explode(array(struct('must_include' as check, cast(question_id * 7 % 200 as string) as arg), struct('must_not_include' as check, cast(question_id as string) as arg), struct('must_match' as check, 'then' as arg))) as x").selectExpr("case_id", "x.check", "x.arg", "5 as top_n")
+    checks = ", ".join(f"struct('{k}' as check, {v} as arg)" for k, v in CHECKS.items())
+    return view(spark, d, "questions").selectExpr("question_id as case_id", f"explode(array({checks})) as x").selectExpr("case_id", "x.check", "x.arg", "5 as top_n")
 
 
 def case_contexts(spark, d):
-    return contexts(spark, d).selectExpr("question_id as case_id", "rank", "cast(doc_id as string) as document", "content")
+    return contexts(spark, d).selectExpr("question_id as case_id", "rank", "cast(doc_id as string) as document", "title", "content", "array(grade) as signals")
+
 
+def results(spark, d):
+    profiles = R.query_profile(view(spark, d, "questions"), ASPECTS).selectExpr("question_id as case_id", "domain as profile")
+    return I.evaluate(cases(spark, d), case_contexts(spark, d), profiles)
 
-EVALUATED = "ev as (select case_id, chk as \"check\", arg, case when chk = 'must_not_include' then not hit else hit end as passed from (select q.question_id as case_id, chk, arg, coalesce(bool_or(rank <= 5 and case when chk = 'must_match' then contains(content, arg) else cast(doc_id as string) = arg end), false) as hit from (select question_id, unnest(['must_include', 'must_not_include', 'must_match']) as chk, unnest([cast(question_id * 7 % 200 as string), cast(question_id as string), 'then']) as arg from {questions}) q left join {ctx} c on c.question_id = q.question_id group by 1, 2, 3))"
+
+EVALUATED = f"""cs as (select question_id, question, unnest({list(CHECKS)}) as chk, unnest([{', '.join(CHECKS.values())}]) as arg from {{questions}}), ev as (select case_id, chk as "check", arg, case when chk = 'must_not_include' then not hit else hit end as passed from (select q.question_id as case_id, chk, arg, case chk when 'max_contexts' then count(c.doc_id) <= 9 when 'profile' then max(case when contains(lower(q.question), 'erth') then 'process' when contains(lower(q.question), 'the') then 'policy' else 'general' end) = 'policy'
+    else coalesce(bool_or(case chk when 'top_doc' then rank = 1 and cast(doc_id as string) = arg when 'must_match' then rank <= 5 and contains(content, arg) when 'title_group' then rank <= 5 and (contains(lower(title), 'src1') or contains(lower(title), 'src2')) when 'content_group' then rank <= 5 and (contains(lower(content), 'zzz') or contains(lower(content), 'onthe')) when 'signal' then rank <= 5 and grade = 'good' else rank <= 5 and cast(doc_id as string) = arg end), false) end as hit from cs q left join {{ctx}} c on c.question_id = q.question_id group by 1, 2, 3))"""
 
 
 @register("k15_evaluate_retrieval", f"with {EVALUATED} select * from ev")
 def _(spark, d):
-    return I.evaluate(cases(spark, d), case_contexts(spark, d))
+    return results(spark, d)
 
 
 @register("k16_source_overlap", "select question_id as case_id, len(list_intersect(a, b)) as shared, len(a) - len(list_intersect(a, b)) as lost, len(b) - len(list_intersect(a, b)) as gained from (select question_id, coalesce(list(distinct doc_id) filter (rank <= 5), []) as a, coalesce(list(distinct doc_id) filter (rank % 2 = 0), []) as b from {top} group by 1)")
@@ -139,17 +150,28 @@ def _(spark, d):
 
 @register("k17_suite_report", f"with {EVALUATED} select count(*) as cases, count(*) filter (ok) as passed, count(*) filter (ok) / count(*) as rate from (select case_id, bool_and(passed) as ok from ev group by 1)")
 def _(spark, d):
-    return I.suite_report(I.evaluate(cases(spark, d), case_contexts(spark, d)))
+    return I.suite_report(results(spark, d))
+
+
+@register("k17_suite_failures", f"with {EVALUATED}, f as (select case_id, string_agg(distinct \"check\" || ':' || arg, ',' order by \"check\" || ':' || arg) as failed from ev where not passed group by 1) select case_id, failed, coalesce(documents, '') as documents from f left join (select question_id as case_id, string_agg(cast(doc_id as string), ',' order by rank) as documents from {{ctx}} where rank <= 5 group by 1) using (case_id)")
+def _(spark, d):
+    return I.suite_failures(results(spark, d), case_contexts(spark, d))
 
 
 def answers(spark, d):
     return view(spark, d, "benchmark").selectExpr("item_id as case_id", "text as answer", "array('the ', 'zzz') as titles")
 
 
-@register("k18_evaluate_answers", "select item_id as case_id, array_to_string(list_filter([case when not contains(text, 'the') then 'missing:the' end, case when contains(text, 'that') then 'forbidden:that' end, case when length(text) < 200 then 'short' end, case when length(text) > 400 then 'long' end], lambda x: x is not null), ',') as errors from benchmark")
+@register("k18_evaluate_answers", "select item_id as case_id, array_to_string(list_filter([case when not contains(text, 'the') then 'missing:the' end, case when contains(text, 'that') then 'forbidden:that' end, case when length(text) < 200 then 'short' end, case when length(text) > 400 then 'long' end, case when item_id % 3 > 0 then 'meta:mode' end, 'meta:scope'], lambda x: x is not null), ',') as errors from benchmark")
+def _(spark, d):
+    c = answers(spark, d).selectExpr("case_id", "array('the') as required", "array('that') as forbidden", "200 as least", "400 as most", "map('mode', 'm0', 'scope', 'all') as meta")
+    return I.evaluate_answers(c, answers(spark, d).withColumn("meta", F.create_map(F.lit("mode"), F.concat(F.lit("m"), F.col("case_id") % 3))))
+
+
+@register("k19_citation_counts", "select question_id as case_id, count(doc_id) as citations, count(doc_id) between 1 and question_id % 12 as passed from {questions} left join (select * from {ctx} where score >= 0.9) using (question_id) group by 1")
 def _(spark, d):
-    c = answers(spark, d).selectExpr("case_id", "array('the') as required", "array('that') as forbidden", "200 as least", "400 as most")
-    return I.evaluate_answers(c, answers(spark, d))
+    cited = contexts(spark, d).where("score >= 0.9").selectExpr("question_id as case_id", "doc_id")
+    return I.citation_counts(view(spark, d, "questions").selectExpr("question_id as case_id", "1 as least", "question_id % 12 as most"), cited)
 
 
 @register("k19_evaluate_citations", "select question_id as case_id, cast(doc_id as string) as document, count(*) filter (rank <= 5) = 0 as \"foreign\", min(rank) % 2 = 0 or count(*) filter (rank <= 5) = 0 as absent from {ctx} group by 1, 2")
@@ -182,14 +204,14 @@ def _(spark, d):
     return I.audit_slice(audit, ["click", "view"], "scope", "1", 10).select("audit_id", "action", "rank")
 
 
-@register("k24_task_list", "select t.task_id, t.status, d.title from {tasks} t left join {docs} d using (doc_id)")
+@register("k24_task_list", "select t.task_id, t.status, d.title, w.status as state from {tasks} t left join {docs} d using (doc_id) left join {wiki_statuses} w using (doc_id)")
 def _(spark, d):
-    return view(spark, d, "tasks").join(docs(spark, d), "doc_id", "left").select("task_id", "status", "title")
+    return I.task_list(view(spark, d, "tasks"), docs(spark, d), view(spark, d, "wiki_statuses").withColumnRenamed("status", "state"))
 
 
 @register("k25_kind_mix", f"with {KINDS} select question_id, kind, count(*) as n from kinds group by 1, 2")
 def _(spark, d):
-    return kinds(spark, d).groupBy("question_id", "kind").agg(F.count("*").alias("n"))
+    return I.kind_mix(kinds(spark, d))
 
 
 @register("k26_latest_status", "select doc_id, arg_max(status, (created_at, task_id)) as status from {tasks} group by 1")
@@ -226,9 +248,13 @@ def _(spark, d):
     return I.message_view(view(spark, d, "messages"))
 
 
-@register("k32_feedback_view", "select feedback_id, left(coalesce(nullif(note, ''), category), 5) as summary from {feedback}")
+_said = "trim(regexp_replace(content, '\\s+', ' ', 'g'))"
+
+
+@register("k32_feedback_view", f"select session_id, turn, left({_said}, 180) as content, left({_said}, 220) as question, left({_said}, 260) as answer, left(case when turn % 2 = 0 then role else {_said} end, 180) as note, (cast(sources as json)::varchar[])[1:2] as sources from {{messages}}")
 def _(spark, d):
-    return view(spark, d, "feedback").select("feedback_id", F.left(F.coalesce(F.nullif("note", F.lit("")), "category"), F.lit(5)).alias("summary"))
+    f = view(spark, d, "messages").selectExpr("named_struct('session_id', session_id, 'turn', turn) as feedback_id", "content", "content as question", "content as answer", "case when turn % 2 = 0 then ' ' else content end as admin_note", "role as review_note", "sources")
+    return I.feedback_view(f).select("feedback_id.*", "content", "question", "answer", "note", "sources")
 
 
 @register("k33_validate_feedback", "select session_id * 1000 + turn as feedback_id, case when turn % 7 = 3 then 'rating' when session_id % 5 = 0 then 'category' when role <> 'assistant' then 'no_answer' when session_id % 4 = 0 then 'not_own' end as reason from {messages}")
