@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import codecs
 import re
-from collections import Counter
 from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import cache
@@ -26,6 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,7 +36,7 @@ from .common import Shared, fresh, let, steps
 HOT = 1 << 19
 #: Counts from here on are alike, in steps of a sixteenth of a doubling, to the choice of the broadcast units.
 RARE = 1 << 16
-#: Different parts of texts that a task counts before it hands counts on, and that it remembers the codes of.
+#: Pairs of pieces, and shapes of them, that a task remembers.
 HELD = 120_000
 #: Units that a task turns into edges.
 UNITS = 30_000
@@ -44,10 +44,8 @@ UNITS = 30_000
 LONG = 64
 #: Edges, and positions, that the fold takes at a time, so that its state stays small in units of any length.
 BLOCK = 128
-#: Frequent parts that are looked up at once.
-OFTEN = 1 << 16
-#: Text that a task cuts at a time.
-STEP = 1 << 20
+#: Bytes of text that a task cuts at a time.
+STEP = 8 << 20
 BLANK = "▁"
 #: A run of blanks and what follows, where blanks were written as such or stand beside each other.
 RUNS = re.compile("▁+[^▁]*")
@@ -87,7 +85,7 @@ class Model:
                         own |= other
                         of.update(dict.fromkeys(other, own))
         classes = sorted({id(s): sorted(s) for s in of.values()}.values(), key=lambda s: (-len(s), s))
-        self.letters = frozenset(classes[0])
+        self.letters = "".join(map(re.escape, classes[0]))
         return re.compile("|".join([*("▁*[" + "".join(map(re.escape, s)) + "]+" for s in classes), "▁+", "[\\s\\S]"]))
 
     def merge(self, parts: list[str]) -> list[str]:
@@ -126,11 +124,7 @@ class Model:
         return False
 
     def units_of(self, part: str) -> list[str]:
-        """Units of a blank and a part of a text; most parts are letters of the largest class and a sign at most."""
-        if self.letters.issuperset(part):
-            return [BLANK + part]
-        if part[-1] in ".," and len(part) > 1 and self.letters.issuperset(part[:-1]):
-            return [BLANK + part[:-1], part[-1]]
+        """Units of a blank and a part of a text."""
         return self.units.findall(BLANK + part)
 
     def single(self, unit: str) -> list[int]:
@@ -169,20 +163,6 @@ class _Memo(dict):
         return value
 
 
-class _Parts(dict):
-    """What parts of texts stand for: frequent ones are held, with and without a sign at the end, others are made of their
-    units each time."""
-
-    def __init__(self, often: list[str], code: dict[str, bytes], m: Model, make) -> None:
-        super().__init__((p, make([BLANK + p])) for p in often)
-        self.update([(p + sign, make([BLANK + p, sign])) for sign in ".," for p in often if p[-1:] in m.letters])
-        self.code, self.units_of, self.make = code, m.units_of, make
-
-    def __missing__(self, part: str):
-        unit = BLANK + part
-        return self.make([unit] if unit in self.code else self.units_of(part))
-
-
 @cache
 def model(path: str) -> Model:
     """One a process."""
@@ -198,27 +178,38 @@ def parts_of(text: str | None) -> list[str]:
     return text.split(" ")
 
 
+def cut(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Where each text's parts begin among all parts (and the end), each part's number, and the different parts."""
+    text = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
+    odd = pc.fill_null(pc.or_(pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, BLANK)), pc.starts_with(text, " ")), False)
+    parts = pc.split_pattern(pc.if_else(odd, pa.scalar(None, pa.string()), text), " ")
+    if pc.any(odd).as_py():
+        own = pa.array([parts_of(t) for t in text.filter(odd).to_pylist()], pa.list_(pa.string()))
+        place = np.arange(len(text))
+        place[odd.to_numpy(zero_copy_only=False)] = len(text) + np.arange(len(own))
+        parts = pa.concat_arrays([parts, own]).take(pa.array(place))
+    lengths = pc.fill_null(parts.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    flat = parts.flatten().dictionary_encode()
+    return np.concatenate([[0], np.cumsum(lengths)]), flat.indices.to_numpy(), flat.dictionary
+
+
 def vocabulary(docs: DataFrame, path: str) -> DataFrame:
     """unit and n: how often each different unit of two characters or more occurs in all texts."""
 
-    def counted(held: Counter[str]) -> pa.RecordBatch:
-        units_of, units = model(path).units_of, Counter()
-        for part, n in held.items():
-            for u in units_of(part):
-                if len(u) > 1:
-                    units[u] += n
-        return pa.RecordBatch.from_arrays([pa.array(list(units), pa.string()), pa.array(list(units.values()), pa.int64())], ["unit", "n"])
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter[str] = Counter()
+        m = model(path)
         for batch in steps(batches, limit=STEP):
-            for text in batch.column("text").to_pylist():
-                held.update(parts_of(text))
-            if len(held) > HELD:
-                yield counted(held)
-                held.clear()
-        if held:
-            yield counted(held)
+            _, number, parts = cut(batch.column("text"))
+            n = pa.array(np.bincount(number, minlength=len(parts)), pa.int64())
+            # most parts are letters, or letters and a sign, which is a unit of its own
+            plain = pc.match_substring_regex(parts, f"^[{m.letters}]+[.,]?$")
+            words, own = parts.filter(plain), n.filter(plain)
+            heads = pc.if_else(pc.match_substring_regex(words, "[.,]$"), pc.utf8_slice_codeunits(words, 0, -1), words)
+            others = [(u, k) for p, k in zip(parts.filter(pc.invert(plain)).to_pylist(), n.filter(pc.invert(plain)).to_pylist(), strict=True) for u in m.units_of(p) if len(u) > 1]
+            units = pa.concat_arrays([pc.binary_join_element_wise(BLANK, heads, ""), pa.array([u for u, _ in others], pa.string())])
+            counts = pa.concat_arrays([own, pa.array([k for _, k in others], pa.int64())])
+            held = pa.table({"unit": units, "n": counts}).group_by("unit").aggregate([("n", "sum")])
+            yield from pa.table({"unit": held["unit"], "n": held["n_sum"]}).to_batches(max_chunksize=50_000)
 
     return docs.select("text").mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -372,23 +363,51 @@ class Codes:
 
     def __init__(self, m: Model, top: pa.Table) -> None:
         own, lists = [(p, k) for p, (_, k) in m.rank.items() if len(p) == 1], top.column("ids").combine_chunks()
-        units = top.column("unit").to_pylist()
         # codes 1 to 256 are bytes
-        number = lambda k: k.to_bytes(3, "little")
-        self.byte = [number(b + 1) for b in range(256)]
-        self.code = {u: number(k) for k, u in enumerate(chain((p for p, _ in own), units), 257)}
-        self.often = [u[1:] for u in units[:OFTEN] if u[0] == BLANK]
+        self.names = pa.concat_arrays([pa.array([p for p, _ in own], pa.string()), top.column("unit").combine_chunks().cast(pa.string())])
         self.lengths = np.concatenate([[0], np.ones(256 + len(own), np.int64), np.asarray(lists.value_lengths(), dtype=np.int64)])
         self.offsets = np.cumsum(self.lengths) - self.lengths
         self.ids = np.concatenate([[m.bytes[b] for b in range(256)], [k for _, k in own], lists.flatten().to_numpy()]).astype(np.int32)
 
-    def of_units(self, units: list[str]) -> bytes:
-        """Codes of units, three bytes each."""
-        code = self.code.get
-        return b"".join([code(u) or (b"\0\0\0" if len(u) > 1 else b"".join([self.byte[b] for b in u.encode()])) for u in units])
-
-    def rare(self, units: list[str]) -> tuple[str, ...]:
-        return tuple([u for u in units if len(u) > 1 and u not in self.code])
+    def find(self, units: pa.Array) -> np.ndarray:
+        """The code of each unit, 0 for those that have none."""
+        return pc.fill_null(pc.index_in(units, value_set=self.names), -257).to_numpy(zero_copy_only=False).astype(np.int64) + 257
+
+    def of_parts(self, m: Model, parts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """How many units each part has, all their codes, for each the place among the other units (-1: it has a code), and these."""
+        whole = pc.binary_join_element_wise(BLANK, parts, "")
+        first, second = self.find(whole), np.zeros(len(parts), np.int64)
+        signed = np.flatnonzero((first == 0) & pc.match_substring_regex(parts, f"[{m.letters}][.,]$").to_numpy(zero_copy_only=False))
+        ends = whole.take(pa.array(signed))
+        head = self.find(pc.utf8_slice_codeunits(ends, 0, -1))
+        first[signed], second[signed] = head, np.where(head > 0, self.find(pc.utf8_slice_codeunits(ends, -1)), 0)
+        left = np.flatnonzero(first == 0)
+        cut = [m.units_of(p) for p in parts.take(pa.array(left)).to_pylist()]
+        sizes = np.where(second > 0, 2, 1)
+        # a character without a piece is its bytes
+        flat = [x for units in cut for u in units for x in ([u] if len(u) > 1 or u in m.rank else [*u.encode()])]
+        sizes[left] = [sum(1 if len(u) > 1 or u in m.rank else len(u.encode()) for u in units) for units in cut]
+        begin = np.cumsum(sizes) - sizes
+        codes = np.zeros(int(sizes.sum()), np.int64)
+        codes[begin] = first
+        codes[begin[second > 0] + 1] = second[second > 0]
+        spots = np.repeat(begin[left] - (np.cumsum(sizes[left]) - sizes[left]), sizes[left]) + np.arange(len(flat))
+        bytes_ = np.array([x + 1 if isinstance(x, int) else 0 for x in flat], np.int64)
+        names = pa.array([None if isinstance(x, int) else x for x in flat], pa.string())
+        codes[spots] = np.where(bytes_ > 0, bytes_, self.find(names)) if len(flat) else 0
+        place = np.full(len(codes), -1, np.int64)
+        rare = np.flatnonzero(codes[spots] == 0)
+        place[spots[rare]] = np.arange(len(rare))
+        return sizes, codes, place, names.take(pa.array(rare))
+
+    def of_texts(self, m: Model, text: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Where each text's codes begin (and the end), all codes, and the other units as above."""
+        bounds, number, parts = cut(text)
+        sizes, codes, place, names = self.of_parts(m, parts)
+        own = sizes[number]
+        ends = np.concatenate([[0], np.cumsum(own)])
+        spots = np.repeat((np.cumsum(sizes) - sizes)[number] - ends[:-1], own) + np.arange(int(ends[-1]))
+        return ends[bounds], codes[spots], place[spots], names
 
     def filled(self, codes: np.ndarray, others: list[list[int]]) -> np.ndarray:
         """Ids of a text from its codes, and of its other units in order."""
@@ -420,21 +439,22 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
     keys = F.xxhash64("doc_id", "text").alias(one), F.xxhash64("text", F.lit(1), "doc_id").alias(two)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, press = table.value, zstandard.ZstdCompressor(level=1)
-        codes = _Parts(held.often, held.code, model(path), held.of_units)
+        m, press = model(path), zstandard.ZstdCompressor(level=1)
         for batch in steps(batches, limit=STEP):
-            texts = [np.frombuffer(b"".join(map(codes.__getitem__, parts_of(t))), np.uint8).reshape(-1, 3).T.tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*rest, one, two]], pa.array(map(press.compress, texts), pa.binary())], [*rest, one, two, packed])
+            bounds, codes, _, _ = table.value.of_texts(m, batch.column("text"))
+            planes = [(codes >> k & 255).astype(np.uint8) for k in (0, 8, 16)]
+            data = [press.compress(b"".join([p[a:b].tobytes() for p in planes])) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*rest, one, two]], pa.array(data, pa.binary())], [*rest, one, two, packed])
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table.value
-        others = _Parts(known.often, known.code, model(path), known.rare)
-        for batch in steps(batches, "text", STEP):
-            held = [list(chain.from_iterable(map(others.__getitem__, parts_of(t)))) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in held], np.int64)
-            row = np.repeat(np.arange(len(held)), sizes)
-            at = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays([batch.column(one).take(pa.array(row)), batch.column(two).take(pa.array(row)), pa.array(at, pa.int32()), pa.array(chain.from_iterable(held), pa.string())], ["one", "two", "at", "unit"])
+        m = model(path)
+        for batch in steps(batches, limit=STEP):
+            bounds, _, place, names = table.value.of_texts(m, batch.column("text"))
+            spots = np.flatnonzero(place >= 0)
+            row = np.searchsorted(bounds, spots, side="right") - 1
+            at = np.arange(len(row)) - np.searchsorted(row, row)
+            out = pa.table([batch.column(one).take(pa.array(row)), batch.column(two).take(pa.array(row)), pa.array(at, pa.int32()), names.take(pa.array(place[spots]))], ["one", "two", "at", "unit"])
+            yield from out.to_batches(max_chunksize=50_000)
 
     others = docs.select("text", *keys).mapInArrow(rare, "one bigint, two bigint, at int, unit string")
     filled = others.join(encoded.select("unit", "ids"), "unit").groupBy("one", "two").agg(F.collect_set(F.struct("at", "ids")).alias(found))
@@ -443,7 +463,7 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes, press = table.value, zstandard.ZstdDecompressor()
-        for batch in steps(batches, packed, STEP >> 2):
+        for batch in steps(batches, packed, 1 << 18):
             ids = []
             for data, more in zip(batch.column(packed).to_pylist(), batch.column(found).to_pylist(), strict=True):
                 x = np.frombuffer(press.decompress(data), np.uint8).reshape(3, -1).astype(np.int64)
