@@ -180,9 +180,9 @@ def parts_of(text: str | None) -> list[str]:
 
 def cut(text: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Where each text's parts begin among all parts (and the end), each part's number, and the different parts."""
-    text = pc.if_else(pc.equal(text, ""), pa.scalar(None, pa.string()), text)
-    odd = pc.fill_null(pc.or_(pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, BLANK)), pc.starts_with(text, " ")), False)
-    parts = pc.split_pattern(pc.if_else(odd, pa.scalar(None, pa.string()), text), " ")
+    odd = pc.or_(pc.or_(pc.match_substring(text, "  "), pc.match_substring(text, BLANK)), pc.or_(pc.starts_with(text, " "), pc.equal(text, "")))
+    odd = pc.fill_null(odd, False)
+    parts = pc.split_pattern(text, " ")
     if pc.any(odd).as_py():
         own = pa.array([parts_of(t) for t in text.filter(odd).to_pylist()], pa.list_(pa.string()))
         place = np.arange(len(text))
@@ -203,11 +203,12 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
             n = pa.array(np.bincount(number, minlength=len(parts)), pa.int64())
             # most parts are letters, or letters and a sign, which is a unit of its own
             plain = pc.match_substring_regex(parts, f"^[{m.letters}]+[.,]?$")
-            words, own = parts.filter(plain), n.filter(plain)
-            heads = pc.if_else(pc.match_substring_regex(words, "[.,]$"), pc.utf8_slice_codeunits(words, 0, -1), words)
+            signed = pc.and_(plain, pc.match_substring_regex(parts, "[.,]$"))
+            bare = pc.and_not(plain, signed)
+            heads = pc.utf8_slice_codeunits(parts.filter(signed), 0, -1)
             others = [(u, k) for p, k in zip(parts.filter(pc.invert(plain)).to_pylist(), n.filter(pc.invert(plain)).to_pylist(), strict=True) for u in m.units_of(p) if len(u) > 1]
-            units = pa.concat_arrays([pc.binary_join_element_wise(BLANK, heads, ""), pa.array([u for u, _ in others], pa.string())])
-            counts = pa.concat_arrays([own, pa.array([k for _, k in others], pa.int64())])
+            units = pa.concat_arrays([*[pc.binary_join_element_wise(BLANK, x, "") for x in (parts.filter(bare), heads)], pa.array([u for u, _ in others], pa.string())])
+            counts = pa.concat_arrays([n.filter(bare), n.filter(signed), pa.array([k for _, k in others], pa.int64())])
             held = pa.table({"unit": units, "n": counts}).group_by("unit").aggregate([("n", "sum")])
             yield from pa.table({"unit": held["unit"], "n": held["n_sum"]}).to_batches(max_chunksize=50_000)
 
