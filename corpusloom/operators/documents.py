@@ -65,8 +65,14 @@ def reclassify_report(statuses: DataFrame) -> DataFrame:
 
 
 def allowed_kinds(queries: DataFrame, rules: DataFrame) -> DataFrame:
-    """query_id and the kinds of the first rule (priority, topic, route, kinds; null matches all) that a query meets."""
-    met = queries.join(F.broadcast(rules), (rules["topic"].isNull() | (rules["topic"] == queries["topic"])) & (rules["route"].isNull() | (rules["route"] == queries["route"])), "left").select(queries["query_id"], "priority", "kinds")
+    """query_id and the kinds of the first rule (priority, topic, route, kinds; null matches all) that a query meets.
+
+    A rule with a null is found under a mark, and a query looks under its own values and the mark, so that rules of any
+    number meet queries by equal keys. A null topic or route of a query meets rules without one alone."""
+    mark = "\0"
+    key = lambda a, b: F.concat_ws("\1", F.coalesce(a, F.lit(mark)), F.coalesce(b, F.lit(mark)))
+    asked = queries.select("query_id", F.explode(F.array_distinct(F.array(*[key(t, r) for t in (F.col("topic"), F.lit(None).cast("string")) for r in (F.col("route"), F.lit(None).cast("string"))]))).alias("key"))
+    met = asked.join(rules.select(key(F.col("topic"), F.col("route")).alias("key"), "priority", "kinds"), "key", "left")
     return met.groupBy("query_id").agg(F.min_by("kinds", "priority").alias("kinds"))
 
 
@@ -102,11 +108,17 @@ def chunk_profile(chunks: DataFrame, short: int = 80) -> DataFrame:
     return same.groupBy("doc_id").agg(F.sum("n").alias("chunks"), F.sum("chars").alias("chars"), (F.sum("chars") / F.sum("n")).alias("mean_chars"), F.min("lo").alias("least_chars"), F.max("hi").alias("most_chars"), F.sum("short").alias("short"), F.sum("empty").alias("empty"), F.sum(F.col("n") - 1).alias("repeated"))
 
 
-def table_profile(rows: DataFrame) -> DataFrame:
-    """Rows, sheets, columns and sparse rows (one value at most) of each document, and of each of its sheets (sheet not null)."""
+def table_profile(rows: DataFrame, fields: dict[str, list[str]]) -> DataFrame:
+    """Figures of each document and of each of its sheets (sheet not null): header and data rows, different layouts, columns,
+    sparse data rows (one value at most), rows that could not be read (row is null), and the semantic fields found.
+
+    rows: document, sheet, row, row_keys and is_header; fields: for each semantic field the column names that mean it."""
     filled = F.size(F.filter(F.map_values("row"), lambda v: F.trim(F.coalesce(v, F.lit(""))) != ""))
-    flags = rows.select("document", "sheet", filled.alias("filled"), "row_keys")
-    return flags.rollup("document", "sheet").agg(F.count("*").alias("rows"), F.countDistinct("row_keys").alias("layouts"), F.max(F.size("row_keys")).alias("columns"), F.count_if(F.col("filled") <= 1).alias("sparse")).where("document is not null")
+    known = F.array_compact(F.array(*[F.when(F.arrays_overlap(F.transform("row_keys", F.lower), F.array(*map(F.lit, names))), F.lit(field)) for field, names in fields.items()]))
+    flags = rows.select("document", "sheet", "is_header", F.col("row").isNull().alias("failed"), filled.alias("filled"), "row_keys", known.alias("known"))
+    plain = ~F.col("is_header") & ~F.col("failed")
+    found = flags.rollup("document", "sheet").agg(F.count("*").alias("rows"), F.count_if("is_header").alias("headers"), F.count_if(plain).alias("data"), F.countDistinct("row_keys").alias("layouts"), F.max(F.size("row_keys")).alias("columns"), F.count_if(plain & (F.col("filled") <= 1)).alias("sparse"), F.count_if("failed").alias("failed"), F.array_join(F.array_sort(F.array_distinct(F.flatten(F.collect_set("known")))), ",").alias("fields"))
+    return found.where("document is not null")
 
 
 def parse_diagnostics(statuses: DataFrame) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 SIZE, OVERLAP = 1000, 150
@@ -57,20 +59,34 @@ def cells_to_rows(cells: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def read_csv_rows(spark: SparkSession, path: str, document: str) -> DataFrame:
-    """Rows of a CSV file: headers without white space (blank ones 列n), rows without a value dropped, row numbers kept."""
+    """Rows of a CSV file: headers without white space (blank ones 列n), rows without a value dropped, row numbers kept.
+
+    Rows are numbered within the tasks that read them and shifted by the counts of the tasks before."""
     raw = spark.read.option("header", False).option("multiLine", True).csv(path).withColumn("at", F.monotonically_increasing_id())
     columns = [c for c in raw.columns if c != "at"]
     first = raw.orderBy("at").limit(1).collect()  # one row
     names = [("".join((first[0][c] or "").split()) if first else "") or f"列{k}" for k, c in enumerate(columns, 1)]
-    numbered = raw.withColumn("row_number", F.row_number().over(Window.orderBy("at"))).where("row_number > 1")
+    # a task's ids are its number in the upper bits and its rows' numbers in the lower 33
+    tasks = raw.groupBy(F.shiftright("at", 33).alias("task")).agg(F.count("*").alias("n"))
+    before = tasks.select("task", F.coalesce(F.sum("n").over(Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # a row a task
+    numbered = raw.withColumn("task", F.shiftright("at", 33)).join(before, "task").withColumn("row_number", (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1) + 1).cast("int")).where("row_number > 1")
     values = F.array(*[F.coalesce(F.col(c), F.lit("")) for c in columns])
     return numbered.where(F.exists(values, lambda v: F.trim(v) != "")).select(F.lit(document).alias("document"), F.lit("CSV").alias("sheet"), "row_number", F.map_from_arrays(F.array(*map(F.lit, names)), values).alias("row"), F.array(*map(F.lit, names)).alias("row_keys"))
 
 
+@F.pandas_udf(StringType())
+def _gb18030(content: pd.Series) -> pd.Series:
+    return content.map(lambda b: bytes(b).decode("gb18030", errors="replace"))
+
+
 def read_text_docs(spark: SparkSession, path: str) -> DataFrame:
-    """path, text and valid (is it UTF-8) of each file, one row a file."""
-    files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"), F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+    """path, text and valid (is it UTF-8) of each file, one row a file; a byte order mark goes, and what is no UTF-8 is read
+    as GB18030, for which there is no SQL function."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"))
+    marked = F.hex(F.substring("content", 1, 3)) == "EFBBBF"
+    plain = F.decode(F.when(marked, F.expr("substring(content, 4)")).otherwise(F.col("content")), "UTF-8")
+    good = files.where("valid").select("path", plain.alias("text"), "valid")
+    return good.unionByName(files.where("not valid").select("path", _gb18030("content").alias("text"), "valid"))
 
 
 def parse_row_lines(pages: DataFrame) -> DataFrame:

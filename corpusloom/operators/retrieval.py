@@ -382,30 +382,35 @@ def char_budget(contexts: DataFrame, n: int, chars: int) -> DataFrame:
     return kept.withColumn("content", F.left("content", F.lit(chars) - F.col("before"))).drop("before")
 
 
-def token_budget(contexts: DataFrame, tokens: int, most: int = 24, floor: int = 900) -> DataFrame:
+def token_budget(contexts: DataFrame, tokens: int, most: int = 24, floor: int = 900, quote: int = 360) -> DataFrame:
     """question_id, rank, content and quotes within a budget of tokens (four characters each) for a question.
 
-    Quotes (an array) go first, from the last context's last one on; then contents, from the last context on, are
-    shortened by steps of 0.72 down to floor characters; then contexts are dropped from the last on. A window keeps most
-    contexts of a question at most before they meet in one group."""
+    Quotes (an array; a table without has none) go first, from the last context's last one on, but for the first one of
+    the first context, which is clipped to quote characters. Then contents, from the last context on, are shortened by
+    steps of 0.72 down to floor characters; then contexts are dropped from the last on, but for the first. A window keeps
+    most contexts of a question at most before they meet in one group."""
 
     def fit(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("rank")
         texts, quotes = group["content"].tolist(), [list(q) for q in group["quotes"]]
-        over = lambda: sum(map(len, texts)) + sum(len(x) for q in quotes for x in q) - 4 * tokens
-        for q in reversed(quotes):
-            while q and over() > 0:
-                q.pop()
+        over = lambda: sum(map(len, texts)) + sum(len(x) for q in quotes for x in q) > 4 * tokens
+        for k in range(len(quotes) - 1, -1, -1):
+            while len(quotes[k]) > (k == 0) and over():
+                quotes[k].pop()
+        if over() and quotes[0]:
+            quotes[0][0] = quotes[0][0][:quote]
         for k in range(len(texts) - 1, -1, -1):
-            while over() > 0 and int(len(texts[k]) * 0.72) >= floor:
-                texts[k] = texts[k][: int(len(texts[k]) * 0.72)]
-        while texts and over() > 0:
+            while over() and len(texts[k]) > floor:
+                texts[k] = texts[k][: max(floor, int(len(texts[k]) * 0.72))]
+        while len(texts) > 1 and over():
             texts.pop()
             quotes.pop()
         return group.head(len(texts)).assign(content=texts, quotes=quotes)[["question_id", "rank", "content", "quotes"]]
 
     kind = contexts.schema["question_id"].dataType.simpleString()
-    return contexts.where(F.col("rank") <= most).select("question_id", F.col("rank").cast("long").alias("rank"), "content", "quotes").groupBy("question_id").applyInPandas(fit, f"question_id {kind}, rank long, content string, quotes array<string>")
+    quoted = F.col("quotes") if "quotes" in contexts.columns else F.array().cast("array<string>")
+    near = contexts.where(F.col("rank") <= most).select("question_id", F.col("rank").cast("long").alias("rank"), "content", quoted.alias("quotes"))
+    return near.groupBy("question_id").applyInPandas(fit, f"question_id {kind}, rank long, content string, quotes array<string>")
 
 
 def cap_sources(contexts: DataFrame, per_document: int = 4, total: int = 8) -> DataFrame:

@@ -366,26 +366,63 @@ def month_tokens(texts: DataFrame, column: str) -> DataFrame:
     return texts.withColumn("months", F.array_sort(F.array_distinct(F.zip_with(years, months, lambda y, m: F.concat(y, F.lpad(m, 2, "0"))))))
 
 
-def rank_rows(questions: DataFrame, rows: DataFrame, lexicon: Lexicon, city: str, n: int = 20) -> DataFrame:
-    """For each question (question_id, place, month, token) the n best rows: 0.4, 0.6 for its place, 8 for its month or
-    -1.25 for another, 0.28 for its token in the row; equal scores by document, sheet and row."""
-    text = F.array_join(F.transform("row_keys", lambda k: clean(F.element_at("row", k))), " ")
-    valued = rows.select("document", "sheet", "row_number", F.coalesce(semantic_value(city, lexicon), F.lit("")).alias("at"), text.alias("text"))
-    pairs = questions.join(valued, F.col("place") == F.col("at"))
-    score = 0.4 + F.when(F.col("at") == F.col("place"), 0.6).otherwise(0.0) + F.when(F.col("sheet") == F.col("month"), 8.0).otherwise(-1.25) + F.when(F.contains("text", F.col("token")), 0.28).otherwise(0.0)
-    ranked = pairs.withColumn("score", score).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "document", "sheet", "row_number")))
-    return ranked.where(F.col("rank") <= n).select("question_id", "document", "sheet", "row_number", "score", "rank")
-
-
-def rank_tables(questions: DataFrame, docs: DataFrame, least: float = 0.2, n: int = 3) -> DataFrame:
-    """Documents (document, title, samples, months) for each question (question_id, terms, months): 0.04, 0.18 a term in
-    the title, 0.05 a term in the samples, 0.32 for a month that both name; of those with least or more the n best."""
-    pairs = questions.withColumn("term", F.explode("terms")).join(F.broadcast(docs), F.contains("title", F.col("term")) | F.contains("samples", F.col("term")))
-    hits = pairs.groupBy("question_id", "document").agg(F.sum(F.when(F.contains("title", F.col("term")), 0.18).otherwise(0.0) + F.when(F.contains("samples", F.col("term")), 0.05).otherwise(0.0)).alias("hits"), F.first(F.arrays_overlap(questions["months"], docs["months"])).alias("dated"))
-    scored = hits.select("question_id", "document", (0.04 + F.col("hits") + F.when(F.col("dated"), 0.32).otherwise(0.0)).alias("score")).where(F.col("score") >= least)
+def topic_bonus(asks: Column, fields: Column, bonuses: list[tuple[str, str, float]]) -> Column:
+    """The sum of what a question's topics (asks) give where a table has the field that a topic is about."""
+    return sum((F.when(F.array_contains(asks, topic) & F.array_contains(fields, field), points).otherwise(0.0) for topic, field, points in bonuses), F.lit(0.0))
+
+
+def rank_rows(questions: DataFrame, ranked: DataFrame, rows: DataFrame, bonuses: list[tuple[str, str, float]], n: int = 20) -> DataFrame:
+    """For each question (question_id, places, month, tokens, asks) the n best rows of its documents (ranked: question_id,
+    document, doc_rank from 0); equal scores by doc_rank, document, sheet and row.
+
+    0.4 less 0.05 a rank; 0.6 a place that the row names; for a month 8 on its sheet, 1.5 in the row, else -1.25; a token
+    0.18, or 0.28 beyond three characters; and what topics give. rows: document, sheet, row_number, row, row_keys, fields."""
+    text = F.lower(F.concat_ws(" ", "sheet", F.array_join("row_keys", " "), F.array_join(F.transform("row_keys", lambda k: clean(F.element_at("row", k))), " ")))
+    pairs = ranked.join(questions, "question_id").join(rows.select("document", "sheet", "row_number", "fields", text.alias("text")), "document")
+    total = lambda c, f: F.aggregate(F.transform(c, f), F.lit(0.0), lambda a, x: a + x)
+    held = lambda t: F.contains("text", F.lower(t))
+    month = F.when(F.col("month").isNull(), 0.0).when(F.col("sheet") == F.col("month"), 8.0).when(held(F.col("month")), 1.5).otherwise(-1.25)
+    score = 0.4 - 0.05 * F.col("doc_rank") + total("places", lambda p: F.when(held(p), 0.6).otherwise(0.0)) + month + total("tokens", lambda t: F.when(held(t), F.when(F.length(t) <= 3, 0.18).otherwise(0.28)).otherwise(0.0)) + topic_bonus(F.col("asks"), F.col("fields"), bonuses)
+    scored = pairs.withColumn("score", F.round(score, 4))
+    best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_rank", "document", "sheet", "row_number")))
+    return best.where(F.col("rank") <= n).select("question_id", "document", "sheet", "row_number", "score", "rank")
+
+
+def rank_tables(questions: DataFrame, docs: DataFrame, bonuses: list[tuple[str, str, float]], least: float = 0.45, n: int = 3) -> DataFrame:
+    """Documents (document, title, samples, months, fields) for each question (question_id, terms, months, asks).
+
+    0.04; a term 0.12 in the title and 0.03 in the samples, or 0.18 and 0.05 beyond three characters; 0.32 for a month
+    that title or samples name, 0.5 for one that a sheet is of (months); and what topics give. Of those with least or more
+    the n best. Candidates are found by terms' words, by months and by topics' fields, each by equal keys."""
+    from .retrieval import held_words, words_of
+
+    parts = docs.select("document", F.explode(F.array(F.struct(F.lit(1).alias("titled"), F.col("title").alias("t")), F.struct(F.lit(0).alias("titled"), F.col("samples").alias("t")))).alias("x"))
+    words = parts.select("document", "x.titled", F.explode(words_of(F.col("x.t"))).alias("word"))
+    wanted = questions.select("question_id", F.explode(F.array_union(F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), F.lower(t).alias("term"))), F.transform("months", lambda t: F.struct(F.lit("month").alias("kind"), F.lower(t).alias("term"))))).alias("x")).select("question_id", "x.kind", "x.term")
+    found = words.join(held_words(wanted, words), "word").select("document", "titled", "term").distinct()
+    short = F.length("term") <= 3
+    gain = F.when(F.col("titled") == 1, F.when(short, 0.12).otherwise(0.18)).otherwise(F.when(short, 0.03).otherwise(0.05))
+    hits = wanted.join(found, "term").groupBy("question_id", "document").agg(F.sum(F.when(F.col("kind") == "term", gain).otherwise(0.0)).alias("hits"), F.max(F.when(F.col("kind") == "month", 0.32).otherwise(0.0)).alias("named"))
+    sheets = questions.select("question_id", F.explode("months").alias("month")).join(docs.select("document", F.explode("months").alias("month")), "month").select("question_id", "document").distinct().withColumn("sheeted", F.lit(0.5))
+    topics = questions.sparkSession.createDataFrame([(t, f, float(p)) for t, f, p in bonuses], "topic string, field string, points double")
+    asked = questions.select("question_id", F.explode("asks").alias("topic")).join(topics, "topic")
+    given = asked.join(docs.select("document", F.explode("fields").alias("field")), "field").groupBy("question_id", "document").agg(F.sum("points").alias("given"))
+    both = hits.join(sheets, ["question_id", "document"], "full").join(given, ["question_id", "document"], "full").fillna(0.0)
+    scored = both.select("question_id", "document", F.round(0.04 + F.col("hits") + F.col("named") + F.col("sheeted") + F.col("given"), 4).alias("score")).where(F.col("score") >= least)
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "document"))).where(F.col("rank") <= n)
 
 
+def table_counters(rows: DataFrame, ranked: DataFrame, filters: dict[str, Column], distinct: Column) -> DataFrame:
+    """For each question the rows of its documents (ranked: question_id, document), how many are left after each filter in
+    turn, and how many different values these have."""
+    both = ranked.select("question_id", "document").join(rows, "document")
+    flags, met = {}, F.lit(True)
+    for name, condition in filters.items():
+        met = met & F.coalesce(condition, F.lit(False))
+        flags[name] = met
+    return both.groupBy("question_id").agg(F.count("*").alias("rows"), *[F.count_if(c).alias(name) for name, c in flags.items()], F.countDistinct(F.when(met, distinct)).alias("distinct"))
+
+
 def split_cells(text: Column) -> Column:
     """cell and value of texts like `A1: name | B1: sum A2: x`: a value ends before the next cell's name."""
     marked = F.split(F.regexp_replace(text, r"\s*(?:\|\s*)?\b([A-Z]{1,3}[0-9]+)\s*[:：]\s*", "\n$1\t"), "\n")

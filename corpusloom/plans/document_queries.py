@@ -320,9 +320,10 @@ def _(spark, d):
     return documents.chunk_profile(chunks(spark, d))
 
 
-@register("c10_table_profile", "select document, sheet, count(*) as rows, 1 as layouts, 5 as columns, 0 as sparse from {flat_rows} group by rollup(document, sheet) having document is not null")
+@register("c10_table_profile", "select document, sheet, count(*) as rows, count(*) filter (row_number % 5 = 0) as headers, count(*) filter (row_number % 5 <> 0 and row_number % 7 <> 0) as data, 1 as layouts, 5 as columns, 0 as sparse, count(*) filter (row_number % 7 = 0) as failed, case when bool_or(k1 <> 'country') then 'amount,place' else '' end as fields from {flat_rows} group by rollup(document, sheet) having document is not null")
 def _(spark, d):
-    return documents.table_profile(rows(spark, d))
+    r = rows(spark, d).withColumn("is_header", F.col("row_number") % 5 == 0).withColumn("row", F.when(F.col("row_number") % 7 != 0, F.col("row")))
+    return documents.table_profile(r, {"place": ["nation", "nation name"], "amount": ["amount", "total amount"]})
 
 
 @register("c11_parse_diagnostics", "select doc_id, 'scan' as reason, cast(doc_id % 90 as integer) as extracted, 80 as threshold, case when doc_id % 2 = 0 then 7 end as after_ocr from {docs}")

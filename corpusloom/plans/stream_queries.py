@@ -42,3 +42,10 @@ def _(spark, d):
 @register("s05_pair_turns", "select session_id, turn, question_turn from (select *, last_value(case when role = 'user' then turn end ignore nulls) over (partition by session_id order by turn rows between unbounded preceding and 1 preceding) as question_turn from {messages}) where role = 'assistant'")
 def _(spark, d):
     return jobs.pair_turns_batch(view(spark, d, "messages"))
+
+
+@register("s01_ingest_status", "select d.doc_id, case when coalesce(length(trim(text)), 0) >= 40 then 'done' else 'failed' end as status, case when coalesce(length(trim(text)), 0) < 40 then 'reason=low_text extracted=' || cast(coalesce(length(trim(text)), 0) as string) || ' threshold=40' end as message, case when contains(lower(concat_ws(' ', title, text)), 'erth') then 'process' when contains(lower(concat_ws(' ', title, text)), 'ander') then 'rule' else 'general' end as kind, coalesce(n, 0) as chunks from {docs} d left join (select doc_id, count(*) as n from {chunks} group by 1) using (doc_id)")
+def _(spark, d):
+    made = jobs.ingest_documents(view(spark, d, "docs").select("doc_id", "title", "text"), [("process", ["erth"]), ("rule", ["ander"])], 40)
+    n = made["chunks"].groupBy("doc_id").agg(F.count("*").alias("chunks"))
+    return made["status"].join(made["kinds"], "doc_id").join(n, "doc_id", "left").fillna(0, ["chunks"])

@@ -199,20 +199,33 @@ def _(spark, d):
     return T.compare_periods(typed(spark, d).withColumn("company", Q.value("company")), "company")
 
 
-@register("d34_rank_tables", """with d as (select document, min(v1) || ' ' || max(v1) || ' ' || min(v3) as samples, list(distinct sheet) as months from {flat_rows} group by 1), q as (select r_regionkey as question_id, [r_name, substr(r_name, 1, 3), 'O', 'FRANCE'] as terms, ['19950' || cast(r_regionkey + 1 as string)] as months from region),
-    s as (select question_id, d.document, 0.04 + sum(case when contains(d.document, t) then 0.18 else 0 end + case when contains(samples, t) then 0.05 else 0 end) + max(case when list_has_any(q.months, d.months) then 0.32 else 0 end) as score from (select *, unnest(terms) as t from q) q join d on contains(d.document, t) or contains(samples, t) group by 1, 2)
-    select question_id, document, cast(score as double) as score, row_number() over (partition by question_id order by score desc, document) as rank from s where score >= 0.2 qualify rank <= 3""")
+BONUSES = [("urgent", "urgency", 0.6), ("urgent", "status", 0.15), ("place", "country", 0.45)]
+RANKED = """dd as (select document, lower(min(v1) || ' ' || max(v1) || ' ' || min(v3)) as samples, list(distinct sheet) as months, list(distinct k1) || list(distinct k3) || list(distinct k4) as fields from {flat_rows} group by 1),
+    qq as (select r_regionkey as question_id, [lower(split_part(r_name, ' ', 1)), lower(substr(r_name, 1, 3)), 'o', 'france'] as terms, ['19950' || cast(r_regionkey + 1 as string)] as months, case when r_regionkey % 2 = 0 then ['urgent'] else ['place'] end as asks from region),
+    sx as (select question_id, document, round(cast(0.04 + list_sum(list_transform(terms, lambda t: case when contains(lower(document), t) then case when length(t) <= 3 then 0.12 else 0.18 end else 0 end + case when contains(samples, t) then case when length(t) <= 3 then 0.03 else 0.05 end else 0 end)) + case when list_has_any(qq.months, dd.months) then 0.5 else 0 end + case when list_contains(asks, 'urgent') and list_contains(fields, 'urgency') then 0.6 else 0 end + case when list_contains(asks, 'urgent') and list_contains(fields, 'status') then 0.15 else 0 end + case when list_contains(asks, 'place') and list_contains(fields, 'country') then 0.45 else 0 end as double), 4) as score from qq, dd),
+    ranked as (select question_id, document, score, row_number() over (partition by question_id order by score desc, document) as rank from sx where score >= 0.45 qualify rank <= 3)"""
+
+
+def ranked_tables(spark, d):
+    f = view(spark, d, "flat_rows")
+    docs = f.groupBy("document").agg(F.concat_ws(" ", F.min("v1"), F.max("v1"), F.min("v3")).alias("samples"), F.collect_set("sheet").alias("months"), F.concat(F.collect_set("k1"), F.collect_set("k3"), F.collect_set("k4")).alias("fields")).withColumn("title", F.col("document"))
+    q = view(spark, d, "region").select(F.col("r_regionkey").alias("question_id"), F.array(F.split_part("r_name", F.lit(" "), F.lit(1)), F.substring("r_name", 1, 3), F.lit("O"), F.lit("FRANCE")).alias("terms"), F.array(F.concat(F.lit("19950"), F.col("r_regionkey") + 1)).alias("months"), F.array(F.when(F.col("r_regionkey") % 2 == 0, "urgent").otherwise("place")).alias("asks"))
+    return T.rank_tables(q, docs, BONUSES)
+
+
+@register("d34_rank_tables", f"with {RANKED} select * from ranked")
 def _(spark, d):
-    docs = view(spark, d, "flat_rows").groupBy("document").agg(F.concat_ws(" ", F.min("v1"), F.max("v1"), F.min("v3")).alias("samples"), F.collect_set("sheet").alias("months")).withColumn("title", F.col("document"))
-    q = view(spark, d, "region").select(F.col("r_regionkey").alias("question_id"), F.array("r_name", F.substring("r_name", 1, 3), F.lit("O"), F.lit("FRANCE")).alias("terms"), F.array(F.concat(F.lit("19950"), F.col("r_regionkey") + 1)).alias("months"))
-    return T.rank_tables(q, docs)
+    return ranked_tables(spark, d)
 
 
-@register("d35_rank_rows", """with q as (select n_nationkey as question_id, n_name as place, '199' || cast(n_nationkey % 5 + 3 as string) || '06' as month, '1-URGENT' as token from nation)
-    select question_id, document, sheet, row_number, cast(0.4 + 0.6 + case when sheet = month then 8.0 else -1.25 end + case when v4 = token then 0.28 else 0 end as double) as score, row_number() over (partition by question_id order by (case when sheet = month then 8.0 else -1.25 end + case when v4 = token then 0.28 else 0 end) desc, document, sheet, row_number) as rank from q join {flat_rows} on v1 = place qualify rank <= 20""")
+@register("d35_rank_rows", f"""with {RANKED}, q as (select r_regionkey as question_id, ['china', 'france'] as places, case when r_regionkey < 4 then '199' || cast(r_regionkey % 5 + 3 as string) || '06' end as month, ['1-urgent', 'usd'] as tokens, ['urgent'] as asks from region),
+    p as (select q.*, r.document, r.rank - 1 as doc_rank, sheet, row_number, k1, k3, k4, lower(concat_ws(' ', sheet, k1, k2, k3, k4, k5, trim(v1), trim(v2), trim(v3), trim(v4), trim(v5))) as t from q join ranked r using (question_id) join {{flat_rows}} f on f.document = r.document),
+    s as (select *, round(cast(0.4 - 0.05 * doc_rank + 0.6 * (contains(t, 'china')::int + contains(t, 'france')::int) + case when month is null then 0 when sheet = month then 8.0 when contains(t, month) then 1.5 else -1.25 end + case when contains(t, '1-urgent') then 0.28 else 0 end + case when contains(t, 'usd') then 0.18 else 0 end + case when k4 = 'urgency' then 0.6 else 0 end + case when k3 = 'status' then 0.15 else 0 end as double), 4) as score from p)
+    select question_id, document, sheet, row_number, score, row_number() over (partition by question_id order by score desc, doc_rank, document, sheet, row_number) as rank from s qualify rank <= 20""")
 def _(spark, d):
-    q = view(spark, d, "nation").select(F.col("n_nationkey").alias("question_id"), F.col("n_name").alias("place"), F.concat(F.lit("199"), F.col("n_nationkey") % 5 + 3, F.lit("06")).alias("month"), F.lit("1-URGENT").alias("token"))
-    return T.rank_rows(q, typed(spark, d), LEXICON, "city")
+    q = view(spark, d, "region").selectExpr("r_regionkey as question_id", "array('China', 'FRANCE') as places", "case when r_regionkey < 4 then '199' || cast(r_regionkey % 5 + 3 as string) || '06' end as month", "array('1-URGENT', 'usd') as tokens", "array('urgent') as asks")
+    ranked = ranked_tables(spark, d).select("question_id", "document", (F.col("rank") - 1).alias("doc_rank"))
+    return T.rank_rows(q, ranked, rows(spark, d).withColumn("fields", F.col("row_keys")), BONUSES)
 
 
 @register("d36_headers_kept", "select document, min(row_number) as row_number, k1 || '|' || k3 as content from {flat_rows} where document in (select document from {flat_rows} where v1 = 'CHINA') group by 1, 3")
@@ -278,6 +291,13 @@ def _(spark, d):
     return T.top(q.group_aggregate(typed(spark, d), "city", "amount"), "n", 10)
 
 
+@register("d46_table_counters", flat(f"with {RANKED}, f as (select question_id, v1, v3 <> 'P' as a, v3 <> 'P' and contains(sheet, '1996') as b, v3 <> 'P' and contains(sheet, '1996') and v4 not in ('', '-') as c from ranked join {{flat_rows}} using (document)) select question_id, count(*) as rows, count(*) filter (a) as valued, count(*) filter (b) as dated, count(*) filter (c) as required, count(distinct v1) filter (c) as \"distinct\" from f group by 1"))
+def _(spark, d):
+    """Rows of each question's documents after a value filter, a period and a required column, and how many places are left."""
+    filters = {"valued": F.col("v3") != "P", "dated": F.contains("sheet", F.lit("1996")), "required": ~F.col("v4").isin("", "-")}
+    return T.table_counters(view(spark, d, "flat_rows"), ranked_tables(spark, d), filters, F.col("v1"))
+
+
 @register("d47_row_contexts", "select document, document || ' / ' || sheet || ' / row ' || cast(row_number as string) as place, k1 || '=' || v1 || ' | ' || k2 || '=' || v2 || ' | ' || k3 || '=' || v3 || ' | ' || k4 || '=' || v4 || ' | ' || k5 || '=' || v5 as content, case when row_number <= 1 then 0.45 else 0.82 end as score from {flat_rows}")
 def _(spark, d):
     return T.row_contexts(rows(spark, d))

@@ -74,11 +74,21 @@ def lockouts(events: DataFrame, within: float = WITHIN, locked: float = LOCKED)
 
 
 def lockouts_batch(events: DataFrame, within: float = WITHIN, locked: float = LOCKED) -> DataFrame:
-    def step(group: pd.DataFrame) -> pd.DataFrame:
-        rows = [(t.timestamp(), bool(f), int(e)) for t, f, e in zip(group["ts"], group["failed"], group["event_id"], strict=True)]
-        return pd.DataFrame([(group["user_id"].iloc[0], e, u) for e, u in _lock(([], 0.0), rows, within, locked)[1]], columns=["user_id", "event_id", "locked_until"])
+    """The same of a table. A user's rows come sorted, batch by batch, and between batches only the state is held."""
 
-    return events.groupBy("user_id").applyInPandas(step, LOCKS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        user, state = None, ([], 0.0)
+        for batch in batches:
+            for key, group in batch.groupby("user_id", sort=False):
+                if key != user:
+                    user, state = key, ([], 0.0)
+                rows = [(t.timestamp(), bool(f), int(e)) for t, f, e in zip(group["ts"], group["failed"], group["event_id"], strict=True)]
+                state, locks = _lock(state, rows, within, locked)
+                if locks:
+                    yield pd.DataFrame([(key, e, u) for e, u in locks], columns=["user_id", "event_id", "locked_until"])
+
+    dealt = events.where("user_id is not null").select("user_id", "event_id", "ts", "failed").repartition("user_id").sortWithinPartitions("user_id", "ts", "failed", "event_id")
+    return dealt.mapInPandas(run, LOCKS)
 
 
 PAIRS = "session_id bigint, turn bigint, question_turn bigint"
@@ -119,3 +129,37 @@ def ingest_stream(spark: SparkSession, source: str, schema: str, chunks: str, ch
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def ingest_documents(docs: DataFrame, kinds: list[tuple[str, list[str]]], least: int = 1) -> dict[str, DataFrame]:
+    """What ingestion makes of documents (doc_id, title, text): chunks, rows told in lines of their texts, the kind, and a
+    status, which is failed, with a message, where a text has fewer than least characters."""
+    from ..operators.retrieval import label_by_markers
+
+    chunks = ingest.chunk_text(docs.withColumn("page", F.lit(1)))
+    rows = ingest.parse_row_lines(docs.select(F.col("doc_id").alias("document"), "text"))
+    kind = label_by_markers(docs.withColumn("named", F.concat_ws(" ", "title", "text")), "named", kinds, "general", "kind").select("doc_id", "kind")
+    size = F.length(F.trim(F.coalesce("text", F.lit(""))))
+    status = docs.select("doc_id", F.when(size >= least, "done").otherwise("failed").alias("status"), F.when(size < least, F.concat(F.lit("reason=low_text extracted="), size, F.lit(f" threshold={least}"))).alias("message"))
+    return {"chunks": chunks, "rows": rows, "kinds": kind, "status": status}
+
+
+def ingest_all(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, kinds: list[tuple[str, list[str]]], attempts: int = 3) -> StreamingQuery:
+    """ingest_documents for all documents that arrive in source, each result a table in target by the batch that brought it.
+
+    A batch that fails is tried again, attempts times in all; then its documents are recorded as failed with the error, so
+    that the stream goes on, and later files are taken. A batch overwrites its own partitions."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        put = lambda df, name: df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/{name}")
+        for left in range(attempts - 1, -1, -1):
+            try:
+                for name, df in ingest_documents(batch, kinds).items():
+                    put(df, name)
+                return
+            except Exception as error:  # noqa: BLE001
+                if not left:
+                    put(batch.select("doc_id", F.lit("failed").alias("status"), F.lit(f"reason=error {type(error).__name__} attempts={attempts}").alias("message")), "status")
+
+    stream = spark.readStream.schema(schema).parquet(source)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -20,9 +20,42 @@ def test_csv_source(spark, tmp_path):
 
 def test_text_source_flags_bad_bytes(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("grün".encode())
-    (tmp_path / "b.txt").write_bytes(b"\xff\xfe")
-    found = ingest.read_text_docs(spark, str(tmp_path)).select(F.substring_index("path", "/", -1).alias("f"), "valid")
-    assert rows_of(found, "f", "valid") == [("a.txt", True), ("b.txt", False)]
+    (tmp_path / "b.txt").write_bytes("操作流程".encode("gb18030"))
+    (tmp_path / "c.txt").write_bytes(b"\xef\xbb\xbf" + "操作".encode())
+    found = ingest.read_text_docs(spark, str(tmp_path)).select(F.substring_index("path", "/", -1).alias("f"), "text", "valid")
+    assert rows_of(found, "f", "text", "valid") == [("a.txt", "grün", True), ("b.txt", "操作流程", False), ("c.txt", "操作", True)]
+
+
+def test_csv_rows_are_numbered_across_tasks(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"p{k}.csv").write_text("\n".join(f"v{k},{j}" for j in range(50)) + "\n")
+    rows = ingest.read_csv_rows(spark, str(tmp_path), "a").select("row_number").collect()
+    assert sorted(r[0] for r in rows) == list(range(2, 151))
+
+
+def test_first_rule_that_a_query_meets(spark):
+    rules = spark.createDataFrame([(1, "a", "t", ["x"]), (2, None, "t", ["y"]), (3, "b", None, ["z"]), (4, None, None, ["w"])], "priority int, topic string, route string, kinds array<string>")
+    queries = spark.createDataFrame([(1, "a", "t"), (2, "c", "t"), (3, "b", "s"), (4, None, None), (5, "b", "t")], "query_id int, topic string, route string")
+    assert rows_of(documents.allowed_kinds(queries, rules), "query_id", "kinds") == [(1, ["x"]), (2, ["y"]), (3, ["z"]), (4, ["w"]), (5, ["y"])]
+
+
+def test_quotes_go_before_contents_and_contexts(spark):
+    df = spark.createDataFrame([(1, 1, "a" * 2000, ["q" * 100]), (1, 2, "b" * 2000, ["r" * 100, "s" * 50])], "question_id long, rank long, content string, quotes array<string>")
+    fit = lambda tokens: {r["rank"]: (len(r["content"]), len(r["quotes"])) for r in retrieval.token_budget(df, tokens).collect()}
+    assert fit(1070) == {1: (2000, 1), 2: (2000, 2)} and fit(1050) == {1: (2000, 1), 2: (2000, 1)}
+    assert fit(1025) == {1: (2000, 1), 2: (2000, 0)} and fit(900) == {1: (2000, 1), 2: (1440, 0)} and fit(300) == {1: (900, 1)}
+
+
+def test_diversity_passes_over_mismatches(spark):
+    rows = [(1, 9, 1, 0.9, False, False), (1, 9, 2, 0.8, True, False), (1, 9, 3, 0.3, True, False), (1, 8, 4, 0.2, False, False), (2, 9, 1, 0.9, True, True), (2, 8, 2, 0.5, False, True), (2, 7, 3, 0.4, False, True), (2, 6, 4, 0.3, False, True)]
+    df = spark.createDataFrame(rows, "question_id long, doc_id long, rank int, reranked double, mismatch boolean, strict boolean")
+    assert rows_of(retrieval.diversify(df, 6), "question_id", "place", "rank") == [(1, 1, 1), (1, 2, 2), (1, 3, 4), (1, 4, 3), (2, 1, 2), (2, 2, 3), (2, 3, 4)]
+
+
+def test_terms_are_found_inside_words_of_any_length(spark):
+    words = spark.createDataFrame([("abcabc",), ("x",), ("xy",), ("abd",)], "word string")
+    terms = spark.createDataFrame([("a",), ("bc",), ("cab",), ("xy",), ("zz",), ("abcabcd",)], "term string")
+    assert rows_of(retrieval.held_words(terms, words), "term", "word") == [("a", "abcabc"), ("a", "abd"), ("bc", "abcabc"), ("cab", "abcabc"), ("xy", "xy")]
 
 
 def test_nfkc_normalisation(spark):
@@ -71,7 +104,8 @@ def test_token_budget_shortens_then_drops(spark):
     df = spark.createDataFrame([(1, 1, "a" * 3000), (1, 2, "b" * 3000)], "question_id int, rank int, content string")
     found = {r["rank"]: len(r["content"]) for r in retrieval.token_budget(df, 1100).collect()}
     assert found == {1: 3000, 2: 1119}
-    assert retrieval.token_budget(df, 800).count() == 1
+    sizes = lambda tokens: {r["rank"]: len(r["content"]) for r in retrieval.token_budget(df, tokens).collect()}
+    assert sizes(800) == {1: 2160, 2: 900} and sizes(300) == {1: 900} and sizes(100) == {1: 900}
 
 
 def test_components(spark):
