@@ -37,15 +37,15 @@ HOT = 1 << 19
 #: Counts from here on are alike, in steps of a sixteenth of a doubling, to the choice of the broadcast units.
 RARE = 1 << 16
 #: Pairs of pieces, and shapes of them, that a task remembers.
-HELD = 120_000
+HELD = 80_000
 #: Units that a task turns into edges.
-UNITS = 30_000
+UNITS = 20_000
 #: Characters of a unit that one row of the lattice holds; longer units take several rows.
 LONG = 64
 #: Edges, and positions, that the fold takes at a time, so that its state stays small in units of any length.
 BLOCK = 128
 #: Bytes of text that a task cuts at a time.
-STEP = 8 << 20
+STEP = 3 << 20
 BLANK = "▁"
 #: A run of blanks and what follows, where blanks were written as such or stand beside each other.
 RUNS = re.compile("▁+[^▁]*")
@@ -211,6 +211,7 @@ def vocabulary(docs: DataFrame, path: str) -> DataFrame:
             counts = pa.concat_arrays([n.filter(bare), n.filter(signed), pa.array([k for _, k in others], pa.int64())])
             held = pa.table({"unit": units, "n": counts}).group_by("unit").aggregate([("n", "sum")])
             yield from pa.table({"unit": held["unit"], "n": held["n_sum"]}).to_batches(max_chunksize=50_000)
+            pa.default_memory_pool().release_unused()  # the same process sorts edges next
 
     return docs.select("text").mapInArrow(count, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
@@ -446,6 +447,7 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
             planes = [(codes >> k & 255).astype(np.uint8) for k in (0, 8, 16)]
             data = [press.compress(b"".join([p[a:b].tobytes() for p in planes])) for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False)]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in [*rest, one, two]], pa.array(data, pa.binary())], [*rest, one, two, packed])
+            pa.default_memory_pool().release_unused()
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
@@ -456,6 +458,7 @@ def encode(docs: DataFrame, path: str, hot: int = HOT) -> DataFrame:
             at = np.arange(len(row)) - np.searchsorted(row, row)
             out = pa.table([batch.column(one).take(pa.array(row)), batch.column(two).take(pa.array(row)), pa.array(at, pa.int32()), names.take(pa.array(place[spots]))], ["one", "two", "at", "unit"])
             yield from out.to_batches(max_chunksize=50_000)
+            pa.default_memory_pool().release_unused()
 
     others = docs.select("text", *keys).mapInArrow(rare, "one bigint, two bigint, at int, unit string")
     filled = others.join(encoded.select("unit", "ids"), "unit").groupBy("one", "two").agg(F.collect_set(F.struct("at", "ids")).alias(found))
