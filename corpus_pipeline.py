@@ -1,4 +1,9 @@
-"""A corpus from raw documents to token ids, in five stages; each is written as Parquet and read again by the next."""
+"""A corpus from raw documents to token ids, in five stages; each is written as Parquet and read again by the next.
+
+Null and empty texts, and texts without words, are rejected by the first stage. Rows of one doc_id count as one document
+from the second stage on, which keeps the one of the least text; rows without a doc_id are kept apart, all of them. Further
+columns pass through all stages but the last, whatever their names. Ties are broken by doc_id, then text. An empty table
+stays empty, and so does each of its results."""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.llm import decontam, jaccard, pieces, pii, quality
-from corpusloom.llm.common import read
+from corpusloom.llm.common import Shared, read
 
 PIECES = "piece_bpe_32k.model"
 
@@ -51,8 +56,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in order, on the documents of sf_dir."""
-    shared, docs = jaccard.Shared(spark), read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = shared.keep(stage(spark, docs, sf_dir))
+    """All stages in order, on the documents of sf_dir; a stage's table is deleted once the next one is written."""
+    shared, docs = Shared(spark), read(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        before, docs = docs, shared.keep(stage(spark, docs, sf_dir))
+        if k:
+            shared.drop(before)
     return docs
