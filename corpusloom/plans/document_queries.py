@@ -236,10 +236,10 @@ def _(spark, d):
     return access.visible_status(view(spark, d, "tasks").select("task_id", "doc_id", "status"), docs(spark, d), 0, True, "production").select("task_id", "status", "title")
 
 
-@register("b06_visible_page_sources", "select team as slug, count(*) as visible from {docs} where doc_id in (select doc_id from {accessible} where user_id = 3) group by 1")
+@register("b06_visible_page_sources", "select user_id, team as slug, count(*) as visible from {docs} join {accessible} using (doc_id) group by 1, 2")
 def _(spark, d):
     sources = docs(spark, d).select(F.col("team").alias("slug"), "doc_id")
-    return access.visible_page_sources(sources.select("slug").distinct(), sources, acl(spark, d).where("user_id = 3"))
+    return access.visible_page_sources(sources.select("slug").distinct(), sources, acl(spark, d))
 
 
 @register("b07_apply_permissions", "select doc_id, case when doc_id % 6 = 0 then ['everyone'] else [team] end as group_ids from {docs}")
