@@ -53,6 +53,18 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+def lookup(rows: DataFrame, table: DataFrame, key: str, total: int, share: float = 1e-4) -> DataFrame:
+    """rows with table's columns, null where table lacks the key (or the key is null).
+
+    table has one row a key and the number of rows that hold it in the column copies, which is left out. Keys with more
+    than that share of all rows would each meet in one task; there are at most 1 / share of them, so they are broadcast,
+    and only the other keys are shuffled."""
+    frequent = F.col("copies") > share * total
+    hot = F.broadcast(table.where(frequent).drop("copies"))
+    others = rows.join(hot.select(key), key, "left_anti").join(table.where(~frequent).drop("copies"), key, "left")
+    return rows.join(hot, key).unionByName(others)
+
+
 class Shared:
     """Tables written to a folder that all executors share, for results that are read more than once.
 

@@ -40,4 +40,20 @@ OP10 = f"""with t as (select item_id, {_TOKENS} as w from benchmark), d as (sele
     m as (select doc_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct doc_id, item_id from h) group by 1)
 select d.doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated from d left join c on c.doc_id = d.doc_id left join m on m.doc_id = d.doc_id"""
 
-ORACLES: dict[str, str] = {"op4_chat_formatting": OP4, "op7_quality_rules": OP7, "op9_jaccard_join": OP9, "op10_decontamination": OP10}
+OP13 = f"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as text, {WORDS.format("text")} as w from documents),
+    firsts as (select text, min(doc_id) as least from d group by 1),
+    said as (select doc_id, bool_or(coalesce(quality = 1, false)) as good, bool_or(coalesce(toxic = 1, false)) as toxic from labels group by 1),
+    m as (select part, case when len(w) < 200 then 1 else 0 end + case when 100 * len(list_distinct(w)) < 50 * len(w) then 2 else 0 end + case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 2 * length(text) then 4 else 0 end
+            + case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end + case when coalesce(doc_id > least, false) then 16 else 0 end as failed, coalesce(good, false) as good, coalesce(toxic, false) as toxic
+        from d join firsts using (text) left join said using (doc_id)),
+    c as (select part, failed, good, toxic, count(*) as n from m group by all),
+    f(x, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    o as (select i.x || j.x || k.x || l.x || m.x as filter_order, [i.b, j.b, k.b, l.b, m.b] as bits from f i, f j, f k, f l, f m where i.b + j.b + k.b + l.b + m.b = 31 and i.b | j.b | k.b | l.b | m.b = 31),
+    s as (select filter_order, step, bits[step] as b, coalesce(list_sum(bits[1:step - 1]), 0)::int as earlier from o, (select cast(unnest(range(1, 6)) as int) as step)),
+    r as (select part, filter_order, step, b, coalesce(sum(n) filter (failed & b = 0 and failed & earlier = 0), 0) as kept, coalesce(sum(n) filter (failed & b <> 0 and failed & earlier = 0), 0) as removed,
+            coalesce(sum(n) filter (failed & b <> 0 and failed & earlier <> 0), 0) as redundant, coalesce(sum(n) filter (failed = b), 0) as unique_fails,
+            coalesce(sum(n) filter (failed & b <> 0 and failed & earlier = 0 and good), 0) as good_lost, coalesce(sum(n) filter (failed & b <> 0 and failed & earlier = 0 and toxic), 0) as toxic_lost
+        from c, s group by 1, 2, 3, 4)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, b) as shapley from r"""
+
+ORACLES: dict[str, str] = {"op13_filter_audit": OP13, "op4_chat_formatting": OP4, "op7_quality_rules": OP7, "op9_jaccard_join": OP9, "op10_decontamination": OP10}

@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, jaccard, langid, pieces, pii, quality, rules, sharding, tokencount
-from .common import read
+from . import audit, chat, decontam, fingerprint, jaccard, langid, pieces, pii, quality, repair, rules, sharding, tokencount
+from .common import Shared, read
 from .oracles import ORACLES
 
 SHARDS = 40
@@ -84,6 +84,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edits(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shared = Shared(spark)
+    damaged = repair.damage(read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"))
+    return repair.audit(shared.keep(repair.numbered(damaged)))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read(spark, sf_dir, "documents").select("doc_id", "text", "source"), read(spark, sf_dir, "labels")
+    return audit.interactions(audit.failures(docs, labels, Shared(spark)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -95,6 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_decontamination": op10_decontamination,
+    "op11_fingerprints": op11_fingerprints,
+    "op12_conversation_repair": op12_conversation_repair,
+    "op13_filter_audit": op13_filter_audit,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
