@@ -5,6 +5,7 @@ Everything works on whole tables of questions. contexts have question_id, doc_id
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -12,6 +13,7 @@ from pyspark.sql.types import StringType
 from pyspark.sql.window import Window
 
 from .documents import first_of
+from .patterns import Count, topk
 from .tables import any_of
 
 CJK = "[一-鿿]"
@@ -131,18 +133,18 @@ def held_words(terms: DataFrame, words: DataFrame) -> DataFrame:
 def keyword_topk(questions: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     """The k chunks of the best keyword score for each question (question_id, terms); chunks: doc_id, chunk_index, title, content.
 
-    A term inside the content gives 0.12 + 0.10 * length / 12, inside the title 0.18 + 0.12 * length / 12 (12 characters
-    at most), coverage adds up to 0.22, and 0.96 is the most; of equal scores the one with more matched terms is first.
-    Terms are found in words, so those with a blank in them aren't found; texts are read once, to take words from."""
-    asked = questions.select("question_id", F.size("terms").alias("asked"), F.explode("terms").alias("term"))
-    spread = lambda c, titled: chunks.select("doc_id", "chunk_index", F.lit(titled).alias("titled"), F.explode(words_of(F.col(c))).alias("word"))
-    words = spread("content", 0).unionByName(spread("title", 1))
-    found = words.join(held_words(asked, words), "word").groupBy("term", "doc_id", "chunk_index").agg((F.min("titled") == 0).alias("inside"), (F.max("titled") == 1).alias("titled"))
-    size = F.least(F.length("term"), F.lit(12)) / 12
-    gain = F.when(F.col("inside"), 0.12 + 0.10 * size).otherwise(0.0) + F.when(F.col("titled"), 0.18 + 0.12 * size).otherwise(0.0)
-    scored = asked.join(found, "term").groupBy("question_id", "doc_id", "chunk_index").agg(F.round(F.least(F.lit(0.96), F.sum(gain) + F.least(F.lit(0.22), 0.22 * F.count("*") / F.first("asked"))), 6).alias("score"), F.count("*").alias("matched"))
-    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("matched"), "doc_id", "chunk_index")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    A term anywhere in the content gives 0.12 + 0.10 * length / 12, in the title 0.18 + 0.12 * length / 12 (12 characters
+    at most), coverage adds 0.35 of itself up to 0.22, and 0.96 is the most; of equal scores the one with more matched
+    terms is first."""
+    size = lambda t: min(len(t), 12) / 12
+    counts = {"inside": Count("terms", ("content",), lambda t: 0.12 + 0.10 * size(t)), "titled": Count("terms", ("title",), lambda t: 0.18 + 0.12 * size(t)), "matched": Count("terms", ("content", "title"))}
+
+    def score(n: dict, q: dict, _: dict) -> tuple[np.ndarray, np.ndarray]:
+        return np.minimum(0.96, n["inside"] + n["titled"] + np.minimum(0.22, 0.35 * n["matched"] / np.maximum(q["n_terms"], 1))), n["matched"] > 0
+
+    texts = chunks.select("doc_id", "chunk_index", F.lower("title").alias("title"), F.lower("content").alias("content"))
+    found = topk(questions.select("question_id", "terms"), texts, k, counts, score, ["doc_id", "chunk_index"], ties=("matched",))
+    return found.withColumn("matched", F.col("matched").cast("long"))
 
 
 def merge_unique(first: DataFrame, second: DataFrame, n: int) -> DataFrame:
@@ -158,14 +160,21 @@ def dedupe_contexts(contexts: DataFrame) -> DataFrame:
 
 
 def metadata_topk(questions: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """Documents by title and file name for each question (question_id, terms, wants, newest): 0.18, 0.16 a term of up to
-    four characters and 0.24 a longer one, 0.2 for the extension that is asked for, 0.18 if new ones are; 1 at most."""
-    words = docs.select("doc_id", "filename", F.explode(words_of(F.concat_ws(" ", "title", "filename"))).alias("word"))
-    asked = questions.select("question_id", "wants", "newest", F.explode("terms").alias("term"))
-    found = words.join(held_words(asked, words), "word").select("doc_id", "filename", "term").distinct()
-    hits = asked.join(found, "term").groupBy("question_id", "wants", "newest", "doc_id", "filename").agg(F.sum(F.when(F.length("term") <= 4, 0.16).otherwise(0.24)).alias("hits"))
-    score = F.least(F.lit(1.0), 0.18 + F.col("hits") + F.when(F.endswith("filename", F.col("wants")), 0.2).otherwise(0.0) + F.when(F.col("newest"), 0.18).otherwise(0.0))
-    return ranked(hits.select("question_id", "doc_id", F.round(score, 6).alias("score")), k, "doc_id")
+    """Documents by title, file name and source type for each question (question_id, terms, wants, newest): 0.18, 0.16 a
+    term of up to four characters and 0.24 a longer one, 0.2 for the extension that is asked for, 0.18 if new ones are; 1
+    at most. White space counts nowhere. Documents without a term or the extension are found if new ones are asked for,
+    or if there are no terms. Of equal scores the newest (created_at, where docs have it) is first."""
+    near = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    asked = questions.select("question_id", F.transform("terms", near).alias("terms"), F.coalesce("wants", F.lit("")).alias("wants"), F.coalesce("newest", F.lit(False)).alias("newest"))
+    texts = docs.select("doc_id", *[c for c in ("created_at",) if c in docs.columns], near(F.concat_ws(" ", "title", "filename", "source_type")).alias("body"), F.coalesce(F.lower("filename"), F.lit("")).alias("filename"))
+    counts = {"hits": Count("terms", ("body",), lambda t: 0.16 if len(t) <= 4 else 0.24)}
+
+    def score(n: dict, q: dict, texts: dict) -> tuple[np.ndarray, np.ndarray]:
+        kind = np.array([[bool(w) and f.endswith(w) for w in q["wants"]] for f in texts["filename"]]).reshape(n["hits"].shape)
+        return np.minimum(1.0, 0.18 + n["hits"] + 0.2 * kind + 0.18 * q["newest"]), (n["hits"] > 0) | kind | q["newest"] | (q["n_terms"] == 0)
+
+    found = topk(asked, texts, k, counts, score, ["doc_id"], columns=("filename",), newest="created_at" if "created_at" in docs.columns else None)
+    return found.select("question_id", "doc_id", "score", "rank")
 
 
 def title_matches(questions: DataFrame, docs: DataFrame) -> DataFrame:
@@ -297,14 +306,16 @@ def expand_neighbors(contexts: DataFrame, chunks: DataFrame, width: int, budget:
 
 
 def section_topk(questions: DataFrame, sections: DataFrame, k: int = 2) -> DataFrame:
-    """The k best sections (doc_id, line, title, summary, doc_title) of each document for a question: 0.18, 0.08 a word of
-    the section up to 0.56, 0.07 a word of its title up to 0.22, 0.03 a word of the document's title up to 0.12."""
-    words = lambda c: F.array_distinct(ascii_terms(c))
-    parts = {"node": F.concat_ws(" ", "title", "summary"), "head": F.col("title"), "doc": F.col("doc_title")}
+    """The k best sections (doc_id, line, title, summary, doc_title) of each document for a question: 0.18, 0.08 a term of
+    the section up to 0.56, 0.07 a term of its title up to 0.22, 0.03 a term of the document's title up to 0.12; 0.92 at most.
+
+    Terms are those of relevance_terms, words and CJK grams; single characters count in the section's title alone."""
+    long = lambda c: F.filter(relevance_terms(c), lambda t: F.length(t) >= 2)
+    parts = {"node": long(F.concat_ws(" ", "title", "summary")), "head": relevance_terms(F.coalesce("title", F.lit(""))), "doc": long(F.coalesce("doc_title", F.lit("")))}
     tag = lambda name: lambda w: F.struct(w.alias("term"), F.lit(name).alias("part"))
-    tagged = F.flatten(F.array(*[F.transform(words(c), tag(name)) for name, c in parts.items()]))
+    tagged = F.flatten(F.array(*[F.transform(c, tag(name)) for name, c in parts.items()]))
     spread = sections.select("doc_id", "line", F.explode(tagged).alias("x")).select("doc_id", "line", "x.*")
-    hits = questions.select("question_id", F.explode("terms").alias("term")).join(spread, "term").groupBy("question_id", "doc_id", "line").agg(*[F.count_if(F.col("part") == p).alias(p) for p in parts])
+    hits = questions.select("question_id", F.explode("terms").alias("term")).join(spread, "term").groupBy("question_id", "doc_id", "line").agg(*[F.count_if(F.col("part") == p).alias(p) for p in parts]).where("node > 0 or doc > 0")
     score = F.least(F.lit(0.92), 0.18 + F.least(F.lit(0.56), 0.08 * F.col("node")) + F.least(F.lit(0.22), 0.07 * F.col("head")) + F.least(F.lit(0.12), 0.03 * F.col("doc")))
     best = hits.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "doc_id").orderBy(F.desc("score"), "line")))
     return best.where(F.col("rank") <= k).select("question_id", "doc_id", "line", "score", "rank")

@@ -5,6 +5,7 @@ Pages have slug, title, page_type, confidence, summary and body (markdown).
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -367,23 +368,25 @@ def wiki_topk(questions: DataFrame, pages: DataFrame, k: int) -> DataFrame:
 
     0.68 of coverage, 0.065 a title term up to 0.2, 0.04 a summary term up to 0.16, 0.07 a phrase of the question up to
     0.14, 0.06 of confidence and 0.04, less 0.01 for each power of ten of the length, up to 0.08; 0 to 0.99. Pages that hold
-    less than 0.16 of the terms need one in the title. Terms are whole words."""
+    less than 0.16 of the terms need one in the title. Terms and phrases, in any script, are found anywhere in the text
+    without its white space."""
+    from .patterns import Count, topk
     from .retrieval import phrases
 
-    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]{2,}"), F.lit(0)))
-    text = F.concat_ws(" ", "title", "summary", "body")
-    sized = pages.select("slug", "confidence", F.length(F.regexp_replace(text, r"\s+", "")).alias("chars"))
-    spread = pages.select("slug", words(F.col("title")).alias("tw"), words(F.col("summary")).alias("sw"), F.explode(words(text)).alias("term"))
-    flat = spread.select("slug", "term", F.array_contains("tw", F.col("term")).cast("int").alias("t"), F.array_contains("sw", F.col("term")).cast("int").alias("s"))
-    hits = questions.select("question_id", F.size("terms").alias("asked"), F.explode("terms").alias("term")).join(flat, "term").groupBy("question_id", "slug", "asked").agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("s").alias("s"))
-    # a phrase lies in a page that holds all its words; pages are compared where one of its words is
-    asked = questions.select("question_id", F.explode(F.array_distinct(phrases(F.col("question")))).alias("phrase"))
-    said = asked.join(flat.select("slug", F.col("term").alias("phrase")), "phrase").groupBy("question_id", "slug").agg(F.count("*").alias("p"))
-    both = hits.where((F.col("n") / F.col("asked") >= 0.16) | (F.col("t") > 0)).join(said, ["question_id", "slug"], "left").join(sized, "slug").fillna(0, ["p"])
-    penalty = F.least(F.lit(0.08), 0.01 * F.log10(F.greatest(F.lit(1000), "chars").cast("double")))
-    score = 0.68 * F.col("n") / F.col("asked") + F.least(F.lit(0.2), 0.065 * F.col("t")) + F.least(F.lit(0.16), 0.04 * F.col("s")) + F.least(F.lit(0.14), 0.07 * F.col("p")) + F.least(F.lit(0.06), 0.06 * F.greatest(F.lit(0.0), "confidence")) + 0.04 - penalty
-    ranked = both.withColumn("score", F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.99), score.cast("double"))), 4)).withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "slug")))
-    return ranked.where(F.col("rank") <= k).select("question_id", "slug", "score", "rank")
+    near = lambda c: F.regexp_replace(F.lower(c), r"\s+", "")
+    asked = questions.select("question_id", F.transform("terms", near).alias("terms"), F.array_distinct(F.transform(phrases(F.col("question")), near)).alias("said"))
+    full = near(F.concat_ws(" ", "title", "summary", "body"))
+    texts = pages.select("slug", F.coalesce("confidence", F.lit(0.0)).cast("double").alias("confidence"), near(F.coalesce("title", F.lit(""))).alias("title"), near(F.coalesce("summary", F.lit(""))).alias("summary"), full.alias("full"), F.length(full).alias("chars"))
+    counts = {"n": Count("terms", ("full",)), "t": Count("terms", ("title",)), "s": Count("terms", ("summary",)), "p": Count("said", ("full",))}
+
+    def score(n: dict, q: dict, texts: dict) -> tuple[np.ndarray, np.ndarray]:
+        coverage = n["n"] / np.maximum(q["n_terms"], 1)
+        penalty = np.minimum(0.08, 0.01 * np.log10(np.maximum(1000, texts["chars"].astype(float))))
+        own = np.minimum(0.06, 0.06 * np.maximum(0.0, texts["confidence"])) + 0.04 - penalty
+        total = 0.68 * coverage + np.minimum(0.2, 0.065 * n["t"]) + np.minimum(0.16, 0.04 * n["s"]) + np.minimum(0.14, 0.07 * n["p"]) + own[:, None]
+        return np.clip(total, 0.0, 0.99), ((n["n"] > 0) & (coverage >= 0.16)) | (n["t"] > 0)
+
+    return topk(asked, texts, k, counts, score, ["slug"], columns=("confidence", "chars"), digits=4)
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:

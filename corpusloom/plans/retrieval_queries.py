@@ -233,10 +233,10 @@ def _(spark, d):
 ASKED_DOCS = "ad as (select user_id as question_id, ['src' || cast(user_id % 20 as string), cast(user_id * 3 % 200 as string) || '.'] as terms, case user_id % 3 when 0 then '.md' when 1 then '.pdf' else '.txt' end as wants, user_id % 4 = 0 as newest from {users})"
 
 
-@register("e26_metadata_topk", f"with {ASKED_DOCS}, h as (select question_id, doc_id, round(cast(least(1.0, 0.18 + sum(case when length(term) <= 4 then 0.16 else 0.24 end) + case when ends_with(filename, wants) then 0.2 else 0 end + case when newest then 0.18 else 0 end) as double), 6) as score from (select *, unnest(terms) as term from ad) a join {{docs}} on contains(lower(title || ' ' || filename), term) group by question_id, doc_id, filename, wants, newest) select question_id, doc_id, score, row_number() over (partition by question_id order by score desc, doc_id) as rank from h qualify rank <= 5")
+@register("e26_metadata_topk", f"with {ASKED_DOCS}, h as (select question_id, doc_id, created_at, coalesce(list_sum(list_transform(list_filter(terms, lambda t: contains(body, t)), lambda t: case when length(t) <= 4 then 0.16 else 0.24 end)), 0) as hits, ends_with(filename, wants) as kind, newest from ad, (select *, lower(title || filename || source_type) as body, doc_id % 100 as created_at from {{docs}})), s as (select question_id, doc_id, created_at, round(cast(least(1.0, 0.18 + hits + case when kind then 0.2 else 0 end + case when newest then 0.18 else 0 end) as double), 6) as score from h where hits > 0 or kind or newest) select question_id, doc_id, score, row_number() over (partition by question_id order by score desc, created_at desc, doc_id) as rank from s qualify rank <= 5")
 def _(spark, d):
     q = view(spark, d, "users").selectExpr("user_id as question_id", "array('src' || cast(user_id % 20 as string), cast(user_id * 3 % 200 as string) || '.') as terms", "case user_id % 3 when 0 then '.md' when 1 then '.pdf' else '.txt' end as wants", "user_id % 4 = 0 as newest")
-    return R.metadata_topk(q, docs(spark, d), 5)
+    return R.metadata_topk(q, docs(spark, d).withColumn("created_at", F.col("doc_id") % 100), 5)
 
 
 NAMED = "nq as (select user_id as question_id, 'what does src' || cast(user_id % 20 as string) || '-' || cast(user_id as string) || ' say of the thing' as question from {users}), nm as (select question_id, question, doc_id, least(0.99, 0.86 + 0.01 * greatest(0, length(title) - 4)) as score from nq join {docs} on doc_id = question_id)"

@@ -242,9 +242,9 @@ def _(spark, d):
     return W.wiki_index(pages(spark, d), findings(spark, d))
 
 
-WIKI_TOP = r"""wb as (select *, list_distinct(regexp_extract_all(lower(title), '[a-z0-9_]{2,}')) as tw, list_distinct(regexp_extract_all(lower(summary), '[a-z0-9_]{2,}')) as sw, list_distinct(regexp_extract_all(lower(concat_ws(' ', title, summary, body)), '[a-z0-9_]{2,}')) as bw, length(regexp_replace(concat_ws(' ', title, summary, body), '\s+', '', 'g')) as chars from {wiki_pages}),
-    wq as (select question_id, terms, list_distinct(list_filter(list_transform(regexp_split_to_array(question, '[\s,.;:!?，。；：！？]+'), lambda p: lower(p)), lambda p: length(p) between 4 and 12)) as said from {asked}),
-    wx as (select question_id, slug, confidence, chars, len(terms) as asked, len(list_intersect(terms, bw)) as n, len(list_intersect(terms, tw)) as t, len(list_intersect(terms, sw)) as s, len(list_intersect(said, bw)) as p from wq, wb),
+WIKI_TOP = r"""wb as materialized (select slug, confidence, regexp_replace(lower(title), '\s+', '', 'g') as ti, regexp_replace(lower(summary), '\s+', '', 'g') as su, regexp_replace(lower(concat_ws(' ', title, summary, body)), '\s+', '', 'g') as fu from {wiki_pages}),
+    wq as materialized (select question_id, terms, list_distinct(list_filter(list_transform(regexp_split_to_array(question, '[\s,.;:!?，。；：！？]+'), lambda p: lower(p)), lambda p: length(p) between 4 and 12)) as said from {asked}),
+    wx as (select question_id, slug, confidence, length(fu) as chars, len(terms) as asked, len(list_filter(terms, lambda x: contains(fu, x))) as n, len(list_filter(terms, lambda x: contains(ti, x))) as t, len(list_filter(terms, lambda x: contains(su, x))) as s, len(list_filter(said, lambda x: contains(fu, x))) as p from wq, wb),
     wt as (select question_id, slug, round(greatest(0.0, least(0.99, cast(0.68 * n / asked + least(0.2, 0.065 * t) + least(0.16, 0.04 * s) + least(0.14, 0.07 * p) + least(0.06, 0.06 * confidence) + 0.04 - least(0.08, 0.01 * log10(greatest(1000, chars))) as double))), 4) as score, row_number() over (partition by question_id order by score desc, slug) as rank from wx where n > 0 and (n / asked >= 0.16 or t > 0) qualify rank <= 5)"""
 
 

@@ -23,7 +23,7 @@ VIEWS = {
     "graded": "select doc_id, case when coalesce(length(trim(text)), 0) < 80 then 'blocked' when length(trim(text)) < 400 then 'poor' else 'good' end as grade from {documents}",
     "asked": "select question_id, question, list_sort(list_distinct(regexp_extract_all(lower(question), '[a-z0-9_]{2,}'))) as terms from {questions}",
     "hits": "select question_id, len(terms) as asked, doc_id, chunk_index, case when contains(lower(content), term) then 0.12 + 0.10 * (least(length(term), 12) / 12.0) else 0.0 end as c, case when contains(lower(title), term) then 0.18 + 0.12 * (least(length(term), 12) / 12.0) else 0.0 end as t from (select *, unnest(terms) as term from {asked}) q join (select c.*, d.title from {chunks} c join {docs} d using (doc_id)) c on contains(lower(content), term) or contains(lower(title), term)",
-    "top": "select *, row_number() over (partition by question_id order by score desc, matched desc, doc_id, chunk_index) as rank from (select question_id, doc_id, chunk_index, round(cast(least(0.96, sum(c + t) + least(0.22, 0.22 * count(*) / max(asked))) as double), 6) as score, count(*) as matched from {hits} group by 1, 2, 3) qualify rank <= 10",
+    "top": "select *, row_number() over (partition by question_id order by score desc, matched desc, doc_id, chunk_index) as rank from (select question_id, doc_id, chunk_index, round(cast(least(0.96, sum(c + t) + least(0.22, 0.35 * count(*) / max(asked))) as double), 6) as score, count(*) as matched from {hits} group by 1, 2, 3) qualify rank <= 10",
     "ctx": "select t.question_id, t.doc_id, t.chunk_index, t.score, t.rank, c.content, d.title, a.terms, a.question, grade, case grade when 'blocked' then 0.45 when 'poor' then 0.18 else 0.0 end as penalty, t.chunk_index = 0 as section, contains(lower(a.question), 'that') and not contains(lower(c.content), 'that') as mismatch from {top} t join {chunks} c using (doc_id, chunk_index) join {docs} d using (doc_id) join {asked} a using (question_id) join {graded} using (doc_id)",
     "wiki_pages": """select doc_id, lower(title) as slug, case when doc_id % 50 = 9 then 'Shared title' else title end as title, scope, case doc_id % 4 when 0 then 'process' when 1 then 'rule' when 2 then 'entity' else 'concept' end as page_type, 0.3 + (doc_id % 7) / 10.0 as confidence, case when doc_id % 23 = 0 then '' else left(replace(text, chr(10), ' '), 100) end as summary, doc_id % 29 = 0 as stale, doc_id as position,
         case when doc_id % 31 = 0 then 'short' else '# ' || title || chr(10) || chr(10) || '## Summary' || chr(10) || left(replace(text, chr(10), ' '), 100) || chr(10) || chr(10) || '- ' || replace(text, chr(10), case when doc_id % 3 = 0 then '' else ' [S1]' end || chr(10) || '- ') || ' [S' || cast(doc_id % 5 as string) || ']' || chr(10) || '- [[' || source_slug || '|next]]' || case when doc_id % 7 = 0 then ' [[missing-' || cast(doc_id as string) || ']]' else '' end end as body
