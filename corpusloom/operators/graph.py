@@ -102,19 +102,34 @@ def list_relations(relations: DataFrame, status: str | None = None, name: str |
     return found if name is None else found.where((F.col("src") == name) | (F.col("dst") == name))
 
 
-def graph_topk(questions: DataFrame, relations: DataFrame, access: DataFrame, k: int) -> DataFrame:
-    """The k best relations of documents that the asker may see, for each question (user_id, terms, named): 2 for each end
-    that a term names, 0.25 for each term in the evidence, 0.2 of the confidence, 0.1 if it is accepted.
-
-    A question that names entities gets relations with one of them alone. access: user_id, doc_id."""
-    asked = questions.select("question_id", "user_id", F.explode("terms").alias("term"), "terms", "named")
-    ends = relations.select(F.explode(F.array_distinct(F.array(F.lower("src"), F.lower("dst")))).alias("term"), "src", "dst", "type", "doc_id", "chunk_index", "evidence", "confidence", "status")
-    hits = asked.join(ends, "term").join(access.select("user_id", "doc_id").distinct(), ["user_id", "doc_id"])
+#: Relations that people have confirmed, or that are sure enough by themselves.
+BELIEVED = ("confirmed", "auto")
+
+
+def graph_topk(questions: DataFrame, relations: DataFrame, access: DataFrame, k: int, favoured: str | None = None, wants: tuple[tuple[str, str, str], ...] = ()) -> DataFrame:
+    """The k best believed relations of documents that the asker may see, for each question (user_id, terms, named): 2 for
+    each end that a term names and 0.25 for each term in its ends, type and evidence; the confidence decides between equals.
+
+    0.4 more if the source holds a favoured text, and 3 for each of wants (a text in the question, a type, a text in the
+    target) that is met. A question that names entities gets relations with one of them alone. access: user_id, doc_id."""
+    believed = relations.where(F.col("status").isin(*BELIEVED))
+    question = F.lower("question") if "question" in questions.columns else F.lit("")
+    asked = questions.select("question_id", "user_id", "terms", "named", question.alias("question"))
+    ends = believed.select(F.explode(F.array_distinct(F.array(F.lower("src"), F.lower("dst")))).alias("term"), "src", "dst", "type", "doc_id", "chunk_index", "evidence", "confidence")
+    keys = ["question_id", "user_id", "src", "dst", "type", "doc_id", "chunk_index"]
+    hits = asked.select("question_id", "user_id", F.explode("terms").alias("term")).distinct().join(ends, "term")
+    both = hits.groupBy(*keys, "evidence", "confidence").agg(F.count("*").alias("ends")).join(access.select("user_id", "doc_id").distinct(), ["user_id", "doc_id"], "left_semi")
+    both = both.join(asked.drop("user_id"), "question_id")
+    body = F.lower(F.concat_ws(" ", "src", "dst", "type", "evidence"))
     strict = (F.size("named") == 0) | F.array_contains("named", F.lower("src")) | F.array_contains("named", F.lower("dst"))
-    both = hits.where(strict).groupBy("question_id", "src", "dst", "type", "doc_id", "chunk_index", "evidence", "confidence", "status", "terms").agg(F.count("*").alias("ends"))
-    score = 2.0 * F.col("ends") + 0.25 * F.size(F.filter("terms", lambda t: F.contains(F.lower("evidence"), t))) + 0.2 * F.col("confidence") + F.when(F.col("status").isin("auto", "approved"), 0.1).otherwise(0.0)
-    scored = both.select("question_id", "src", "dst", "type", "doc_id", "chunk_index", F.round(score, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_id", "chunk_index", "src", "dst", "type"))).where(F.col("rank") <= k)
+    score = 2.0 * F.col("ends") + 0.25 * F.size(F.filter("terms", lambda t: F.contains(body, t)))
+    if favoured:
+        score = score + F.when(F.contains(F.lower("src"), F.lit(favoured)), 0.4).otherwise(0.0)
+    for text, kind, target in wants:
+        score = score + F.when(F.contains("question", F.lit(text)) & (F.col("type") == kind) & F.contains(F.lower("dst"), F.lit(target)), 3.0).otherwise(0.0)
+    order = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("confidence"), "doc_id", "chunk_index", "src", "dst", "type")
+    scored = both.where(strict).withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return scored.select("question_id", "src", "dst", "type", "doc_id", "chunk_index", "score", "rank")
 
 
 def graph_overview(entities: DataFrame, relations: DataFrame) -> DataFrame:

@@ -98,20 +98,6 @@ def ranked(contexts: DataFrame, n: int, *ties: str, by: str = "score", name: str
     return contexts.withColumn(name, F.row_number().over(order)).where(F.col(name) <= n)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, slots: int = 32) -> DataFrame:
-    """question_id, vec_id, score and rank of the k vectors of the largest cosine, equal ones by vec_id.
-
-    queries (question_id, embedding) are a stated set and meet all vectors in blocks: they are packed into slots rows,
-    each vector row scores a block at a time, and each task keeps what can be among the k best before rows move."""
-    blocks = queries.withColumn("slot", F.pmod(F.xxhash64("question_id"), F.lit(slots))).groupBy("slot").agg(F.collect_list(F.struct("question_id", F.col("embedding").alias("q"))).alias("block"))
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    spread = vectors.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slots - 1).cast("long"))))
-    pairs = spread.join(blocks, "slot").select("vec_id", "embedding", F.explode("block").alias("b")).select("vec_id", "b.question_id", "embedding", "b.q")
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("q"), F.col("q")))
-    scored = pairs.select("question_id", "vec_id", F.when(norm > 0, dot(F.col("embedding"), F.col("q")) / norm).otherwise(0.0).alias("score"))
-    return ranked(scored, k, "vec_id")
-
-
 def words_of(text: Column) -> Column:
     """The different parts of a text between white space, in lower case."""
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[^\\s]+"), F.lit(0)))
@@ -234,6 +220,8 @@ def label_by_markers(texts: DataFrame, column: str, labels: list[tuple[str, list
 
 #: The least evidence quality for a kind of retrieval plan.
 ENOUGH = {"precise": 0.42, "deep": 0.52}
+#: The contexts that a kind of plan asks for at least, 5 for others.
+MIN_CONTEXTS = {"deep": 12, "broad": 8, "precise": 3}
 
 
 def query_profile(questions: DataFrame, aspects: dict[str, list[tuple[str, list[str]]]]) -> DataFrame:
@@ -243,18 +231,20 @@ def query_profile(questions: DataFrame, aspects: dict[str, list[tuple[str, list[
     return questions
 
 
-def evidence_quality(contexts: DataFrame, plans: DataFrame, few: int = 1) -> DataFrame:
+def evidence_quality(contexts: DataFrame, plans: DataFrame) -> DataFrame:
     """quality of each question's first six contexts (rank, score, title, content, terms), and whether it is enough.
 
-    0.45 of the best score, 0.25 of the mean of the first three, 0.45 of the share of terms that the contexts hold
-    together, up to 0.45, and 0.12 of the different documents, three at most; 1 at most. plans (question_id, bucket)
-    set the threshold, 0.46 but for precise and deep ones; few is the least number of contexts."""
-    first = contexts.where("rank <= 6").groupBy("question_id").agg(F.max("score").alias("best"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean3"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("contexts"), F.first("terms").alias("terms"), F.array_join(F.collect_list(F.lower(F.concat_ws(" ", "title", "content"))), " ").alias("body"))
-    coverage = F.size(F.filter("terms", lambda t: F.contains("body", t))) / F.greatest(F.size("terms"), F.lit(1))
+    0.45 of the best score, 0.25 of the mean of the first three, 0.45 of the share of terms that are among the contexts'
+    own terms, up to 0.45, and 0.12 of the different documents, three at most; 1 at most. plans (question_id, bucket)
+    set the threshold, 0.46 but for precise and deep ones, and the least number of contexts: half of min_contexts (3
+    without that column), from 1 to 3. A question without contexts has the quality 0, which is never enough."""
+    first = contexts.where("rank <= 6").groupBy("question_id").agg(F.max("score").alias("best"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean3"), F.countDistinct("doc_id").alias("documents"), F.count("*").alias("contexts"), F.first("terms").alias("terms"), F.array_distinct(F.flatten(F.collect_list(relevance_terms(F.concat_ws(" ", "title", "content"))))).alias("held"))
+    coverage = F.size(F.array_intersect("terms", "held")) / F.greatest(F.size("terms"), F.lit(1))
     quality = 0.45 * F.col("best") + 0.25 * F.col("mean3") + 0.45 * F.least(coverage, F.lit(0.45)) + 0.12 * F.least("documents", F.lit(3)) / 3
-    found = first.join(plans.select("question_id", "bucket"), "question_id").withColumn("quality", F.round(F.least(F.lit(1.0), quality), 6))
+    few = F.least(F.lit(3), F.greatest(F.lit(1), F.floor((F.coalesce("min_contexts", F.lit(3)) if "min_contexts" in plans.columns else F.lit(3)) / 2)))
+    found = plans.select("question_id", "bucket", few.alias("few")).join(first.withColumn("quality", F.round(F.least(F.lit(1.0), quality), 6)), "question_id", "left").fillna({"quality": 0.0, "contexts": 0, "documents": 0})
     found = found.withColumn("threshold", first_of([(F.col("bucket") == b, t) for b, t in ENOUGH.items()], 0.46))
-    return found.withColumn("enough", (F.col("quality") >= F.col("threshold")) & (F.col("contexts") >= few)).drop("terms", "body")
+    return found.withColumn("enough", (F.col("quality") >= F.col("threshold")) & (F.col("contexts") >= F.col("few"))).drop("terms", "held", "few")
 
 
 def rerank_score(contexts: DataFrame, evidence: list[str]) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators.vectors import vector_topk
 from ..registry import register
 from ..sources.model import view
 from .document_queries import chunks, docs
@@ -84,7 +85,7 @@ def _(spark, d):
     (select question_id, vec_id, list_sum(list_transform(range(1, 65), lambda i: cast(q[i] as double) * cast(embedding[i] as double))) / (sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) * sqrt(list_sum(list_transform(q, lambda x: cast(x as double) * cast(x as double))))) as s from q, embeddings)) where rank <= 10""")
 def _(spark, d):
     v = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding")
-    return R.vector_topk(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "question_id"), v, 10)
+    return vector_topk(v.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "question_id"), v, 10)
 
 
 @register("e09_keyword_topk", "select * from {top}")
@@ -152,9 +153,9 @@ def reranked(spark, d):
 BUCKETS = "pb as (select question_id, case when contains(lower(question), 'ente') then 'deep' when contains(lower(question), 'that') then 'broad' when contains(lower(question), 'of') then 'precise' else 'balanced' end as bucket from {questions})"
 
 
-@register("e16_evidence_quality", f"with {BUCKETS}, e as (select question_id, max(score) as best, avg(score) filter (rank <= 3) as mean3, count(distinct doc_id) as documents, count(*) as contexts, any_value(terms) as terms, string_agg(lower(title || ' ' || content), ' ' order by rank) as body from {{ctx}} where rank <= 6 group by 1), q as (select question_id, contexts, documents, case bucket when 'precise' then 0.42 when 'deep' then 0.52 else 0.46 end as threshold, round(cast(least(1.0, 0.45 * best + 0.25 * mean3 + 0.45 * least(len(list_filter(terms, lambda t: contains(body, t))) / len(terms), 0.45) + 0.12 * least(documents, 3) / 3) as double), 6) as quality from e join pb using (question_id)) select *, quality >= threshold and contexts >= 1 as enough from q")
+@register("e16_evidence_quality", f"with {BUCKETS}, e as (select question_id, max(score) as best, avg(score) filter (rank <= 3) as mean3, count(distinct doc_id) as documents, count(*) as contexts, any_value(terms) as terms, string_agg(lower(title || ' ' || content), ' ' order by rank) as body from {{ctx}} where rank <= 6 group by 1), q as (select question_id, contexts, documents, case bucket when 'precise' then 0.42 when 'deep' then 0.52 else 0.46 end as threshold, round(cast(least(1.0, 0.45 * best + 0.25 * mean3 + 0.45 * least(len(list_intersect(terms, regexp_extract_all(body, '[a-z0-9_]{{{{2,}}}}'))) / len(terms), 0.45) + 0.12 * least(documents, 3) / 3) as double), 6) as quality from e join pb using (question_id)) select *, quality >= threshold and contexts >= case bucket when 'deep' then 3 when 'broad' then 3 when 'precise' then 1 else 2 end as enough from (select q.*, bucket from q join pb using (question_id))".replace("{{2,}}", "{2,}").replace("select *, quality", "select question_id, contexts, documents, threshold, quality, quality"))
 def _(spark, d):
-    plans = R.plan_bucket(view(spark, d, "questions"), ["ente"], ["that"], ["of"])
+    plans = R.plan_bucket(view(spark, d, "questions"), ["ente"], ["that"], ["of"]).withColumn("min_contexts", R.first_of([(F.col("bucket") == b, n) for b, n in R.MIN_CONTEXTS.items()], 5))
     return R.evidence_quality(contexts(spark, d), plans).select("question_id", "contexts", "documents", F.col("threshold").cast("decimal(2,2)").alias("threshold"), "quality", "enough")
 
 
