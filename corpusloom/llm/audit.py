@@ -208,7 +208,7 @@ class Matrix:
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for block, docs, *numbers in Matrix._shards(batches):
-                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, *map(pa.array, numbers))]
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (docs, *(pa.array(x, pa.int64()) for x in numbers))]
                 yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), *lists], ["block", "docs", "starts", "columns", "counts"])
 
         return self._streams().mapInArrow(run, f"block long, docs array<struct<{self.facts}>>, starts array<long>, columns array<long>, counts array<long>")
