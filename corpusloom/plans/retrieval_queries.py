@@ -367,14 +367,6 @@ def _(spark, d):
     return R.header_fields(sheets)
 
 
-@register("e46_retrieve", f"with {RERANKED}, {DIVERSE.replace('from rr', chr(102) + 'rom rr where grade <> ' + chr(39) + 'blocked' + chr(39))} select question_id, doc_id, chunk_index, reranked, place from diverse")
-def retrieve(spark, d):
-    """Candidates, features, gate, re-ranking and diversity for all questions in one plan."""
-    gated = reranked(spark, d).where("grade <> 'blocked'").drop("rank")
-    best = R.ranked(gated, 1 << 30, "doc_id", "chunk_index", by="reranked").withColumn("strict", F.contains(F.lower("question"), F.lit("oned")))
-    return R.diversify(best, 6, 2).select("question_id", "doc_id", "chunk_index", "reranked", "place")
-
-
 @register("e47_answer_mode", "select question_id, count(*) as contexts, sum(length(content)) as chars, case when count(*) >= 5 and sum(length(content)) >= 7000 then 'extractive' else 'composed' end as mode from {ctx} group by 1")
 def _(spark, d):
     return R.answer_mode(contexts(spark, d))

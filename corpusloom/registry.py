@@ -29,4 +29,4 @@ def register(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from .plans import document_queries, graph_queries, insight_queries, retrieval_queries, stream_queries, table_queries, wiki_queries  # noqa: F401
+    from .plans import document_queries, graph_queries, insight_queries, pipeline_queries, retrieval_queries, stream_queries, table_queries, wiki_queries  # noqa: F401

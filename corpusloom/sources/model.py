@@ -49,7 +49,11 @@ VIEWS = {
     "feedback": "select event_id as feedback_id, user_id, ts as created_at, case event_id % 4 when 0 then 'wrong_source' when 1 then 'incomplete' when 2 then 'outdated' else 'other' end as category, case event_id % 3 when 0 then 'new' when 1 then 'reviewed' else 'resolved' end as status, 'cause-' || cast(event_id % 7 as string) as root_cause, case when value > 50 then 'up' else 'down' end as rating, cast(user_id as string) || ' ' || event_type as note from {events} where event_type in ('error', 'click')",
     "tasks": "select event_id as task_id, user_id as doc_id, ts as created_at, event_type as task_type, case event_id % 4 when 0 then 'pending' when 1 then 'running' when 2 then 'done' else 'failed' end as status from {events}",
     "users": "select distinct user_id, user_id % 50 = 0 as is_admin from {events}",
+    # every fifth question names a document
+    "naming": "select question_id, case when question_id % 5 = 0 then question || ' see src' || cast(question_id % 20 as string) || '-' || cast(question_id as string) else question end as question from {questions}",
 }
+for _name, _base in (("asked", "questions"), ("hits", "asked"), ("top", "hits")):
+    VIEWS[f"{_name}_naming"] = VIEWS[_name].replace(f"{{{_base}}}", "{naming}" if _base == "questions" else f"{{{_base}_naming}}")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
