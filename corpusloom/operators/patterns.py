@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 BLOCK_TERMS, BLOCK_QUESTIONS = 200_000, 2_000
@@ -106,7 +107,7 @@ def topk(questions: DataFrame, texts: DataFrame, k: int, counts: dict[str, Count
     extra = [*ties, *([newest] if newest else [])]
     order = [("score", "descending"), *((c, "descending") for c in extra), *((c, "ascending") for c in keys)]
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
-    kind = questions.schema["question_id"].dataType.simpleString()
+    kind, id_type = questions.schema["question_id"].dataType.simpleString(), to_arrow_type(questions.schema["question_id"].dataType)
     texts = texts.select(*keys, *[c for c in (*columns, newest) if c and c not in keys], *[F.coalesce(f, F.lit("")).alias(f) for f in names])
     schema = f"question_id {kind}, {', '.join(f'{c} {kinds[c]}' for c in keys)}, score double{''.join(f', {c} double' for c in ties)}{f', {newest} {kinds[newest]}' if newest else ''}"
 
@@ -137,7 +138,7 @@ def topk(questions: DataFrame, texts: DataFrame, k: int, counts: dict[str, Count
                     held, full, last = best(pa.concat_tables([held, table]) if held is not None else table, k, order)
                     least[full] = last
             if held is not None and held.num_rows:
-                ids = pa.array(own.columns["question_id"][held["q"].to_numpy()])
+                ids = pa.array(own.columns["question_id"][held["q"].to_numpy()]).cast(id_type)
                 out = pa.table({"question_id": ids, **{c: held[c] for c in [*keys, "score", *extra]}})
                 yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .patterns import Count, topk
+
 Lexicon = dict[str, list[str]]
 MISSING = "not stated"
 #: Cell texts that say nothing.
@@ -366,50 +369,136 @@ def month_tokens(texts: DataFrame, column: str) -> DataFrame:
     return texts.withColumn("months", F.array_sort(F.array_distinct(F.zip_with(years, months, lambda y, m: F.concat(y, F.lpad(m, 2, "0"))))))
 
 
-def topic_bonus(asks: Column, fields: Column, bonuses: list[tuple[str, str, float]]) -> Column:
-    """The sum of what a question's topics (asks) give where a table has the field that a topic is about."""
-    return sum((F.when(F.array_contains(asks, topic) & F.array_contains(fields, field), points).otherwise(0.0) for topic, field, points in bonuses), F.lit(0.0))
+@dataclass(frozen=True)
+class Bonus:
+    """Points for a question with some of the topics and a table with some of the fields: once, or (every) once if it has
+    all of them, or (each) for each of them up to most."""
 
+    topics: tuple[str, ...]
+    fields: tuple[str, ...]
+    points: float
+    every: bool = False
+    each: bool = False
+    most: float = float("inf")
 
-def rank_rows(questions: DataFrame, ranked: DataFrame, rows: DataFrame, bonuses: list[tuple[str, str, float]], n: int = 20) -> DataFrame:
-    """For each question (question_id, places, month, tokens, asks) the n best rows of its documents (ranked: question_id,
-    document, doc_rank from 0); equal scores by doc_rank, document, sheet and row.
+    def of(self, asks: Column, fields: Column) -> Column:
+        held = [F.array_contains(fields, f) for f in self.fields]
+        if self.each:
+            gain = F.least(F.lit(self.most), self.points * sum((h.cast("int") for h in held), F.lit(0)))
+        else:
+            gain = F.when(all_of(held) if self.every else any_of(held), self.points).otherwise(0.0)
+        return F.when(any_of([F.array_contains(asks, t) for t in self.topics]), gain).otherwise(0.0)
+
+
+def topic_bonus(asks: Column, fields: Column, bonuses: list[Bonus]) -> Column:
+    """The sum of what a question's topics (asks) give where a table has the fields that a topic is about."""
+    return sum((b.of(asks, fields) for b in bonuses), F.lit(0.0))
 
-    0.4 less 0.05 a rank; 0.6 a place that the row names; for a month 8 on its sheet, 1.5 in the row, else -1.25; a token
-    0.18, or 0.28 beyond three characters; and what topics give. rows: document, sheet, row_number, row, row_keys, fields."""
-    text = F.lower(F.concat_ws(" ", "sheet", F.array_join("row_keys", " "), F.array_join(F.transform("row_keys", lambda k: clean(F.element_at("row", k))), " ")))
-    pairs = ranked.join(questions, "question_id").join(rows.select("document", "sheet", "row_number", "fields", text.alias("text")), "document")
+
+def rank_rows(questions: DataFrame, ranked: DataFrame, rows: DataFrame, bonuses: list[Bonus], n: int = 20) -> DataFrame:
+    """For each question (question_id, places, month, tokens, asks) the n best rows of its documents (ranked: question_id,
+    document, doc_rank from 0, and title); equal scores by doc_rank, document, sheet and row.
+
+    0.4 less 0.05 a rank; 0.6 a place that the row names; for a month 8 on its sheet, 1.5 in the row, else -1.25, and
+    without one 0.35 on a sheet of a month that the title names; a token 0.18, or 0.28 beyond three characters; and what
+    topics give. A row's text takes in its sheet, its cells and its document's title. Header rows (is_header) score -1.
+    rows: document, sheet, row_number, row, row_keys, fields and, where there are such, is_header."""
+    if "title" not in ranked.columns:
+        ranked = ranked.withColumn("title", F.lit(""))
+    ranked = month_tokens(ranked, "title").withColumnRenamed("months", "title_months")
+    cells = F.lower(F.concat_ws(" ", "sheet", F.array_join("row_keys", " "), F.array_join(F.transform("row_keys", lambda k: clean(F.element_at("row", k))), " ")))
+    header = F.coalesce(F.col("is_header"), F.lit(False)) if "is_header" in rows.columns else F.lit(False)
+    pairs = ranked.join(questions, "question_id").join(rows.select("document", "sheet", "row_number", "fields", cells.alias("cells"), header.alias("header")), "document")
+    pairs = pairs.withColumn("text", F.concat_ws(" ", "cells", F.lower("title")))
     total = lambda c, f: F.aggregate(F.transform(c, f), F.lit(0.0), lambda a, x: a + x)
     held = lambda t: F.contains("text", F.lower(t))
-    month = F.when(F.col("month").isNull(), 0.0).when(F.col("sheet") == F.col("month"), 8.0).when(held(F.col("month")), 1.5).otherwise(-1.25)
+    titled = F.when(F.array_contains("title_months", F.col("sheet")), 0.35).otherwise(0.0)
+    month = F.when(F.col("month").isNull(), titled).when(F.col("sheet") == F.col("month"), 8.0).when(held(F.col("month")), 1.5).otherwise(-1.25)
     score = 0.4 - 0.05 * F.col("doc_rank") + total("places", lambda p: F.when(held(p), 0.6).otherwise(0.0)) + month + total("tokens", lambda t: F.when(held(t), F.when(F.length(t) <= 3, 0.18).otherwise(0.28)).otherwise(0.0)) + topic_bonus(F.col("asks"), F.col("fields"), bonuses)
-    scored = pairs.withColumn("score", F.round(score, 4))
+    scored = pairs.withColumn("score", F.when(F.col("header"), -1.0).otherwise(F.round(score, 4)))
     best = scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "doc_rank", "document", "sheet", "row_number")))
     return best.where(F.col("rank") <= n).select("question_id", "document", "sheet", "row_number", "score", "rank")
 
 
-def rank_tables(questions: DataFrame, docs: DataFrame, bonuses: list[tuple[str, str, float]], least: float = 0.45, n: int = 3) -> DataFrame:
+def rank_tables(questions: DataFrame, docs: DataFrame, bonuses: list[Bonus], least: float = 0.45, n: int = 3) -> DataFrame:
     """Documents (document, title, samples, months, fields) for each question (question_id, terms, months, asks).
 
     0.04; a term 0.12 in the title and 0.03 in the samples, or 0.18 and 0.05 beyond three characters; 0.32 for a month
     that title or samples name, 0.5 for one that a sheet is of (months); and what topics give. Of those with least or more
-    the n best. Candidates are found by terms' words, by months and by topics' fields, each by equal keys."""
-    from .retrieval import held_words, words_of
-
-    parts = docs.select("document", F.explode(F.array(F.struct(F.lit(1).alias("titled"), F.col("title").alias("t")), F.struct(F.lit(0).alias("titled"), F.col("samples").alias("t")))).alias("x"))
-    words = parts.select("document", "x.titled", F.explode(words_of(F.col("x.t"))).alias("word"))
-    wanted = questions.select("question_id", F.explode(F.array_union(F.transform("terms", lambda t: F.struct(F.lit("term").alias("kind"), F.lower(t).alias("term"))), F.transform("months", lambda t: F.struct(F.lit("month").alias("kind"), F.lower(t).alias("term"))))).alias("x")).select("question_id", "x.kind", "x.term")
-    found = words.join(held_words(wanted, words), "word").select("document", "titled", "term").distinct()
-    short = F.length("term") <= 3
-    gain = F.when(F.col("titled") == 1, F.when(short, 0.12).otherwise(0.18)).otherwise(F.when(short, 0.03).otherwise(0.05))
-    hits = wanted.join(found, "term").groupBy("question_id", "document").agg(F.sum(F.when(F.col("kind") == "term", gain).otherwise(0.0)).alias("hits"), F.max(F.when(F.col("kind") == "month", 0.32).otherwise(0.0)).alias("named"))
-    sheets = questions.select("question_id", F.explode("months").alias("month")).join(docs.select("document", F.explode("months").alias("month")), "month").select("question_id", "document").distinct().withColumn("sheeted", F.lit(0.5))
-    topics = questions.sparkSession.createDataFrame([(t, f, float(p)) for t, f, p in bonuses], "topic string, field string, points double")
-    asked = questions.select("question_id", F.explode("asks").alias("topic")).join(topics, "topic")
-    given = asked.join(docs.select("document", F.explode("fields").alias("field")), "field").groupBy("question_id", "document").agg(F.sum("points").alias("given"))
-    both = hits.join(sheets, ["question_id", "document"], "full").join(given, ["question_id", "document"], "full").fillna(0.0)
-    scored = both.select("question_id", "document", F.round(0.04 + F.col("hits") + F.col("named") + F.col("sheeted") + F.col("given"), 4).alias("score")).where(F.col("score") >= least)
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), "document"))).where(F.col("rank") <= n)
+    the n best, the newest (created_at, where docs have it) of equal ones first, then by document."""
+    rules = list(bonuses)
+    low = lambda c: F.transform(c, F.lower)
+    asked = questions.select("question_id", low("terms").alias("terms"), low("months").alias("months"), F.array_join("asks", "\x00").alias("asks"), F.array_join("months", "\x00").alias("sheets"))
+    newest = "created_at" if "created_at" in docs.columns else None
+    texts = docs.select("document", *([newest] if newest else []), F.lower("title").alias("title"), F.lower("samples").alias("samples"), F.array_join("months", "\x00").alias("of_months"), F.array_join("fields", "\x00").alias("of_fields"))
+    short = lambda a, b: lambda t: a if len(t) <= 3 else b
+    counts = {"titled": Count("terms", ("title",), short(0.12, 0.18)), "sampled": Count("terms", ("samples",), short(0.03, 0.05)), "named": Count("months", ("title", "samples"))}
+
+    def score(c: dict, q: dict, texts: dict) -> tuple[np.ndarray, np.ndarray]:
+        parts = lambda x: [{*y.split("\x00")} - {""} if y else set() for y in x]
+        asks, sheets, fields, months = parts(q["asks"]), parts(q["sheets"]), parts(texts["of_fields"]), parts(texts["of_months"])
+        given = np.array([[sum(_points(b, a, f) for b in rules) for a in asks] for f in fields]).reshape(c["named"].shape)
+        of_sheet = np.array([[not s.isdisjoint(m) for s in sheets] for m in months]).reshape(c["named"].shape)
+        total = 0.04 + c["titled"] + c["sampled"] + 0.32 * (c["named"] > 0) + 0.5 * of_sheet + given
+        return total, np.floor(total * 1e4 + 0.5) / 1e4 >= least
+
+    return topk(asked, texts, n, counts, score, ["document"], columns=("of_months", "of_fields"), digits=4, newest=newest).select("question_id", "document", "score", "rank")
+
+
+def _points(b: Bonus, asks: set[str], fields: set[str]) -> float:
+    """What Bonus.of gives, for sets."""
+    if asks.isdisjoint(b.topics):
+        return 0.0
+    held = len(fields.intersection(b.fields))
+    return min(b.most, b.points * held) if b.each else b.points if held == len(b.fields) or held and not b.every else 0.0
+
+
+@dataclass(frozen=True)
+class Step:
+    """A filter of a table query: rows that meet condition stay, for questions that ask for it (a boolean column; none: all).
+
+    A soft step is passed over where no row that is left meets it."""
+
+    name: str
+    condition: Column
+    asked: Column | None = None
+    soft: bool = False
+
+
+def _meets(bit: int, counted: Column) -> Column:
+    return counted["met"].bitwiseAND(bit) != 0
+
+
+def table_query(questions: DataFrame, ranked: DataFrame, rows: DataFrame, steps: list[Step], distinct: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The rows that all steps leave for each question, and a row of counters for each question.
+
+    questions has what the steps' asked columns read; ranked: question_id and document, the documents that a question
+    looks at; rows: document and what the conditions read. Counters: documents, rows, how many rows met each step when its
+    turn came (0 if it isn't asked for), matched (rows left) and, with distinct, different (its different values among
+    them; nulls and empty texts aren't counted). Rows are read once for the counters: they are counted by the set of steps
+    that they meet, and a question's steps are decided on these counts, of which there are 2 ** len(steps) at most."""
+    mask = sum((F.when(F.coalesce(s.condition, F.lit(False)), 1 << k).otherwise(0) for k, s in enumerate(steps)), F.lit(0))
+    value = F.nullif(distinct.cast("string"), F.lit("")) if distinct is not None else F.lit(None).cast("string")
+    marked = ranked.select("question_id", "document").distinct().join(rows.select("*", mask.alias("met"), value.alias("held")), "document")
+    sets = marked.groupBy("question_id", "met").agg(F.count("*").alias("n")).groupBy("question_id").agg(F.collect_list(F.struct("met", "n")).alias("left"))
+    looked = ranked.select("question_id", "document").distinct().groupBy("question_id").agg(F.count("*").alias("documents"))
+    total = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda a, y: a + y["n"])
+    state = questions.join(looked, "question_id", "left").join(sets, "question_id", "left").withColumn("left", F.coalesce("left", F.array().cast(sets.schema["left"].dataType))).fillna({"documents": 0}).withColumn("rows", total("left"))
+    for k, s in enumerate(steps):
+        asked = F.coalesce(s.asked, F.lit(False)) if s.asked is not None else F.lit(True)
+        bit = 1 << k
+        met = F.filter("left", lambda y: _meets(bit, y))  # noqa: B023
+        state = state.withColumn("next", met).withColumn("asked_", asked)
+        state = state.withColumn(s.name, F.when(F.col("asked_"), total("next")).otherwise(0))
+        passed = F.col("asked_") & (F.size("next") > 0) if s.soft else F.col("asked_")
+        state = state.withColumn("left", F.when(passed, F.col("next")).otherwise(F.col("left"))).drop("next", "asked_")
+    state = state.withColumn("matched", total("left"))
+    kept = marked.join(state.select("question_id", F.explode("left").alias("x")).select("question_id", "x.met"), ["question_id", "met"])
+    counters = state.select("question_id", "documents", "rows", *[s.name for s in steps], "matched")
+    if distinct is not None:
+        different = kept.groupBy("question_id").agg(F.countDistinct("held").alias("different"))
+        counters = counters.join(different, "question_id", "left").fillna({"different": 0})
+    return kept.drop("met", "held"), counters
 
 
 def table_counters(rows: DataFrame, ranked: DataFrame, filters: dict[str, Column], distinct: Column) -> DataFrame:

@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .patterns import CELLS, best
@@ -46,6 +47,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str,
     queries, vectors = queries.select("question_id", "embedding").where("embedding is not null"), vectors.select(*keys, "embedding").where("embedding is not null")
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     schema = f"question_id {queries.schema['question_id'].dataType.simpleString()}, {', '.join(f'{c} {kinds[c]}' for c in keys)}, embedding {kinds['embedding']}"
+    id_type = to_arrow_type(queries.schema["question_id"].dataType)
     order = [("score", "descending"), *((c, "ascending") for c in keys)]
 
     def passed(block):
@@ -63,7 +65,7 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str,
                     held, full, last = best(pa.concat_tables([held, table]) if held is not None else table, k + SPARE, order)
                     least[full] = last
             if held is not None and held.num_rows:
-                out = pa.table({"question_id": pa.array([ids[x] for x in held["q"].to_pylist()]), **{c: held[c] for c in (*keys, "embedding")}})
+                out = pa.table({"question_id": pa.array([ids[x] for x in held["q"].to_pylist()], id_type), **{c: held[c] for c in (*keys, "embedding")}})
                 yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
         return run

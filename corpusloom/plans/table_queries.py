@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import retrieval as R
 from ..operators import tables as T
 from ..registry import register
 from ..sources.model import rows, view
@@ -199,16 +200,16 @@ def _(spark, d):
     return T.compare_periods(typed(spark, d).withColumn("company", Q.value("company")), "company")
 
 
-BONUSES = [("urgent", "urgency", 0.6), ("urgent", "status", 0.15), ("place", "country", 0.45)]
-RANKED = """dd as (select document, lower(min(v1) || ' ' || max(v1) || ' ' || min(v3)) as samples, list(distinct sheet) as months, list(distinct k1) || list(distinct k3) || list(distinct k4) as fields from {flat_rows} group by 1),
+BONUSES = [T.Bonus(("urgent",), ("urgency", "Priority"), 0.6), T.Bonus(("urgent",), ("status", "Order status", "priority"), 0.15, each=True, most=0.2), T.Bonus(("place", "urgent"), ("country", "state of order"), 0.45, every=True)]
+RANKED = """dd as (select document, lower(min(v1) || ' ' || max(v1) || ' ' || min(v3)) as samples, list(distinct sheet) as months, list(distinct k1) || list(distinct k3) || list(distinct k4) as fields, max(row_number) % 7 as created_at from {flat_rows} group by 1),
     qq as (select r_regionkey as question_id, [lower(split_part(r_name, ' ', 1)), lower(substr(r_name, 1, 3)), 'o', 'france'] as terms, ['19950' || cast(r_regionkey + 1 as string)] as months, case when r_regionkey % 2 = 0 then ['urgent'] else ['place'] end as asks from region),
-    sx as (select question_id, document, round(cast(0.04 + list_sum(list_transform(terms, lambda t: case when contains(lower(document), t) then case when length(t) <= 3 then 0.12 else 0.18 end else 0 end + case when contains(samples, t) then case when length(t) <= 3 then 0.03 else 0.05 end else 0 end)) + case when list_has_any(qq.months, dd.months) then 0.5 else 0 end + case when list_contains(asks, 'urgent') and list_contains(fields, 'urgency') then 0.6 else 0 end + case when list_contains(asks, 'urgent') and list_contains(fields, 'status') then 0.15 else 0 end + case when list_contains(asks, 'place') and list_contains(fields, 'country') then 0.45 else 0 end as double), 4) as score from qq, dd),
-    ranked as (select question_id, document, score, row_number() over (partition by question_id order by score desc, document) as rank from sx where score >= 0.45 qualify rank <= 3)"""
+    sx as (select question_id, document, round(cast(0.04 + list_sum(list_transform(terms, lambda t: case when contains(lower(document), t) then case when length(t) <= 3 then 0.12 else 0.18 end else 0 end + case when contains(samples, t) then case when length(t) <= 3 then 0.03 else 0.05 end else 0 end)) + case when list_has_any(qq.months, dd.months) then 0.5 else 0 end + case when len(list_filter(qq.months, lambda m: contains(lower(document), m) or contains(samples, m))) > 0 then 0.32 else 0 end + case when list_contains(asks, 'urgent') and list_has_any(fields, ['urgency', 'Priority']) then 0.6 else 0 end + case when list_contains(asks, 'urgent') then least(0.2, 0.15 * len(list_intersect(fields, ['status', 'Order status', 'priority']))) else 0 end + case when list_has_any(asks, ['place', 'urgent']) and list_has_all(fields, ['country', 'state of order']) then 0.45 else 0 end as double), 4) as score, created_at from qq, dd),
+    ranked as (select question_id, document, score, row_number() over (partition by question_id order by score desc, created_at desc, document) as rank from sx where score >= 0.45 qualify rank <= 3)"""
 
 
 def ranked_tables(spark, d):
     f = view(spark, d, "flat_rows")
-    docs = f.groupBy("document").agg(F.concat_ws(" ", F.min("v1"), F.max("v1"), F.min("v3")).alias("samples"), F.collect_set("sheet").alias("months"), F.concat(F.collect_set("k1"), F.collect_set("k3"), F.collect_set("k4")).alias("fields")).withColumn("title", F.col("document"))
+    docs = f.groupBy("document").agg(F.concat_ws(" ", F.min("v1"), F.max("v1"), F.min("v3")).alias("samples"), F.collect_set("sheet").alias("months"), F.concat(F.collect_set("k1"), F.collect_set("k3"), F.collect_set("k4")).alias("fields"), (F.max("row_number") % 7).alias("created_at")).withColumn("title", F.col("document"))
     q = view(spark, d, "region").select(F.col("r_regionkey").alias("question_id"), F.array(F.split_part("r_name", F.lit(" "), F.lit(1)), F.substring("r_name", 1, 3), F.lit("O"), F.lit("FRANCE")).alias("terms"), F.array(F.concat(F.lit("19950"), F.col("r_regionkey") + 1)).alias("months"), F.array(F.when(F.col("r_regionkey") % 2 == 0, "urgent").otherwise("place")).alias("asks"))
     return T.rank_tables(q, docs, BONUSES)
 
@@ -218,14 +219,16 @@ def _(spark, d):
     return ranked_tables(spark, d)
 
 
-@register("d35_rank_rows", f"""with {RANKED}, q as (select r_regionkey as question_id, ['china', 'france'] as places, case when r_regionkey < 4 then '199' || cast(r_regionkey % 5 + 3 as string) || '06' end as month, ['1-urgent', 'usd'] as tokens, ['urgent'] as asks from region),
-    p as (select q.*, r.document, r.rank - 1 as doc_rank, sheet, row_number, k1, k3, k4, lower(concat_ws(' ', sheet, k1, k2, k3, k4, k5, trim(v1), trim(v2), trim(v3), trim(v4), trim(v5))) as t from q join ranked r using (question_id) join {{flat_rows}} f on f.document = r.document),
-    s as (select *, round(cast(0.4 - 0.05 * doc_rank + 0.6 * (contains(t, 'china')::int + contains(t, 'france')::int) + case when month is null then 0 when sheet = month then 8.0 when contains(t, month) then 1.5 else -1.25 end + case when contains(t, '1-urgent') then 0.28 else 0 end + case when contains(t, 'usd') then 0.18 else 0 end + case when k4 = 'urgency' then 0.6 else 0 end + case when k3 = 'status' then 0.15 else 0 end as double), 4) as score from p)
+@register("d35_rank_rows", f"""with {RANKED}, q as (select r_regionkey as question_id, ['china', 'france'] as places, case when r_regionkey < 3 then '199' || cast(r_regionkey % 5 + 3 as string) || '06' end as month, ['1-urgent', 'usd', 'orders'] as tokens, ['urgent'] as asks from region),
+    p as (select q.*, r.document, r.rank - 1 as doc_rank, sheet, row_number, k1, k3, k4, row_number % 19 = 0 as header, lower(concat_ws(' ', sheet, k1, k2, k3, k4, k5, trim(v1), trim(v2), trim(v3), trim(v4), trim(v5), r.document, '1996-03 1997/4')) as t from q join ranked r using (question_id) join {{flat_rows}} f on f.document = r.document),
+    s as (select *, case when header then -1.0 else round(cast(0.4 - 0.05 * doc_rank + 0.6 * (contains(t, 'china')::int + contains(t, 'france')::int) + case when month is null then case when sheet in ('199603', '199704') then 0.35 else 0 end when sheet = month then 8.0 when contains(t, month) then 1.5 else -1.25 end + case when contains(t, '1-urgent') then 0.28 else 0 end + case when contains(t, 'usd') then 0.18 else 0 end + case when contains(t, 'orders') then 0.28 else 0 end
+        + case when k4 in ('urgency', 'Priority') then 0.6 else 0 end + least(0.2, 0.15 * ((k3 = 'status')::int + (k3 = 'Order status')::int + (k4 = 'priority')::int)) + case when k1 = 'country' and k3 = 'state of order' then 0.45 else 0 end as double), 4) end as score from p)
     select question_id, document, sheet, row_number, score, row_number() over (partition by question_id order by score desc, doc_rank, document, sheet, row_number) as rank from s qualify rank <= 20""")
 def _(spark, d):
-    q = view(spark, d, "region").selectExpr("r_regionkey as question_id", "array('China', 'FRANCE') as places", "case when r_regionkey < 4 then '199' || cast(r_regionkey % 5 + 3 as string) || '06' end as month", "array('1-URGENT', 'usd') as tokens", "array('urgent') as asks")
-    ranked = ranked_tables(spark, d).select("question_id", "document", (F.col("rank") - 1).alias("doc_rank"))
-    return T.rank_rows(q, ranked, rows(spark, d).withColumn("fields", F.col("row_keys")), BONUSES)
+    q = view(spark, d, "region").selectExpr("r_regionkey as question_id", "array('China', 'FRANCE') as places", "case when r_regionkey < 3 then '199' || cast(r_regionkey % 5 + 3 as string) || '06' end as month", "array('1-URGENT', 'usd', 'Orders') as tokens", "array('urgent') as asks")
+    ranked = ranked_tables(spark, d).select("question_id", "document", (F.col("rank") - 1).alias("doc_rank"), F.concat("document", F.lit(" 1996-03 1997/4")).alias("title"))
+    own = rows(spark, d).withColumns({"fields": F.col("row_keys"), "is_header": F.col("row_number") % 19 == 0})
+    return T.rank_rows(q, ranked, own, BONUSES)
 
 
 @register("d36_headers_kept", "select document, min(row_number) as row_number, k1 || '|' || k3 as content from {flat_rows} where document in (select document from {flat_rows} where v1 = 'CHINA') group by 1, 3")
@@ -327,3 +330,28 @@ def _(spark, d):
     rest = F.concat(F.lit("B2: "), "c_name", F.lit(" C2: "), "c_mktsegment", F.when(F.col("c_custkey") % 3 != 0, " | D2: x | E2:").otherwise(""))
     chunks = c.select(F.col("c_custkey").alias("doc_id"), F.posexplode(F.array(head, body, rest)).alias("chunk_index", "content"))
     return T.records_from_cells(chunks).select("doc_id", "row_number", F.array_join("fields", ",").alias("fields"))
+
+
+WHOLE = """tq as (select r_regionkey as question_id, r_regionkey % 2 = 0 as analysis, r_regionkey % 3 > 0 as completion, r_regionkey < 4 as needs from region),
+    w as (select question_id, analysis, completion, needs, document, sheet, row_number, v1, {NUMBER} as x, v3 <> 'P' as a, contains(sheet, '1996') as b, k1 = 'nation' and contains(v4, '1-') as c, (contains(v4, 'URGENT') or contains(v4, 'HIGH')) and not contains(v4, 'NOT') as e, v4 not in ('', '-') and contains(v2, '777') as f from tq left join ranked using (question_id) left join {flat_rows} using (document)),
+    w1 as (select *, a as o1 from w), w2 as (select *, o1 and b as o2 from w1), w3 as (select *, o2 and c as m3, o2 and (not analysis or c or max((o2 and c)::int) over (partition by question_id) = 0) as o3 from w2),
+    w4 as (select *, o3 and e as m4, o3 and (not completion or e) as o4 from w3), w5 as (select *, o4 and f as m5, o4 and (not needs or f or max((o4 and f)::int) over (partition by question_id) = 0) as o5 from w4),
+    wc as (select question_id, count(distinct document) as documents, count(row_number) as rows, count(*) filter (o1) as valued, count(*) filter (o2) as dated, count(*) filter (m3 and analysis) as progressed, count(*) filter (m4 and completion) as completed, count(*) filter (m5 and needs) as required, count(*) filter (o5) as matched, count(distinct v1) filter (o5) as different from w5 group by 1),
+    wg as (select question_id, v1 as key, count(*) as n, round(coalesce(sum(x), 0), 2) as total, row_number() over (partition by question_id order by count(*) desc, v1) as place from w5 where o5 group by 1, 2 qualify place <= 10)"""
+
+
+@register("d46_whole_table_query", flat(f"with {RANKED}, {WHOLE} select wc.*, key, n, total, place from wc left join wg using (question_id)"))
+def whole_table_query(spark, d):
+    """Documents chosen for each question; filters of values, a period, progress, completion and required columns; counters of each; the ten largest groups of what is left."""
+    f = view(spark, d, "flat_rows")
+    q = view(spark, d, "region").selectExpr("r_regionkey as question_id", "r_regionkey % 2 = 0 as analysis", "r_regionkey % 3 > 0 as completion", "r_regionkey < 4 as needs")
+    steps = [
+        T.Step("valued", F.col("v3") != "P"),
+        T.Step("dated", F.contains("sheet", F.lit("1996"))),
+        T.Step("progressed", (F.col("k1") == "nation") & F.contains("v4", F.lit("1-")), F.col("analysis"), soft=True),
+        T.Step("completed", T.completed(["URGENT", "HIGH"], ["NOT"], F.col("v4")), F.col("completion")),
+        T.Step("required", ~F.col("v4").isin("", "-") & F.contains("v2", F.lit("777")), F.col("needs"), soft=True),
+    ]
+    left, counters = T.table_query(q, ranked_tables(spark, d), f, steps, F.col("v1"))
+    groups = left.groupBy("question_id", F.col("v1").alias("key")).agg(F.count("*").alias("n"), F.round(F.coalesce(F.sum(T.numeric(F.col("v5"))), F.lit(0.0)), 2).alias("total"))
+    return counters.join(R.ranked(groups, 10, "key", by="n", name="place"), "question_id", "left")
