@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .commits import Tables
 from .documents import first_of
 from .retrieval import _nfkc
 
@@ -163,9 +164,12 @@ def graph_of(chunks: DataFrame, rules: list, rows: DataFrame | None = None, chun
     return gate_graph(extract_row_graph(rows).unionByName(texts, allowMissingColumns=True))
 
 
-def replace_graph(graph: DataFrame, new: DataFrame, docs: DataFrame) -> DataFrame:
-    """graph with the relations of docs (doc_id) replaced by the new ones."""
-    return graph.join(docs.select("doc_id").distinct(), "doc_id", "left_anti").unionByName(new, allowMissingColumns=True)
+def replace_graph(tables: Tables, batch: str, relations: DataFrame, docs: DataFrame) -> bool:
+    """Replaces the relations, entities and extraction status of docs (doc_id) in all tables at once; False if the batch is
+    done already. Documents without relations are left with the status empty."""
+    counts = relations.groupBy("doc_id").agg(F.count("*").alias("relations"), F.count_if(F.col("status") == "pending").alias("pending"))
+    status = docs.select("doc_id").distinct().join(counts, "doc_id", "left").fillna(0, ["relations", "pending"]).withColumn("status", F.when(F.col("relations") > 0, "ready").otherwise("empty"))
+    return tables.commit(batch, {"relations": relations, "entities": entities_of(relations), "status": status}, docs)
 
 
 def relation_view(relations: DataFrame, docs: DataFrame, labels: dict[str, str]) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.commits import Tables
+from ..operators.components import shared_folder
 from ..registry import register
 from ..sources.model import view
 from .document_queries import acl, chunks, docs
@@ -140,6 +142,21 @@ def _(spark, d):
     return G.extract_graph(chunks(spark, d), RULES)
 
 
+@register("f16_replace_graph", f"""with {RULE_GRAPH}, fit as (select doc_id, chunk_index from {{chunks}} where chunk_index < 80 and length(content) >= 20), g as (select ug.*, case when confidence >= 0.85 then 'auto' else 'pending' end as status from ug join fit using (doc_id, chunk_index) where doc_id % 3 <> 0 or type = 'handled_by'),
+    ge as (select doc_id, count(*) * 2 as entities from g group by 1), gr as (select doc_id, count(*) as relations, count(*) filter (status = 'pending') as pending, string_agg(distinct type, ',' order by type) as types from g group by 1)
+    select doc_id, coalesce(relations, 0) as relations, coalesce(pending, 0) as pending, coalesce(entities, 0) as entities, coalesce(types, '') as types, case when relations > 0 then 'ready' else 'empty' end as status from {{docs}} left join gr using (doc_id) left join ge using (doc_id)""")
+def _(spark, d):
+    """All documents' relations, then those of every third document extracted again by one rule, twice by mistake."""
+    tables, ids = Tables(spark, shared_folder(spark)), docs(spark, d).select("doc_id")
+    G.replace_graph(tables, "all", G.graph_of(chunks(spark, d), RULES), ids)
+    for _ in range(2):
+        again = ids.where("doc_id % 3 = 0")
+        G.replace_graph(tables, "again", G.graph_of(chunks(spark, d).join(again, "doc_id", "left_semi"), RULES[1:2]), again)
+    types = tables.read("relations").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("type")), ",").alias("types"))
+    entities = tables.read("entities").groupBy("doc_id").agg(F.count("*").alias("entities"))
+    return tables.read("status").join(types, "doc_id", "left").join(entities, "doc_id", "left").fillna({"types": "", "entities": 0}).select("doc_id", "relations", "pending", "entities", "types", "status")
+
+
 @register("f17_relation_view", f"with {RELATIONS} select doc_id, title, src || case type when 'requires' then ' requires ' else ' is related to ' end || dst as sentence, status from rel join {{docs}} using (doc_id)")
 def _(spark, d):
     return G.relation_view(relations(spark, d), docs(spark, d), {"requires": "requires"})

@@ -12,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
 from ..operators import ingest
+from ..operators.commits import Tables
 
 FAILURES, WITHIN, LOCKED = 5, 300, 900
 
@@ -145,21 +146,23 @@ def ingest_documents(docs: DataFrame, kinds: list[tuple[str, list[str]]], least:
 
 
 def ingest_all(spark: SparkSession, source: str, schema: str, target: str, checkpoint: str, kinds: list[tuple[str, list[str]]], attempts: int = 3) -> StreamingQuery:
-    """ingest_documents for all documents that arrive in source, each result a table in target by the batch that brought it.
+    """ingest_documents for all documents that arrive in source; the tables are read by Tables(spark, target).
 
-    A batch that fails is tried again, attempts times in all; then its documents are recorded as failed with the error, so
-    that the stream goes on, and later files are taken. A batch overwrites its own partitions."""
+    A batch becomes visible in all tables at once, and its documents replace earlier ones of the same ids. A batch that
+    fails is tried again, attempts times in all; then its documents are recorded as failed with the error, and have
+    nothing else, so that the stream goes on and later files are taken. A batch that is run again changes nothing."""
+    tables = Tables(spark, target)
 
     def write(batch: DataFrame, number: int) -> None:
-        put = lambda df, name: df.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/{name}")
+        ids = batch.select("doc_id")
         for left in range(attempts - 1, -1, -1):
             try:
-                for name, df in ingest_documents(batch, kinds).items():
-                    put(df, name)
+                tables.commit(str(number), ingest_documents(batch, kinds), ids)
                 return
             except Exception as error:  # noqa: BLE001
                 if not left:
-                    put(batch.select("doc_id", F.lit("failed").alias("status"), F.lit(f"reason=error {type(error).__name__} attempts={attempts}").alias("message")), "status")
+                    failed = batch.select("doc_id", F.lit("failed").alias("status"), F.lit(f"reason=error {type(error).__name__} attempts={attempts}").alias("message"))
+                    tables.commit(str(number), {"status": failed}, ids)
 
     stream = spark.readStream.schema(schema).parquet(source)
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
