@@ -193,23 +193,34 @@ def page_sections(pages: DataFrame, flat_up_to: int = 20, group: int = 5) -> Dat
     return leaves.unionByName(groups.select("doc_id", F.lit("group").alias("level"), "start", "end", F.lit(None).cast("int").alias("parent"), "title", "summary"))
 
 
+#: Levels of headings.
+LEVELS = range(1, 7)
+
+
 def heading_sections(docs: DataFrame) -> DataFrame:
-    """doc_id, line, level, title and end (the line before the next heading of its level or a higher one) of `#` headings."""
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    sizes = lines.groupBy("doc_id").agg(F.max("line").alias("final"))
+    """doc_id, line, level, title and end (the line before the next heading of its level or a higher one) of `#` headings.
+
+    One pass over a document's headings from the last to the first keeps the nearest one of each level or a higher one."""
+    split = docs.select("doc_id", F.split("text", "\n").alias("lines"))
+    lines = split.select("doc_id", (F.size("lines") - 1).alias("final"), F.posexplode("lines").alias("line", "body"))
     marks = F.length(F.regexp_extract("body", r"^(#{1,6})\s+\S", 1))
-    heads = lines.where(marks > 0).select("doc_id", "line", marks.alias("level"), F.trim(F.regexp_replace("body", r"^#+\s+", "")).alias("title"))
-    later = heads.select("doc_id", F.col("line").alias("next"), F.col("level").alias("next_level"))
-    # a document's headings meet by doc_id; levels are six at most, so the nearest of each level would do as well
-    ends = heads.join(later, "doc_id").where((F.col("next") > F.col("line")) & (F.col("next_level") <= F.col("level"))).groupBy("doc_id", "line").agg((F.min("next") - 1).alias("end"))
-    return heads.join(ends, ["doc_id", "line"], "left").join(sizes, "doc_id").select("doc_id", "line", "level", "title", F.coalesce("end", "final").alias("end"))
+    heads = lines.where(marks > 0).select("doc_id", "final", "line", marks.alias("level"), F.trim(F.regexp_replace("body", r"^#+\s+", "")).alias("title"))
+    later = Window.partitionBy("doc_id").orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    following = F.array(*[F.last(F.when(F.col("level") <= n, F.col("line")), ignorenulls=True).over(later) for n in LEVELS])
+    nearest = heads.withColumn("following", following)
+    return nearest.select("doc_id", "line", "level", "title", F.coalesce(F.get("following", F.col("level") - 1) - 1, "final").alias("end"))
 
 
 def section_paths(sections: DataFrame) -> DataFrame:
-    """Each section with the titles above it, joined by slashes."""
-    above = sections.select("doc_id", F.col("line").alias("up"), F.col("level").alias("up_level"), F.col("title").alias("up_title"), F.col("end").alias("up_end"))
-    inside = sections.join(above, "doc_id").where((F.col("up") <= F.col("line")) & (F.col("line") <= F.col("up_end")) & ((F.col("up_level") < F.col("level")) | (F.col("up") == F.col("line"))))
-    return inside.groupBy("doc_id", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("up_level", "up", "up_title"))), lambda x: x["up_title"]), " / ").alias("path"))
+    """Each section with the titles above it, joined by slashes.
+
+    One pass over a document's sections keeps the last one of each level; those after which no higher one came are open."""
+    before = Window.partitionBy("doc_id").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    last = lambda met: F.last(F.when(met, F.struct("line", "title")), ignorenulls=True).over(before)
+    higher = lambda n: F.last(F.when(F.col("level") < n, F.col("line")), ignorenulls=True).over(before)
+    above = sections.withColumn("above", F.array(*[F.struct(last(F.col("level") == n).alias("own"), higher(n).alias("cut")) for n in LEVELS]))
+    open_ = F.filter("above", lambda x, i: (i < F.col("level") - 1) & x["own"].isNotNull() & (x["own"]["line"] > F.coalesce(x["cut"], F.lit(-1))))
+    return above.select("doc_id", "line", F.array_join(F.concat(F.transform(open_, lambda x: x["own"]["title"]), F.array("title")), " / ").alias("path"))
 
 
 def section_stats(sections: DataFrame) -> DataFrame:

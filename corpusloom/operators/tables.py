@@ -6,10 +6,13 @@ order). Lexicons are arguments: a dict from a meaning to the words that name it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,11 +44,30 @@ def all_of(conditions: list[Column]) -> Column:
 # meanings of columns ---------------------------------------------------------------------------------------------------
 
 
+def first_values(cells: DataFrame, keys: list[str], order: list[str], value: str, k: int) -> DataFrame:
+    """keys, value and order of the k first different values of each group of keys that a task sees: all that a later
+    choice of the k first of all tasks can need, so at most k rows a group and task are shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, schema = None, None
+        for batch in batches:
+            schema = batch.schema
+            new = batch.to_pandas(integer_object_nulls=True)
+            both = new if held is None else pd.concat([held, new])
+            ordered = both.sort_values([*keys, *order, value], na_position="first", kind="stable").drop_duplicates([*keys, value])
+            held = ordered.groupby(keys, sort=False, dropna=False).head(k)
+        if held is not None:
+            yield pa.RecordBatch.from_pandas(held, schema, preserve_index=False)
+
+    return cells.select(*keys, *order, value).mapInArrow(run, ", ".join(f"`{c}` {cells.schema[c].dataType.simpleString()}" for c in [*keys, *order, value]))
+
+
 def column_samples(rows: DataFrame, limit: int = 8) -> DataFrame:
     """document, raw_name, pos (of the column) and samples, the first different values by sheet and row."""
-    cells = rows.select("document", "sheet", "row_number", F.posexplode("row_keys").alias("pos", "raw_name"), "row").select("document", "sheet", "row_number", "pos", "raw_name", clean(F.element_at("row", F.col("raw_name"))).alias("value"))
-    names = cells.groupBy("document", "raw_name").agg(F.min("pos").alias("pos"))
-    values = cells.where("value <> ''").groupBy("document", "raw_name", "value").agg(F.min(F.struct("sheet", "row_number")).alias("at"))
+    names = rows.select("document", F.posexplode("row_keys").alias("pos", "raw_name")).groupBy("document", "raw_name").agg(F.min("pos").alias("pos"))
+    cells = rows.select("document", "sheet", "row_number", F.explode("row_keys").alias("raw_name"), "row").select("document", "sheet", "row_number", "raw_name", clean(F.element_at("row", F.col("raw_name"))).alias("value"))
+    few = first_values(cells.where("value <> ''"), ["document", "raw_name"], ["sheet", "row_number"], "value", limit)
+    values = few.groupBy("document", "raw_name", "value").agg(F.min(F.struct("sheet", "row_number")).alias("at"))
     first = values.withColumn("k", F.row_number().over(Window.partitionBy("document", "raw_name").orderBy("at", "value"))).where(F.col("k") <= limit)
     samples = first.groupBy("document", "raw_name").agg(F.array_sort(F.collect_list(F.struct("k", "value"))).alias("s"))
     return names.join(samples, ["document", "raw_name"], "left").select("document", "raw_name", "pos", F.coalesce(F.transform("s", lambda x: x["value"]), F.array().cast("array<string>")).alias("samples"))
