@@ -46,16 +46,26 @@ SPELLED = {
     "zéro": "0", "un": "1", "deux": "2", "trois": "3", "quatre": "4", "cinq": "5", "sept": "7", "huit": "8", "neuf": "9",
     "cero": "0", "uno": "1", "dos": "2", "tres": "3", "cuatro": "4", "cinco": "5", "seis": "6", "siete": "7", "ocho": "8", "nueve": "9",
 }
+#: Spelled numbers from ten on in English and German, and what says a digit more than once.
+TENS = {
+    "ten": "10", "eleven": "11", "twelve": "12", "thirteen": "13", "fourteen": "14", "fifteen": "15", "sixteen": "16", "seventeen": "17", "eighteen": "18", "nineteen": "19",
+    "twenty": "20", "thirty": "30", "forty": "40", "fifty": "50", "sixty": "60", "seventy": "70", "eighty": "80", "ninety": "90",
+    "zehn": "10", "elf": "11", "zwölf": "12", "dreizehn": "13", "vierzehn": "14", "fünfzehn": "15", "sechzehn": "16", "siebzehn": "17", "achtzehn": "18", "neunzehn": "19",
+    "zwanzig": "20", "dreißig": "30", "vierzig": "40", "fünfzig": "50", "sechzig": "60", "siebzig": "70", "achtzig": "80", "neunzig": "90",
+}
+HUNDRED, TIMES = ("hundred", "hundert"), {"double": 2, "triple": 3, "doppel": 2}
 #: Words for the signs of numbers and addresses in the same languages.
-PLUS, AT, DOT = ("plus", "más"), ("at", "arroba", "arobase"), ("dot", "punkt", "point", "punto")
+PLUS, AT, DOT = ("plus", "más"), ("at", "arroba", "arobase", "klammeraffe"), ("dot", "punkt", "point", "punto")
 _any = lambda words: "(?:" + "|".join(sorted(words, key=len, reverse=True)) + ")"
-_DIGIT, _PLUS = _any(SPELLED), _any(PLUS)
+_DIGIT, _PLUS = _any([*SPELLED, *TENS, *HUNDRED, *TIMES]), _any(PLUS)
 _AT = rf"(?:\s*[\[({{]\s*(?:{_any(AT)}|@)\s*[\])}}]\s*)"
 _DOT = rf"(?:\s*[\[({{]\s*(?:{_any(DOT)}|\.)\s*[\])}}]\s*)"
-NUMBER = re.compile(rf"\b(?:{_PLUS}\s+)?{_DIGIT}(?:[\s,-]{{1,3}}(?:{_any(DOT)}\s+)?{_DIGIT}){{3,}}\b", re.I)
-#: Runs that also hold numbers in digits; of these only runs with a word are rewritten.
-MIXED = re.compile(rf"\b(?:{_PLUS}\s+)?(?:{_DIGIT}|[0-9]++)(?:(?:\.|[\s,-]{{1,3}}(?:{_any(DOT)}\s+)?)(?:{_DIGIT}|[0-9]++))+\b", re.I)
-LETTER = re.compile(r"[^\W\d_]")
+_NEXT = rf"[\s,-]++(?:(?:{_any(DOT)}|and|und)\s++)?"
+NUMBER = re.compile(rf"\b(?:{_PLUS}\s+)?{_DIGIT}(?:{_NEXT}{_DIGIT}){{3,}}\b", re.I)
+#: Runs that also hold numbers in digits, and dots in brackets; of these only runs with a word or a bracket are rewritten.
+MIXED = re.compile(rf"\b(?:{_PLUS}\s+)?(?:{_DIGIT}|[0-9]++)(?:(?:\.|{_DOT}|{_NEXT})(?:{_DIGIT}|[0-9]++))+\b", re.I)
+LETTER, LETTERS = re.compile(r"[^\W\d_]|[\[({]"), re.compile(r"[^\W\d_]+")
+SPOKEN = frozenset([*SPELLED, *TENS, *HUNDRED, *TIMES])
 #: What addresses are made of, in one pass over the text: signs in words or brackets, words, and all else.
 TOKEN = re.compile(rf"(?P<at>{_AT}|\s{_any(AT)}\s|@)|(?P<dot>{_DOT}|\s{_any(DOT)}\s|\.)|(?P<word>[A-Za-z0-9_%+-]+)|(?P<other>[^A-Za-z0-9_%+@.\s(\[{{-]+|[\s\S])", re.I)
 HOST = re.compile("[A-Za-z0-9-]+")
@@ -63,7 +73,7 @@ HOST = re.compile("[A-Za-z0-9-]+")
 NO_ENDING = frozenset("of on or and the an that which who where when with from for but then than into onto over under was were are has had".split())
 #: Words or brackets without which a text has no disguised sign.
 SIGNS = re.compile(rf"{_any(DOT)}|[\[({{]\s*(?:{_any(AT)}|@|\.)", re.I)
-WORDS = re.compile(rf"{_PLUS}\s+|{_DIGIT}|{_any(DOT)}|\.|[0-9]+|[\s,-]+", re.I)
+WORDS = re.compile(rf"{_PLUS}(?=\s)|{_DIGIT}|{_any(DOT)}|\.|[0-9]+", re.I)
 
 
 def luhn(digits: str) -> bool:
@@ -133,6 +143,7 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
         first = k - 1
         while first - 2 >= last and tokens[first - 1][0] == "dot" and tokens[first - 2][0] == "word":
             first -= 2
+        spelled = _spelled_out(text, tokens, first, last)
         stop, host_end = k, end  # the domain's last token, and where it ends in the text
         while stop + 1 < len(tokens) and tokens[stop + 1][0] == "word" and (stop == k or host_end == tokens[stop][1]) and (m := HOST.match(text, tokens[stop + 1][1], tokens[stop + 1][2])):
             stop, host_end = stop + 1, m.end()
@@ -147,38 +158,83 @@ def _address_edits(text: str) -> list[tuple[int, int, str]]:
         # a bare word `at` counts only with a disguised dot and an ending of letters: "meet us at example.com" is no address
         if not bare or any(not written(t) for t in dots) and len(ending) > 1 and ending.isalpha() and ending not in NO_ENDING:
             edits += [(t[1], t[2], "@" if t[0] == "at" else ".") for t in tokens[first : stop + 1] if t[0] != "word" and not written(t)]
+            edits += [(tokens[t][1], tokens[t][2], "") for t in range(spelled + 1, first, 2)]
             last = stop
-    return edits
+    return sorted(edits)
+
+
+def _spelled_out(text: str, tokens: list[tuple[str, int, int]], first: int, last: int) -> int:
+    """The first token of an address whose name is spelled letter by letter (three at least) with single blanks between."""
+    at = first
+    one = lambda t: tokens[t][0] == "word" and tokens[t][2] - tokens[t][1] == 1
+    while one(at) and at - 2 >= last and one(at - 2) and text[tokens[at - 1][1] : tokens[at - 1][2]] == " ":
+        at -= 2
+    return at if first - at >= 4 else first
+
+
+def written(words: list[str]) -> str:
+    """The digits and signs that words of a number stand for; `one hundred and ninety two` and `one ninety two` are 192."""
+    out, kind, times = [], "", 1
+    for w in words:
+        if w in TIMES:
+            kind, times = "", TIMES[w]
+            continue
+        if w in SPELLED:
+            if kind in ("tens", "hundred") and SPELLED[w] != "0":
+                out[-1], kind = out[-1][:-1] + SPELLED[w], ""
+            else:
+                out.append(SPELLED[w] * times)
+                kind = "unit" if times == 1 else ""
+        elif w in TENS:
+            out[-1:] = [out[-1][:-2] + TENS[w]] if kind == "hundred" else [*out[-1:], TENS[w]]
+            kind = "tens" if TENS[w] > "19" else ""
+        elif w in HUNDRED:
+            out[-1:] = [out[-1] + "00"] if kind == "unit" else [*out[-1:], "100"]
+            kind = "hundred"
+        else:
+            out.append("+" if w in PLUS else "." if w == "." or w in DOT else w)
+            kind = ""
+        times = 1
+    return "".join(out)
 
 
 def _number_edits(text: str, pattern: re.Pattern = NUMBER) -> list[tuple[int, int, str]]:
     edits = []
     for m in pattern.finditer(text):
         if LETTER.search(m[0]):
-            new = "".join("+" if (w := x.lower()).strip() in PLUS else SPELLED.get(w, "." if w == "." or w in DOT else w if w.isdigit() else "") for x in WORDS.findall(m[0]))
+            new = written([x.lower() for x in WORDS.findall(m[0])])
             if new.count(".") == 3 or sum(c.isdigit() for c in new) >= 9:
                 edits.append((m.start(), m.end(), new))
     return edits
 
 
+def _spoken(text: str, signed: bool) -> bool:
+    """Whether a text may hold a number in words: two words of numbers with none between, or one and a digit or a sign anywhere."""
+    said = [w in SPOKEN for w in LETTERS.findall(text.lower())]
+    return True in said and (signed or any(a and b for a, b in zip(said, said[1:], strict=False)) or DIGIT.search(text) is not None)
+
+
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans in the source of what only the rewritten text shows; those that overlap a known span of the kind are left.
 
     Numbers are read twice: as runs of words alone, then with digits among them, as digits beside a run may be no part of it."""
     strange = not text.isascii() and bool(FOLDED.search(text) or INVISIBLE.search(text))
-    worded = bool(SIGNS.search(text))
-    if not (strange or worded or _number_edits(text, MIXED) or _number_edits(text)):
-        return []
     base = Rewritten(text)
     if strange:
         base.rewrite([(m.start(), m.end(), "") for m in INVISIBLE.finditer(base.text)])
         base.fold()
-    words, mixed = _number_edits(base.text), _number_edits(base.text, MIXED)
+    signed = bool(SIGNS.search(base.text))
+    spoken = _spoken(base.text, signed)
+    if not (strange or spoken or signed):
+        return []
+    words = _number_edits(base.text) if spoken else []
+    mixed = _number_edits(base.text, MIXED) if spoken or signed and DIGIT.search(base.text) else []
     found: list[Span] = []
     for edits in [words] if words == mixed else [words, mixed]:
         new = copy(base)
         new.rewrite(edits)
-        new.rewrite(_address_edits(new.text))
+        if signed:
+            new.rewrite(_address_edits(new.text))
         more = []
         for a, b, kind in plain(new.text):
             if any(new.changed[a:b]):

@@ -265,6 +265,28 @@ def test_numbers_beside_words_are_no_disguise():
         assert pii.disguised(text, pii.plain(text)) == [], text
 
 
+@pytest.mark.parametrize(
+    ("kind", "part"),
+    [
+        ("ip", "192[.]168[.]1[.]1"), ("ip", "10(dot)0(dot)0(dot)7"), ("ip", "192.168.one.1"), ("email", "max klammeraffe beispiel punkt de"), ("email", "j a n e at example dot com"),
+        ("phone", "plus one double five five two three four five six seven eight"), ("phone", "plus forty four twenty seven nineteen sixty triple zero"), ("ip", "one ninety two dot one six eight dot one dot one"),
+        ("ip", "one hundred and ninety two dot one hundred sixty eight dot ten dot two hundred fifty five"), ("card", "four    one, - one one one one one one one one one one one one one one"), ("ip", "zehn punkt zwanzig punkt dreißig punkt vierzig"),
+    ],
+)
+def test_written_numbers_are_found_whole(kind, part):
+    for before, after in (("See ", " now"), ("", ""), ("(", ")"), ("Ein Wort: ", ", danke")):
+        text = before + part + after
+        assert [(text[a:b], k) for a, b, k in pii.disguised(text, pii.plain(text))] == [(part, kind)]
+
+
+@pytest.mark.parametrize(
+    ("words", "number"),
+    [("one ninety two", "192"), ("one hundred and ninety two", "192"), ("two hundred five", "205"), ("nineteen eighty four", "1984"), ("double oh seven", "007"), ("hundred", "100"), ("three hundred ten", "310"), ("ninety zero", "900"), ("plus 49 triple two", "+49222"), ("twenty twenty one", "2021"), ("one six eight", "168")],
+)
+def test_numbers_in_words(words, number):
+    assert pii.written([w for w in words.split() if w != "and"]) == number
+
+
 def test_disguises_in_the_corpus_are_found():
     """Planted disguises of every kind, in prose: nine of ten at least are found where they are, and clean texts stay clean."""
     import random
