@@ -31,6 +31,8 @@ OP9 = rf"""with recursive d as (select doc_id, {WORDS.format("translate(text, 'A
     r(a, b) as (select a, b from e union select r.a, e.b from r join e on e.a = r.b)
 select d.doc_id, coalesce(n.n, 0) as n_shingles, least(d.doc_id, coalesce(min(r.b), d.doc_id)) as component_id from d left join n on n.doc_id = d.doc_id left join r on r.a = d.doc_id group by 1, 2"""
 
+LINKS = OP9.replace("select d.doc_id, coalesce(n.n, 0) as n_shingles,", "select d.doc_id, coalesce((select count(*) from e where e.a = d.doc_id), 0) as n_links,")
+
 _TOKENS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 OP10 = f"""with t as (select item_id, {_TOKENS} as w from benchmark), d as (select doc_id, {_TOKENS} as w from documents),
     i as (select distinct cast(item_id as varchar) as item_id, least(10, len(w)) as n, array_to_string(w[p:p + least(10, len(w)) - 1], ' ') as k from (select *, unnest(range(1, len(w) - least(10, len(w)) + 2)) as p from t where len(w) > 0)),
@@ -56,4 +58,4 @@ OP13 = f"""with d as (select doc_id, coalesce(source, '') as part, coalesce(text
         from c, s group by 1, 2, 3, 4)
 select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, sum(removed) over (partition by part, b) as shapley from r"""
 
-ORACLES: dict[str, str] = {"op13_filter_audit": OP13, "op4_chat_formatting": OP4, "op7_quality_rules": OP7, "op9_jaccard_join": OP9, "op10_decontamination": OP10}
+ORACLES: dict[str, str] = {"op13_filter_audit": OP13, "op4_chat_formatting": OP4, "op7_quality_rules": OP7, "op9_jaccard_join": OP9, "jaccard_links": LINKS, "op10_decontamination": OP10}

@@ -77,6 +77,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.classes(read(spark, sf_dir, "documents"), links=False).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
 
 
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read(spark, sf_dir, "documents")).select("doc_id", "component_id", F.col("n_links").cast("long").alias("n_links"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.find_matches(read(spark, sf_dir, "documents").select("doc_id", "text"), read(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"])))
@@ -109,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_token_counts": op8_token_counts,
     "op9_jaccard_join": op9_jaccard_join,
+    "jaccard_links": jaccard_links,
     "op10_decontamination": op10_decontamination,
     "op11_fingerprints": op11_fingerprints,
     "op12_conversation_repair": op12_conversation_repair,
