@@ -76,13 +76,108 @@ def page_confidence(chunks: Column, derived: Column) -> Column:
     return F.when(derived, 0.68).otherwise(F.least(F.lit(0.86), 0.74 + 0.01 * chunks))
 
 
-def render_pages(docs: DataFrame, chunks: DataFrame, at: str) -> DataFrame:
-    """doc_id, slug and body: front matter, summary, facts and a source index, as markdown."""
-    facts = fact_bullets(chunks).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("k", F.concat(F.lit("- "), "sentence", F.lit(" [S"), F.col("chunk_index") + 1, F.lit("]")).alias("l")))).alias("f"))
-    index = chunks.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk_index", F.concat(F.lit("- S"), F.col("chunk_index") + 1, F.lit(": chunk "), F.col("chunk_index") + 1).alias("l")))).alias("i"))
-    lines = lambda c: F.array_join(F.transform(c, lambda x: x["l"]), "\n")
-    both = docs.join(summaries(chunks), "doc_id").join(facts, "doc_id").join(index, "doc_id")
-    return both.select("doc_id", slugify(F.col("title")).alias("slug"), F.concat(F.lit("---\ntitle: "), "title", F.lit(f"\ncompiled: {at}\n---\n\n# "), "title", F.lit("\n\n## Summary\n\n"), "summary", F.lit("\n\n## Facts\n\n"), lines("f"), F.lit("\n\n## Sources\n\n"), lines("i"), F.lit("\n")).alias("body"))
+#: What a page is made by, and the words of its fixed parts; other languages may be passed.
+COMPILER, PROMPT, DERIVED_CONFIDENCE = "rules-2", "derived-1", 0.68
+LABELS = {
+    "note": "This page is compiled from its document by rules. Marks such as [S1] name the sources below.", "summary": "Summary", "no_summary": "Not enough text for a summary.", "facts": "Key facts", "no_facts": "No facts were found.",
+    "notes": "Notes", "kind": "Page type", "document": "Document", "scope": "Scope", "compiler": "Compiler", "rule": "Answers rest on facts with a source mark; what no mark supports is not known.", "excerpts": "Excerpts", "chunk": "chunk", "page": "page", "no_page": "no page",
+    "sources": "Sources", "evidence": "Evidence", "id": "Document id", "file": "File", "made": "Extracted by rules from", "related": "Related pages",
+}
+
+
+def quoted(text: Column) -> Column:
+    """A text as a scalar of front matter."""
+    return F.concat(F.lit('"'), F.replace(F.replace(F.coalesce(text.cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+
+
+def excerpt(text: Column, most: int = 700) -> Column:
+    """A text with white space squeezed, clipped at most characters."""
+    flat = F.btrim(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
+    return F.when(F.length(flat) <= most, flat).otherwise(F.concat(F.rtrim(F.left(flat, F.lit(most))), F.lit("…")))
+
+
+def _bullets(rows: DataFrame, by: list[str], order: str, line: Column, name: str) -> DataFrame:
+    """The lines of each group in order, as one text."""
+    return rows.groupBy(*by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("k"), line.alias("l")))), lambda x: x["l"]), "\n").alias(name))
+
+
+def _front(title: Column, kind: Column, at: str, confidence: Column, count: Column) -> Column:
+    lines = {"title": quoted(title), "type": kind, "source_document_id": quoted(F.col("doc_id")), "knowledge_scope": quoted(F.col("scope")), "compiler_version": quoted(F.lit(COMPILER)), "prompt_version": quoted(F.lit(PROMPT)), "confidence": confidence, "source_chunk_count": count, "compiled_at": quoted(F.lit(at))}
+    return F.concat(F.lit("---\n"), *[x for k, v in lines.items() for x in (F.lit(f"{k}: "), v.cast("string"), F.lit("\n"))], F.lit("---\n"))
+
+
+def _place(label: dict[str, str]) -> Column:
+    return F.when(F.coalesce("page", F.lit(0)) > 0, F.concat(F.lit(f"{label['page']} "), F.col("page").cast("string"))).otherwise(label["no_page"])
+
+
+def _source_line(label: dict[str, str], marker: Column) -> Column:
+    return F.concat(F.lit("- [S"), marker.cast("string"), F.lit(f"] {label['document']}: "), F.col("title"), F.lit(f"; {label['id']}: `"), F.col("doc_id").cast("string"), F.lit(f"`; {label['chunk']} "), F.col("chunk_index").cast("string"), F.lit("; "), _place(label), F.lit("."))
+
+
+def _text(*parts: str | Column) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def render_pages(docs: DataFrame, chunks: DataFrame, at: str, label: dict[str, str] = LABELS, sources: int = 24) -> DataFrame:
+    """doc_id, slug and body of each document's page: front matter with its provenance, summary and facts with source marks,
+    notes, excerpts and index of the first sources chunks, and the evidence. Documents without chunks have a page too.
+
+    docs: doc_id, title, filename, scope; chunks: doc_id, chunk_index from 0, page, content."""
+    own = docs.select("doc_id", F.coalesce(F.nullif("title", F.lit("")), "filename", F.lit("Untitled document")).alias("title"), F.coalesce("filename", F.lit("")).alias("filename"), F.coalesce("scope", F.lit("production")).alias("scope"))
+    marked = F.concat(F.lit("- "), F.col("sentence"), F.lit(" [S"), F.col("chunk_index") + 1, F.lit("]"))
+    first = page_sentences(chunks, 3).withColumn("k", F.row_number().over(Window.partitionBy("doc_id").orderBy("chunk_index", "pos"))).where("k <= 5")
+    named = chunks.where(F.col("chunk_index") < sources).join(own, "doc_id")
+    head = _text("### [S", F.col("chunk_index") + 1, f"] {label['chunk']} ", F.col("chunk_index"), " · ", _place(label), "\n", excerpt(F.col("content")))
+    parts = [
+        _bullets(first, ["doc_id"], "k", marked, "summary"), _bullets(fact_bullets(chunks.where(F.col("chunk_index") < sources)), ["doc_id"], "k", marked, "facts"), _bullets(named, ["doc_id"], "chunk_index", F.concat(F.lit("\n"), head), "excerpts"),
+        _bullets(named, ["doc_id"], "chunk_index", _source_line(label, F.col("chunk_index") + 1), "index"), chunks.groupBy("doc_id").agg(F.count("*").alias("n")),
+    ]
+    both = own
+    for p in parts:
+        both = both.join(p, "doc_id", "left")
+    or_else = lambda c, key: F.coalesce(c, F.lit(f"- {label[key]}"))
+    n = F.coalesce("n", F.lit(0))
+    section = lambda key: f"\n\n## {label[key]}\n"
+    t = F.col("title")
+    body = _text(
+        _front(t, F.lit("source"), at, F.round(page_confidence(F.greatest(n - 1, F.lit(0)), F.lit(False)), 2), n), "\n# ", t, f"\n\n> {label['note']}",
+        section("summary"), or_else("summary", "no_summary"), section("facts"), or_else("facts", "no_facts"),
+        section("notes"), f"- {label['kind']}: source\n- {label['document']}: ", t, f"\n- {label['scope']}: ", F.col("scope"), f"\n- {label['compiler']}: {COMPILER}\n- {label['rule']}",
+        section("excerpts"), F.coalesce("excerpts", F.lit("")), section("sources"), F.coalesce("index", F.lit("")),
+        section("evidence"), f"- {label['document']}: ", t, f"\n- {label['id']}: `", F.col("doc_id"), f"`\n- {label['file']}: `", F.col("filename"), "`\n",
+    )
+    return both.select("doc_id", slugify(t).alias("slug"), body.alias("body"))
+
+
+def render_derived(docs: DataFrame, chunks: DataFrame, derived: DataFrame, at: str, label: dict[str, str] = LABELS, links: int = 8) -> DataFrame:
+    """doc_id, page_type, slug, summary and body of the pages derived from documents (derived: doc_id, page_type,
+    chunk_index, k): up to eight facts of their chunks, links to the document's page and to its other derived pages, at
+    most links, and an index of the chunks, whose marks are their places in the page."""
+    own = docs.select("doc_id", "title", F.coalesce("scope", F.lit("production")).alias("scope"))
+    chosen = derived.select("doc_id", "page_type", "chunk_index", "k").join(chunks.select("doc_id", "chunk_index", "page", "content"), ["doc_id", "chunk_index"]).join(own, "doc_id")
+    by = ["doc_id", "page_type"]
+    said = chosen.select(*by, "k", F.posexplode(F.slice(sentences(F.col("content")), 1, 2)).alias("pos", "sentence")).withColumn("place", F.row_number().over(Window.partitionBy(*by).orderBy("k", "pos"))).where("place <= 8")
+    line = F.concat(F.lit("- "), "sentence", F.lit(" [S"), F.col("k"), F.lit("]"))
+    told = said.withColumn("first", F.min("place").over(Window.partitionBy(*by, "sentence"))).groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("place", F.when(F.col("first") == F.col("place"), F.col("sentence")).alias("s")))).alias("t"))
+    summary = told.select(*by, F.left(F.array_join(F.transform(F.filter("t", lambda x: x["s"].isNotNull()), lambda x: x["s"]), " "), F.lit(900)).alias("summary"))
+    types = chosen.select(*by, "title", "scope").distinct()
+    name = lambda t, kind: F.concat(t, F.lit(" "), kind)
+    link = lambda t, s: F.concat(F.lit("- [["), t, F.lit("|"), s, F.lit("]]"))
+    up = types.select(*by, F.lit(0).alias("k"), link(F.col("title"), slugify(F.col("title"))).alias("l"))
+    others = types.select("doc_id", F.col("page_type").alias("other"))
+    sibling = name(F.col("title"), F.col("other"))
+    side = types.join(others, "doc_id").where("page_type <> other").select(*by, F.row_number().over(Window.partitionBy(*by).orderBy("other")).alias("k"), link(sibling, slugify(sibling)).alias("l"))
+    related = up.unionByName(side.where(F.col("k") < links))
+    parts = [_bullets(said, by, "place", line, "facts"), _bullets(said.where("place <= 5"), by, "place", line, "heads"), summary, _bullets(related, by, "k", F.col("l"), "links"), _bullets(chosen, by, "k", _source_line(label, F.col("k")), "index"), chosen.groupBy(*by).agg(F.count("*").alias("n"))]
+    both = types
+    for p in parts:
+        both = both.join(p, by, "left")
+    t, none = name(F.col("title"), F.col("page_type")), F.lit(f"- {label['no_facts']} [S1]")
+    body = _text(
+        _front(t, F.col("page_type"), at, F.lit(DERIVED_CONFIDENCE), F.col("n")), "\n# ", t, f"\n\n> {label['made']} [[", F.col("title"), "|", slugify(F.col("title")), "]].",
+        f"\n\n## {label['summary']}\n", F.coalesce("heads", none), f"\n\n## {label['facts']}\n", F.coalesce("facts", none), f"\n\n## {label['related']}\n", F.col("links"), f"\n\n## {label['sources']}\n", F.col("index"), "\n",
+    )
+    return both.select(*by, slugify(t).alias("slug"), F.coalesce("summary", F.lit("")).alias("summary"), body.alias("body"))
 
 
 def page_sources(chunks: DataFrame, n: int = 24, chars: int = 360) -> DataFrame:

@@ -75,6 +75,12 @@ def _(spark, d):
     return W.render_pages(docs(spark, d), chunks(spark, d), "2024-01-01").select("doc_id", "slug", F.length("body").alias("chars"))
 
 
+@register("g08_render_derived")
+def _(spark, d):
+    c = chunks(spark, d)
+    return W.render_derived(docs(spark, d), c, W.derived_pages(c, {"process": ["the", "ing"], "rule": ["erth"]}), "2024-01-01").select("doc_id", "page_type", "slug", F.length("body").alias("chars"))
+
+
 @register("g09_page_sources", "select doc_id, chunk_index + 1 as marker, left(trim(content), 360) as quote from {chunks} where chunk_index < 24")
 def _(spark, d):
     return W.page_sources(chunks(spark, d))
