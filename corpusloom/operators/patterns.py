@@ -26,6 +26,14 @@ from pyspark.sql.window import Window
 BLOCK_TERMS, BLOCK_QUESTIONS = 200_000, 2_000
 #: Cells of the arrays of a step.
 CELLS = 1 << 20
+#: Tables of fewer bytes may come in one file that only one task can read.
+SMALL = 256 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A small table dealt out over all cores; a large one as it is read."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size < SMALL else df
 
 
 @dataclass(frozen=True)
@@ -96,6 +104,13 @@ def best(table: pa.Table, k: int, order: list[tuple[str, str]]) -> tuple[pa.Tabl
     return table.filter(pa.array(place < k)), q[full], table["score"].to_numpy()[full]
 
 
+def leading(scores: np.ndarray, least: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores that are not below a column's least, nor below the k-th of its column."""
+    if len(scores) > k:
+        least = np.maximum(least, np.partition(scores, len(scores) - k, axis=0)[len(scores) - k])
+    return np.nonzero((scores >= least) & (scores > -np.inf))
+
+
 def topk(questions: DataFrame, texts: DataFrame, k: int, counts: dict[str, Count], score: Score, keys: list[str], ties: tuple[str, ...] = (), columns: tuple[str, ...] = (), digits: int = 6, newest: str | None = None) -> DataFrame:
     """question_id, keys, score, the counts named in ties, and rank of the k best texts for each question.
 
@@ -109,6 +124,7 @@ def topk(questions: DataFrame, texts: DataFrame, k: int, counts: dict[str, Count
     kinds = {f.name: f.dataType.simpleString() for f in texts.schema.fields}
     kind, id_type = questions.schema["question_id"].dataType.simpleString(), to_arrow_type(questions.schema["question_id"].dataType)
     texts = texts.select(*keys, *[c for c in (*columns, newest) if c and c not in keys], *[F.coalesce(f, F.lit("")).alias(f) for f in names])
+    texts = spread(texts)
     schema = f"question_id {kind}, {', '.join(f'{c} {kinds[c]}' for c in keys)}, score double{''.join(f', {c} double' for c in ties)}{f', {newest} {kinds[newest]}' if newest else ''}"
 
     def passed(block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -132,7 +148,7 @@ def topk(questions: DataFrame, texts: DataFrame, k: int, counts: dict[str, Count
                     of_texts = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
                     scores, ok = score(values, own.columns, of_texts)
                     scores = np.floor(scores * 10.0**digits + 0.5) / 10.0**digits
-                    row, q = np.nonzero(ok & (scores >= least))
+                    row, q = leading(np.where(ok, scores, -np.inf), least, k)
                     data = {"q": q, "score": scores[row, q], **{c: values[c][row, q] for c in ties}, **{c: batch.column(c).take(pa.array(row)) for c in [*keys, *extra[len(ties) :]]}}
                     table = pa.table(data)
                     held, full, last = best(pa.concat_tables([held, table]) if held is not None else table, k, order)

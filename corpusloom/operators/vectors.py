@@ -15,18 +15,32 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .patterns import CELLS, best
+from .patterns import CELLS, best, leading, spread
 
 BLOCK_BYTES = 16 << 20
 #: Rows that a task hands on beyond the k best, in case sums that differ in their last bits order them otherwise.
 SPARE = 16
 
 
-def _blocks(queries: DataFrame, size: int) -> Iterator[tuple[list, np.ndarray]]:
+def _dense(own: pa.Array, dim: int | None) -> np.ndarray:
+    """Rows of numbers, or of (slot, weight) of which all others are 0."""
+    if dim is None:
+        return own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+    out, flat = np.zeros((len(own), dim)), own.flatten()
+    row = np.repeat(np.arange(len(own)), own.value_lengths().to_numpy(zero_copy_only=False))
+    out[row, flat.field(0).to_numpy()] = flat.field(1).to_numpy()
+    return out
+
+
+def _blocks(queries: DataFrame, size: int, dim: int | None) -> Iterator[tuple[list, np.ndarray]]:
     ids, held = [], []
     for row in queries.toLocalIterator():
         ids.append(row["question_id"])
-        held.append(np.asarray(row["embedding"], np.float64))
+        if dim is None:
+            held.append(np.asarray(row["embedding"], np.float64))
+        else:
+            held.append(np.zeros(dim))
+            held[-1][[x[0] for x in row["embedding"]]] = [x[1] for x in row["embedding"]]
         if len(held) * held[0].nbytes >= size:
             yield ids, np.vstack(held)
             ids, held = [], []
@@ -39,14 +53,15 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...] = ("vec_id",), block_bytes: int = BLOCK_BYTES, digits: int | None = None) -> DataFrame:
+def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str, ...] = ("vec_id",), block_bytes: int = BLOCK_BYTES, digits: int | None = None, dim: int | None = None) -> DataFrame:
     """question_id, keys, score and rank of the k vectors of the largest cosine, equal ones by their keys.
 
-    queries: question_id and embedding; vectors: keys and embedding, of one length. A vector of zeros scores 0. digits
-    rounds scores before they are ranked."""
-    queries, vectors = queries.select("question_id", "embedding").where("embedding is not null"), vectors.select(*keys, "embedding").where("embedding is not null")
+    queries: question_id and embedding; vectors: keys and embedding, of one length, or with dim arrays of (slot, weight).
+    A vector of zeros scores 0. With digits, scores are those of the matrix product, rounded before they are ranked."""
+    queries, vectors = queries.select("question_id", "embedding").where("embedding is not null"), spread(vectors.select(*keys, "embedding").where("embedding is not null"))
+    back, spare = ("score",) if digits is not None else ("embedding",), 0 if digits is not None else SPARE
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    schema = f"question_id {queries.schema['question_id'].dataType.simpleString()}, {', '.join(f'{c} {kinds[c]}' for c in keys)}, embedding {kinds['embedding']}"
+    schema = f"question_id {queries.schema['question_id'].dataType.simpleString()}, {', '.join(f'{c} {kinds[c]}' for c in keys)}, {'score double' if digits is not None else f"embedding {kinds['embedding']}"}"
     id_type = to_arrow_type(queries.schema["question_id"].dataType)
     order = [("score", "descending"), *((c, "ascending") for c in keys)]
 
@@ -58,26 +73,26 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str,
             for whole in batches:
                 for batch in (whole.slice(a, step) for a in range(0, whole.num_rows, step)):
                     own = batch.column("embedding")
-                    scores = np.round(_unit(own.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)) @ asked.T, digits or 12)
-                    row, q = np.nonzero(scores >= least)
+                    scores = np.round(_unit(_dense(own, dim)) @ asked.T, 12 if digits is None else digits)
+                    row, q = leading(scores, least, k + spare)
                     at = pa.array(row)
-                    table = pa.table({"q": q, "score": scores[row, q], **{c: batch.column(c).take(at) for c in (*keys, "embedding")}})
-                    held, full, last = best(pa.concat_tables([held, table]) if held is not None else table, k + SPARE, order)
+                    table = pa.table({"q": q, "score": scores[row, q], **{c: batch.column(c).take(at) for c in (*keys, *back) if c != "score"}})
+                    held, full, last = best(pa.concat_tables([held, table]) if held is not None else table, k + spare, order)
                     least[full] = last
             if held is not None and held.num_rows:
-                out = pa.table({"question_id": pa.array([ids[x] for x in held["q"].to_pylist()], id_type), **{c: held[c] for c in (*keys, "embedding")}})
+                out = pa.table({"question_id": pa.array([ids[x] for x in held["q"].to_pylist()], id_type), **{c: held[c] for c in (*keys, *back)}})
                 yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
         return run
 
     context = vectors.sparkSession.sparkContext
-    parts = [vectors.mapInArrow(passed(context.broadcast(b)), schema) for b in _blocks(queries, block_bytes)]
+    parts = [vectors.mapInArrow(passed(context.broadcast(b)), schema) for b in _blocks(queries, block_bytes, dim)]
     found = parts[0] if parts else vectors.sparkSession.createDataFrame([], schema)
     for more in parts[1:]:
         found = found.unionByName(more)
-    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    both = found.join(queries.withColumnRenamed("embedding", "q"), "question_id")
-    norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("q"), F.col("q")))
-    score = F.when(norm > 0, dot(F.col("embedding"), F.col("q")) / norm).otherwise(0.0)
-    scored = both.select("question_id", *keys, (score if digits is None else F.round(score, digits)).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), *keys))).where(F.col("rank") <= k)
+    if digits is None:
+        dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+        both = found.join(queries.withColumnRenamed("embedding", "q"), "question_id")
+        norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("q"), F.col("q")))
+        found = both.select("question_id", *keys, F.when(norm > 0, dot(F.col("embedding"), F.col("q")) / norm).otherwise(0.0).alias("score"))
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), *keys))).where(F.col("rank") <= k)

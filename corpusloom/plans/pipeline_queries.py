@@ -10,6 +10,7 @@ from ..operators import ingest, pipeline
 from ..operators import retrieval as R
 from ..operators import wiki as W
 from ..operators.components import keep
+from ..operators.patterns import spread
 from ..operators.vectors import vector_topk
 from ..registry import register
 from ..sources.model import view
@@ -34,15 +35,15 @@ def of_chunks(spark, d, found, channel):
 
 
 def embedded(df, key, text):
-    """key and embedding of texts that have tokens."""
-    slots = ingest.hash_embed(df, key, text).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "weight"))).alias("m"))
-    return slots.select(key, F.transform(F.sequence(F.lit(0).cast("long"), F.lit(511).cast("long")), lambda i: F.coalesce(F.element_at("m", i), F.lit(0.0))).alias("embedding"))
+    """key and embedding (slots and weights) of texts that have tokens."""
+    return ingest.hash_embed(df, key, text).groupBy(key).agg(F.collect_list(F.struct("slot", "weight")).alias("embedding"))
 
 
 def by_vectors(spark, d, asked):
-    named = chunks(spark, d).select(F.concat_ws("#", "doc_id", "chunk_index").alias("id"), "content")
-    own = embedded(named, "id", "content").select(F.split_part("id", F.lit("#"), F.lit(1)).cast("long").alias("doc_id"), F.split_part("id", F.lit("#"), F.lit(2)).cast("long").alias("chunk_index"), "embedding")
-    return vector_topk(embedded(asked, "question_id", "question"), own, 10, ("doc_id", "chunk_index"), digits=6)
+    named = spread(chunks(spark, d).select(F.concat_ws("#", "doc_id", "chunk_index").alias("id"), "content"))
+    part = lambda n: F.split_part("id", F.lit("#"), F.lit(n)).cast("long")
+    own = embedded(named, "id", "content").select(part(1).alias("doc_id"), part(2).alias("chunk_index"), "embedding")
+    return vector_topk(embedded(asked, "question_id", "question"), own, 10, ("doc_id", "chunk_index"), digits=6, dim=512)
 
 
 def scored(spark, d, contexts):

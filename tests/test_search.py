@@ -135,6 +135,18 @@ def test_vectors_equal_brute_force(spark, size):
     assert sorted(tuple(r) for r in found.select("question_id", "vec_id", "score", "rank").collect()) == sorted(want)
 
 
+def test_sparse_vectors_equal_dense_ones(spark):
+    r = random.Random(8)
+    rows = [(k, [(s, r.choice([-1.0, 0.5, 2.0])) for s in sorted(r.sample(range(9), r.randint(0, 5)))]) for k in range(80)]
+    dense = lambda x: [dict(x).get(s, 0.0) for s in range(9)]
+    sparse = lambda rows, name: spark.createDataFrame(rows, f"{name} long, embedding array<struct<slot: long, weight: double>>").repartition(3)
+    full = lambda rows, name: spark.createDataFrame([(k, dense(x)) for k, x in rows], f"{name} long, embedding array<double>")
+    one = vectors.vector_topk(sparse(rows[:9], "question_id"), sparse(rows, "vec_id"), 4, digits=6, dim=9)
+    two = vectors.vector_topk(full(rows[:9], "question_id"), full(rows, "vec_id"), 4, digits=6)
+    get = lambda df: sorted((r["question_id"], r["vec_id"], round(r["score"], 6), r["rank"]) for r in df.collect())
+    assert get(one) == get(two) and len(get(one)) == 36
+
+
 def test_relations_must_be_believed(spark):
     rel = [("Office", "Form", k, 1, 0, "the form", c, s) for k, c, s in (("requires", 0.9, "auto"), ("names", 0.95, "confirmed"), ("holds", 0.99, "pending"), ("owns", 0.99, "rejected"))]
     relations = spark.createDataFrame(rel, "src string, dst string, type string, doc_id long, chunk_index long, evidence string, confidence double, status string")
