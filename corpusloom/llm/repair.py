@@ -253,11 +253,12 @@ def repair(conversations: DataFrame) -> DataFrame:
 
     conversations: conv_id, turn, role and text (see numbered). The edits are the cheapest that give role initials
     (s?(ua)+)?, and of these the least in the order of their letters. Blank rows and duplicates always go. A null
-    conv_id is a conversation; conversations of which nothing is left have no rows. Null texts and roles must have been
-    replaced. Further columns are left out. Rows of a conversation are streamed through one task in order, never
+    conv_id is a conversation; conversations of which nothing is left have no rows. Null texts and roles are one space.
+    Further columns are left out. Rows of a conversation are streamed through one task in order, never
     gathered."""
-    kind = pa.schema([("x", _arrow(conversations))]).field(0).type
-    return streams(numbered(conversations)).mapInArrow(lambda b: _rows(kind, b), f"conv_id {conversations.schema['conv_id'].dataType.simpleString()}, at long, edit string, role string, text string")
+    kind = _arrow(conversations)
+    said = conversations.select("conv_id", "turn", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")])
+    return streams(numbered(said)).mapInArrow(lambda b: _rows(kind, b), f"conv_id {conversations.schema['conv_id'].dataType.simpleString()}, at long, edit string, role string, text string")
 
 
 def audit(rows: DataFrame) -> DataFrame:
