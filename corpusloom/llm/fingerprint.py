@@ -102,7 +102,8 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
 
 
 def bounds(ids: DataFrame, range_rows: int = RANGE_ROWS, ranges: int = RANGES) -> tuple[list[int], int]:
-    """Ids in ascending order that cut all ids into about even ranges, and the largest id. At most PER_BOUND * ranges ids, chosen by hash, reach the driver."""
+    """Ids in ascending order that cut all ids into about even ranges, and the largest id. About PER_BOUND ids a range, chosen
+    by hash, reach the driver, so their number is bounded by ranges and not by the documents."""
     n, largest = ids.agg(F.count("*"), F.max("doc_id")).first()
     wanted = min(ranges, math.ceil(n / range_rows))
     if largest is None or wanted < 2:
