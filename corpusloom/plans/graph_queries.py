@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
+from ..operators.access import for_readers
 from ..operators.commits import Tables
 from ..operators.components import shared_folder
 from ..registry import register
@@ -112,7 +113,9 @@ def askers(spark, d):
 
 
 def graph_hits(spark, d, questions):
-    return G.graph_topk(questions, relations(spark, d), acl(spark, d), 10, "off", (("that", "requires", "form"),))
+    access = acl(spark, d)
+    own = access.members.join(questions.select("user_id").distinct(), "user_id", "left_semi")
+    return G.graph_topk(questions, relations(spark, d), for_readers(access.documents, own), 10, "off", (("that", "requires", "form"),))
 
 
 @register("f12_graph_topk", f"with {RELATIONS}, {ASKERS}, {GRAPH_TOP} select question_id, src, dst, type, doc_id, chunk_index, score, rank from gt")
