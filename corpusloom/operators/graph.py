@@ -113,17 +113,18 @@ def graph_topk(questions: DataFrame, relations: DataFrame, access: DataFrame, k:
 
     0.4 more if the source holds a favoured text, and 3 for each of wants (a text in the question, a type, a text in the
     target) that is met. A question that names entities gets relations with one of them alone. access: user_id, doc_id."""
-    believed = relations.where(F.col("status").isin(*BELIEVED))
     question = F.lower("question") if "question" in questions.columns else F.lit("")
-    asked = questions.select("question_id", "user_id", "terms", "named", question.alias("question"))
-    ends = believed.select(F.explode(F.array_distinct(F.array(F.lower("src"), F.lower("dst")))).alias("term"), "src", "dst", "type", "doc_id", "chunk_index", "evidence", "confidence")
-    keys = ["question_id", "user_id", "src", "dst", "type", "doc_id", "chunk_index"]
-    hits = asked.select("question_id", "user_id", F.explode("terms").alias("term")).distinct().join(ends, "term")
-    both = hits.groupBy(*keys, "evidence", "confidence").agg(F.count("*").alias("ends")).join(access.select("user_id", "doc_id").distinct(), ["user_id", "doc_id"], "left_semi")
-    both = both.join(asked.drop("user_id"), "question_id")
+    asked = questions.select("question_id", "user_id", F.array_distinct("terms").alias("terms"), "named", question.alias("question"))
+    seers = access.select("user_id", "doc_id").join(asked.select("user_id").distinct(), "user_id", "left_semi").distinct()
+    believed = relations.where(F.col("status").isin(*BELIEVED)).select("src", "dst", "type", "doc_id", "chunk_index", "evidence", "confidence").distinct()
+    # relations meet the users who may see them before the questions; the first end that a question names brings the relation
+    ends = F.array_distinct(F.array(F.lower("src"), F.lower("dst")))
+    seen = believed.join(seers, "doc_id").withColumn("ends", ends).select("*", F.posexplode("ends").alias("at", "term"))
+    both = seen.join(asked.select("*", F.explode("terms").alias("term")), ["user_id", "term"])
+    both = both.where((F.col("at") == 0) | ~F.coalesce(F.array_contains("terms", F.col("ends")[0]), F.lit(False)))
     body = F.lower(F.concat_ws(" ", "src", "dst", "type", "evidence"))
     strict = (F.size("named") == 0) | F.array_contains("named", F.lower("src")) | F.array_contains("named", F.lower("dst"))
-    score = 2.0 * F.col("ends") + 0.25 * F.size(F.filter("terms", lambda t: F.contains(body, t)))
+    score = 2.0 * F.size(F.array_compact(F.array_intersect("terms", "ends"))) + 0.25 * F.size(F.filter("terms", lambda t: F.contains(body, t)))
     if favoured:
         score = score + F.when(F.contains(F.lower("src"), F.lit(favoured)), 0.4).otherwise(0.0)
     for text, kind, target in wants:
