@@ -206,3 +206,23 @@ def test_every_branch_of_whole_retrieval(spark):
     }
     assert seen == {"wiki": {1, 2, 3, 4, 6, 7}, "text": {2, 3, 4, 7}, "table": {5}, "metadata": {6}, "graph": {2, 3, 4}, "title": {2, 3, 4, 6, 7}}
     assert list(itertools.chain(*got.values())).count("c11") == 0
+
+
+def test_graph_counts_a_relation_once_and_reads_only_askers(spark):
+    row = ("Office", "form", "requires", 1, 0, "the office", 0.9, "auto")
+    relations = spark.createDataFrame([row, row, ("desk", "form", "requires", 2, 0, "x", 0.9, "auto"), ("form", "form", "requires", 3, 0, "x", 0.9, "auto")], "src string, dst string, type string, doc_id long, chunk_index int, evidence string, confidence double, status string")
+    access = spark.createDataFrame([(5, 1), (5, 1), (5, 3), (6, 2)], "user_id long, doc_id long")
+    q = spark.createDataFrame([(1, 5, ["office", "form", "form"], []), (2, 6, ["form"], []), (3, 7, ["form"], [])], "question_id long, user_id long, terms array<string>, named array<string>")
+    got = sorted(tuple(r) for r in graph.graph_topk(q, relations, access, 5).select("question_id", "doc_id", "score", "rank").collect())
+    assert got == [(1, 1, 4.5, 1), (1, 3, 2.25, 2), (2, 2, 2.25, 1)]
+
+
+def test_equal_questions_are_asked_once(spark, monkeypatch):
+    asked = []
+    blocks = patterns.blocks
+    monkeypatch.setattr(patterns, "blocks", lambda questions, lists: [asked.append(len(b)) or b for b in blocks(questions, lists)])
+    q = spark.range(300).selectExpr("id as question_id", "array(concat('n', id % 2)) as terms", "'.md' as wants", "id % 2 = 0 as newest")
+    docs = spark.createDataFrame([(1, "n0", "a.md", "x"), (2, "n1", "b.txt", "x"), (3, "other", "c.txt", "x")], "doc_id long, title string, filename string, source_type string")
+    got = {(r["question_id"], r["rank"]): (r["doc_id"], round(r["score"], 2)) for r in retrieval.metadata_topk(q, docs, 2).collect()}
+    want = {0: [(1, 0.72), (2, 0.36)], 1: [(1, 0.38), (2, 0.34)]}
+    assert got == {(i, k + 1): want[i % 2][k] for i in range(300) for k in range(2)} and asked == [2]
