@@ -226,3 +226,15 @@ def test_equal_questions_are_asked_once(spark, monkeypatch):
     got = {(r["question_id"], r["rank"]): (r["doc_id"], round(r["score"], 2)) for r in retrieval.metadata_topk(q, docs, 2).collect()}
     want = {0: [(1, 0.72), (2, 0.36)], 1: [(1, 0.38), (2, 0.34)]}
     assert got == {(i, k + 1): want[i % 2][k] for i in range(300) for k in range(2)} and asked == [2]
+
+
+def test_parts_of_words_are_found_without_comparing_candidates(spark):
+    draw = random.Random(5)
+    words = sorted({"".join(draw.choices("ab1", k=draw.randrange(1, 40))) for _ in range(60)})
+    short = sorted({w[i : i + n] for w in words for i, n in [(draw.randrange(20), draw.randrange(1, 19)), (0, 3)] if w[i : i + n]})
+    long = sorted({w[1:30] for w in words if len(w) > 25} | {"a" * 30})
+    column = lambda x, name: spark.createDataFrame([(v,) for v in x], f"{name} string")
+    found = retrieval.held_words(column(short + long, "term"), column(words, "word"))
+    assert sorted(tuple(r) for r in found.collect()) == sorted((t, w) for t in short + long for w in words if t in w)
+    plan = retrieval.held_words(column(short, "term"), column(words, "word"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains(" not in plan and "contains(" not in plan
