@@ -100,3 +100,26 @@ def test_soft_steps_are_passed_over_and_counted(spark):
     sixth = [k for k in range(0, 30, 6)]
     assert got == {1: (1, 30, 15, 0, 5, 5, len({k % 4 for k in sixth if k % 5})), 2: (2, 31, 16, 0, 0, 16, 2), 3: (0, 0, 0, 0, 0, 0, 0)}
     assert sorted(r["k"] for r in left.where("question_id = 1").collect()) == sixth
+
+
+def test_the_rows_of_one_document_are_dealt_out(spark):
+    rows = spark.range(2000).selectExpr("'d' as document", "cast(id % 4 as string) as sheet", "id as row_number", "map('a', cast(id % 3 as string)) as row", "array('a') as row_keys")
+    known = spark.createDataFrame([("d", "city", "a")], "document string, semantic string, raw_name string")
+    tasks = lambda df: df.groupBy(F.spark_partition_id()).count().count()
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        typed = tables.with_semantics(rows, known)
+        assert tasks(typed) > 1
+        assert typed.where("semantic['city'] = 'a'").count() == 2000
+        assert tasks(tables.dealt_join(rows.drop("row"), known)) > 1
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_periods_are_sheets_and_their_first_rows_count(spark):
+    rows = spark.createDataFrame([("d", "k", "1", 1, {"a": "x"}, ["a"]), ("d", "k", "1", 2, {"a": "y"}, ["a"]), ("d", "k", "2", 3, {"a": " x ", "b": "1"}, ["a", "b", "b"]), ("d", "k", None, 4, {"b": "2"}, ["b"]), ("d", "one", "1", 5, {"a": "z"}, ["a"])], "document string, key string, sheet string, row_number long, row map<string,string>, row_keys array<string>")
+    got = {(r["key"], r["field"]): (r["periods"], r["different"], r["changed"]) for r in tables.compare_periods(rows, "key").collect()}
+    assert got == {("k", "a"): (2, 1, False)}
