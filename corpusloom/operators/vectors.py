@@ -1,6 +1,6 @@
 """Exact nearest vectors of a stated set of queries.
 
-Queries reach tasks in blocks of bounded bytes; a batch of vectors meets a block in one matrix product, and a task keeps
+Queries reach tasks in blocks of bounded bytes and number; a batch of vectors meets a block in one matrix product, and a task keeps
 the best rows of each query. What is left is scored again by built-in functions, so that results don't depend on how
 products of matrices are summed."""
 
@@ -16,8 +16,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from .patterns import CELLS, best, leading, spread
+from .tables import all_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, BLOCK_QUERIES = 16 << 20, 2_000
+#: Candidates of a task that wait before they are put among its best.
+MOST_WAITING = 1 << 16
 #: Rows that a task hands on beyond the k best, in case sums that differ in their last bits order them otherwise.
 SPARE = 16
 
@@ -41,7 +44,7 @@ def _blocks(queries: DataFrame, size: int, dim: int | None) -> Iterator[tuple[li
         else:
             held.append(np.zeros(dim))
             held[-1][[x[0] for x in row["embedding"]]] = [x[1] for x in row["embedding"]]
-        if len(held) * held[0].nbytes >= size:
+        if len(held) * held[0].nbytes >= size or len(held) >= BLOCK_QUERIES:
             yield ids, np.vstack(held)
             ids, held = [], []
     if held:
@@ -59,9 +62,9 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str,
     queries: question_id and embedding; vectors: keys and embedding, of one length, or with dim arrays of (slot, weight).
     A vector of zeros scores 0. With digits, scores are those of the matrix product, rounded before they are ranked."""
     queries, vectors = queries.select("question_id", "embedding").where("embedding is not null"), spread(vectors.select(*keys, "embedding").where("embedding is not null"))
-    back, spare = ("score",) if digits is not None else ("embedding",), 0 if digits is not None else SPARE
+    spare = 0 if digits is not None else SPARE
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
-    schema = f"question_id {queries.schema['question_id'].dataType.simpleString()}, {', '.join(f'{c} {kinds[c]}' for c in keys)}, {'score double' if digits is not None else f"embedding {kinds['embedding']}"}"
+    schema = f"question_id {queries.schema['question_id'].dataType.simpleString()}, {', '.join(f'{c} {kinds[c]}' for c in keys)}, score double"
     id_type = to_arrow_type(queries.schema["question_id"].dataType)
     order = [("score", "descending"), *((c, "ascending") for c in keys)]
 
@@ -70,17 +73,23 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str,
             ids, asked = block.value
             asked, held, least = _unit(asked), None, np.full(len(ids), -np.inf)
             step = max(1, CELLS // len(ids))
+            waiting, many = [], 0
             for whole in batches:
                 for batch in (whole.slice(a, step) for a in range(0, whole.num_rows, step)):
                     own = batch.column("embedding")
                     scores = np.round(_unit(_dense(own, dim)) @ asked.T, 12 if digits is None else digits)
                     row, q = leading(scores, least, k + spare)
                     at = pa.array(row)
-                    table = pa.table({"q": q, "score": scores[row, q], **{c: batch.column(c).take(at) for c in (*keys, *back) if c != "score"}})
-                    held, full, last = best(pa.concat_tables([held, table]) if held is not None else table, k + spare, order)
-                    least[full] = last
+                    waiting.append(pa.table({"q": q, "score": scores[row, q], **{c: batch.column(c).take(at) for c in keys}}))
+                    many += len(row)
+                    if held is None or many >= MOST_WAITING:
+                        held, full, last = best(pa.concat_tables([*([held] if held is not None else []), *waiting]), k + spare, order)
+                        least[full] = last
+                        waiting, many = [], 0
+            if waiting:
+                held, _, _ = best(pa.concat_tables([held, *waiting]), k + spare, order)
             if held is not None and held.num_rows:
-                out = pa.table({"question_id": pa.array([ids[x] for x in held["q"].to_pylist()], id_type), **{c: held[c] for c in (*keys, *back)}})
+                out = pa.table({"question_id": pa.array([ids[x] for x in held["q"].to_pylist()], id_type), **{c: held[c] for c in (*keys, "score")}})
                 yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
         return run
@@ -91,8 +100,12 @@ def vector_topk(queries: DataFrame, vectors: DataFrame, k: int, keys: tuple[str,
     for more in parts[1:]:
         found = found.unionByName(more)
     if digits is None:
+        # the vectors themselves are fetched once for the few that are left
+        near = Window.partitionBy("question_id").orderBy(F.desc("score"), *keys)
+        few = found.withColumn("k_", F.row_number().over(near)).where(F.col("k_") <= k + spare).select("question_id", *keys).distinct()
         dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-        both = found.join(queries.withColumnRenamed("embedding", "q"), "question_id")
+        same = all_of([F.col(c).eqNullSafe(F.col(f"{c}_")) for c in keys])
+        both = few.withColumnsRenamed({c: f"{c}_" for c in keys}).join(vectors, same).join(queries.withColumnRenamed("embedding", "q"), "question_id")
         norm = F.sqrt(dot(F.col("embedding"), F.col("embedding"))) * F.sqrt(dot(F.col("q"), F.col("q")))
         found = both.select("question_id", *keys, F.when(norm > 0, dot(F.col("embedding"), F.col("q")) / norm).otherwise(0.0).alias("score"))
     return found.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("score"), *keys))).where(F.col("rank") <= k)

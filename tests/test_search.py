@@ -238,3 +238,20 @@ def test_parts_of_words_are_found_without_comparing_candidates(spark):
     assert sorted(tuple(r) for r in found.collect()) == sorted((t, w) for t in short + long for w in words if t in w)
     plan = retrieval.held_words(column(short, "term"), column(words, "word"))._jdf.queryExecution().optimizedPlan().toString()
     assert "Contains(" not in plan and "contains(" not in plan
+
+
+def test_vectors_are_asked_for_in_blocks_of_few_queries(spark):
+    from corpusloom.operators import vectors
+
+    queries = spark.range(2 * vectors.BLOCK_QUERIES + 1).selectExpr("id as question_id", "array(1.0f, cast(id as float)) as embedding")
+    assert [len(ids) for ids, _ in vectors._blocks(queries, vectors.BLOCK_BYTES, None)] == [vectors.BLOCK_QUERIES, vectors.BLOCK_QUERIES, 1]
+
+
+def test_vectors_of_one_key_and_without_a_key_are_kept(spark):
+    from corpusloom.operators.vectors import vector_topk
+
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [1.0, 1.0]), (2, [-1.0, 0.0])]
+    own = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = spark.createDataFrame([(7, [1.0, 0.0])], "question_id long, embedding array<float>")
+    got = [(r["vec_id"], round(r["score"], 3)) for r in vector_topk(asked, own, 4).orderBy("rank").collect()]
+    assert got == [(1, 1.0), (None, 0.707), (1, 0.0), (2, -1.0)]
