@@ -15,12 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
-from .patterns import CELLS, best, leading, spread
+from .patterns import CELLS, MOST_WAITING, best, leading, spread
 from .tables import all_of
 
 BLOCK_BYTES, BLOCK_QUERIES = 16 << 20, 2_000
-#: Candidates of a task that wait before they are put among its best.
-MOST_WAITING = 1 << 16
 #: Rows that a task hands on beyond the k best, in case sums that differ in their last bits order them otherwise.
 SPARE = 16
 

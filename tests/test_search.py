@@ -255,3 +255,15 @@ def test_vectors_of_one_key_and_without_a_key_are_kept(spark):
     asked = spark.createDataFrame([(7, [1.0, 0.0])], "question_id long, embedding array<float>")
     got = [(r["vec_id"], round(r["score"], 3)) for r in vector_topk(asked, own, 4).orderBy("rank").collect()]
     assert got == [(1, 1.0), (None, 0.707), (1, 0.0), (2, -1.0)]
+
+
+def test_a_step_of_a_search_counts_few_pairs(spark, monkeypatch):
+    block = patterns.Block([{"question_id": q, "terms": ["a", "b"]} for q in range(1000)], {"terms"})
+    q = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"])], "question_id long, terms array<string>")
+    texts = spark.range(300).selectExpr("id as doc_id", "1 as chunk_index", "'' as title", "'a b c' as content").coalesce(1)
+    want = [tuple(r) for r in retrieval.keyword_topk(q, texts, 3).orderBy("question_id", "rank").collect()]
+    monkeypatch.setattr(patterns, "PAIRS", 40)
+    assert [tuple(r) for r in retrieval.keyword_topk(q, texts, 3).orderBy("question_id", "rank").collect()] == want
+    assert patterns.step_of(block, {"n": patterns.Count("terms", ("content",))}) == 1
+    monkeypatch.setattr(patterns, "PAIRS", 1 << 14)
+    assert patterns.step_of(block, {"n": patterns.Count("terms", ("content",))}) == 8
