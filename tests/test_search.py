@@ -267,3 +267,12 @@ def test_a_step_of_a_search_counts_few_pairs(spark, monkeypatch):
     assert patterns.step_of(block, {"n": patterns.Count("terms", ("content",))}) == 1
     monkeypatch.setattr(patterns, "PAIRS", 1 << 14)
     assert patterns.step_of(block, {"n": patterns.Count("terms", ("content",))}) == 8
+
+
+def test_texts_are_normalized_as_by_python(spark):
+    import unicodedata
+
+    odd = ["ﬁne Ｔｅｘｔ ①", "e\u0301 ½ ㍿", "", None, "İ x", "한글"]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, text string")
+    got = [r["t"] for r in df.select("k", retrieval._nfkc("text").alias("t")).orderBy("k").collect()]
+    assert got == [x and unicodedata.normalize("NFKC", x) if x is not None else None for x in odd]
