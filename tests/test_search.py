@@ -276,3 +276,10 @@ def test_texts_are_normalized_as_by_python(spark):
     df = spark.createDataFrame([(k, x) for k, x in enumerate(odd)], "k int, text string")
     got = [r["t"] for r in df.select("k", retrieval._nfkc("text").alias("t")).orderBy("k").collect()]
     assert got == [x and unicodedata.normalize("NFKC", x) if x is not None else None for x in odd]
+
+
+def test_two_lists_of_one_search_search_once(spark):
+    from corpusloom.plans.retrieval_queries import two_lists
+
+    plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in two_lists(spark, "/root/testdata/sf0.001")]
+    assert sum(p.count("MapInArrow") for p in plans) <= 1
