@@ -10,7 +10,6 @@ from ..operators import ingest, pipeline
 from ..operators import retrieval as R
 from ..operators import wiki as W
 from ..operators.components import keep
-from ..operators.patterns import spread
 from ..operators.vectors import vector_topk
 from ..registry import register
 from ..sources.model import view
@@ -28,22 +27,16 @@ def questions(spark, d):
     return R.graph_flags(q, ["that", "with"], ["ofthe"])
 
 
-def of_chunks(spark, d, found, channel):
-    """Contexts of chunks found (question_id, doc_id, chunk_index, score, rank)."""
-    both = found.join(titled(spark, d).select("doc_id", "chunk_index", "title", "content"), ["doc_id", "chunk_index"])
+def of_chunks(known, found, channel):
+    """Contexts of chunks found (question_id, doc_id, chunk_index, score, rank). These are few; as a kept table their size
+    is known, so that Spark need not shuffle all texts (known) to meet them."""
+    both = keep(found).join(known, ["doc_id", "chunk_index"])
     return both.select("question_id", F.lit(channel).alias("channel"), "doc_id", F.concat(F.lit("chunk-"), "chunk_index").alias("key"), "title", "content", "score", "rank")
 
 
-def embedded(df, key, text):
-    """key and embedding (slots and weights) of texts that have tokens."""
-    return ingest.hash_embed(df, key, text).groupBy(key).agg(F.collect_list(F.struct("slot", "weight")).alias("embedding"))
-
-
 def by_vectors(spark, d, asked):
-    named = spread(chunks(spark, d).select(F.concat_ws("#", "doc_id", "chunk_index").alias("id"), "content"))
-    part = lambda n: F.split_part("id", F.lit("#"), F.lit(n)).cast("long")
-    own = embedded(named, "id", "content").select(part(1).alias("doc_id"), part(2).alias("chunk_index"), "embedding")
-    return vector_topk(embedded(asked, "question_id", "question"), own, 10, ("doc_id", "chunk_index"), digits=6, dim=512)
+    own = ingest.hash_vectors(chunks(spark, d), ["doc_id", "chunk_index"], "content")
+    return vector_topk(ingest.hash_vectors(asked, ["question_id"], "question"), own, 10, ("doc_id", "chunk_index"), digits=6, dim=512)
 
 
 def scored(spark, d, contexts):
@@ -54,11 +47,11 @@ def scored(spark, d, contexts):
     return R.rerank_score(profiled(known), EVIDENCE)
 
 
-def by_text(spark, d, asked):
+def by_text(spark, d, known, asked):
     """Keyword and vector candidates of documents that aren't blocked, re-ranked and selected."""
-    words = R.keyword_topk(asked, titled(spark, d), 10).drop("matched")
+    words = R.keyword_topk(asked, known, 10).drop("matched")
     both = R.merge_unique(words, by_vectors(spark, d, asked), 16).withColumn("rank", F.col("merged"))
-    fit = of_chunks(spark, d, both, "text").join(graded(spark, d).where("grade <> 'blocked'").select("doc_id"), "doc_id", "left_semi")
+    fit = of_chunks(known, both, "text").join(graded(spark, d).where("grade <> 'blocked'").select("doc_id"), "doc_id", "left_semi")
     return pipeline.best_of(fit, asked, partial(scored, spark, d), 6, 2).withColumn("rank", F.col("place"))
 
 
@@ -68,13 +61,13 @@ def by_metadata(spark, d, asked):
     return both.select("question_id", F.lit("metadata").alias("channel"), "doc_id", F.lit("metadata").alias("key"), "title", F.concat_ws(" ", "title", "filename").alias("content"), "score", "rank")
 
 
-def by_table(spark, d, asked):
-    found = of_chunks(spark, d, R.keyword_topk(asked, titled(spark, d), 10), "table")
+def by_table(known, asked):
+    found = of_chunks(known, R.keyword_topk(asked, known, 10), "table")
     return found.where(F.contains("content", F.lit("|")))
 
 
 def by_wiki(spark, d, asked):
-    both = W.wiki_topk(asked, pages(spark, d), 5).join(pages(spark, d), "slug").join(asked.select("question_id", "terms"), "question_id")
+    both = keep(W.wiki_topk(asked, pages(spark, d), 5)).join(pages(spark, d), "slug").join(asked.select("question_id", "terms"), "question_id")
     both = both.withColumn("content", F.left(F.concat_ws("\n", "title", "summary", "body"), F.lit(700))).withColumn("matched", F.filter("terms", lambda t: F.contains(F.lower("content"), t)))
     quotes = F.when(F.col("summary") == "", F.expr(NONE)).otherwise(F.array("summary"))
     return both.select("question_id", F.lit("wiki").alias("channel"), "doc_id", F.concat(F.lit("wiki-"), "slug").alias("key"), "title", "content", "score", "rank", "matched", quotes.alias("quotes"))
@@ -86,8 +79,8 @@ def by_graph(spark, d, asked):
     return graph_hits(spark, d, seekers).where("rank <= 8").select("question_id", F.lit("graph").alias("channel"), "doc_id", key.alias("key"), F.lit("").alias("title"), F.concat_ws(" ", "src", "type", "dst").alias("content"), "score", "rank")
 
 
-def by_title(spark, d, asked):
-    return of_chunks(spark, d, R.title_contexts(R.title_matches(asked, docs(spark, d)), asked, titled(spark, d), 8), "title")
+def by_title(spark, d, known, asked):
+    return of_chunks(known, R.title_contexts(keep(R.title_matches(asked, docs(spark, d))), asked, known, 8), "title")
 
 
 def best_sql(source, tag, n):
@@ -149,8 +142,9 @@ E46 = (
 
 @register("e46_retrieve", E46)
 def retrieve(spark, d):
-    routes = {"text": by_text, "metadata": by_metadata, "table": by_table}
+    # all channels read the same chunks, so these are cut and titled once
+    known = keep(titled(spark, d).select("doc_id", "chunk_index", "title", "content"))
+    routes = {"text": partial(by_text, spark, d, known), "metadata": partial(by_metadata, spark, d), "table": partial(by_table, known)}
     kinds = docs(spark, d).select("doc_id", (F.col("doc_id") % 5).cast("string").alias("kind"))
-    bound = {r: partial(f, spark, d) for r, f in routes.items()}
-    wiki, graph, title, score = (partial(f, spark, d) for f in (by_wiki, by_graph, by_title, scored))
-    return pipeline.retrieve(questions(spark, d), wiki, bound, graph, title, score, kinds, ["0", "1", "2", "3"], least=0.92, strong=0.5, several=("than",), keep=keep)
+    wiki, graph, title, score = partial(by_wiki, spark, d), partial(by_graph, spark, d), partial(by_title, spark, d, known), partial(scored, spark, d)
+    return pipeline.retrieve(questions(spark, d), wiki, routes, graph, title, score, kinds, ["0", "1", "2", "3"], least=0.92, strong=0.5, several=("than",), keep=keep)

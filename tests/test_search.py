@@ -283,3 +283,40 @@ def test_two_lists_of_one_search_search_once(spark):
 
     plans = [x._jdf.queryExecution().optimizedPlan().toString() for x in two_lists(spark, "/root/testdata/sf0.001")]
     assert sum(p.count("MapInArrow") for p in plans) <= 1
+
+
+def test_short_and_common_terms_are_found_as_by_python(spark, monkeypatch):
+    import numpy as np
+
+    r = random.Random(7)
+    asked = [{"question_id": k, "terms": sorted({"".join(r.choice("ab1_") for _ in range(r.randint(1, 5))) for _ in range(6)} | {"é", "ab.", "退款"})} for k in range(9)]
+    block = patterns.Block(asked, {"terms"})
+    found_in = ["", "ab", "a\nb", "é退款", "ab.退", *["".join(r.choice("ab1_é退款\n.") for _ in range(r.randint(0, 40))) for _ in range(60)]]
+    want = sorted((k, t) for k, x in enumerate(found_in) for t, term in enumerate(block.terms) if term in x)
+    for cells in (patterns.CELLS, 64):  # also in groups of one text
+        monkeypatch.setattr(patterns, "CELLS", cells)
+        pairs = np.sort(block.finder()(found_in))
+        assert [divmod(int(p), len(block.terms)) for p in pairs] == want
+    rows, terms = pairs // len(block.terms), pairs % len(block.terms)
+    assert (block.common["terms"][0] >= 0).any()
+    counts = block.counted("terms", rows, terms, len(found_in), np.ones(len(block.terms)))
+    assert counts.tolist() == [[sum(t in x for t in q["terms"]) for q in asked] for x in found_in]
+    assert patterns.Block([{"question_id": 1, "terms": []}], {"terms"}).finder()(["x"]).tolist() == []
+
+
+def test_vectors_of_whole_texts_equal_hashed_tokens(spark):
+    from corpusloom.operators import ingest
+
+    rows = [(1, "a b, B c_1 退款 a"), (2, ""), (3, None), (4, ", ."), (5, "x"), (5, "y x"), (None, "z")]
+    df = spark.createDataFrame(rows, "k int, text string")
+    want = {(r["k"], r["slot"]): r["weight"] for r in ingest.hash_embed(df, "k", "text").collect()}
+    got = {(r["k"], x["slot"]): x["weight"] for r in ingest.hash_vectors(df, ["k"], "text").collect() for x in r["embedding"]}
+    assert got == pytest.approx(want) and len(got) > 5
+
+
+def test_whole_retrieval_cuts_chunks_without_grouping_tokens(spark):
+    from corpusloom.plans import pipeline_queries
+
+    asked = pipeline_queries.questions(spark, "/root/testdata/sf0.001")
+    plan = pipeline_queries.by_vectors(spark, "/root/testdata/sf0.001", asked)._jdf.queryExecution().optimizedPlan().toString()
+    assert "token" not in plan
