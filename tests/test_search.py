@@ -320,3 +320,24 @@ def test_whole_retrieval_cuts_chunks_without_grouping_tokens(spark):
     asked = pipeline_queries.questions(spark, "/root/testdata/sf0.001")
     plan = pipeline_queries.by_vectors(spark, "/root/testdata/sf0.001", asked)._jdf.queryExecution().optimizedPlan().toString()
     assert "token" not in plan
+
+
+def test_best_sections_are_settled_in_one_pass(spark, monkeypatch):
+    r = random.Random(3)
+    q = spark.createDataFrame([(k, [r.choice("abcdef") * 2 for _ in range(3)]) for k in range(5)] + [(9, ["none"])], "question_id long, terms array<string>").withColumn("terms", F.array_distinct("terms"))
+    rows = [(k // 13 if k < 60 else None, k, None, " ".join(r.choice("abcdefgh") * 2 for _ in range(3)), "aa" if k % 13 == 4 else None) for k in range(70)]
+    sections = spark.createDataFrame(rows, "doc_id int, line int, title string, summary string, doc_title string").repartition(4)
+    want = []
+    for k, terms in q.collect():
+        found = {}
+        for doc, line, _, summary, doc_title in rows:
+            n, d = len({*summary.split()} & {*terms}), int(bool(doc_title) and "aa" in terms)
+            if n or d:
+                found.setdefault(doc, []).append((-min(92, 18 + 8 * n + 3 * d), line))
+        want += [(k, doc, line, -s / 100, i + 1) for doc, x in found.items() for i, (s, line) in enumerate(sorted(x)[:3])]
+    for cells in (1 << 20, 1):  # the latter: sections come one by one
+        monkeypatch.setattr(retrieval, "CELLS", cells)
+        found = retrieval.section_topk(q, sections, 3)
+        assert sorted(map(str, map(tuple, found.collect()))) == sorted(map(str, want))
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan and "Join" not in plan
