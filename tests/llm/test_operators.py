@@ -572,3 +572,20 @@ def test_posteriors_find_reliable_labellers():
         counts["".join("1" if v else "0" for v in votes)] += 1
     found = quality.posteriors(counts)
     assert found["1110"] > 0.95 and found["0001"] < 0.05 and quality.posteriors({}) == {}
+
+
+def test_points_of_few_pairs_are_unpacked_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    most, made = [], jaccard.Points
+    monkeypatch.setattr(jaccard, "PAIRS", 3)
+    monkeypatch.setattr(jaccard, "Points", lambda counts: most.append(len(counts)) or made(counts))
+    sets = [np.sort(jaccard.mixed(np.arange(k // 2, k // 2 + 20 + k % 3 * 400, dtype=np.uint64))) for k in range(20)]
+    pairs = [(a, b) for a in range(20) for b in range(a)]
+    column = lambda f, side: pa.array([f(sets[p[side]]) for p in pairs])
+    batch = pa.RecordBatch.from_arrays([pa.array([a for a, _ in pairs]), pa.array([b for _, b in pairs]), column(len, 0), column(len, 1), column(jaccard.point_of, 0), column(jaccard.point_of, 1)], ["a", "b", "na", "nb", "x", "y"])
+    got = {(r["a"], r["b"]) for t in jaccard.near_pairs(iter([batch, batch.slice(0, 0)]), 85) for r in t.to_pylist()}
+    want = {(a, b) for a, b in pairs if 100 * len(np.intersect1d(sets[a], sets[b])) >= 85 * len(np.union1d(sets[a], sets[b]))}
+    assert want and want <= got and len(got) < len(pairs)
+    assert max(most) == 3
