@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Shared, steps
+from .common import Shared
 
 WORDS, PERCENT = 4, 85
 #: A point has a power of two of groups, so that about MEAN n-grams share one; points of other lengths are folded.
@@ -42,8 +42,8 @@ FINE_BITS, CHUNKS = 20, 64
 BLOCK, LEAF, FILTER_BITS = 2048, 16, 24
 #: Of sets whose links are counted in one piece, the n-grams, and those that a matrix has at a time.
 GRAMS, WIDTH = 1 << 20, 4096
-#: Bytes of text that are hashed at a time, and whose sets are handed on at a time, and pairs whose points are unpacked at a time.
-STEP, SETS, PAIRS = 1 << 18, 1 << 20, 256
+#: Bytes of text that are hashed at a time, and pairs whose points are unpacked at a time.
+STEP, PAIRS = 1 << 18, 256
 #: A coordinate that is too large for a byte: it stands for any number.
 FULL = 255
 #: Of the polynomials that hash words, modulo 2 ** 64.
@@ -345,12 +345,12 @@ def node_sets(docs: DataFrame, needed: DataFrame, words: int) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap = np.unpackbits(wanted.value).astype(bool)
-        # a batch may hold thousands of long texts, of which only some at a time are copied and hashed
-        for part in steps(batches, limit=SETS):
-            batch = part.filter(pa.array(bitmap[part.column(2).to_numpy()]))
-            sets = [h for _, data in _texts([batch]) if len(h := np.unique(shingles(data, words)))]
-            if sets:
-                yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "grams"])
+        for batch in batches:
+            batch = batch.filter(pa.array(bitmap[batch.column(2).to_numpy()]))
+            for at in range(0, batch.num_rows, 200):
+                sets = [h for _, data in _texts([batch.slice(at, 200)]) if len(h := np.unique(shingles(data, words)))]
+                if sets:
+                    yield pa.RecordBatch.from_arrays([pa.array([node_of(h) for h in sets], pa.int64()), pa.array([h.view(np.int64) for h in sets], pa.list_(pa.int64()))], ["node", "grams"])
 
     rows = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int").alias("bit"))
     sets = rows.mapInArrow(make, "node bigint, grams array<bigint>")
