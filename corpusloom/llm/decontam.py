@@ -7,7 +7,7 @@ suffixes that begin with enough words of the items' vocabulary can match and are
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, repeat
 
 import numpy as np
@@ -52,16 +52,16 @@ class TestSuffixes:
         low = np.array(rows, np.int64).reshape(-1, window)
         high = low.copy()
         high[np.arange(window)[None, :] >= self.length[:, None]] = (1 << self.bits) - 1
-        self.low, self.high = self.pack(low), self.pack(high)
+        self.low, self.high = self.pack(lambda k: low[:, k]), self.pack(lambda k: high[:, k])
         self.shortest = int(self.length.min()) if len(item) else window
 
-    def pack(self, ids: np.ndarray) -> list[np.ndarray]:
-        """Columns of word ids as a few integers that sort alike."""
+    def pack(self, column: Callable[[int], np.ndarray]) -> list[np.ndarray]:
+        """Columns of word ids, made one at a time, as a few integers that sort alike."""
         keys = []
         for a in range(0, self.window, self.per_key):
-            key = np.zeros(len(ids), np.int64)
-            for k in range(a, min(a + self.per_key, self.window)):
-                key = (key << self.bits) | ids[:, k]
+            key = column(a)
+            for k in range(a + 1, min(a + self.per_key, self.window)):
+                key = (key << self.bits) | column(k)
             keys.append(key)
         return keys
 
@@ -95,7 +95,8 @@ def shard_matches(docs: list[list[bytes]], test: TestSuffixes) -> tuple[np.ndarr
     if not len(places):
         return none
     padded = np.concatenate([ids, np.zeros(test.window, np.int64)])
-    keys = test.pack(padded[places[:, None] + np.arange(test.window)[None, :]])
+    # a matrix of all windows would take ten times the words, twice
+    keys = test.pack(lambda k: padded[places + k])
     order = np.lexsort(keys[::-1])
     suffixes = [k[order] for k in keys]
     first, last = bound(suffixes, test.low, after=False), bound(suffixes, test.high, after=True)

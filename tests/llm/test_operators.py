@@ -526,6 +526,21 @@ def test_matches_equal_brute_force(spark, odd, item_bytes):
     assert decontam.decontaminate(odd, benchmark.where("false")).count() == odd.count()
 
 
+def test_windows_take_bounded_memory_a_word():
+    import tracemalloc
+
+    words = [b"w%d" % (k * k % 2003) for k in range(3000)]
+    test = decontam.TestSuffixes([("a", " ".join(w.decode() for w in words[:200]))], 10)
+    docs = [words[:12] + [words[5]] * 140 for _ in range(1000)]
+    tracemalloc.start()
+    try:
+        found = decontam.shard_matches(docs, test)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(found[0]) >= 1000 and peak / sum(map(len, docs)) < 120
+
+
 def test_matches_are_as_long_as_they_can_be(spark):
     words = [f"w{k}" for k in range(40)]
     docs = spark.createDataFrame([(1, "a b " + " ".join(words[5:30]) + " c"), (2, "nothing here")], "doc_id long, text string")
