@@ -31,7 +31,7 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path(PIECES)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"))
-    decoded = pieces.decode(pieces.encode(docs, model), model, name="decoded")
+    decoded = pieces.encode(docs, model, decoded="decoded")
     return decoded.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),

@@ -399,6 +399,38 @@ def test_units_and_ids_read_back():
         assert m.text(np.array(ids, np.int64)) == library.decode(ids)
 
 
+def test_texts_are_cut_once(spark, odd):
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(odd, path, hot=3, decoded="back")
+    read = pieces.decode(pieces.encode(odd, path, hot=3), path, name="back")
+    assert sorted(encoded.collect(), key=str) == sorted(read.collect(), key=str)
+    assert "ReusedExchange" in encoded._jdf.queryExecution().executedPlan().toString()
+
+
+def test_codes_of_units_with_equal_hashes(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    m, hashed = pieces.model(public_tokenizers.path("piece_bpe_32k.model")), pieces.hashed
+    top = pa.table({"unit": pa.array(["▁ab", "▁cd", "▁été"]), "ids": pa.array([[1], [2], [3]], pa.list_(pa.int32()))})
+    asked = pa.array(["skipped", "▁cd", "no", "", "▁été", "▁ab", "a"])[1:]
+    found = pieces.Codes(m, top).find(asked)
+    assert (found > 0).tolist() == [True, False, False, True, True, True]
+    monkeypatch.setattr(pieces, "hashed", lambda units: hashed(units) & np.uint64(15))
+    assert pieces.Codes(m, top).find(asked).tolist() == found.tolist()
+
+
+def test_pairs_of_one_place(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(pieces, "PAIRS", 4)
+    m = pieces.Model(public_tokenizers.path("piece_bpe_32k.model"))
+    ids = [k for k in range(300, 340) if m.alone[m.pieces[k]]]
+    pairs = np.unique([a << 32 | b for a in ids for b in ids])
+    told = [not m.crossed(k >> 32, k & 0xFFFFFFFF) for k in pairs.tolist()]
+    assert m.fits(pairs).tolist() == m.fits(pairs).tolist() == told and not all(told)
+
+
 # near duplicates -------------------------------------------------------------------------------------------------------
 
 
